@@ -1,14 +1,16 @@
 """Token counts by distinct pre-token (operator 7).
 
-The library's pieces never cross a boundary before a run of spaces or beside a line feed, so a
-text's count is the sum over its pre-tokens. First all distinct pre-tokens of all texts are
-counted with their frequencies and written with their numbers of pieces, each counted once by
-the library. Then each document's pre-token frequencies are joined to them: at most
-``FREQUENT`` pre-tokens - those that make up at least one in ``FREQUENT`` of all occurrences,
-so there cannot be more - are summed in the scan; the others join by a shuffle. No ids are made.
-
-Rows: a null text is an empty one, of no tokens. Rows of the same id and text are counted once
-and given back as often as they stand. An empty table gives an empty result.
+Pre-tokens are cut where no piece of the library can reach: before a run of spaces, beside a
+line feed, and before those ASCII marks that follow no ASCII letter or digit in
+any piece of the model. A text's count is the sum over its pre-tokens.
+
+First all distinct pre-tokens of all texts are counted with their frequencies, and the library
+counts each one's pieces once. Then each document's pre-token frequencies are joined to them:
+the ``FREQUENT`` most frequent ones at most are summed in the scan, the others join by a
+shuffle. No ids are made.
+
+Rows: a null text is an empty one, of no tokens. Rows of the same id and text are summed as
+one and given back as often as they stand. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,19 +26,33 @@ from pyspark.sql import functions as F
 from echogrid.llm.common import byte_texts, id_text, map_slices
 from echogrid.shared import materialize
 
-#: Bound on what is broadcast: pre-tokens of at least 1/FREQUENT of all occurrences.
-FREQUENT = 100_000
-#: Longest pre-token that may be frequent, so the broadcast's bytes are bounded too.
-SHORT = 64
-_CUT = re.compile(rb" *[^ \n]+| +(?=\n|\Z)")
+#: Bound on what is broadcast: so many pre-tokens at most, of at most so many bytes each.
+FREQUENT, SHORT = 400_000, 64
+SPACE = "\u2581"
 
 
-def pre_tokens(text: bytes) -> tuple[list[bytes], int]:
-    """The pre-tokens with their leading spaces, and the line feeds, each a token of its own.
+def cuts(model: bytes) -> re.Pattern[bytes]:
+    """The pattern of pre-tokens: a word is cut before a mark that follows no word character in any piece."""
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_proto=model)
+    pieces = [library.id_to_piece(k) for k in range(library.get_piece_size()) if not (library.is_byte(k) or library.is_control(k) or library.is_unknown(k))]
+    beside = {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False)}
+    if any(b == SPACE != a for a, b in beside):
+        raise ValueError("pieces of this model reach across spaces")
+    word = lambda c: c.isascii() and c.isalnum()
+    marks = {chr(c) for c in range(33, 127) if not chr(c).isalnum()} - {b for a, b in beside if word(a)}
+    own = re.escape("".join(sorted(marks))).encode()
+    first = rb" *[^ \n%b]+(?<=[0-9A-Za-z])(?=[%b])|" % (own, own) if own else b""
+    return re.compile(first + rb" *[^ \n]+| +(?=\n|\Z)")
 
-    The library puts one space before a text; a piece behind a line feed has none.
+
+def pre_tokens(text: bytes, cut: re.Pattern[bytes]) -> tuple[list[bytes], int]:
+    """The pre-tokens with their leading spaces, and how many line feeds, each a token of its own.
+
+    The library puts one space before a text; nothing else starts with an added one.
     """
-    return _CUT.findall(b" " + text) if text else [], text.count(b"\n")
+    return cut.findall(b" " + text) if text else [], text.count(b"\n")
 
 
 def piece_counter(model: bytes) -> Callable[[list[bytes]], list[int]]:
@@ -54,12 +70,13 @@ def piece_counter(model: bytes) -> Callable[[list[bytes]], list[int]]:
 
 def vocabulary(docs: DataFrame, model: bytes) -> DataFrame:
     """``token binary, n, pieces``: all distinct pre-tokens, their occurrences and pieces."""
+    cut = cuts(model)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             seen: Counter[bytes] = Counter()
             for t in byte_texts(batch):
-                seen.update(pre_tokens(t)[0])
+                seen.update(pre_tokens(t, cut)[0])
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
         return each
@@ -82,52 +99,62 @@ def vocabulary(docs: DataFrame, model: bytes) -> DataFrame:
     return distinct.mapInArrow(run, "token binary, n long, pieces int")
 
 
-def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
+def most_frequent(vocab: DataFrame, most: int) -> int:
+    """The least count such that at most ``most`` short tokens have it or more, from counts in quarters of powers of two."""
+    step = F.floor(F.log2("n") * 4)
+    sizes = sorted(((r.step, r["count"]) for r in vocab.where(F.length("token") <= SHORT).groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, held = 1 << 62, 0
+    for at, n in sizes:
+        held += n
+        if held > most:
+            break
+        least = -(-(2 ** (at / 4)) // 1)
+    return int(least)
+
+
+def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit``: one row per row of ``docs``."""
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         model = f.read()
+    cut = cuts(model)
     base = id_text(docs)
     vocab = materialize(vocabulary(base.select("text"), model), "pieces")
-    total = vocab.agg(F.sum("n")).first()[0] or 0
-    often = (F.col("n") * FREQUENT >= total) & (F.length("token") <= SHORT)
-    frequent = spark.sparkContext.broadcast({bytes(r.token): r.pieces for r in vocab.where(often).select("token", "pieces").collect()})
+    often = (F.col("n") >= most_frequent(vocab, frequent)) & (F.length("token") <= SHORT)
+    known = spark.sparkContext.broadcast({bytes(r.token): r.pieces for r in vocab.where(often).select("token", "pieces").toLocalIterator()})
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        get = frequent.value.get
+        get = known.value.get
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = byte_texts(batch)
-            sums, rare, times = [], [], []
-            for t in texts:
-                tokens, lines = pre_tokens(t)
-                left: dict[bytes, int] = {}
-                n = lines
+            key, token, times, doc, size, own = [], [], [], [], [], []
+            for k, i, t in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), byte_texts(batch), strict=True):
+                tokens, n = pre_tokens(t, cut)
+                rare: dict[bytes, int] = {}
                 for x in tokens:
                     p = get(x)
                     if p is None:
-                        left[x] = left.get(x, 0) + 1
+                        rare[x] = rare.get(x, 0) + 1
                     else:
                         n += p
-                sums.append(n)
-                rare.append(list(left))
-                times.append(list(left.values()))
-            out = [batch.column("doc_id"), batch.column("text_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(sums, pa.int64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays(out, ["doc_id", "text_id", "n_bytes", "n", "rare", "times"])
+                # The document's own row joins nothing: no pre-token holds a line feed.
+                key += [k] * (len(rare) + 1)
+                token.append(b"\n" + k.to_bytes(8, "big", signed=True))
+                token += rare
+                times.append(1)
+                times += rare.values()
+                none = [None] * len(rare)
+                doc += [i, *none]
+                size += [len(t), *none]
+                own += [n, *none]
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(token, pa.binary()), pa.array(times, pa.int32()), pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(own, pa.int64())], list("abcdef"))
 
         return each
 
-    keyed = base.withColumn("text_id", F.xxhash64("text"))
-    parts = map_slices(keyed, make, "doc_id long, text_id long, n_bytes long, n long, rare array<binary>, times array<int>")
-    key = ["doc_id", "text_id", "n_bytes"]
-    # The first struct of a row carries the row itself and its frequent part, the others a rare pre-token each.
-    own = F.array(F.struct(F.lit(None).cast("binary").alias("token"), F.lit(0).alias("k"), F.col("n").alias("own"), F.lit(1).alias("rows")))
-    rest = F.transform(F.arrays_zip("rare", "times"), lambda x: F.struct(x["rare"].alias("token"), x["times"].alias("k"), F.lit(0).cast("long").alias("own"), F.lit(0).alias("rows")))
-    rows = parts.select(*key, F.inline(F.concat(own, rest)))
-    pieces = vocab.where(~often).select("token", "pieces")
-    # Rows of their own have a null token and match nothing; a salt of their id keeps them spread.
-    joined = rows.where(F.col("token").isNotNull()).join(pieces, "token").select(*key, (F.col("k") * F.col("pieces")).cast("long").alias("own"), F.lit(0).alias("rows"))
-    summed = joined.unionByName(rows.where(F.col("token").isNull()).select(*key, "own", "rows")).groupBy(*key).agg(F.sum("own").alias("own"), F.sum("rows").alias("rows"))
+    rows = map_slices(base.withColumn("key", F.xxhash64("doc_id", "text")), make, "key long, token binary, times int, doc_id long, n_bytes long, own long")
+    joined = rows.join(vocab.where(~often).select("token", "pieces"), "token", "left")
+    count = F.coalesce("own", F.col("times") * F.col("pieces")).cast("long")
+    summed = joined.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(count).alias("n"), F.count("own").alias("rows"))
     each = summed.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    n = (F.col("own") / F.col("rows")).cast("long")
+    n = (F.col("n") / F.col("rows")).cast("long")
     return each.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
