@@ -15,6 +15,8 @@ their rows, in the order of their texts. An empty table gives an empty file.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,11 +33,13 @@ BLOCK = 4096
 #: Ids after which a chunk is closed; a longer document is a chunk of its own.
 CHUNK = 1 << 18
 #: Words whose ids a task remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 LEVEL = 1
 SCHEMA = "shard int, chunk int, n_ids long, doc_ids array<long>, lengths array<long>, width int, planes array<binary>"
 #: White space at which a text may be cut without changing any id: no token of the library spans it.
 CUT = bytes.maketrans(b"\t\n\r", b"   ")
+#: Latin letters that no normalisation changes but for their case, then ASCII marks other than the apostrophe.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def split_planes(ids: np.ndarray, bits: bool = False) -> tuple[int, list[bytes]]:
@@ -64,27 +68,55 @@ def join_planes(planes: list[bytes], width: int, n: int) -> np.ndarray:
     return full.reshape(-1).view("<u4")[:n]
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Latin-1 character codes to the characters that stand for their UTF-8 bytes in byte-level vocabularies."""
+    plain = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+    shown = {c: chr(c) for c in plain} | {c: chr(256 + k) for k, c in enumerate(c for c in range(256) if c not in plain)}
+    return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(256)}
+
+
 def word_encoder(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
     """Texts to their ids as little-endian 32-bit bytes; each distinct word is encoded once and remembered.
 
     The library never joins what white space parts, and drops the white space itself, so a
-    text's ids are its words' ids one after the other.
+    text's ids are its words' ids one after the other. It also cuts a word of letters from
+    the marks behind it; such words go in lower case to the library's model, without the
+    normaliser and the pre-tokeniser, which would leave them as they are. All other words,
+    and words with an apostrophe, go through the whole library.
     """
     from tokenizers import Tokenizer
 
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = Tokenizer.from_str(f.read())
+    model, alphabet = tokenizer.model, byte_alphabet()
     known: dict[bytes, bytes] = {}
+    parts: dict[str, bytes] = {}
+
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        m = SIMPLE.fullmatch(text)
+        if m is None:
+            return packed(tokenizer.encode(text, add_special_tokens=False).ids)
+        letters, marks = m[1].lower(), m[2]
+        out = parts.get(letters)
+        if out is None:
+            out = parts[letters] = packed([t.id for t in model.tokenize(letters.translate(alphabet))])
+        if marks:
+            if marks not in parts:
+                parts[marks] = packed(tokenizer.encode(marks, add_special_tokens=False).ids)
+            out += parts[marks]
+        return out
 
     def encode(texts: list[bytes]) -> list[bytes]:
         words = [t.translate(CUT).split(b" ") for t in texts]
         if len(known) > REMEMBERED:
             known.clear()
-        fresh = list({w for x in words for w in x} - known.keys())
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
+            parts.clear()
+        for w in {w for x in words for w in x} - known.keys():
+            known[w] = learn(w)
         return [b"".join(map(known.__getitem__, x)) for x in words]
 
     return encode
