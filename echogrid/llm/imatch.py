@@ -87,13 +87,15 @@ def edited(docs: DataFrame) -> DataFrame:
 
     Only as much of the next text as is needed travels: at most half as long as the receiver.
     """
-    base = id_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("h"), "text")
-    needs = materialize(base.groupBy("id").agg(F.max("n").alias("most")), "lengths")
+    # Both joins need the same two columns, so the texts are shuffled once; all else is worked out behind the joins.
+    base = id_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    needs = materialize(base.groupBy("id").agg(F.max(F.length("text")).alias("most")), "lengths")
     pairs = successors(needs).join(needs, "id").select(F.col("id").alias("receiver"), F.col("next").alias("id"), F.floor(F.col("most") / 2).cast("int").alias("need"))
-    starts = base.join(pairs, "id").select("receiver", F.struct("h", F.expr("left(text, need)").alias("start")).alias("s"), F.col("id").alias("next"))
+    starts = base.join(pairs, "id").select("receiver", F.struct(F.xxhash64("text").alias("h"), F.expr("left(text, need)").alias("start")).alias("s"), F.col("id").alias("next"))
     starts = starts.groupBy("receiver", "next").agg(F.min("s").alias("s")).select(F.col("receiver").alias("id"), "next", F.col("s.start").alias("start"))
+    both = base.join(starts, "id").withColumns({"doc_id": F.nullif("id", F.lit(NO_ID)), "n": F.length("text"), "h": F.xxhash64("text")})
     half = F.floor(F.col("n") / 2).cast("int")
-    return base.join(starts, "id").withColumn("edited", F.concat(F.expr("left(text, n - cast(floor(n / 2) as int))"), F.substring(F.col("start"), F.lit(1), half)))
+    return both.withColumn("edited", F.concat(F.expr("left(text, n - cast(floor(n / 2) as int))"), F.substring(F.col("start"), F.lit(1), half)))
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
