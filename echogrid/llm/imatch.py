@@ -4,8 +4,8 @@ The lexicon is the terms whose document frequency lies within ``BAND`` of all do
 inverse-document-frequency band). If a document has d different terms on average, at most
 d / BAND[0] terms can be that frequent, however many documents there are: the lexicon is a
 bounded literal. A text's kept terms are sorted, and for each of ``SUBSETS`` random subsets of
-the lexicon (a term's md5 digit below a limit, so of 1/2 down to 1/16 of it) the kept terms in
-the subset are hashed. Likeness is the share of equal hashes among the subsets that hold a
+the lexicon (two md5 digits of a term below a limit, so of 1/4 down to 1/256 of it) the kept
+terms in the subset are hashed. Likeness is the share of equal hashes among the subsets that hold a
 term of either text. DataFrame functions only.
 
 Rows: a null text is an empty one. A text without kept terms is fingerprinted by all its
@@ -24,8 +24,8 @@ from echogrid.llm.license_scan import words
 from echogrid.shared import materialize
 
 BAND = (0.004, 0.04)
-#: md5 digits below which a term is in a subset: four subsets each of 1/2, 1/4, 1/8, 1/16.
-SUBSETS = ("8",) * 4 + ("4",) * 4 + ("2",) * 4 + ("1",) * 4
+#: Pairs of md5 digits below which a term is in a subset: four subsets each of 1/4, 1/16, 1/64, 1/256.
+SUBSETS = ("40",) * 4 + ("10",) * 4 + ("04",) * 4 + ("01",) * 4
 #: Stands for a null id in joins; sorts before all others.
 NO_ID = -(1 << 63)
 
@@ -51,8 +51,8 @@ def with_fingerprints(df: DataFrame, texts: dict[str, str], terms: list[str]) ->
     keyed = lambda c: F.transform(F.array_sort(within(c)), lambda t: F.concat(F.md5(t.cast("binary")), t))
     alone = lambda c: F.md5(F.array_join(F.array_sort(c), " ").cast("binary"))
     kept = every.select(*rest, *(x for c in texts.values() for x in (keyed(c).alias(c), alone(c).alias(f"{c}_all"))))
-    subsets = F.array(*(F.struct(F.lit(k + 1).alias("digit"), F.lit(below).alias("below")) for k, below in enumerate(SUBSETS)))
-    members = lambda c: F.transform(subsets, lambda s: F.array_join(F.filter(c, lambda x: F.substr(x, s["digit"], F.lit(1)) < s["below"]), " "))
+    subsets = F.array(*(F.struct(F.lit(2 * k + 1).alias("digit"), F.lit(below).alias("below")) for k, below in enumerate(SUBSETS)))
+    members = lambda c: F.transform(subsets, lambda s: F.array_join(F.filter(c, lambda x: F.substr(x, s["digit"], F.lit(2)) < s["below"]), " "))
     joined = kept.select(*rest, *(x for c in texts.values() for x in (members(c).alias(c), F.when(F.size(c) == 0, F.col(f"{c}_all")).otherwise("").alias(f"{c}_all"))))
     hashes = lambda c: F.array_join(F.transform(c, lambda j: F.when(j == "", "-").otherwise(F.substring(F.md5(j.cast("binary")), 1, 10))), ".")
     return joined.select(*rest, *(F.concat(hashes(c), F.lit("."), F.col(f"{c}_all")).alias(c) for c in texts.values()))
