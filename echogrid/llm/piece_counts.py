@@ -50,9 +50,10 @@ def cuts(model: bytes) -> re.Pattern[bytes]:
 def pre_tokens(text: bytes, cut: re.Pattern[bytes]) -> tuple[list[bytes], int]:
     """The pre-tokens with their leading spaces, and how many line feeds, each a token of its own.
 
-    The library puts one space before a text; nothing else starts with an added one.
+    The library puts one space before a text; nothing else starts with an added one. It reads
+    the marker character itself as a space.
     """
-    return cut.findall(b" " + text) if text else [], text.count(b"\n")
+    return cut.findall(b" " + text.replace(SPACE.encode(), b" ")) if text else [], text.count(b"\n")
 
 
 def piece_counter(model: bytes) -> Callable[[list[bytes]], list[int]]:
