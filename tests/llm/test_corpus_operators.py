@@ -279,7 +279,7 @@ def test_chat_pairs(spark):
     assert r[0].n_prompt_turns == 2 and r[0].prompt == "<|user|>\nhi<|end|>\n<|assistant|>\nhello<|end|>\n"
     assert r[0].chosen_mask == "9:0,12:0,14:0,8:1" and r[0].rejected_mask == "9:0,13:0"
     assert r[4].chosen_mask == "5:0,12:0" and r[4].rejected == ""
-    assert r[6].prompt == "<|user|>\na<|end|>\n" and r[6].rejected == "" and r[7].chosen == "" == r[7].rejected
+    assert r[6].prompt == "<|user|>\na<|end|>\n" and r[6].rejected == "" and r[7].chosen == "" and r[7].rejected == "<|user|>\nb<|end|>\n"
     assert chat_pairs.neighbours(turns.limit(0)).count() == 0
 
 
