@@ -33,6 +33,6 @@ def r6(x: Column) -> Column:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from echogrid.plans import cells, estimates, geometry, neighbourhoods, series, signals  # noqa: F401
+    from echogrid.plans import cells, estimates, geometry, neighbourhoods, products, series, signals  # noqa: F401
 
 
