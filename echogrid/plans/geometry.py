@@ -39,23 +39,25 @@ def _looks(spark, sf):
     return _scene(spark, sf).withColumns({"px": 7071000.0 + k * 10.0, "py": F.lit(30000.0), "pz": -300000.0 - k * 500.0, "vx": F.lit(V[0]), "vy": F.lit(V[1]), "vz": F.lit(V[2])})
 
 
-_XYZ, _P, _V = (c("x"), c("y"), c("z")), (c("px"), c("py"), c("pz")), (c("vx"), c("vy"), c("vz"))
+
+def _vector(kind=""):
+    return c(f"{kind}x"), c(f"{kind}y"), c(f"{kind}z")
 
 
 @query("p25_line_of_sight_doppler", "target", f"{_T}{_L} SELECT id, round(2 / 0.24 * 7500.0 * ly / sqrt(lx * lx + ly * ly + lz * lz), 4) + 0.0 AS doppler FROM l")
 def p25(spark, sf):
-    return _looks(spark, sf).select("id", (F.round(geometry.doppler(geodesy.minus(_XYZ, _P), _V, 0.24), 4) + F.lit(0.0)).alias("doppler"))
+    return _looks(spark, sf).select("id", (F.round(geometry.doppler(geodesy.minus(_vector(), _vector("p")), _vector("v"), 0.24), 4) + F.lit(0.0)).alias("doppler"))
 
 
 @query("p26_bistatic_delay", "target", f"{_T}{_L} SELECT id, round(1e6 * 2 * (299792458.0 * sqrt(lx * lx + ly * ly + lz * lz) - ly * 7500.0) / (pow(299792458.0, 2) - 7500.0 * 7500.0), 5) AS micros FROM l")
 def p26(spark, sf):
-    return _looks(spark, sf).select("id", F.round(1e6 * geometry.bistatic_delay(_P, _V, _XYZ), 5).alias("micros"))
+    return _looks(spark, sf).select("id", F.round(1e6 * geometry.bistatic_delay(_vector("p"), _vector("v"), _vector()), 5).alias("micros"))
 
 
 @query("p35_baselines", "target", f"{_T}{_L}, b AS (SELECT *, 120.0 + id % 9 AS bx, -80.0 + id % 5 AS bz, sqrt(lx * lx + ly * ly + lz * lz) AS n FROM l), k AS (SELECT *, (bx * lx + bz * lz) / n AS par, bx * (-lz) + bz * lx AS side FROM b) SELECT id, round(par, 4) + 0.0 AS parallel, round(sqrt(bx * bx + bz * bz - par * par) * CASE WHEN side < 0 THEN -1.0 ELSE 1.0 END, 4) + 0.0 AS perpendicular FROM k")
 def p35(spark, sf):
     second = (c("px") + 120.0 + c("id") % 9, c("py") + 55.0, c("pz") - 80.0 + c("id") % 5)
-    par, perp = geometry.baselines(_P, _V, second, _XYZ)
+    par, perp = geometry.baselines(_vector("p"), _vector("v"), second, _vector())
     r4 = lambda x: F.round(x, 4) + F.lit(0.0)
     return _looks(spark, sf).select("id", r4(par).alias("parallel"), r4(perp).alias("perpendicular"))
 
@@ -84,7 +86,7 @@ def p44(spark, sf):
 def p46(spark, sf):
     s = _looks(spark, sf).join(rel.target(spark, sf).select("id", "lon", "lat"), "id")
     e, n, _ = geodesy.enu(F.radians("lon"), F.radians("lat"))
-    up = geodesy.minus(_P, _XYZ)
+    up = geodesy.minus(_vector("p"), _vector())
     return s.select("id", r6(geodesy.dot(up, e) / geodesy.norm(up)).alias("east"), r6(geodesy.dot(up, n) / geodesy.norm(up)).alias("north"))
 
 
