@@ -201,7 +201,7 @@ def p24(spark, sf):
     return rel.target(spark, sf).select("id", r6(radar.wrap_degrees(c("lon") * 3)).alias("lon"))
 
 
-@query("p27_axis_arithmetic", "slc", "SELECT DISTINCT row, round(row / 1500.0 + 10, 6) AS t, round((row / 1500.0 + 10 - 10) * 1500.0, 6) + 0.0 AS line, round(800000.0 + 6.25 * (row % 100), 6) AS r, round(6.25 * (row % 100) / 6.25, 6) + 0.0 AS sample, round(800000.0 + 6.25 * (4 - 1) / 2, 6) AS looked_r0 FROM slc")
+@query("p27_axis_arithmetic", "slc", "SELECT DISTINCT row, round(row / 1500.0 + 10, 6) AS t, round((row / 1500.0 + 10 - 10) * 1500.0, 6) + 0.0 AS line, CAST(800000.0 + 6.25 * (row % 100) AS DOUBLE) AS r, round(6.25 * (row % 100) / 6.25, 6) + 0.0 AS sample, round(800000.0 + 6.25 * (4 - 1) / 2, 6) AS looked_r0 FROM slc")
 def p27(spark, sf):
     grids = rel.read(spark, sf, "embeddings").select(c("vec_id").alias("row"))
     t, r = c("row") / 1500.0 + 10, radar.range_of((c("row") % 100).cast("double"), 800000.0, 6.25)

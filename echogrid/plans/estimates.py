@@ -245,7 +245,7 @@ def a46(spark, sf):
     return g.select("row", r4(radar.db(c("side") / c("main"))).alias("islr"), r4(radar.db(c("lobe") / c("top"))).alias("pslr"))
 
 
-@query("a47_swath_reduction", "channel", "SELECT scene, min(1500.0 + id % 100) AS prf, max(width) AS bandwidth, max(center) AS center, min(center - width / 2) AS low, max(center + width / 2) AS high FROM channel GROUP BY scene")
+@query("a47_swath_reduction", "channel", "SELECT scene, min(CAST(1500.0 + id % 100 AS DOUBLE)) AS prf, max(width) AS bandwidth, max(center) AS center, min(center - width / 2) AS low, max(center + width / 2) AS high FROM channel GROUP BY scene")
 def a47(spark, sf):
     half = c("width") / 2
     return rel.channel(spark, sf).groupBy("scene").agg(F.min(1500.0 + c("id") % 100).alias("prf"), F.max("width").alias("bandwidth"), F.max("center").alias("center"), F.min(c("center") - half).alias("low"), F.max(c("center") + half).alias("high"))

@@ -90,7 +90,7 @@ def p46(spark, sf):
     return s.select("id", r6(geodesy.dot(up, e) / geodesy.norm(up)).alias("east"), r6(geodesy.dot(up, n) / geodesy.norm(up)).alias("north"))
 
 
-@query("j16_radar_to_ground", "target", ", g AS (SELECT id, 7071000.0 + (id % 16) * 10.0 AS px, 780000.0 + (id * 7919 % 500) * 200.0 AS r, (id % 40) * 50.0 AS h FROM target), k AS (SELECT *, (px * px + r * r - pow(6371000.0 + h, 2)) / (2 * px * r) AS q FROM g) SELECT id, round(px - r * q, 3) AS x, round(5000.0, 3) AS y, round(r * sqrt(1 - q * q), 3) AS z FROM k")
+@query("j16_radar_to_ground", "target", ", g AS (SELECT id, 7071000.0 + (id % 16) * 10.0 AS px, 780000.0 + (id * 7919 % 500) * 200.0 AS r, (id % 40) * 50.0 AS h FROM target), k AS (SELECT *, (px * px + r * r - pow(6371000.0 + h, 2)) / (2 * px * r) AS q FROM g) SELECT id, round(px - r * q, 3) AS x, CAST(5000.0 AS DOUBLE) AS y, round(r * sqrt(1 - q * q), 3) AS z FROM k")
 def j16(spark, sf):
     k = c("id")
     p = rel.target(spark, sf).select("id", (7071000.0 + (k % 16) * 10.0).alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"), F.lit(0.0).alias("vx"), F.lit(7500.0).alias("vy"), F.lit(0.0).alias("vz"), (780000.0 + (k * 7919 % 500) * 200.0).alias("r"), ((k % 40) * 50.0).alias("h"))
@@ -98,7 +98,7 @@ def j16(spark, sf):
     return d.select("id", F.round("x", 3).alias("x"), F.round(c("y") + 5000.0, 3).alias("y"), F.round(F.abs("z"), 3).alias("z"))
 
 
-@query("j31_metadata_cube", "target", f"{_T}, q AS (SELECT id, hh, x + hh AS x, y, z, px, pz FROM o, (VALUES (0.0), (500.0), (1500.0)) h(hh)) SELECT id, hh AS height, round(y / 7500.0, 5) AS t, round(sqrt(pow(x - px, 2) + pow(z - pz, 2)), 3) AS r FROM q")
+@query("j31_metadata_cube", "target", f"{_T}, q AS (SELECT id, hh, x + hh AS x, y, z, px, pz FROM o, (VALUES (0.0), (500.0), (1500.0)) h(hh)) SELECT id, CAST(hh AS DOUBLE) AS height, round(y / 7500.0, 5) AS t, round(sqrt(pow(x - px, 2) + pow(z - pz, 2)), 3) AS r FROM q")
 def j31(spark, sf):
     t = _scene(spark, sf)
     cube = t.withColumn("height", F.explode(F.array(F.lit(0.0), F.lit(500.0), F.lit(1500.0)))).withColumn("x", c("x") + c("height"))

@@ -23,13 +23,13 @@ def _boxes(spark, sf):
     return rel.target(spark, sf).select("id", (y + 0.3).alias("y0"), (y + 2.8).alias("y1"), (x + 0.6).alias("x0"), (x + 4.1).alias("x1"))
 
 
-@query("a12_zonal_mean", "img target", f"{_BOX}{_AREA} SELECT id, round(sum(w * v) / sum(w), 6) + 0.0 AS v, round(sum(w), 6) AS weight, round(sum(w) * sum(w) / sum(w * w), 6) AS looks FROM w GROUP BY id")
+@query("a12_zonal_mean", "img target", f"{_BOX}{_AREA} SELECT id, round(sum(w * v) / sum(w), 6) + 0.0 AS v, CAST(round(sum(w), 6) AS DOUBLE) AS weight, round(sum(w) * sum(w) / sum(w * w), 6) AS looks FROM w GROUP BY id")
 def a12(spark, sf):
     g = footprint.area_mean(_boxes(spark, sf), rel.img(spark, sf), ["id"], ["v"])
     return g.select("id", *(r6(c(x)).alias(x) for x in ("v", "weight", "looks")))
 
 
-@query("a13_area_projection", "img", ", b AS (SELECT row, col, row * 0.9 + 0.2 AS y0, row * 0.9 + 1.4 AS y1, col * 0.8 + 0.1 AS x0, col * 0.8 + 1.3 AS x1 FROM img), w AS (SELECT b.row AS r, b.col AS c, greatest(least(y1, i.row + 1) - greatest(y0, i.row), 0) * greatest(least(x1, i.col + 1) - greatest(x0, i.col), 0) AS w, v FROM b, range(0, 3) p(p), range(0, 3) q(q) JOIN img i ON i.row = floor(y0) + p AND i.col = floor(x0) + q) SELECT r AS row, c AS col, round(sum(w * v) / sum(w), 6) + 0.0 AS v, round(sum(w), 6) AS weight FROM w WHERE w > 0 GROUP BY r, c")
+@query("a13_area_projection", "img", ", b AS (SELECT row, col, row * 0.9 + 0.2 AS y0, row * 0.9 + 1.4 AS y1, col * 0.8 + 0.1 AS x0, col * 0.8 + 1.3 AS x1 FROM img), w AS (SELECT b.row AS r, b.col AS c, greatest(least(y1, i.row + 1) - greatest(y0, i.row), 0) * greatest(least(x1, i.col + 1) - greatest(x0, i.col), 0) AS w, v FROM b, range(0, 3) p(p), range(0, 3) q(q) JOIN img i ON i.row = floor(y0) + p AND i.col = floor(x0) + q) SELECT r AS row, c AS col, round(sum(w * v) / sum(w), 6) + 0.0 AS v, CAST(round(sum(w), 6) AS DOUBLE) AS weight FROM w WHERE w > 0 GROUP BY r, c")
 def a13(spark, sf):
     b = rel.img(spark, sf).select(c("row").alias("r"), c("col").alias("k"), (c("row") * 0.9 + 0.2).alias("y0"), (c("row") * 0.9 + 1.4).alias("y1"), (c("col") * 0.8 + 0.1).alias("x0"), (c("col") * 0.8 + 1.3).alias("x1"))
     g = footprint.area_mean(b, rel.img(spark, sf), ["r", "k"], ["v"])

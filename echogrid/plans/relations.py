@@ -86,7 +86,7 @@ SQL: dict[str, str] = {
     "pulse": "pulse AS (SELECT event_id AS i, epoch_us(ts) / 1000000.0 AS t, event_type AS kind, value AS x FROM events)",
     "tie": "tie AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS scene, CAST(l_partkey AS DOUBLE) AS line, CAST(l_suppkey AS DOUBLE) AS pixel, l_discount AS dl, l_tax AS dp, l_quantity / 50 AS corr FROM lineitem)",
     "target": "target AS (SELECT c_custkey AS id, CAST((c_custkey * 37) % 360 - 180 + 0.25 AS DOUBLE) AS lon, CAST((c_custkey * 53) % 160 - 80 + 0.5 AS DOUBLE) AS lat, 1.0 + abs(c_acctbal) / 1000 AS side, c_acctbal AS h FROM customer)",
-    "channel": "channel AS (SELECT p_partkey AS id, CAST(floor(p_partkey / 8) AS BIGINT) AS scene, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS freq, CAST(p_partkey % 4 AS INT) AS pol, 1200.0 + p_size AS center, CAST(5.0 + p_partkey % 40 AS DOUBLE) AS width FROM part)",
+    "channel": "channel AS (SELECT p_partkey AS id, CAST(floor(p_partkey / 8) AS BIGINT) AS scene, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS freq, CAST(p_partkey % 4 AS INT) AS pol, CAST(1200.0 + p_size AS DOUBLE) AS center, CAST(5.0 + p_partkey % 40 AS DOUBLE) AS width FROM part)",
 }
 NEEDS = {"sec": ("slc",), "pol": ("slc",)}
 

@@ -35,7 +35,9 @@ def rows(table, names):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_like_sql(spark, oracle, name):
     df = registry.QUERIES[name](spark, SF)
-    table = oracle.execute(registry.SQL[name]).fetch_arrow_table().to_pylist()
+    found = oracle.execute(registry.SQL[name])
+    columns = [d[0] for d in found.description]
+    table = [dict(zip(columns, r, strict=True)) for r in found.fetchall()]
     names = sorted(df.columns)
-    assert not table or names == sorted(table[0])
+    assert names == sorted(columns)
     assert rows([r.asDict() for r in df.collect()], names) == rows(table, names)
