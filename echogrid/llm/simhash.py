@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.llm.common import byte_texts, id_text, map_slices
+from echogrid.operators.components import graph_components as components
 from echogrid.shared import materialize
 
 SEED, BITS, WORDS = 42, 3, 3
@@ -144,27 +145,6 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.select(back("ring1").alias("p"), back("ring2").alias("q")).select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``a, b`` edges: the smallest node that it reaches.
-
-    Large-star and small-star rounds: each links a node's neighbours to their smallest one, so
-    a path shrinks by a constant factor a round. Every round is written to the shared folder.
-    """
-    e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components")
-    before = None
-    while True:
-        mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if mark == before or mark.n == 0:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        before = mark
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array("a", "b")).alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
-        e = materialize(small.distinct(), "components")
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row per row of ``docs``."""
     own = materialize(fingerprints(docs, words), "simhash")
