@@ -136,3 +136,17 @@ def baselines(reference: Vector, velocity: Vector, secondary: Vector, target: Ve
     parallel = dot(b, unit)
     side = cross(unit, t)
     return parallel, F.sqrt(F.greatest(dot(b, b) - parallel * parallel, F.lit(0.0))) * F.when(dot(b, side) < 0, -1.0).otherwise(1.0)
+
+
+def aperture_seconds(r: Column, ground_speed: Column, wavelength: float, resolution: float) -> Column:
+    """Duration of the synthetic aperture that gives an azimuth resolution, for small angles."""
+    return wavelength / (2 * resolution) * r / ground_speed
+
+
+def corner_spacing(targets: DataFrame, orbit: DataFrame, half: float, keys: list[str]) -> DataFrame:
+    """``keys, dt, dr``: least half extent in time and range of the boxes of ``half`` metres around the targets (in y and z)."""
+    ends = F.array(F.lit(-half), F.lit(half))
+    corners = targets.withColumn("_y", F.explode(ends)).withColumn("_z", F.explode(ends)).withColumns({"y": F.col("y") + F.col("_y"), "z": F.col("z") + F.col("_z")})
+    t = ground_to_radar(corners, orbit)
+    each = t.groupBy(*keys, "id").agg(((F.max("t") - F.min("t")) / 2).alias("dt"), ((F.max("r") - F.min("r")) / 2).alias("dr"))
+    return each.groupBy(*keys).agg(F.min("dt").alias("dt"), F.min("dr").alias("dr"))

@@ -114,3 +114,52 @@ def j29(spark, sf):
     cells = rel.target(spark, sf).select(F.lit(0).alias("scene"), "id", (c("id") % 400).alias("first"), (c("id") % 400 + 30).alias("last"), F.lit(6371000.0).alias("x"), ((c("id") % 400) * 5.0 + 75).alias("y"), (10000.0 + (c("id") % 20) * 300).alias("z"))
     d = geometry.back_project(cells, pulses, ["scene"], 25.0, 0.24)
     return d.select("id", "n", F.round("re", 4).alias("re"), F.round("im", 4).alias("im"))
+
+
+@query("p48_aperture_duration", "target", f"{_T} SELECT id, round(0.24 / (2 * 7.0) * sqrt(pow(x - px, 2) + pow(z - pz, 2)) / (7500.0 * 6371000.0 / px), 6) AS seconds FROM o")
+def p48(spark, sf):
+    t = _scene(spark, sf)
+    px = 7071000.0 + c("orbit_id") * 10.0
+    done = geometry.ground_to_radar(t, _orbit(spark, t))
+    return done.select("id", F.round(geometry.aperture_seconds(c("r"), 7500.0 * 6371000.0 / px, 0.24, 7.0), 6).alias("seconds"))
+
+
+@query("a49_grid_spacing", "target", f"{_T}, e AS (SELECT orbit_id, 50.0 / 7500.0 AS dt, abs(sqrt(pow(x - px, 2) + pow(z + 50 - pz, 2)) - sqrt(pow(x - px, 2) + pow(z - 50 - pz, 2))) / 2 AS dr FROM o) SELECT orbit_id, CAST(round(min(dt), 7) AS DOUBLE) AS dt, round(min(dr), 4) AS dr FROM e GROUP BY orbit_id")
+def a49(spark, sf):
+    t = _scene(spark, sf)
+    d = geometry.corner_spacing(t, _orbit(spark, t), 50.0, ["orbit_id"])
+    return d.select("orbit_id", F.round("dt", 7).alias("dt"), F.round("dr", 4).alias("dr"))
+
+
+@query("j28_reskew", "target", f"{_T} SELECT id, round(y / 7500.0, 5) AS t, round(sqrt(pow(x - px, 2) + pow(z - pz, 2)), 2) AS r FROM o")
+def j28(spark, sf):
+    """Radar to ground at each crossing, and back: times and ranges stay."""
+    t = _scene(spark, sf)
+    orbit = _orbit(spark, t)
+    first = geometry.ground_to_radar(t, orbit)
+    k = c("orbit_id")
+    state = {"px": 7071000.0 + k * 10.0, "py": c("t") * V[1], "pz": -300000.0 - k * 500.0, "vx": F.lit(V[0]), "vy": F.lit(V[1]), "vz": F.lit(V[2])}
+    points = first.select("id", "orbit_id", "r", *(v.alias(n) for n, v in state.items()), (geodesy.norm(_vector()) - 6371000.0).alias("h"), F.when(c("z") > -300000.0 - k * 500.0, 1).otherwise(-1).alias("side"))
+    ground = geometry.radar_to_ground(points, 6371000.0, c("side")).select("id", "orbit_id", "x", "y", "z")
+    return geometry.ground_to_radar(ground, orbit).select("id", F.round("t", 5).alias("t"), F.round("r", 2).alias("r"))
+
+
+@query("a39_scene_bounds", "target", ", g AS (SELECT id % 20 AS scene, 7071000.0 + (id % 16) * 10.0 AS px, 780000.0 + (id * 7919 % 500) * 200.0 AS r, h FROM target, (VALUES (0.0), (2000.0)) v(hh)), k AS (SELECT scene, px, r, (px * px + r * r - pow(6371000.0 + hh, 2)) / (2 * px * r) AS q FROM (SELECT id % 20 AS scene, 7071000.0 + (id % 16) * 10.0 AS px, 780000.0 + (id * 7919 % 500) * 200.0 AS r, hh FROM target, (VALUES (0.0), (2000.0)) v(hh)) t), a AS (SELECT scene, degrees(atan2(r * sqrt(1 - q * q), px - r * q)) AS a FROM k) SELECT scene, round(min(a), 6) AS near, round(max(a), 6) AS far FROM a GROUP BY scene")
+def a39(spark, sf):
+    k = c("id")
+    p = rel.target(spark, sf).select((k % 20).alias("scene"), (7071000.0 + (k % 16) * 10.0).alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"), F.lit(0.0).alias("vx"), F.lit(7500.0).alias("vy"), F.lit(0.0).alias("vz"), (780000.0 + (k * 7919 % 500) * 200.0).alias("r"), F.explode(F.array(F.lit(0.0), F.lit(2000.0))).alias("h"))
+    a = geometry.radar_to_ground(p, 6371000.0).select("scene", F.degrees(F.atan2(F.abs("z"), c("x"))).alias("a"))
+    return a.groupBy("scene").agg(F.round(F.min("a"), 6).alias("near"), F.round(F.max("a"), 6).alias("far"))
+
+
+@query("l9_baseline_layers", "target", f"{_T}, q AS (SELECT id, hh, x + hh - px AS lx, z - pz AS lz FROM o, (VALUES (0.0), (1000.0)) h(hh)), k AS (SELECT *, (120.0 * lx - 80.0 * lz) / sqrt(lx * lx + lz * lz) AS par, -120.0 * lz - 80.0 * lx AS side FROM q) SELECT id, CAST(hh AS DOUBLE) AS height, round(par, 3) + 0.0 AS parallel, round(sqrt(20800.0 - par * par) * CASE WHEN side < 0 THEN -1.0 ELSE 1.0 END, 3) + 0.0 AS perpendicular FROM k")
+def l9(spark, sf):
+    """Baselines of an image pair on a cube of heights: zero-Doppler crossing, then the difference of the two orbits."""
+    t = _scene(spark, sf)
+    cube = t.withColumn("height", F.explode(F.array(F.lit(0.0), F.lit(1000.0)))).withColumn("x", c("x") + c("height"))
+    j = geometry.ground_to_radar(cube, _orbit(spark, t))
+    k = c("orbit_id")
+    j = j.withColumns({"px": 7071000.0 + k * 10.0, "py": c("t") * V[1], "pz": -300000.0 - k * 500.0, "vx": F.lit(V[0]), "vy": F.lit(V[1]), "vz": F.lit(V[2])})
+    par, perp = geometry.baselines(_vector("p"), _vector("v"), (c("px") + 120.0, c("py") + 55.0, c("pz") - 80.0), _vector())
+    r3 = lambda x: F.round(x, 3) + F.lit(0.0)
+    return j.select("id", "height", r3(par).alias("parallel"), r3(perp).alias("perpendicular"))
