@@ -1,8 +1,10 @@
 """Quality by compression with zstandard dictionaries (operator 5).
 
-Two dictionaries are built, from good and from bad labelled texts. A text is compressed whole
-with each; the difference of the two sizes over its length is the score, which a logistic
-curve fitted on other labelled texts turns into the probability that the label is 1.
+Two dictionaries are built, from good and from bad labelled texts. A whole text is compressed
+with each, slice by slice; the difference of the two sizes over the text's length is turned into
+the probability that the label is 1 by a logistic curve fitted on other labelled texts. The
+curve also has the share of the smoothed length that is text, so that a text too short to tell
+gets the rate of short texts.
 
 Bounds: a dictionary holds at most ``DICTIONARY`` bytes, of the first ``PIECE`` characters of
 learning texts; the curve is fitted on at most ``SAMPLE`` texts in all, of which the first
@@ -29,39 +31,43 @@ SAMPLE, DICTIONARY, PIECE, LONGEST, LEVEL = 2000, 1 << 20, 1500, 20_000, 6
 HELD_OUT, MOD, THRESHOLD = 0, 5, 0.3
 #: Bytes added to a text's length, so that very short texts score near no difference.
 SMOOTH = 64
+#: A text is compressed in slices of so many bytes, so that a long one still meets the dictionaries and not only itself.
+SLICE = 4096
 
 
 class Model:
-    """The dictionaries and the curve ``1 / (1 + exp(-(a x + b)))``."""
+    """The dictionaries and the curve ``1 / (1 + exp(-k . (difference, share, 1)))``."""
 
-    def __init__(self, good: bytes, bad: bytes, a: float = 0.0, b: float = 0.0):
-        self.good, self.bad, self.a, self.b = good, bad, a, b
+    def __init__(self, good: bytes, bad: bytes, curve: tuple[float, float, float]):
+        self.good, self.bad, self.curve = good, bad, np.array(curve)
 
     def differences(self) -> Callable[[list[bytes]], np.ndarray]:
-        """A function from texts to normalised differences, with the dictionaries loaded once."""
+        """A function from texts to rows of difference and share, with the dictionaries loaded once."""
         pack = []
         for raw in (self.bad, self.good):
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             if raw:
                 d.precompute_compress(level=LEVEL)
             pack.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-        return lambda texts: np.array([(len(pack[0].compress(t)) - len(pack[1].compress(t))) / (len(t) + SMOOTH) for t in texts])
+        size = lambda p, t: sum(len(p.compress(t[k : k + SLICE])) for k in range(0, len(t), SLICE))
+        row = lambda t: ((size(pack[0], t) - size(pack[1], t)) / (len(t) + SMOOTH), len(t) / (len(t) + SMOOTH))
+        return lambda texts: np.array([row(t) for t in texts]).reshape(-1, 2)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a * x + self.b, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(x @ self.curve[:2] + self.curve[2], -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve in one variable, by Newton steps with a light ridge."""
-    scale = float(np.std(x)) or 1.0
-    design, w = np.stack([x / scale, np.ones(len(x))], axis=1), np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Coefficients of a weighted logistic curve, the offset last, by Newton steps with a light ridge."""
+    scale = np.array([float(np.std(x[:, 0])) or 1.0, 1.0, 1.0])
+    design, k, w = np.column_stack([x, np.ones(len(x))]) / scale, np.zeros(3), weight / weight.mean()
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -40, 40)))
-        step = np.linalg.solve((design.T * (p * (1 - p))) @ design + 1e-2 * np.eye(2), design.T @ (y - p) - 1e-2 * w)
-        w += np.clip(step, -2, 2)
+        p = 1 / (1 + np.exp(-np.clip(design @ k, -40, 40)))
+        step = np.linalg.solve((design.T * (w * p * (1 - p))) @ design + 1e-2 * np.eye(3), design.T @ (w * (y - p)) - 1e-2 * k)
+        k += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1])
+    return tuple((k / scale).tolist())
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -70,17 +76,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     raw = {y: b"\n".join(r.text[:PIECE].encode() for r in found if r.y == y and r.fold == 0)[-DICTIONARY:] for y in (0, 1)}
     if not raw[0] or not raw[1]:
         share = (sum(r.y for r in found) + 0.5) / (len(found) + 1)
-        return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
-    model = Model(raw[1], raw[0])
+        return Model(b"", b"", (0.0, 0.0, float(np.log(share / (1 - share)))))
     rest = [r for r in found if r.fold == 1]
-    x, y = model.differences()([r.text.encode() for r in rest]), np.array([r.y for r in rest], float)
+    y, weight = np.array([r.y for r in rest], float), np.array([r.weight for r in rest], float)
     if len(set(y)) < 2:
-        return Model(b"", b"", 0.0, 4.0 if y.any() else 0.0)
-    # Each class is sampled on its own: the offset moves by the share of the classes among all labels.
-    weight = {r.y: r.weight for r in rest}
-    model.a, model.b = logistic(x, y)
-    model.b += float(np.log(weight[1] / weight[0]))
-    return model
+        return Model(b"", b"", (0.0, 0.0, 4.0 if y.any() else 0.0))
+    x = Model(raw[1], raw[0], (0.0, 0.0, 0.0)).differences()([r.text.encode() for r in rest])
+    # Each class is sampled on its own; a row counts for as many labels as it stands for.
+    return Model(raw[1], raw[0], logistic(x, y, weight))
 
 
 def scorer(model: Model, spark) -> Callable:
