@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echogrid.llm import simhash, suffix_decontam, toxicity_gbt, unigram_pieces, zstd_quality
+from echogrid.llm import shingle_join, suffix_decontam, toxicity_gbt, unigram_pieces, zstd_quality
 from echogrid.llm.common import table
 from echogrid.shared import materialize
 
@@ -24,10 +24,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the smallest id (operator 3, five-word shingles)."""
-    groups = simhash.near_duplicates(docs, words=5)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of each near-duplicate group stays, that of the smallest id (operator 3's links and five-word shingles with a Jaccard similarity of 0.8 or more)."""
+    return shingle_join.one_of_each(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
