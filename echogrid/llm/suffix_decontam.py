@@ -10,8 +10,9 @@ The items go to the tasks in blocks of at most ``BLOCK_WORDS`` words: one pass o
 documents for each block, so what is broadcast is bounded whatever the size of the benchmark.
 
 Rows: a null text has no words; an item without words matches nothing; items that share a
-window all count; repeated ids keep their rows (of one id and text the digests are equal).
-Null item ids count as hits but are not listed.
+window all count; an item is an id, whatever rows and texts it has; repeated document ids keep
+their rows (of one id and text the digests are equal). Null item ids count as hits and as one
+item, but are not listed.
 """
 
 from __future__ import annotations
@@ -58,24 +59,27 @@ class Searched:
     """One block of items, made ready once in the driver: word numbers, windows and suffixes."""
 
     def __init__(self, block: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
-        self.names = [n for n, _ in block]
+        self.names = list(dict.fromkeys(n for n, _ in block))
+        number = {n: k for k, n in enumerate(self.names)}
         self.vocab = {w: k + 1 for k, w in enumerate(sorted({w for _, x in block for w in x}))}
         self.window, self.shortest = window, min(window, min(len(x) for _, x in block))
         self.depth = max(len(x) for _, x in block)
         width, size = [], []
         item, keys = [], []
-        for k, (_, x) in enumerate(block):
+        for name, x in block:
             ids = np.array([self.vocab[w] for w in x], ">u4")
             for at in range(max(1, len(ids) - window + 1)):
-                item.append(k)
+                item.append(number[name])
                 width.append(min(window, len(ids)))
                 keys.append(ids[at : at + window].tobytes())
             size.append(len(ids))
-        self.item, self.width, self.size = np.array(item), np.array(width), np.array(size)
+        self.item, self.width = np.array(item), np.array(width)
+        self.size = np.full(len(self.names), self.depth)
+        np.minimum.at(self.size, [number[n] for n, _ in block], size)
         self.keys = np.array(keys, f"S{4 * window}")
         self.ends = np.array([k + b"\xff" * 4 for k in keys], f"S{4 * window + 4}")
         self.suffixes = np.array([np.array([self.vocab[w] for w in x[at:]], ">u4").tobytes() for _, x in block for at in range(len(x))], f"S{4 * self.depth}")
-        self.suffix_of = np.repeat(np.arange(len(block)), self.size)
+        self.suffix_of = np.repeat([number[n] for n, _ in block], size)
 
 
 def numbered(docs: list[list[bytes]], vocab: dict[bytes, int]) -> np.ndarray:
@@ -212,22 +216,22 @@ def _many(base: DataFrame, blocks: Iterator[Searched]) -> DataFrame:
 
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
                 texts = byte_texts(batch)
-                spans, names, counts, sizes = [], [], [], []
+                spans, names, sizes = [], [], []
                 for t in texts:
                     n, _, items, _ = shard_hits([t], s)
                     sizes.append(int(n[0]))
                     spans.append(_marked(t, s))
-                    names.append(sorted(s.names[k] for k in items[0] if s.names[k] is not None))
-                    counts.append(len(items[0]))
-                return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.int64())], list("abcdef"))
+                    names.append([s.names[k] for k in items[0]])
+                return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], list("abcde"))
 
             return each
 
-        one = materialize(map_slices(base, make, "doc_id long, row long, n_words long, places array<long>, items array<string>, n_items long", 8 << 20), "decontam")
+        one = materialize(map_slices(base, make, "doc_id long, row long, n_words long, places array<long>, items array<string>", 8 << 20), "decontam")
         out = one if out is None else out.unionByName(one)
     copies = F.count("*") / n
-    merged = out.groupBy("doc_id", "row").agg(F.first("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.sum("n_items") / copies).cast("long").alias("n_items"), copies.cast("int").alias("copies"))
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("row", "copy", "copies")
+    merged = out.groupBy("doc_id", "row").agg(F.first("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), copies.cast("int").alias("copies"))
+    counted = merged.withColumn("n_items", F.size("items").cast("long")).withColumn("items", F.array_sort(F.array_compact("items")))
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "n_hit", "items", "n_items")
 
 
 def _marked(text: bytes, s: Searched) -> list[int]:
