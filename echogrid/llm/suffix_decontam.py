@@ -1,13 +1,17 @@
 """Benchmark decontamination by training suffix arrays (operator 10).
 
 Each shard of documents (a bounded slice of a partition) gets a suffix array over its words:
-the sorted list of positions by the words that follow. Every suffix of every benchmark item is
-binary-searched in every shard, which gives all places of each window and the longest verbatim
-match. A position whose word no item has, or from which too few item words follow to hold the
+the sorted list of positions by the words that follow, as many as a window has. Every window of
+every benchmark item is binary-searched in every shard, which gives all its places; windows that
+follow each other in item and document make up the longest verbatim match. A position whose
+word no item has, or from which too few item words follow to hold the
 shortest window, cannot start a match, so the array leaves it out.
 
 The items go to the tasks in blocks of at most ``BLOCK_WORDS`` words: one pass over the
-documents for each block, so what is broadcast is bounded whatever the size of the benchmark.
+documents for each block. A block is its word numbers and windows, so what is built in the driver
+and broadcast grows with the words of a block, not with the length of its items; a longer item is
+cut into blocks that overlap by a window less one word (but for ``matches``, which take an item
+whole). The rows of the benchmark stream through the driver, a bounded number at a time.
 
 Rows: a null text has no words; an item without words matches nothing; items that share a
 window all count; an item is an id, whatever rows and texts it has; repeated document ids keep
@@ -30,7 +34,7 @@ from echogrid.llm.common import byte_texts, id_text, map_slices
 from echogrid.shared import materialize
 
 WINDOW = 10
-#: Item words that one pass broadcasts at most (a longer single item is a block of its own).
+#: Item words that one pass broadcasts at most (more for ``matches`` alone, if a single item is longer).
 BLOCK_WORDS = 2_000_000
 _WORD = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -40,46 +44,56 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORD).split()
 
 
-def item_blocks(items: list[tuple[str | None, bytes]], most: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+def pieces(w: list[bytes], window: int, most: int) -> Iterator[list[bytes]]:
+    """An item in parts of at most ``most`` words, a window at least, that hold each of its windows once."""
+    step = max(1, most - window + 1)
+    for at in range(0, max(1, len(w) - window + 1), step):
+        yield w[at : at + step + window - 1]
+
+
+def item_blocks(items: list[tuple[str | None, bytes]], most: int = BLOCK_WORDS, window: int | None = None) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     block, held = [], 0
     for name, text in items:
-        w = words(text)
-        if not w:
+        whole = words(text)
+        if not whole:
             continue
-        if block and held + len(w) > most:
-            yield block
-            block, held = [], 0
-        block.append((name, w))
-        held += len(w)
+        for w in [whole] if window is None else pieces(whole, window, most):
+            if block and held + len(w) > most:
+                yield block
+                block, held = [], 0
+            block.append((name, w))
+            held += len(w)
     if block:
         yield block
 
 
 class Searched:
-    """One block of items, made ready once in the driver: word numbers, windows and suffixes."""
+    """One block of items, made ready once in the driver: word numbers and windows."""
 
     def __init__(self, block: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.names = list(dict.fromkeys(n for n, _ in block))
         number = {n: k for k, n in enumerate(self.names)}
         self.vocab = {w: k + 1 for k, w in enumerate(sorted({w for _, x in block for w in x}))}
         self.window, self.shortest = window, min(window, min(len(x) for _, x in block))
-        self.depth = max(len(x) for _, x in block)
-        width, size = [], []
-        item, keys = [], []
-        for name, x in block:
-            ids = np.array([self.vocab[w] for w in x], ">u4")
-            for at in range(max(1, len(ids) - window + 1)):
-                item.append(number[name])
-                width.append(min(window, len(ids)))
-                keys.append(ids[at : at + window].tobytes())
-            size.append(len(ids))
-        self.item, self.width = np.array(item), np.array(width)
-        self.size = np.full(len(self.names), self.depth)
-        np.minimum.at(self.size, [number[n] for n, _ in block], size)
-        self.keys = np.array(keys, f"S{4 * window}")
-        self.ends = np.array([k + b"\xff" * 4 for k in keys], f"S{4 * window + 4}")
-        self.suffixes = np.array([np.array([self.vocab[w] for w in x[at:]], ">u4").tobytes() for _, x in block for at in range(len(x))], f"S{4 * self.depth}")
-        self.suffix_of = np.repeat([number[n] for n, _ in block], size)
+        counts = np.array([max(1, len(x) - window + 1) for _, x in block])
+        # Of each window: its row of the block, its item, its place in the row and its words.
+        self.row = np.repeat(np.arange(len(block)), counts)
+        self.item = np.array([number[n] for n, _ in block])[self.row]
+        self.at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.width = np.minimum(window, np.array([len(x) for _, x in block]))[self.row]
+        grid, done = np.zeros((len(self.row), window), ">u4"), 0
+        for (_, x), n in zip(block, counts.tolist(), strict=True):
+            ids = np.array([self.vocab[w] for w in x] + [0] * (window - len(x)), ">u4")
+            grid[done : done + n] = np.lib.stride_tricks.sliding_window_view(ids, window)
+            done += n
+        self.keys = np.frombuffer(grid.tobytes(), f"S{4 * window}")
+
+    def ends(self) -> np.ndarray:
+        """What stands behind all words that begin with each window."""
+        raw = np.zeros((len(self.keys), 4 * self.window + 4), np.uint8)
+        raw[:, :-4] = np.frombuffer(self.keys.tobytes(), np.uint8).reshape(len(raw), -1)
+        raw[np.arange(len(raw))[:, None], 4 * self.width[:, None] + np.arange(4)] = 255
+        return np.frombuffer(raw.tobytes(), f"S{4 * self.window + 4}")
 
 
 def numbered(docs: list[list[bytes]], vocab: dict[bytes, int]) -> np.ndarray:
@@ -118,7 +132,7 @@ def shard_hits(texts: list[bytes], s: Searched, longest: bool = False):
     hit_items: list[set[int]] = [set() for _ in texts]
     n_hit = np.zeros(len(texts), np.int64)
     matches: list[tuple[int, int, int, int]] = []
-    place, keys = suffix_array(ids, s.shortest, s.depth) if len(ids) else (ids, ids)
+    place, keys = suffix_array(ids, s.shortest, s.window) if len(ids) else (ids, ids)
     if len(place):
         pos, which, step = _marks(place, keys, s, len(ids))
         inside = np.concatenate([[0], np.cumsum(step)])
@@ -127,54 +141,51 @@ def shard_hits(texts: list[bytes], s: Searched, longest: bool = False):
         for d, k in set(zip(doc.tolist(), s.item[which].tolist(), strict=True)):
             hit_items[d].add(k)
         if longest:
-            matches = longest_matches(place, keys, s, ends, sizes)
+            matches = longest_matches(pos, which, s, ends, sizes)
     return sizes, n_hit, hit_items, matches
 
 
 def _marks(place: np.ndarray, keys: np.ndarray, s: Searched, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where windows stand, which they are, and for each word whether one covers it."""
-    which, at = _spread(np.searchsorted(keys, s.keys, "left"), np.searchsorted(keys, s.ends, "left"))
+    which, at = _spread(np.searchsorted(keys, s.keys, "left"), np.searchsorted(keys, s.ends(), "left"))
     pos = place[at]
     step = np.bincount(pos, minlength=n + 1) - np.bincount(pos + s.width[which], minlength=n + 1)
     return pos, which, np.cumsum(step[:n]) > 0
 
 
-def longest_matches(place: np.ndarray, keys: np.ndarray, s: Searched, ends: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """For each item its longest verbatim match in this shard, at each place where it stands."""
-    wide = lambda k: np.frombuffer(k.tobytes(), ">u4").reshape(len(k), s.depth)
-    at = np.searchsorted(keys, s.suffixes)
-    best = np.zeros(len(s.suffixes), np.int64)
-    own = wide(s.suffixes)
-    for side in (np.maximum(at - 1, 0), np.minimum(at, len(keys) - 1)):
-        same = (own == wide(keys[side])) & (own > 0)
-        best = np.maximum(best, np.where(same.all(axis=1), s.depth, same.argmin(axis=1)))
-    out = []
-    for item in range(len(s.names)):
-        mine = np.flatnonzero(s.suffix_of == item)
-        most = int(best[mine].max())
-        if most < min(s.window, int(s.size[item])):
-            continue
-        for q in mine[best[mine] == most]:
-            key = own[q, :most].tobytes()
-            lo, hi = np.searchsorted(keys, np.bytes_(key)), np.searchsorted(keys, np.bytes_(key + b"\xff" * 4))
-            for p in place[lo:hi]:
-                d = int(np.searchsorted(ends, p, "right"))
-                out.append((item, d, int(p - ends[d] + sizes[d] + 1), most))
-    return out
-
+def longest_matches(pos: np.ndarray, which: np.ndarray, s: Searched, ends: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """For each item its longest verbatim match in this shard, at each place where it stands.
 
-def _blocks(bench: DataFrame, window: int) -> Iterator[Searched]:
+    Windows of one row that stand one word apart in row and document are one match.
+    """
+    row, lag = s.row[which], pos - s.at[which]
+    order = np.lexsort((pos, lag, row))
+    row, lag, pos, which = row[order], lag[order], pos[order], which[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (lag[1:] != lag[:-1]) | (pos[1:] != pos[:-1] + 1)][: len(pos)]
+    first = np.flatnonzero(new)
+    length = np.diff(np.r_[first, len(pos)]) + s.width[which[first]] - 1
+    item, place = s.item[which[first]], pos[first]
+    most = np.zeros(len(s.names), np.int64)
+    np.maximum.at(most, item, length)
+    out = set()
+    for k in np.flatnonzero(length == most[item]).tolist():
+        d = int(np.searchsorted(ends, place[k], "right"))
+        out.add((int(item[k]), d, int(place[k] - ends[d] + sizes[d] + 1), int(length[k])))
+    return sorted(out)
+
+
+def _blocks(bench: DataFrame, window: int, whole: bool = False) -> Iterator[Searched]:
     """The items arrive block by block; the driver never holds more than some partitions of them."""
     rows = bench.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit("")).cast("binary")).orderBy("item_id").toLocalIterator(prefetchPartitions=False)
     held: list[tuple[str | None, bytes]] = []
-    size = 0
+    size, cut = 0, None if whole else window
     for name, text in rows:
         held.append((name, bytes(text)))
         size += len(text)
         if size > 8 * BLOCK_WORDS:
-            yield from (Searched(b, window) for b in item_blocks(held))
+            yield from (Searched(b, window) for b in item_blocks(held, BLOCK_WORDS, cut))
             held, size = [], 0
-    yield from (Searched(b, window) for b in item_blocks(held))
+    yield from (Searched(b, window) for b in item_blocks(held, BLOCK_WORDS, cut))
 
 
 def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -227,6 +238,7 @@ def _many(base: DataFrame, blocks: Iterator[Searched]) -> DataFrame:
             return each
 
         one = materialize(map_slices(base, make, "doc_id long, row long, n_words long, places array<long>, items array<string>", 8 << 20), "decontam")
+        shared.unpersist()
         out = one if out is None else out.unionByName(one)
     copies = F.count("*") / n
     merged = out.groupBy("doc_id", "row").agg(F.first("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), copies.cast("int").alias("copies"))
@@ -237,14 +249,14 @@ def _many(base: DataFrame, blocks: Iterator[Searched]) -> DataFrame:
 def _marked(text: bytes, s: Searched) -> list[int]:
     """Numbers of the hit words of one text."""
     ids = numbered([words(text)], s.vocab)
-    place, keys = suffix_array(ids, s.shortest, s.depth)
+    place, keys = suffix_array(ids, s.shortest, s.window)
     return np.flatnonzero(_marks(place, keys, s, len(ids))[2]).tolist() if len(place) else []
 
 
 def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """``item_id, doc_id, word, n_words``: each item's longest verbatim matches over all shards, with places."""
     spark, out = docs.sparkSession, None
-    for s in _blocks(bench, window):
+    for s in _blocks(bench, window, whole=True):
         shared = spark.sparkContext.broadcast(s)
 
         def make(shared=shared) -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
@@ -268,10 +280,16 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFram
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a window of any item; all columns stay.
 
-    The rows are filtered where they are: one filter for each block of items, no join.
+    The rows are filtered where they are, without a join: one filter for each block of items. What
+    a block leaves is written before the next one, so one block at a time is in memory.
     """
+    shared = None
     for s in _blocks(bench, window):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(s))(F.col("text").cast("string")))
+        if shared is not None:
+            docs = materialize(docs, "clean")
+            shared.unpersist()
+        shared = docs.sparkSession.sparkContext.broadcast(s)
+        docs = docs.where(_clean(shared)(F.col("text").cast("string")))
     return docs
 
 

@@ -1,6 +1,9 @@
 """Benchmark items with repeated rows, several texts and long texts, against the SQL of operator 10."""
 
+import pickle
+
 import duckdb
+import numpy as np
 import pytest
 
 from echogrid.llm import suffix_decontam
@@ -37,3 +40,24 @@ def test_items_are_distinct_ids(spark, monkeypatch, most):
     assert found.columns == names
     assert sorted(tuple(r) for r in found.collect()) == sorted(db.execute(suffix_decontam.SQL).fetchall())
     assert sorted(r.doc_id for r in suffix_decontam.decontaminate(docs, bench).collect()) == [4, 5]
+
+
+def test_a_block_grows_with_its_words_not_with_its_longest_item():
+    rng = np.random.default_rng(1)
+    item = " ".join(f"w{k}" for k in rng.integers(0, 1000, 3000)).encode()
+    (block,) = suffix_decontam.item_blocks([("1", item), ("2", b"short one")])
+    assert len(pickle.dumps(suffix_decontam.Searched(block))) < 1_000_000
+
+
+def test_long_items_are_cut_into_blocks():
+    item = [b"%d" % k for k in range(1000)]
+    blocks = list(suffix_decontam.item_blocks([("1", b" ".join(item))], 64, 10))
+    assert len(blocks) > 1 and max(sum(len(w) for _, w in b) for b in blocks) <= 64
+    windows = [tuple(w[k : k + 10]) for b in blocks for _, w in b for k in range(len(w) - 9)]
+    assert windows == [tuple(item[k : k + 10]) for k in range(991)]
+
+
+def test_longest_match_of_a_long_item(spark):
+    docs, bench = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(BENCH, "item_id long, text string")
+    found = sorted(tuple(r) for r in suffix_decontam.matches(docs, bench).select("item_id", "doc_id", "word", "n_words").collect())
+    assert found == [("1", 1, 4, 9), ("1", 2, 11, 9), ("2", 1, 2, 11), ("3", 3, 1, 263)]
