@@ -2,7 +2,7 @@
 
 Templates are short notices. Their words' document frequencies are counted over the whole
 table; a word's inverse document frequency says how rare it is, and each template is posted
-under its rarest word with that word's place in it. A file is looked up by those of its words
+under the rarest word that must stand (of a notice, of its key phrase) with its place. A file is looked up by those of its words
 that are the highest-IDF word of some template; a posting turns each place of the word into a
 start of the template, and the template's words are compared at their relative positions. A
 base phrase counts where all its words stand; a notice gives its label if its mandatory key
@@ -57,10 +57,12 @@ def document_frequencies(words_of: DataFrame) -> dict[str, int]:
     return {r.word: r.n for r in words_of.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def rarest(template: str, df: dict[str, int]) -> tuple[int, str]:
-    """Place and word of a template's highest-IDF word."""
+def rarest(template: str, df: dict[str, int], key: str | None = None) -> tuple[int, str]:
+    """Place and word of the highest-IDF word of a template, or of its key phrase: the others may be edited."""
     w = template.split()
-    at = min(range(len(w)), key=lambda k: (df.get(w[k], 0), k))
+    k = (key or template).split()
+    first = next(i for i in range(len(w)) if w[i : i + len(k)] == k)
+    at = min(range(first, first + len(k)), key=lambda i: (df.get(w[i], 0), i))
     return at, w[at]
 
 
@@ -69,7 +71,7 @@ def scan(docs: DataFrame) -> DataFrame:
     all_words = id_text(docs).select("doc_id", words(F.col("text")).alias("w"))
     df = document_frequencies(all_words)
     templates = [(t, None, label) for t, label in BASE] + list(NOTICES)
-    posted = [rarest(t, df) for t, *_ in templates]
+    posted = [rarest(t, df, key) for t, key, _ in templates]
     index = sorted({word for _, word in posted})
     indexed = F.array(*map(F.lit, index))
     looked_up = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda p: F.element_at("w", p + 1).isin(index))
