@@ -1,32 +1,39 @@
 """Licence scan by a positional rare-token index (operator 4).
 
-Templates are short notices. Their words' document frequencies are counted over the whole
-table; a word's inverse document frequency says how rare it is, and each template is posted
-under the rarest word that must stand (of a notice, of its key phrase) with its place. A file is looked up by those of its words
-that are the highest-IDF word of some template; a posting turns each place of the word into a
-start of the template, and the template's words are compared at their relative positions. A
-base phrase counts where all its words stand; a notice gives its label if its mandatory key
-phrase stands whole and at least ``SHARE`` of its words do. The score is the best share.
-DataFrame functions only; templates are a fixed, small list, so their figures fit the driver.
+Templates are base phrases and standard notices. One scan of the texts keeps each file's licence
+words (words of any template) with their places; nothing else of a text can match, so the texts
+are not read again. The words' document frequencies over the whole table give their inverse
+document frequency. A template is posted under the ``RARE`` rarest words that must stand (of a
+notice, of its mandatory key phrase) with their places in it; as these words must all be there,
+no edit elsewhere can hide a notice. A file is looked up by those of its words that are some
+template's rarest; every place of one gives a start of the template, the other postings of the
+template are intersected with it by relative position, the key phrase is verified, and the
+template's words are compared at their places. A base phrase counts where all its words stand; a
+notice gives its label if its key phrase stands whole and at least ``SHARE`` of its words do. The
+score is the best share of any place whose key phrase stands. DataFrame functions only; the
+templates are a fixed, small list, so their frequencies fit the driver.
 
 Rows: a null text is an empty one, without words. Repeated ids and rows keep their rows. Equal
-rarities go to the word that stands first. An empty table gives an empty result.
+rarities go to the word that stands first. Long texts cost in proportion to their words: a place
+looks at no more words than its template has. Other columns, whatever their names, are not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.llm.common import LOWER, UPPER, id_text
+from echogrid.shared import materialize
 
 NOT_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHARE = 0.8
+#: Postings of a template that are intersected.
+RARE = 3
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Words of a notice, its mandatory key phrase, its label.
+#: Words of a notice, its mandatory key phrase, its label. First one-line notices, then standard headers and grants.
 NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge", "mit"),
     ("released under the mit license", "mit license", "mit"),
@@ -40,7 +47,62 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license", "mpl-2"),
     ("this is free and unencumbered software released into the public domain", "free and unencumbered software", "unlicense"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including "
+        "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the "
+        "following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "deal in the software without restriction",
+        "mit",
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        "unless required by applicable law or agreed to in writing",
+        "apache-2",
+    ),
+    (
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this "
+        "list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistributions in binary form must reproduce the above copyright notice",
+        "bsd",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "for any purpose with or without fee",
+        "isc",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at "
+        "your option any later version",
+        "gnu general public license as published by the free software foundation either version 3",
+        "gpl-3",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at "
+        "your option any later version",
+        "gnu general public license as published by the free software foundation either version 2",
+        "gpl-2",
+    ),
+    (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        "if a copy of the mpl was not distributed with this file",
+        "mpl-2",
+    ),
+    (
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "anyone is free to copy modify publish use compile sell or distribute this software",
+        "unlicense",
+    ),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to "
+        "use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        "alter it and redistribute it freely",
+        "zlib",
+    ),
 )
+#: Words of a template, its mandatory words, their place in it, its label.
+TEMPLATES = tuple((t.split(), k.split(), next(i for i in range(len(t.split())) if t.split()[i : i + len(k.split())] == k.split()), label) for t, k, label in (*((t, t, label) for t, label in BASE), *NOTICES))
 
 
 def words(text: Column) -> Column:
@@ -48,65 +110,79 @@ def words(text: Column) -> Column:
 
 
 def vocabulary() -> list[str]:
-    return sorted({w for t, *_ in (*BASE, *NOTICES) for w in t.split()})
+    return sorted({w for t, *_ in TEMPLATES for w in t})
+
+
+def licence_words(docs: DataFrame) -> DataFrame:
+    """``doc_id, n, v, hits``: number of words, distinct licence words and all licence words with places."""
+    vocab = vocabulary()
+    every = id_text(docs).select("doc_id", words(F.col("text")).alias("w"))
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda p: F.get("w", p).isin(vocab))
+    # The sequence of no words would run backwards.
+    found = every.select("doc_id", "w", F.size("w").alias("n"), F.when(F.size("w") > 0, places).otherwise(F.array().cast("array<int>")).alias("p"))
+    hits = F.transform("p", lambda p: F.struct(p.alias("p"), F.get("w", p).alias("w")))
+    return found.select("doc_id", "n", F.array_intersect("w", F.array(*map(F.lit, vocab))).alias("v"), hits.alias("hits"))
+
+
+def document_frequencies(found: DataFrame) -> dict[str, int]:
+    """How many documents hold each licence word."""
+    return {r.word: r.n for r in found.select(F.explode("v").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+
+
+def postings(df: dict[str, int]) -> list[list[tuple[int, str]]]:
+    """Of each template the places and words of its mandatory words of highest IDF, the rarest first."""
+    return [[(i, t[i]) for i in sorted(range(at, at + len(k)), key=lambda i: (df.get(t[i], 0), i))[:RARE]] for t, k, at, _ in TEMPLATES]
+
+
+def literal(w: list[str]) -> Column:
+    return F.array(*map(F.lit, w))
+
+
+def starts(template: tuple, posted: list[tuple[int, str]]) -> Column:
+    """``array<struct<s, same>>``: starts of a template whose mandatory words stand, and how many of all its words do."""
+    t, key, key_at, _ = template
+    (at, word), others = posted[0], posted[1:]
+    begin = lambda k: F.get("hits", k)["p"] - at
+    # A template of n words covers at most n hits, those beside its rarest word.
+    near = lambda k: F.sequence(F.greatest(k - at, F.lit(0)), F.least(k - at + len(t), F.size("hits")) - 1)
+    around = lambda k: F.transform(near(k), lambda j: F.get("hits", j))
 
+    def same(x: Column, w: list[str], first: int) -> Column:
+        listed = literal(w)
+        return F.size(F.filter(x["c"], lambda h: F.get(listed, h["p"] - x["s"] - first) == h["w"]))
 
-def document_frequencies(words_of: DataFrame) -> dict[str, int]:
-    """How many documents hold each licence word; ``words_of`` has ``w``, the words."""
-    own = F.array_intersect("w", F.array(*map(F.lit, vocabulary())))
-    return {r.word: r.n for r in words_of.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    def stands(x: Column, off: int, other: str) -> Column:
+        return F.exists(x["c"], lambda h: (h["w"] == other) & (h["p"] == x["s"] + off))
 
+    def intersected(x: Column) -> Column:
+        there = (x["s"] >= 0) & (x["s"] + len(t) <= F.col("n"))
+        for off, other in others:
+            there = there & stands(x, off, other)
+        return there
 
-def rarest(template: str, df: dict[str, int], key: str | None = None) -> tuple[int, str]:
-    """Place and word of the highest-IDF word of a template, or of its key phrase: the others may be edited."""
-    w = template.split()
-    k = (key or template).split()
-    first = next(i for i in range(len(w)) if w[i : i + len(k)] == k)
-    at = min(range(first, first + len(k)), key=lambda i: (df.get(w[i], 0), i))
-    return at, w[at]
+    candidates = F.transform(F.filter("look", lambda k: F.get("hits", k)["w"] == word), lambda k: F.struct(begin(k).alias("s"), around(k).alias("c")))
+    verified = F.filter(F.filter(candidates, intersected), lambda x: same(x, key, key_at) == len(key))
+    return F.transform(verified, lambda x: F.struct(x["s"].alias("s"), same(x, t, 0).alias("same")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``; label columns are arrays."""
-    all_words = id_text(docs).select("doc_id", words(F.col("text")).alias("w"))
-    df = document_frequencies(all_words)
-    templates = [(t, None, label) for t, label in BASE] + list(NOTICES)
-    posted = [rarest(t, df, key) for t, key, _ in templates]
-    index = sorted({word for _, word in posted})
-    indexed = F.array(*map(F.lit, index))
-    looked_up = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda p: F.element_at("w", p + 1).isin(index))
-    places = all_words.withColumn("n", F.size("w")).withColumn("p", F.when(F.arrays_overlap("w", indexed), looked_up))
-    # Files without a posting need no look: nearly all of them.
-    found = F.col("p").isNotNull()
-
-    def starts(k: int) -> Column:
-        at, word = posted[k]
-        n = len(templates[k][0].split())
-        return F.filter(F.transform(F.filter("p", lambda p: F.element_at("w", p + 1) == word), lambda p: p - at), lambda s: (s >= 0) & (s + n <= F.col("n")))
-
-    def whole(phrase: str, s: Column) -> Column:
-        w = phrase.split()
-        return F.slice(F.col("w"), s + 1, F.lit(len(w))) == F.array(*map(F.lit, w))
-
-    def share(template: str, key: str, s: Column) -> Column:
-        w, k = template.split(), key.split()
-        at = next(i for i in range(len(w)) if w[i : i + len(k)] == k)
-        same = reduce(lambda a, b: a + b, ((F.element_at("w", s + i + 1) == x).cast("int") for i, x in enumerate(w)))
-        return F.when(whole(key, s + at), same / F.lit(len(w))).otherwise(0.0)
-
-    # The functions take the start alone: Spark counts a function's parameters.
-    stands = lambda t: lambda s: whole(t, s)
-    shared = lambda t, key: lambda s: share(t, key, s)
-    base = [F.filter(starts(k), stands(t)) for k, (t, _) in enumerate(BASE)]
-    best = [F.array_max(F.transform(starts(k + len(BASE)), shared(t, key))) for k, (t, key, _) in enumerate(NOTICES)]
-    kept = [f"b{k}" for k in range(len(base))], [f"s{k}" for k in range(len(best))]
-    hits = places.select("doc_id", "n", *(F.when(found, x).alias(c) for x, c in zip((*base, *best), (*kept[0], *kept[1]), strict=True)))
-    every = F.concat(*(F.coalesce(c, F.array().cast("array<int>")) for c in kept[0]))
-    base_labels = F.array(*(F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(kept[0], BASE, strict=True)))
-    more = F.array(*(F.when(F.col(c) >= SHARE, F.lit(label)) for c, (_, _, label) in zip(kept[1], NOTICES, strict=True)))
+    found = materialize(licence_words(docs), "licence-words")
+    posted = postings(document_frequencies(found))
+    rarest = sorted({p[0][1] for p in posted})
+    # Files without any template's rarest word need no look: nearly all of them.
+    look = F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda k: F.get("hits", k)["w"].isin(rarest))
+    looked = found.withColumn("look", F.when(F.arrays_overlap("v", literal(rarest)), look))
+    names = [f"t{k}" for k in range(len(TEMPLATES))]
+    places = looked.select("doc_id", "n", *(F.when(F.col("look").isNotNull(), starts(t, p)).alias(c) for t, p, c in zip(TEMPLATES, posted, names, strict=True)))
+    base, notices = names[: len(BASE)], names[len(BASE) :]
+    every = F.concat(*(F.coalesce(F.col(c)["s"], F.array().cast("array<int>")) for c in base))
+    best = [F.array_max(F.col(c)["same"]) / F.lit(len(t[0])) for c, t in zip(notices, TEMPLATES[len(BASE) :], strict=True)]
+    base_labels = F.array(*(F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(base, BASE, strict=True)))
+    more = F.array(*(F.when(s >= SHARE, F.lit(t[-1])) for s, t in zip(best, TEMPLATES[len(BASE) :], strict=True)))
     tidy = lambda a: F.array_sort(F.array_distinct(F.filter(a, lambda x: x.isNotNull())))
-    score = F.greatest(F.when(F.size(every) > 0, 1.0).otherwise(0.0), *(F.coalesce(c, F.lit(0.0)) for c in kept[1]))
-    return hits.select(
+    score = F.greatest(F.when(F.size(every) > 0, 1.0).otherwise(0.0), *(F.coalesce(s, F.lit(0.0)) for s in best))
+    return places.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
         F.size(every).cast("long").alias("n_base"),
@@ -125,14 +201,12 @@ def flat(found: DataFrame) -> DataFrame:
 def sql() -> str:
     """The same by plain comparison at every place, without an index."""
     low = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}')"
-    quoted = lambda t: "[" + ", ".join(f"'{x}'" for x in t.split()) + "]"
-    base = ", ".join(f"[i FOR i IN range(0, len(w) - {len(t.split())} + 1) IF w[i + 1:i + {len(t.split())}] = {quoted(t)}] AS b{k}" for k, (t, _) in enumerate(BASE))
+    quoted = lambda t: "[" + ", ".join(f"'{x}'" for x in t) + "]"
+    base = ", ".join(f"[i FOR i IN range(0, len(w) - {len(t.split())} + 1) IF w[i + 1:i + {len(t.split())}] = {quoted(t.split())}] AS b{k}" for k, (t, _) in enumerate(BASE))
     shares = []
-    for k, (t, key, _) in enumerate(NOTICES):
-        x, y = t.split(), key.split()
-        at = next(i for i in range(len(x)) if x[i : i + len(y)] == y)
+    for k, (x, y, at, _) in enumerate(TEMPLATES[len(BASE) :]):
         same = " + ".join(f"CAST(w[i + {j + 1}] = '{v}' AS INT)" for j, v in enumerate(x))
-        shares.append(f"coalesce(list_max([({same}) / {len(x)} FOR i IN range(0, len(w) - {len(x)} + 1) IF w[i + {at + 1}:i + {at + len(y)}] = {quoted(key)}]), 0.0) AS s{k}")
+        shares.append(f"coalesce(list_max([({same}) / {len(x)} FOR i IN range(0, len(w) - {len(x)} + 1) IF w[i + {at + 1}:i + {at + len(y)}] = {quoted(y)}]), 0.0) AS s{k}")
     labels = lambda kind, rows, test: ", ".join(f"CASE WHEN {test.format(kind + str(k))} THEN '{r[-1]}' END" for k, r in enumerate(rows))
     named = lambda a: f"coalesce(array_to_string(list_sort(list_distinct([x FOR x IN [{a}] IF x IS NOT NULL])), ','), '')"
     b, m = labels("b", BASE, "len({}) > 0"), labels("s", NOTICES, "{} >= 0.8")
