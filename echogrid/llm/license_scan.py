@@ -199,18 +199,15 @@ def flat(found: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same by plain comparison at every place, without an index."""
+    """The same by votes of all words of all templates at all places, without an index."""
     low = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}')"
-    quoted = lambda t: "[" + ", ".join(f"'{x}'" for x in t) + "]"
-    base = ", ".join(f"[i FOR i IN range(0, len(w) - {len(t.split())} + 1) IF w[i + 1:i + {len(t.split())}] = {quoted(t.split())}] AS b{k}" for k, (t, _) in enumerate(BASE))
-    shares = []
-    for k, (x, y, at, _) in enumerate(TEMPLATES[len(BASE) :]):
-        same = " + ".join(f"CAST(w[i + {j + 1}] = '{v}' AS INT)" for j, v in enumerate(x))
-        shares.append(f"coalesce(list_max([({same}) / {len(x)} FOR i IN range(0, len(w) - {len(x)} + 1) IF w[i + {at + 1}:i + {at + len(y)}] = {quoted(y)}]), 0.0) AS s{k}")
-    labels = lambda kind, rows, test: ", ".join(f"CASE WHEN {test.format(kind + str(k))} THEN '{r[-1]}' END" for k, r in enumerate(rows))
-    named = lambda a: f"coalesce(array_to_string(list_sort(list_distinct([x FOR x IN [{a}] IF x IS NOT NULL])), ','), '')"
-    b, m = labels("b", BASE, "len({}) > 0"), labels("s", NOTICES, "{} >= 0.8")
-    every = "list_concat(" * (len(BASE) - 1) + "b0" + "".join(f", b{k})" for k in range(1, len(BASE)))
-    return f"""WITH d AS (SELECT doc_id, {low} AS w FROM documents), h AS (SELECT doc_id, len(w) AS n, {base}, {", ".join(shares)} FROM d)
-SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len({every}) AS BIGINT) AS n_base, CAST(list_min({every}) AS BIGINT) AS first_word, CAST(list_max({every}) AS BIGINT) AS last_word,
-{named(b)} AS base_labels, {named(b + ", " + m)} AS labels, greatest(CASE WHEN len({every}) > 0 THEN 1.0 ELSE 0.0 END, {", ".join(f"s{k}" for k in range(len(NOTICES)))})::DOUBLE AS score FROM h"""
+    listed = ", ".join(f"({k}, {len(t)}, {len(key)}, {i}, '{x}', {at <= i < at + len(key)}, '{label}', {k < len(BASE)})" for k, (t, key, at, label) in enumerate(TEMPLATES) for i, x in enumerate(t))
+    named = lambda test: f"array_to_string(coalesce(list_sort(list(DISTINCT label) FILTER ({test})), []), ',')"
+    return f"""WITH t(k, n, must, j, x, keyed, label, base) AS (VALUES {listed}),
+d AS (SELECT *, len(w) AS size FROM (SELECT row_number() OVER () AS r, doc_id, {low} AS w FROM documents)),
+p AS (SELECT r, size, unnest(w) AS x, unnest(range(0, size)) AS i FROM d),
+v AS (SELECT r, k, i - j AS s, base, label, n, count(*) / n AS share FROM p JOIN t USING (x) WHERE i >= j AND i - j + n <= size
+  GROUP BY r, k, i - j, base, label, n, must HAVING count(*) FILTER (keyed) = must),
+h AS (SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word, {named("base")} AS base_labels, {named(f"base OR share >= {SHARE}")} AS labels, max(share) AS score FROM v GROUP BY r)
+SELECT doc_id, CAST(size AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN h USING (r)"""
