@@ -1,41 +1,45 @@
 """Benchmark decontamination by training suffix arrays (operator 10).
 
 Each shard of documents (a bounded slice of a partition) gets a suffix array over its words:
-the sorted list of positions by the words that follow, as many as a window has. Every window of
-every benchmark item is binary-searched in every shard, which gives all its places; windows that
-follow each other in item and document make up the longest verbatim match. A position whose
-word no item has, or from which too few item words follow to hold the
-shortest window, cannot start a match, so the array leaves it out.
+the sorted list of positions by the words that follow, as many as a window has. Every test suffix
+(the window at each place of each item) is binary-searched in every shard, which gives all places
+where it stands; suffixes that follow each other in item and document make up the longest
+verbatim matches, with their places. A document is affected if its longest match is a window (or
+a whole shorter item) at least. A position whose word no item has, or from which too few item
+words follow to hold the shortest window, cannot start a match, so the array leaves it out.
 
 The items go to the tasks in blocks of at most ``BLOCK_WORDS`` words: one pass over the
 documents for each block. A block is its word numbers and windows, so what is built in the driver
 and broadcast grows with the words of a block, not with the length of its items; a longer item is
-cut into blocks that overlap by a window less one word (but for ``matches``, which take an item
-whole). The rows of the benchmark stream through the driver, a bounded number at a time.
+cut into blocks that overlap by a window less one word, and its matches are put together again.
+The rows of the benchmark stream through the driver, a bounded number at a time. What a pass
+gives is the same for one block and for many: the hit spans, which are merged, and the matches,
+which go on where a row's next one begins in the same line.
 
 Rows: a null text has no words; an item without words matches nothing; items that share a
 window all count; an item is an id, whatever rows and texts it has; repeated document ids keep
-their rows (of one id and text the digests are equal). Null item ids count as hits and as one
-item, but are not listed.
+their rows (of one id and text the digests are equal). Null item ids count as hits, but are
+no items: they are neither counted nor listed. Equally long matches: the first place, then the
+smallest item id. Without items, or without documents, nothing is hit. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echogrid.llm.common import byte_texts, id_text, map_slices
 from echogrid.shared import materialize
 
 WINDOW = 10
-#: Item words that one pass broadcasts at most (more for ``matches`` alone, if a single item is longer).
-BLOCK_WORDS = 2_000_000
+#: Item words that one pass broadcasts at most.
+BLOCK_WORDS = 1_000_000
 _WORD = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -44,24 +48,28 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORD).split()
 
 
-def pieces(w: list[bytes], window: int, most: int) -> Iterator[list[bytes]]:
-    """An item in parts of at most ``most`` words, a window at least, that hold each of its windows once."""
+Part = tuple[str | None, int, int, list[bytes]]
+
+
+def pieces(w: list[bytes], window: int, most: int) -> Iterator[tuple[int, list[bytes]]]:
+    """An item in parts of at most ``most`` words, a window at least, that hold each of its windows once, with their places."""
     step = max(1, most - window + 1)
     for at in range(0, max(1, len(w) - window + 1), step):
-        yield w[at : at + step + window - 1]
+        yield at, w[at : at + step + window - 1]
 
 
-def item_blocks(items: list[tuple[str | None, bytes]], most: int = BLOCK_WORDS, window: int | None = None) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+def item_blocks(items: Iterable[tuple[str | None, int, bytes]], most: int, window: int) -> Iterator[list[Part]]:
+    """Blocks of ``item, number of its row, place of the part in it, words``."""
     block, held = [], 0
-    for name, text in items:
+    for name, row, text in items:
         whole = words(text)
         if not whole:
             continue
-        for w in [whole] if window is None else pieces(whole, window, most):
+        for at, w in pieces(whole, window, most):
             if block and held + len(w) > most:
                 yield block
                 block, held = [], 0
-            block.append((name, w))
+            block.append((name, row, at, w))
             held += len(w)
     if block:
         yield block
@@ -70,20 +78,19 @@ def item_blocks(items: list[tuple[str | None, bytes]], most: int = BLOCK_WORDS,
 class Searched:
     """One block of items, made ready once in the driver: word numbers and windows."""
 
-    def __init__(self, block: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
-        self.names = list(dict.fromkeys(n for n, _ in block))
-        number = {n: k for k, n in enumerate(self.names)}
-        self.vocab = {w: k + 1 for k, w in enumerate(sorted({w for _, x in block for w in x}))}
-        self.window, self.shortest = window, min(window, min(len(x) for _, x in block))
-        counts = np.array([max(1, len(x) - window + 1) for _, x in block])
-        # Of each window: its row of the block, its item, its place in the row and its words.
-        self.row = np.repeat(np.arange(len(block)), counts)
-        self.item = np.array([number[n] for n, _ in block])[self.row]
-        self.at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.width = np.minimum(window, np.array([len(x) for _, x in block]))[self.row]
-        grid, done = np.zeros((len(self.row), window), ">u4"), 0
-        for (_, x), n in zip(block, counts.tolist(), strict=True):
-            ids = np.array([self.vocab[w] for w in x] + [0] * (window - len(x)), ">u4")
+    def __init__(self, block: list[Part], window: int = WINDOW):
+        self.names, self.rows = [p[0] for p in block], [p[1] for p in block]
+        self.vocab = {w: k + 1 for k, w in enumerate(sorted({w for p in block for w in p[3]}))}
+        self.window, self.shortest = window, min(window, min(len(p[3]) for p in block))
+        sizes = np.array([len(p[3]) for p in block])
+        counts = np.maximum(1, sizes - window + 1)
+        # Of each window: its part of the block, its place in the item's row and its words.
+        self.part = np.repeat(np.arange(len(block), dtype=np.int32), counts)
+        self.at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - np.array([p[2] for p in block]), counts)
+        self.width = np.minimum(window, sizes)[self.part]
+        grid, done = np.zeros((len(self.part), window), ">u4"), 0
+        for p, n in zip(block, counts.tolist(), strict=True):
+            ids = np.array([self.vocab[w] for w in p[3]] + [0] * (window - len(p[3])), ">u4")
             grid[done : done + n] = np.lib.stride_tricks.sliding_window_view(ids, window)
             done += n
         self.keys = np.frombuffer(grid.tobytes(), f"S{4 * window}")
@@ -123,165 +130,144 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def shard_hits(texts: list[bytes], s: Searched, longest: bool = False):
-    """Per document: words, hit words, item numbers; with ``longest`` also matches ``(item, doc, word, length)``."""
-    docs = [words(t) for t in texts]
-    sizes = np.array([len(w) for w in docs], np.int64)
-    ends = np.cumsum(sizes + 1)
-    ids = numbered(docs, s.vocab)
-    hit_items: list[set[int]] = [set() for _ in texts]
-    n_hit = np.zeros(len(texts), np.int64)
-    matches: list[tuple[int, int, int, int]] = []
-    place, keys = suffix_array(ids, s.shortest, s.window) if len(ids) else (ids, ids)
-    if len(place):
-        pos, which, step = _marks(place, keys, s, len(ids))
-        inside = np.concatenate([[0], np.cumsum(step)])
-        n_hit = inside[ends] - inside[ends - sizes - 1]
-        doc = np.searchsorted(ends, pos, "right")
-        for d, k in set(zip(doc.tolist(), s.item[which].tolist(), strict=True)):
-            hit_items[d].add(k)
-        if longest:
-            matches = longest_matches(pos, which, s, ends, sizes)
-    return sizes, n_hit, hit_items, matches
-
-
-def _marks(place: np.ndarray, keys: np.ndarray, s: Searched, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where windows stand, which they are, and for each word whether one covers it."""
-    which, at = _spread(np.searchsorted(keys, s.keys, "left"), np.searchsorted(keys, s.ends(), "left"))
-    pos = place[at]
-    step = np.bincount(pos, minlength=n + 1) - np.bincount(pos + s.width[which], minlength=n + 1)
-    return pos, which, np.cumsum(step[:n]) > 0
-
-
-def longest_matches(pos: np.ndarray, which: np.ndarray, s: Searched, ends: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """For each item its longest verbatim match in this shard, at each place where it stands.
-
-    Windows of one row that stand one word apart in row and document are one match.
-    """
-    row, lag = s.row[which], pos - s.at[which]
-    order = np.lexsort((pos, lag, row))
-    row, lag, pos, which = row[order], lag[order], pos[order], which[order]
-    new = np.r_[True, (row[1:] != row[:-1]) | (lag[1:] != lag[:-1]) | (pos[1:] != pos[:-1] + 1)][: len(pos)]
-    first = np.flatnonzero(new)
-    length = np.diff(np.r_[first, len(pos)]) + s.width[which[first]] - 1
-    item, place = s.item[which[first]], pos[first]
-    most = np.zeros(len(s.names), np.int64)
-    np.maximum.at(most, item, length)
-    out = set()
-    for k in np.flatnonzero(length == most[item]).tolist():
-        d = int(np.searchsorted(ends, place[k], "right"))
-        out.add((int(item[k]), d, int(place[k] - ends[d] + sizes[d] + 1), int(length[k])))
-    return sorted(out)
-
-
-def _blocks(bench: DataFrame, window: int, whole: bool = False) -> Iterator[Searched]:
+class Shard:
+    """The matches of one shard's documents with a block: words of each, and maximal runs of matching suffixes."""
+
+    def __init__(self, texts: list[bytes], s: Searched):
+        docs = [words(t) for t in texts]
+        self.sizes = np.array([len(w) for w in docs], np.int64)
+        ends = np.cumsum(self.sizes + 1)
+        ids = numbered(docs, s.vocab)
+        place, keys = suffix_array(ids, s.shortest, s.window) if len(ids) else (ids.astype(np.int64), ids)
+        which, at = _spread(np.searchsorted(keys, s.keys, "left"), np.searchsorted(keys, s.ends(), "left")) if len(place) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        pos = place[at]
+        # Suffixes of one part that match one word apart in item and document are one match.
+        part, lag = s.part[which], pos - s.at[which]
+        order = np.lexsort((pos, lag, part))
+        part, lag, pos, which = part[order], lag[order], pos[order], which[order]
+        first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (lag[1:] != lag[:-1]) | (pos[1:] != pos[:-1] + 1)][: len(pos)])
+        length = np.diff(np.r_[first, len(pos)]) + s.width[which[first]] - 1
+        doc = np.searchsorted(ends, pos[first], "right")
+        begin = pos[first] - (ends[doc] - self.sizes[doc] - 1)
+        back = np.argsort(doc, kind="stable")
+        self.doc, self.part, self.word, self.length = doc[back], part[first][back], begin[back], length[back]
+        self.at = s.at[which[first]][back]
+        self.bounds = np.searchsorted(self.doc, np.arange(len(texts) + 1))
+
+
+_MATCH = pa.struct([("row", pa.int64()), ("lag", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("item", pa.string())])
+_FOUND = "doc_id long, key long, n_words long, m array<struct<row: long, lag: long, word: long, n: long, item: string>>"
+
+
+def _blocks(bench: DataFrame, window: int) -> Iterator[Searched]:
     """The items arrive block by block; the driver never holds more than some partitions of them."""
     rows = bench.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit("")).cast("binary")).orderBy("item_id").toLocalIterator(prefetchPartitions=False)
-    held: list[tuple[str | None, bytes]] = []
-    size, cut = 0, None if whole else window
-    for name, text in rows:
-        held.append((name, bytes(text)))
-        size += len(text)
-        if size > 8 * BLOCK_WORDS:
-            yield from (Searched(b, window) for b in item_blocks(held, BLOCK_WORDS, cut))
-            held, size = [], 0
-    yield from (Searched(b, window) for b in item_blocks(held, BLOCK_WORDS, cut))
+    yield from (Searched(b, window) for b in item_blocks(((name, k, bytes(text)) for k, (name, text) in enumerate(rows)), BLOCK_WORDS, window))
 
 
-def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_hit, items array<string>, n_items`` of each document (``doc_id, text``)."""
-    spark, base = docs.sparkSession, id_text(docs)
-    blocks = _blocks(bench, window)
-    first, second = next(blocks, None), next(blocks, None)
-    if second is not None:
-        return _many(base, chain([first, second], blocks))
-    shared = spark.sparkContext.broadcast(first)
+def _found(base: DataFrame, shared, every: bool) -> DataFrame:
+    """The matches of each document with one block; documents without any only if ``every``."""
 
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
         s = shared.value
 
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             texts = byte_texts(batch)
             if s is None:
-                n_words, n_hit, items = [len(words(t)) for t in texts], [0] * len(texts), [set()] * len(texts)
+                x = None
+                sizes, bounds = np.array([len(words(t)) for t in texts], np.int64), np.zeros(len(texts) + 1, np.int64)
+                flat = pa.array([], _MATCH)
             else:
-                n_words, n_hit, items, _ = shard_hits(texts, s)
-            named = [sorted(s.names[k] for k in x if s.names[k] is not None) if x else [] for x in items]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(named, pa.list_(pa.string())), pa.array([len(x) for x in items], pa.int64())], list("abcde"))
+                x = Shard(texts, s)
+                sizes, bounds = x.sizes, x.bounds
+                names = pa.array([s.names[k] for k in x.part.tolist()], pa.string())
+                rows = np.array(s.rows, np.int64)[x.part]
+                flat = pa.StructArray.from_arrays([pa.array(rows), pa.array(x.word - x.at), pa.array(x.word), pa.array(x.length.astype(np.int64)), names], fields=list(_MATCH))
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat)], list("abcd"))
+            return out if every else out.filter(pa.array(np.diff(bounds) > 0))
 
         return each
 
-    return map_slices(base, make, "doc_id long, n_words long, n_hit long, items array<string>, n_items long", 8 << 20)
+    return map_slices(base, make, _FOUND, 8 << 20)
 
 
-def _many(base: DataFrame, blocks: Iterator[Searched]) -> DataFrame:
-    """Several blocks: each pass marks the hit spans; the spans of a document are merged at the end."""
-    spark, out, n = base.sparkSession, None, 0
-    base = base.withColumn("row", F.xxhash64("doc_id", "text"))
-    for s in blocks:
-        n += 1
-        shared = spark.sparkContext.broadcast(s)
-
-        def make(shared=shared) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-            s = shared.value
-
-            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                texts = byte_texts(batch)
-                spans, names, sizes = [], [], []
-                for t in texts:
-                    n, _, items, _ = shard_hits([t], s)
-                    sizes.append(int(n[0]))
-                    spans.append(_marked(t, s))
-                    names.append([s.names[k] for k in items[0]])
-                return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], list("abcde"))
-
-            return each
+def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, n_words, n_hit, items array<string>, n_items, longest, longest_word, longest_item`` of each document (``doc_id, text``).
 
-        one = materialize(map_slices(base, make, "doc_id long, row long, n_words long, places array<long>, items array<string>", 8 << 20), "decontam")
+    ``longest``: words of the longest verbatim match with an item, of a window at least (null:
+    none); ``longest_word`` where it begins in the document; ``longest_item`` with which item.
+    """
+    spark, base, more = docs.sparkSession, id_text(docs).withColumn("key", F.xxhash64("doc_id", "text")), None
+    blocks = _blocks(bench, window)
+    shared = spark.sparkContext.broadcast(next(blocks, None))
+    found = _found(base, shared, True)
+    second = next(blocks, None)
+    if second is None:
+        return finished(found)
+    # More blocks: only documents with matches are written, and matches of one document meet again.
+    found = materialize(found, "decontam")
+    for s in chain([second], blocks):
         shared.unpersist()
-        out = one if out is None else out.unionByName(one)
-    copies = F.count("*") / n
-    merged = out.groupBy("doc_id", "row").agg(F.first("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), copies.cast("int").alias("copies"))
-    counted = merged.withColumn("n_items", F.size("items").cast("long")).withColumn("items", F.array_sort(F.array_compact("items")))
-    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "n_hit", "items", "n_items")
-
-
-def _marked(text: bytes, s: Searched) -> list[int]:
-    """Numbers of the hit words of one text."""
-    ids = numbered([words(text)], s.vocab)
-    place, keys = suffix_array(ids, s.shortest, s.window)
-    return np.flatnonzero(_marks(place, keys, s, len(ids))[2]).tolist() if len(place) else []
+        shared = spark.sparkContext.broadcast(s)
+        one = materialize(_found(base, shared, False), "decontam").select("doc_id", "key", "m")
+        more = one if more is None else more.unionByName(one)
+    every = more.unionByName(found.where(F.size("m") > 0).select("doc_id", "key", "m")).groupBy(F.col("doc_id").alias("i"), F.col("key").alias("k")).agg(F.array_distinct(F.flatten(F.collect_list("m"))).alias("m"))
+    none = F.array().cast(every.schema["m"].dataType)
+    joined = found.drop("m").join(every, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").withColumn("m", F.coalesce("m", none))
+    return finished(joined)
+
+
+def finished(found: DataFrame) -> DataFrame:
+    """Merged spans, distinct items and the longest match of each document's matches."""
+    ends = lambda x: x["word"] + x["n"]
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    spans = F.array_sort(F.transform("m", lambda x: F.struct(x["word"].alias("word"), x["n"].alias("n"))))
+    covered = F.aggregate(spans, start, lambda a, x: F.struct(F.greatest(a["end"], ends(x)).alias("end"), (a["n"] + F.greatest(F.lit(0), ends(x) - F.greatest(a["end"], x["word"]))).alias("n")))["n"]
+    # Of one row and lag, a match that begins before the one before it ends (or there) goes on with it.
+    none = F.struct(*(F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("lag", "long"), ("word", "long"), ("end", "long"), ("best", "struct<n: long, word: long, item: string>"))))
+
+    def go_on(a: Column, x: Column) -> Column:
+        same = (a["row"] == x["row"]) & (a["lag"] == x["lag"]) & (x["word"] <= a["end"])
+        word = F.when(same, a["word"]).otherwise(x["word"])
+        end = F.when(same, F.greatest(a["end"], ends(x))).otherwise(ends(x))
+        now = F.struct((end - word).alias("n"), word.alias("word"), x["item"].alias("item"))
+        best = a["best"]
+        after = (now["word"] > best["word"]) | ((now["word"] == best["word"]) & (now["item"].isNull() | (now["item"] >= best["item"])))
+        kept = best.isNotNull() & ((best["n"] > now["n"]) | ((best["n"] == now["n"]) & after))
+        return F.struct(x["row"].alias("row"), x["lag"].alias("lag"), word.alias("word"), end.alias("end"), F.when(kept, best).otherwise(now).alias("best"))
+
+    longest = F.aggregate(F.array_sort("m"), none, go_on)["best"]
+    items = F.array_sort(F.array_distinct(F.filter(F.transform("m", lambda x: x["item"]), lambda i: i.isNotNull())))
+    out = found.select("doc_id", "n_words", covered.alias("n_hit"), items.alias("items"), longest.alias("best"))
+    return out.select("doc_id", "n_words", "n_hit", "items", F.size("items").cast("long").alias("n_items"), F.col("best.n").alias("longest"), F.col("best.word").alias("longest_word"), F.col("best.item").alias("longest_item"))
 
 
 def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """``item_id, doc_id, word, n_words``: each item's longest verbatim matches over all shards, with places."""
-    spark, out = docs.sparkSession, None
-    for s in _blocks(bench, window, whole=True):
+    spark, base, out = docs.sparkSession, id_text(docs).withColumn("key", F.xxhash64("doc_id", "text")), None
+    for s in _blocks(bench, window):
         shared = spark.sparkContext.broadcast(s)
-
-        def make(shared=shared) -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
-            s = shared.value
-
-            def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-                ids = batch.column("doc_id").to_pylist()
-                found = shard_hits(byte_texts(batch), s, longest=True)[3]
-                return pa.RecordBatch.from_arrays([pa.array([s.names[m[0]] for m in found], pa.string()), pa.array([ids[m[1]] for m in found], pa.int64()), pa.array([m[2] for m in found], pa.int64()), pa.array([m[3] for m in found], pa.int64())], list("abcd")) if found else None
-
-            return each
-
-        one = map_slices(id_text(docs), make, "item_id string, doc_id long, word long, n_words long", 8 << 20)
+        one = materialize(_found(base, shared, False).select("doc_id", "key", F.inline("m")), "matches")
+        shared.unpersist()
         out = one if out is None else out.unionByName(one)
     if out is None:
         return spark.createDataFrame([], "item_id string, doc_id long, word long, n_words long")
-    found = materialize(out, "matches")
-    return found.join(found.groupBy("item_id").agg(F.max("n_words").alias("n_words")), ["item_id", "n_words"], "left_semi").select("item_id", "doc_id", "word", "n_words")
+    line = Window.partitionBy("doc_id", "key", "row", "lag").orderBy("word")
+    begins = F.coalesce((F.col("word") > F.max(F.col("word") + F.col("n")).over(line.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    runs = out.distinct().withColumn("begins", begins).withColumn("run", F.sum("begins").over(line))
+    whole = runs.groupBy("doc_id", "key", "row", "lag", "run").agg(F.first("item").alias("item_id"), F.min("word").alias("word"), (F.max(F.col("word") + F.col("n")) - F.min("word")).alias("n_words"))
+    found = materialize(whole.select("item_id", "doc_id", "word", "n_words").distinct(), "matches")
+    most = found.groupBy("item_id").agg(F.max("n_words").alias("most"))
+    own = most.select(F.col("item_id").alias("i"), "most")
+    return found.join(own, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("n_words") == F.col("most")), "left_semi")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows that hold a window of any item; all columns stay.
+    """``docs`` without the rows that match any item for a window or more; all columns stay.
 
     The rows are filtered where they are, without a join: one filter for each block of items. What
-    a block leaves is written before the next one, so one block at a time is in memory.
+    a block leaves is written before the next one, so one block at a time is in memory. Null ids
+    and repeated rows are filtered by their own texts; a row with a null text stays.
     """
     shared = None
     for s in _blocks(bench, window):
@@ -300,7 +286,7 @@ def _clean(shared):
             texts = [(x or "").encode() for x in part]
             out = []
             for at in range(0, len(texts), 1000):
-                out.append(shard_hits(texts[at : at + 1000], shared.value)[1] == 0)
+                out.append(np.diff(Shard(texts[at : at + 1000], shared.value).bounds) == 0)
             yield pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
     return clean
@@ -308,22 +294,26 @@ def _clean(shared):
 
 def digest(found: DataFrame) -> DataFrame:
     """The result columns of ``hits``: items as a hash, and whether any word is hit."""
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_word", "longest_item")
 
 
 #: The same by plain comparison of windows, for the oracle.
 SQL = """
 WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
-d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents, low),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark, low),
-bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS k
-  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents, low),
+b AS (SELECT row_number() OVER () AS q, CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark, low),
+bw AS (SELECT q, item_id, j, least(len(w), 10) AS n, array_to_string(w[j:j + least(len(w), 10) - 1], ' ') AS k
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS j FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
-dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
   FROM (SELECT *, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM d, sizes)),
-m AS (SELECT DISTINCT doc_id, i, n, item_id FROM dw JOIN bw USING (n, k)),
-h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS names FROM m GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+m AS (SELECT r, i, n, item_id, q, i - j AS lag FROM dw JOIN bw USING (n, k)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS names FROM m GROUP BY r),
+runs AS (SELECT r, item_id, min(i) - 1 AS word, max(i) + n - min(i) AS size
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q, lag ORDER BY i) AS g FROM m) GROUP BY r, q, lag, g, n, item_id),
+top AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY size DESC, word, item_id NULLS LAST) = 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(size AS BIGINT) AS longest, CAST(word AS BIGINT) AS longest_word, top.item_id AS longest_item
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN top USING (r)
 """

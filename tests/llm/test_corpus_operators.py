@@ -255,7 +255,7 @@ def test_decontamination(spark, docs, empty, monkeypatch, most):
                     hit |= set(range(k, k + len(x)))
                     items.add(i)
         names = sorted(str(i) for i in items if i is not None)
-        return len(w), len(hit), len(items), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)
+        return len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)
 
     found = suffix_decontam.digest(suffix_decontam.hits(docs, bench))
     assert got(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want(brute)
