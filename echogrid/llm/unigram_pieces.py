@@ -1,7 +1,7 @@
 """Unigram segmentation by a double-array trie, and its decoding (operator 9).
 
 The pieces are those of a sentencepiece model file; their log scores are the file's, or, as
-the file at hand numbers its pieces by rank, ``-log(rank + 1)`` with ``zipf`` (the default). A
+the file at hand numbers its pieces by rank, ``-log(rank + 2)`` with ``zipf`` (the default). A
 text is normalised as the library does: spaces become the marker, one marker goes before the
 text. Viterbi finds the segmentation of the highest sum of scores; a character that no piece
 holds costs the lowest score less 10 and becomes one piece per UTF-8 byte.
@@ -9,16 +9,20 @@ holds costs the lowest score less 10 and becomes one piece per UTF-8 byte.
 No piece holds a marker behind another character, so a best segmentation never crosses a
 marker that follows another character, and words are segmented on their own: the distinct
 words of a slice run through one vectorised Viterbi, all words at a time, over the trie's base
-and check arrays.
+and check arrays. A word over ``LONG`` bytes (a run of Chinese or Japanese, an encoded file) has
+no others of its length beside it and is walked byte by byte over the same arrays, in time and
+memory proportional to its bytes.
 
 Rows: null and empty texts give no pieces. Repeated ids and rows keep their rows. Equal scores
-go to the piece that starts first.
+go to the piece that starts first. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -32,7 +36,7 @@ MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
 #: Words a task remembers; then it starts anew.
 REMEMBERED = 400_000
-#: Longest word that runs with the others; a longer one runs alone, in the same code.
+#: Longest word that runs with the others of its length; a longer one is walked alone. Only shorter ones are remembered.
 LONG = 64
 _WORDS = re.compile(rb"(?:\xe2\x96\x81)+(?:(?!\xe2\x96\x81)[\x00-\xff])*|(?:(?!\xe2\x96\x81)[\x00-\xff])+")
 
@@ -83,6 +87,7 @@ class Trie:
                 todo.append(child)
         self.scores, self.ids = np.array(scores, np.float64), np.array(ids, np.int32)
         self.byte_ids, self.unknown = np.array(byte_ids, np.int32), lowest - UNKNOWN_PENALTY
+        self._lists: tuple[list, ...] | None = None
 
     def segment(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit bytes."""
@@ -91,7 +96,10 @@ class Trie:
         for k, w in enumerate(words):
             n = len(w)
             if n:
-                by_size.setdefault(n if n <= LONG else -k - 1, []).append(k)
+                if n > LONG:
+                    out[k] = self._walk(w)
+                else:
+                    by_size.setdefault(n, []).append(k)
         for own in by_size.values():
             for at in range(0, len(own), 65_536):
                 some = own[at : at + 65_536]
@@ -99,6 +107,49 @@ class Trie:
                     out[k] = ids
         return out
 
+    def _walk(self, word: bytes) -> bytes:
+        """The same for one long word, byte by byte."""
+        if self._lists is None:
+            self._lists = self.base.tolist(), self.check.tolist(), self.value.tolist(), self.scores.tolist()
+        base, check, value, scores = self._lists
+        n, low = len(word), -math.inf
+        best, came, piece = array("d", [low]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here = best[i]
+            if here == low or word[i] & 0xC0 == 0x80:
+                continue
+            width = i + 1
+            while width < n and width < i + 4 and word[width] & 0xC0 == 0x80:
+                width += 1
+            single, state, j = False, 0, i
+            while j < n:
+                b = base[state]
+                to = b + word[j]
+                if b <= 0 or check[to] != state:
+                    break
+                state, j = to, j + 1
+                v = value[to]
+                if v >= 0:
+                    single |= j == width
+                    score = here + scores[v]
+                    if score > best[j]:
+                        best[j], came[j], piece[j] = score, i, v
+            if not single:
+                score = here + self.unknown
+                if score > best[width]:
+                    best[width], came[width], piece[width] = score, i, -1
+        ids, at = array("i"), n
+        while at:
+            i, v = came[at], piece[at]
+            if v >= 0:
+                ids.append(self.ids[v])
+            else:
+                ids.extend(self.byte_ids[c] for c in reversed(word[i:at]))
+            at = i
+        ids.reverse()
+        return np.array(ids, "<i4").tobytes()
+
     def _viterbi(self, words: list[bytes]) -> list[bytes]:
         """Words of one length: best score up to each byte, piece by piece, for all words at a time."""
         n, width = len(words), len(words[0])
@@ -182,8 +233,9 @@ class Pieces:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         fresh = list({w for x in cut for w in x} - self.known.keys())
-        self.known.update(zip(fresh, self.trie.segment(fresh), strict=True))
-        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
+        new = dict(zip(fresh, self.trie.segment(fresh), strict=True))
+        self.known.update(p for p in new.items() if len(p[0]) <= LONG)
+        return [b"".join([self.known.get(w) or new[w] for w in x]) for x in cut]
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids: bytes joined, markers to spaces, the first one dropped."""

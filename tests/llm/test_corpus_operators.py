@@ -319,33 +319,17 @@ def test_quality_on_held_out_labels(spark, docs, empty):
     assert zstd_quality.quality(empty, labels).count() == 0
 
 
-def test_pipeline_is_its_stages_one_by_one(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    d = common.table(spark, sf, "documents").toPandas()
-    labels, bench = common.table(spark, sf, "labels"), common.table(spark, sf, "benchmark").toPandas()
-    frame = lambda x: spark.createDataFrame(x)
-    toxic = toxicity_gbt.learn(frame(d), labels)
-    d = d[toxic.score(list(d.text)) < 0.3]
-    good = zstd_quality.learn(frame(d), labels)
-    d = d[good.score(good.differences()([t.encode() for t in d.text])) >= 0.3]
-    fp = [brute_fingerprint(t, 5) for t in d.text]
-    ids, group = list(d.doc_id), list(range(len(d)))
-
-    def find(k):
-        while group[k] != k:
-            k = group[k]
-        return k
-
-    for a in range(len(ids)):
-        for b in range(a):
-            if (fp[a] ^ fp[b]).bit_count() <= 3:
-                x, y = sorted((find(a), find(b)), key=lambda k: ids[k])
-                group[y] = x
-    d = d[[find(k) == k for k in range(len(ids))]]
-    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
-    windows = {" ".join(split(t)[k : k + 10]) for t in bench.text for k in range(max(1, len(split(t)) - 9))}
-    d = d[[not any(f" {w} " in f" {' '.join(split(t))} " for w in windows) for t in d.text]]
-    got_ids = sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect())
-    assert got_ids == sorted(d.doc_id) and 0 < len(got_ids) < 200
+def test_long_words_are_segmented_like_short_ones(monkeypatch):
+    import time
+
+    p = unigram_pieces.Pieces(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdeé東京の日本語ńĥ=/+0"), 60)).encode() for _ in range(40)]
+    short = p.trie.segment([t[:64].decode("utf-8", "ignore").encode() for t in texts])
+    monkeypatch.setattr(unigram_pieces, "LONG", 0)
+    assert p.trie.segment([t[:64].decode("utf-8", "ignore").encode() for t in texts]) == short
+    monkeypatch.undo()
+    cjk = "".join(rng.choice(list("東京の日本語を話す人々は多くの本を読む"), 350_000)).encode()
+    start = time.process_time()
+    (ids,) = p.encode([cjk])
+    assert time.process_time() - start < 5 and p.decode(ids) == cjk
