@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 TREES, DEPTH, RATE, BINS, LEAST = 60, 3, 0.2, 32, 5
@@ -54,19 +56,26 @@ def tree_scores(model: tuple[float, list[list[tuple[int, float, float]]]], x: np
     return raw
 
 
+def pooled(pools: Iterable[tuple[float, float, float, float]]) -> list[list[float]]:
+    """Pool adjacent violators over ``sum of y, weight, first score, last score``: means rise strictly."""
+    out: list[list[float]] = []
+    for p in pools:
+        out.append(list(p))
+        while len(out) > 1 and out[-2][0] * out[-1][1] >= out[-1][0] * out[-2][1]:
+            a, b = out.pop(-2), out[-1]
+            out[-1] = [a[0] + b[0], a[1] + b[1], a[2], b[3]]
+    return out
+
+
 def fit_isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots and rising probabilities, each pool shrunk by one doubtful row."""
-    order = np.argsort(score, kind="stable")
-    pools: list[list[float]] = []  # weight of y, weight, first score, last score
-    for s, v, w in zip(score[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
-        pools.append([v * w, w, s, s])
-        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            a, b = pools.pop(-2), pools[-1]
-            pools[-1] = [a[0] + b[0], a[1] + b[1], a[2], b[3]]
+    """Knots and rising probabilities: pools are shrunk by one doubtful row each and then pooled again, so the curve never falls."""
+    order = np.lexsort((-y, score))
+    rows = zip((y * weight)[order].tolist(), weight[order].tolist(), score[order].tolist(), score[order].tolist(), strict=True)
+    pools = pooled((p[0] + 0.5, p[1] + 1, p[2], p[3]) for p in pooled(rows))
     if not pools:
         return np.zeros(1), np.full(1, 0.5)
     knots = np.array([k for p in pools for k in p[2:]])
-    return knots, np.repeat([(p[0] + 0.5) / (p[1] + 1) for p in pools], 2)
+    return knots, np.repeat([p[0] / p[1] for p in pools], 2)
 
 
 def calibrated(model: tuple[np.ndarray, np.ndarray], score: np.ndarray) -> np.ndarray:

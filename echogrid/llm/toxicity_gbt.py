@@ -1,18 +1,24 @@
 """Toxicity: boosted trees over dense features with isotonic calibration (operator 8).
 
-Labelled rows are dealt by a hash of their id into three folds. On the first, words and word
-beginnings are counted in toxic and clean documents (a distributed count), which gives a
-lexicon of log-odds weights; on the second the trees learn from the features; on the third
-the scores are calibrated. Features: hits, distinct hits and weights of the lexicon a word,
-the strongest weights, hits near a second-person word, hits of words only readable after
-undoing obfuscation, rates of capitals, punctuation and obfuscated words, and the length.
+The labelled rows of each class are dealt by the rank of their ids' hashes into eight parts. On
+four, words and word beginnings are counted in toxic and clean documents (a distributed count),
+which gives a lexicon of log-odds weights; on three the trees learn from the features; on one,
+apart from both, the scores are calibrated by a curve that never falls. Features: hits, distinct
+hits and weights of the lexicon a word, the strongest weights, hits near a second-person word,
+hits of words only readable after undoing obfuscation, rates of capitals, punctuation and
+obfuscated words, and the length. They are worked out on the executors over whole texts; only
+these numbers, at most ``2 * SAMPLE`` rows, reach the driver.
 
 Bounds: at most ``SAMPLE`` labelled documents of each class are learnt from (chosen by the
-hash of their ids), at most ``LEXICON`` lexicon entries are kept. All documents are scored.
+hash of their ids). A lexicon entry stands in ``LEAST`` toxic documents and has log-odds of
+``ODDS`` at least; of these the ``LEXICON`` entries of the most weight in all toxic documents stay.
+All documents are scored.
 
 Rows: null and empty texts have all features zero and get a score like any other. Labels of
-unknown documents and null labels are not used; without labels of both classes the score is
-the share of toxic labels, or 0.
+unknown documents, null ids and null labels are not used; of an id with contradictory labels the
+larger counts, of an id with several texts the least one is learnt from. Repeated rows are scored
+row by row, equal texts alike. If a class has no rows for the trees or the calibration (fewer
+than two), the score is the share of toxic labels, or 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +29,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echogrid.llm.boosted import calibrated, fit_isotonic, fit_trees, tree_scores
 from echogrid.llm.common import crc_mod, id_text, map_slices
 from echogrid.shared import materialize
 
-SAMPLE, LEXICON, HELD_OUT, MOD, THRESHOLD = 6000, 3000, 2, 4, 0.3
+SAMPLE, LEXICON, LEAST, ODDS, HELD_OUT, MOD, THRESHOLD = 6000, 3000, 3, 2.5, 2, 4, 0.3
 #: Words between a hit and a second-person word that is near.
 NEAR = 5
 SECOND_PERSON = frozenset("you your yours yourself ya u du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros tus".split())
@@ -111,12 +117,13 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int, mod: int, most: int) -> DataFrame:
-    """``doc_id, text, y, weight``: at most ``most`` labelled learning documents of each class, by the hash of their ids.
+    """``doc_id, text, y, weight, part``: at most ``most`` labelled learning documents of each class, by the hash of their ids.
 
-    ``weight``: labelled documents that a row of its class stands for. The chosen ids, at most
-    twice ``most``, are the only rows that are broadcast.
+    ``weight``: labelled documents that a row of its class stands for; ``part``: 0 to 7, dealt in
+    turn within each class, so that each part has rows of each class. The chosen ids, at most
+    twice ``most``, are the only rows that are ranked or broadcast.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc_mod(F.col("doc_id"), mod) != held_out)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc_mod(F.col("doc_id"), mod) != held_out)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     chosen = None
     for y in (0, 1):
         one = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -124,38 +131,59 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int, mod: i
     totals = usable.groupBy(F.col("y").alias("of")).agg(F.count("*").alias("n"))
     chosen = materialize(chosen, "labelled")
     weights = chosen.groupBy("y").agg(F.count("*").alias("k")).join(totals, F.col("y") == F.col("of")).select("y", (F.col("n") / F.col("k")).alias("weight"))
-    return id_text(docs).join(F.broadcast(chosen.join(F.broadcast(weights), "y")), "doc_id")
+    own = id_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    turn = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")) - 1
+    parts = own.select("doc_id", "y", (turn % 8).alias("part"))
+    return own.join(F.broadcast(parts.join(F.broadcast(weights), "y").drop("y")), "doc_id")
+
+
+def lexicon_of(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+    """Log-odds of the words and word beginnings of labelled rows, smoothed by half a document."""
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [(k, y) for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True) for k in terms(t)]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["key", "y"])
+
+        return each
+
+    counts = map_slices(rows.select("text", "y"), make, "key string, y int").groupBy("key").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    odds = F.log((F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (clean + 1)))
+    kept = counts.where(F.col("t") >= LEAST).withColumn("w", odds).where(F.col("w") > ODDS)
+    return {r.key: r.w for r in kept.orderBy(F.desc(F.col("w") * F.col("t")), "key").limit(LEXICON).collect()}
+
+
+def terms(text: str) -> set[str]:
+    """What a text counts for in the lexicon: its plain words and their beginnings."""
+    found = {x.lower().strip(EDGES) for x in text.split()}
+    found = {plain(w) if _ODD.search(w) else w for w in found} - {""}
+    return {k for w in found for k in keys(w)}
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = materialize(sample(docs, labels, "toxic", HELD_OUT, MOD, SAMPLE).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(8))), "toxic-sample")
-    sizes = {(r.y, r.first): r["count"] for r in rows.groupBy("y", (F.col("fold") < 4).alias("first")).count().collect()}
-    toxic, clean = (sizes.get((y, True), 0) for y in (1, 0))
-    if not all(sizes.get((y, False), 0) for y in (0, 1)):
+    spark = docs.sparkSession
+    rows = materialize(sample(docs, labels, "toxic", HELD_OUT, MOD, SAMPLE), "toxic-sample")
+    sizes = {(r.y, r.part): r["count"] for r in rows.groupBy("y", "part").count().collect()}
+    if not all((y, part) in sizes for y in (0, 1) for part in (0, 1)):
         n = sum(sizes.values())
         return Model({}, None, sum(v for (y, _), v in sizes.items() if y == 1) / n if n else 0.0)
+    toxic, clean = (sum(v for (of, part), v in sizes.items() if of == y and part >= 4) for y in (1, 0))
+    lexicon = lexicon_of(rows.where("part >= 4"), toxic, clean)
+    shared = spark.sparkContext.broadcast(lexicon)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        own, known = shared.value, {}
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [(k, y) for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True) for k in {k for w in {plain(x.lower().strip(EDGES)) if _ODD.search(x) else x.lower().strip(EDGES) for x in t.split()} if w for k in keys(w)}]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["key", "y"])
+            x = pa.array([features(t, own, known) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("part"), batch.column("weight"), x], list("abcde"))
 
         return each
 
-    counts = map_slices(rows.where("fold < 4").select("text", F.col("y").cast("int").alias("y")), make, "key string, y int").groupBy("key").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (clean + 1)))
-    lexicon = {r.key: r.w for r in counts.where("t >= 3").withColumn("w", odds).where("w > 2.5").orderBy(F.desc(F.col("w") * F.col("t")), "key").limit(LEXICON).collect()}
-    known: dict[str, float] = {}
-    x, y, fold, weight = [], [], [], []
-    for r in rows.where("fold >= 4").orderBy("doc_id").toLocalIterator():
-        x.append(features(r.text, lexicon, known))
-        y.append(r.y)
-        fold.append(r.fold)
-        weight.append(r.weight)
-    x, y, fold, weight = np.array(x), np.array(y, float), np.array(fold), np.array(weight)
-    trees = fit_trees(x[fold < 7], y[fold < 7])
-    last = fold == 7 if len(set(y[fold == 7])) == 2 else fold >= 4
-    return Model(lexicon, trees, fit_isotonic(tree_scores(trees, x[last]), y[last], weight[last]))
+    found = sorted(map_slices(rows.where("part < 4").select("doc_id", "text", "y", "part", "weight"), make, "doc_id long, y int, part int, weight double, x array<double>").collect())
+    x, y, part, weight = np.array([r.x for r in found]), np.array([r.y for r in found], float), np.array([r.part for r in found]), np.array([r.weight for r in found])
+    trees = fit_trees(x[part > 0], y[part > 0])
+    return Model(lexicon, trees, fit_isotonic(tree_scores(trees, x[part == 0]), y[part == 0], weight[part == 0]))
 
 
 def scorer(model: Model, spark) -> Callable:
