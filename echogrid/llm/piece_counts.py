@@ -6,11 +6,12 @@ any piece of the model. A text's count is the sum over its pre-tokens.
 
 First all distinct pre-tokens of all texts are counted with their frequencies, and the library
 counts each one's pieces once. Then each document's pre-token frequencies are joined to them:
-the ``FREQUENT`` most frequent ones at most are summed in the scan, the others join by a
-shuffle. No ids are made.
+the most frequent ones, ``FREQUENT`` and ``FREQUENT_BYTES`` at most, are summed in the scan, the
+others join by a shuffle. No ids are made.
 
 Rows: a null text is an empty one, of no tokens. Rows of the same id and text are summed as
-one and given back as often as they stand. An empty table gives an empty result.
+one and given back as often as they stand; null ids are an id of their own. A long text is one row
+with its own rare pre-tokens. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from echogrid.llm.common import byte_texts, id_text, map_slices
 from echogrid.shared import materialize
 
-#: Bound on what is broadcast: so many pre-tokens at most, of at most so many bytes each.
-FREQUENT, SHORT = 400_000, 64
+#: Bound on what is broadcast: so many pre-tokens and bytes at most. One longer than ``SHORT`` is not: it stands at most once per so many bytes of text.
+FREQUENT, FREQUENT_BYTES, SHORT = 400_000, 16 << 20, 4096
 SPACE = "\u2581"
 
 
@@ -100,16 +101,15 @@ def vocabulary(docs: DataFrame, model: bytes) -> DataFrame:
     return distinct.mapInArrow(run, "token binary, n long, pieces int")
 
 
-def most_frequent(vocab: DataFrame, most: int) -> int:
-    """The least count such that at most ``most`` short tokens have it or more, from counts in quarters of powers of two."""
-    step = F.floor(F.log2("n") * 4)
-    sizes = sorted(((r.step, r["count"]) for r in vocab.where(F.length("token") <= SHORT).groupBy(step.alias("step")).count().collect()), reverse=True)
-    least, held = 1 << 62, 0
-    for at, n in sizes:
-        held += n
-        if held > most:
+def most_frequent(vocab: DataFrame, most: int, most_bytes: int = FREQUENT_BYTES) -> int:
+    """The least count such that at most ``most`` tokens of ``most_bytes`` bytes have it or more, from sums over quarters of powers of two."""
+    steps = vocab.where(F.length("token") <= SHORT).groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count("*").alias("k"), F.sum(F.length("token")).alias("b"))
+    least, held, size = 1 << 62, 0, 0
+    for r in sorted(steps.collect(), reverse=True):
+        held, size = held + r.k, size + r.b
+        if held > most or size > most_bytes:
             break
-        least = -(-(2 ** (at / 4)) // 1)
+        least = -(-(2 ** (r.step / 4)) // 1)
     return int(least)
 
 
@@ -145,7 +145,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, frequent:
                 times.append(1)
                 times += rare.values()
                 none = [None] * len(rare)
-                doc += [i, *none]
+                doc += [i] * (len(rare) + 1)
                 size += [len(t), *none]
                 own += [n, *none]
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(token, pa.binary()), pa.array(times, pa.int32()), pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(own, pa.int64())], list("abcdef"))
@@ -155,7 +155,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, frequent:
     rows = map_slices(base.withColumn("key", F.xxhash64("doc_id", "text")), make, "key long, token binary, times int, doc_id long, n_bytes long, own long")
     joined = rows.join(vocab.where(~often).select("token", "pieces"), "token", "left")
     count = F.coalesce("own", F.col("times") * F.col("pieces")).cast("long")
-    summed = joined.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(count).alias("n"), F.count("own").alias("rows"))
+    summed = joined.groupBy("doc_id", "key").agg(F.max("n_bytes").alias("n_bytes"), F.sum(count).alias("n"), F.count("own").alias("rows"))
     each = summed.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     n = (F.col("n") / F.col("rows")).cast("long")
     return each.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))

@@ -5,12 +5,14 @@ chunk holds whole documents. A chunk's ids are cut into blocks of ``BLOCK`` ids;
 the ids are transposed into planes (bits or bytes, least significant first), plane by plane
 over the chunk, and every plane is one zstandard frame. A row of the written table is a chunk:
 
-``shard, chunk, n_ids, doc_ids, lengths, width, planes`` - ``planes`` the frames and the rest
-the chunk's index, so a reader opens any chunk on its own and reads only the index columns to
-find a document. Ids of all documents before a chunk come from the index alone.
+``shard, chunk, inside, n_ids, doc_ids, lengths, width, planes`` - ``planes`` the frames and the
+rest the chunk's index, so a reader opens any chunk on its own and reads only the index columns
+to find a document. ``inside``: ids of the shard before the chunk; with the shards' totals, one row
+a shard, it gives the ids of all documents before, and no plane is shuffled to find it.
 
 Rows: a null text is an empty one, of only the end id. Null ids sort first. Repeated ids keep
-their rows, in the order of their texts. An empty table gives an empty file.
+their rows, in the order of their texts. A document longer than a chunk is a chunk of its own.
+Other columns are not read. An empty table gives an empty file.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from echogrid.shared import new_path
 BLOCK = 4096
 #: Ids after which a chunk is closed; a longer document is a chunk of its own.
 CHUNK = 1 << 18
+#: Bytes of text of a shard, about; a shard is sorted by one task.
+SHARD_BYTES = 128 << 20
 #: Words whose ids a task remembers; then it starts anew.
 REMEMBERED = 250_000
 LEVEL = 1
-SCHEMA = "shard int, chunk int, n_ids long, doc_ids array<long>, lengths array<long>, width int, planes array<binary>"
+SCHEMA = "shard int, chunk int, inside long, n_ids long, doc_ids array<long>, lengths array<long>, width int, planes array<binary>"
 #: White space at which a text may be cut without changing any id: no token of the library spans it.
 CUT = bytes.maketrans(b"\t\n\r", b"   ")
 #: Latin letters that no normalisation changes but for their case, then ASCII marks other than the apostrophe.
@@ -91,13 +95,16 @@ def word_encoder(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
     model, alphabet = tokenizer.model, byte_alphabet()
     known: dict[bytes, bytes] = {}
     parts: dict[str, bytes] = {}
+    whole = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    if whole("One, two\tthree\n\nfour's  <s> x1 \u6771 end") != [k for w in ("One,", "two", "three", "four's", "<s>", "x1", "\u6771", "end") for k in whole(w)]:
+        raise ValueError("tokens of this vocabulary reach across white space")
 
     def packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        m = SIMPLE.fullmatch(text)
+        m = SIMPLE.fullmatch(text) if simple else None
         if m is None:
             return packed(tokenizer.encode(text, add_special_tokens=False).ids)
         letters, marks = m[1].lower(), m[2]
@@ -110,6 +117,13 @@ def word_encoder(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
             out += parts[marks]
         return out
 
+    # The short cut holds if the library agrees on words of all its letters and marks.
+    letters = [chr(c) for c in range(256) if SIMPLE.fullmatch(chr(c))]
+    marks = [chr(c) for c in range(33, 127) if SIMPLE.fullmatch("a" + chr(c))]
+    probes = letters + [f"{a}{b}e" for a, b in zip(letters, letters[7:], strict=False)] + [f"Ward{m}" for m in marks] + [f"\u00e9t{m}{n}" for m, n in zip(marks, marks[3:], strict=False)]
+    simple = True
+    simple = all(learn(w.encode()) == packed(whole(w)) for w in probes)
+
     def encode(texts: list[bytes]) -> list[bytes]:
         words = [t.translate(CUT).split(b" ") for t in texts]
         if len(known) > REMEMBERED:
@@ -122,19 +136,25 @@ def word_encoder(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
     return encode
 
 
+def shards_for(texts: DataFrame) -> int:
+    """Shards by the bytes of all texts, so that a shard's size does not grow with the table."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, bits: bool = False, shards: int | None = None) -> None:
     """Encode and write all documents, ascending by id."""
-    n = shards or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = shards or shards_for(id_text(docs))
     dealt = id_text(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("shard", F.spark_partition_id())
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, pack = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=LEVEL)
         held: list[tuple[int | None, bytes]] = []
-        size = number = shard = 0
+        size = number = shard = inside = 0
 
         def closed() -> pa.RecordBatch:
             width, planes = split_planes(np.frombuffer(b"".join(x for _, x in held), "<u4"), bits)
-            row = {"shard": shard, "chunk": number, "n_ids": size, "doc_ids": [i for i, _ in held], "lengths": [len(x) // 4 for _, x in held], "width": width, "planes": [pack.compress(p) for p in planes]}
+            row = {"shard": shard, "chunk": number, "inside": inside, "n_ids": size, "doc_ids": [i for i, _ in held], "lengths": [len(x) // 4 for _, x in held], "width": width, "planes": [pack.compress(p) for p in planes]}
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
         for part in slices(batches, 4 << 20):
@@ -144,29 +164,26 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, bits
                 size += len(x) // 4 + 1
                 if size >= CHUNK:
                     yield closed()
-                    held, size, number = [], 0, number + 1
+                    held, size, number, inside = [], 0, number + 1, inside + size
         if held:
             yield closed()
 
     dealt.mapInArrow(chunks, SCHEMA).write.parquet(path)
 
 
-ARROW = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("width", pa.int32()), ("planes", pa.list_(pa.binary()))])
+ARROW = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("inside", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("width", pa.int32()), ("planes", pa.list_(pa.binary()))])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The written chunks with ``before``: ids in all chunks before, from the index columns.
 
-    One row per chunk, a quarter million ids or more, is ranked within its shard; only the
-    totals of the shards, as many as partitions were written, meet in one task.
+    Only the shards' totals, one row a shard, meet in one task and are broadcast; the chunks stay
+    where they are read.
     """
     stored = spark.read.schema(SCHEMA).parquet(path)
-    index = stored.select("shard", "chunk", "n_ids")
-    inside = index.withColumn("inside", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n_ids"))
-    totals = index.groupBy("shard").agg(F.sum("n_ids").alias("total"))
-    bases = totals.withColumn("base", F.sum("total").over(Window.orderBy("shard")) - F.col("total"))
-    before = inside.join(bases, "shard").select("shard", "chunk", (F.col("base") + F.col("inside")).alias("before"))
-    return stored.join(before, ["shard", "chunk"])
+    totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("total"))
+    bases = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
+    return stored.join(F.broadcast(bases), "shard").withColumn("before", F.col("base") + F.col("inside")).drop("base")
 
 
 def documents(stored: DataFrame) -> DataFrame:
