@@ -2,16 +2,23 @@
 
 The lexicon is the terms whose document frequency lies within ``BAND`` of all documents (so an
 inverse-document-frequency band). If a document has d different terms on average, at most
-d / BAND[0] terms can be that frequent, however many documents there are: the lexicon is a
-bounded literal. A text's kept terms are sorted, and for each of ``SUBSETS`` random subsets of
-the lexicon (two md5 digits of a term below a limit, so of 1/4 down to 1/256 of it) the kept
-terms in the subset are hashed. Likeness is the share of equal hashes among the subsets that hold a
-term of either text. DataFrame functions only.
+d / BAND[0] terms can be that frequent, however many documents there are. A text's kept terms are
+sorted, and for each of ``SUBSETS`` random subsets of the lexicon the kept terms in it are hashed.
+A subset is thinned to the text: of m kept terms it holds about one (a rate of 2 to minus the
+level, about log2 m), and at the next levels a half and a quarter, so that texts of up to four times
+the terms have a level in common. Likeness is the share of equal hashes among the subsets of the
+common levels that hold a term of either text; without a common level it is 0. Thinned so, a
+subset keeps its hash with a chance of about 0.15 when half of a text's terms are others.
+DataFrame functions only.
+
+A lexicon of ``LISTED`` terms at most is a literal set within the scan (its count and bytes are
+checked); a larger one is joined to the texts' terms by a shuffle, with the same result.
 
 Rows: a null text is an empty one. A text without kept terms is fingerprinted by all its
 terms, and is like another such text if these are equal. Repeated ids stay as rows; as
 "next document" an id stands for its row of the smallest text hash. A null id sorts before all
-others. An empty table gives an empty result.
+others. A long text is one row; only half of its length travels. Other columns are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,46 +31,78 @@ from echogrid.llm.license_scan import words
 from echogrid.shared import materialize
 
 BAND = (0.004, 0.04)
-#: Pairs of md5 digits below which a term is in a subset: four subsets each of 1/4, 1/16, 1/64, 1/256.
-SUBSETS = ("40",) * 4 + ("10",) * 4 + ("04",) * 4 + ("01",) * 4
+#: Subsets, and levels of thinning that a fingerprint holds; a hash is 48 bits in 8 characters.
+SUBSETS, LEVELS, WIDE = 16, 3, 8
+#: Stands for a subset without a term.
+NONE = "-" * WIDE
+#: A lexicon up to so many terms, of so many bytes in all, is a literal.
+LISTED, LISTED_BYTES = 100_000, 4 << 20
 #: Stands for a null id in joins; sorts before all others.
 NO_ID = -(1 << 63)
 
 
-def lexicon(terms: DataFrame, band: tuple[float, float] = BAND) -> list[str]:
-    """Terms within the band; ``terms`` has ``t``, each document's distinct terms."""
-    n = terms.count()
-    counts = terms.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return sorted(r.term for r in counts.where((F.col("df") >= band[0] * n) & (F.col("df") <= band[1] * n)).select("term").collect())
+def lexicon(terms: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
+    """``term``: the terms within the band; ``terms`` has ``t``, each document's distinct terms."""
+    counts = materialize(terms.select(F.explode(F.concat("t", F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+    # No word is empty: that term stands for the documents.
+    n = counts.where("term = ''").agg(F.max("df")).first()[0] or 0
+    return counts.where((F.col("term") != "") & (F.col("df") >= band[0] * n) & (F.col("df") <= band[1] * n)).select("term")
 
 
-def with_fingerprints(df: DataFrame, texts: dict[str, str], terms: list[str]) -> DataFrame:
+def kept_terms(df: DataFrame, texts: dict[str, str], terms: DataFrame, listed: int = LISTED) -> DataFrame:
+    """``df`` without the text columns; for each ``c``: ``c``, its terms of the lexicon, and ``c_every``, all its terms."""
+    rest = [c for c in df.columns if c not in texts]
+    every = df.select(*rest, *(F.array_distinct(words(F.col(c))).alias(f"{c}_every") for c in texts))
+    size = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b")).first()
+    if size.n <= listed and size.b <= LISTED_BYTES:
+        # Terms are letters, digits and non-ASCII characters, so they need no escapes; one text is parsed faster than so many literals.
+        names = ", ".join(f"'{r.term}'" for r in terms.toLocalIterator())
+        within = lambda c: F.expr(f"filter({c}_every, t -> t IN ({names}))") if names else F.array().cast("array<string>")
+        return every.select("*", *(within(c).alias(c) for c in texts))
+    keyed = materialize(every.withColumn("_row", F.monotonically_increasing_id()), "imatch-rows")
+    out = keyed
+    for c in texts:
+        found = keyed.select("_row", F.explode(f"{c}_every").alias("term")).join(terms, "term").groupBy("_row").agg(F.collect_list("term").alias(c))
+        out = out.join(found, "_row", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return out.drop("_row")
+
+
+def with_fingerprints(df: DataFrame, texts: dict[str, str], terms: DataFrame, listed: int = LISTED) -> DataFrame:
     """``df`` without the text columns, each replaced by its fingerprint under the given name.
 
-    ``SUBSETS`` hashes (``-``: no term) and, for a text without kept terms, one of all its
-    terms. Steps that are used often are columns of their own, so each is worked out once.
+    Two digits of the level, the subsets' hashes at that level and the next two, and, for a text
+    without kept terms, a hash of all its terms. Steps that are used often are columns of their
+    own, so each is worked out once.
     """
     rest = [c for c in df.columns if c not in texts]
-    every = df.select(*rest, *(F.array_distinct(words(F.col(c))).alias(name) for c, name in texts.items()))
-    # Terms are letters, digits and non-ASCII characters, so they need no escapes; one text is parsed faster than so many literals.
-    listed = ", ".join(f"'{t}'" for t in terms)
-    within = lambda c: F.expr(f"filter({c}, t -> t IN ({listed}))") if terms else F.array().cast("array<string>")
-    keyed = lambda c: F.transform(F.array_sort(within(c)), lambda t: F.concat(F.md5(t.cast("binary")), t))
-    alone = lambda c: F.md5(F.array_join(F.array_sort(c), " ").cast("binary"))
-    kept = every.select(*rest, *(x for c in texts.values() for x in (keyed(c).alias(c), alone(c).alias(f"{c}_all"))))
-    subsets = F.array(*(F.struct(F.lit(2 * k + 1).alias("digit"), F.lit(below).alias("below")) for k, below in enumerate(SUBSETS)))
-    members = lambda c: F.transform(subsets, lambda s: F.array_join(F.filter(c, lambda x: F.substr(x, s["digit"], F.lit(2)) < s["below"]), " "))
-    joined = kept.select(*rest, *(x for c in texts.values() for x in (members(c).alias(c), F.when(F.size(c) == 0, F.col(f"{c}_all")).otherwise("").alias(f"{c}_all"))))
-    hashes = lambda c: F.array_join(F.transform(c, lambda j: F.when(j == "", "-").otherwise(F.substring(F.md5(j.cast("binary")), 1, 10))), ".")
-    return joined.select(*rest, *(F.concat(hashes(c), F.lit("."), F.col(f"{c}_all")).alias(c) for c in texts.values()))
+    kept = kept_terms(df, texts, terms, listed)
+    # Each long deals four subsets 16 bits each: a term is in a subset's level if that many bits are 0.
+    drawn = lambda c: F.transform(F.array_sort(c), lambda t: F.struct(t.alias("t"), *(F.xxhash64(t, F.lit(k)).alias(f"h{k}") for k in range(SUBSETS // 4))))
+    level = lambda c: F.when(F.size(c) > 0, F.least(F.round(F.log2(F.size(c)) + 0.3), F.lit(16 - LEVELS))).otherwise(0).cast("int")
+    alone = lambda c: F.when(F.size(c) == 0, F.md5(F.array_join(F.array_sort(f"{c}_every"), " ").cast("binary"))).otherwise("")
+    sized = kept.select(*rest, *(x for c in texts for x in (drawn(c).alias(c), level(c).alias(f"{c}_level"), alone(c).alias(f"{c}_all"))))
+
+    def hashed(c: str, k: int, up: int) -> Column:
+        mask = F.call_function("shiftleft", F.lit(1), F.col(f"{c}_level") + up).cast("long") - 1
+        members = F.filter(c, lambda x: F.shiftright(x[f"h{k // 4}"], 16 * (k % 4)).bitwiseAND(mask) == 0)
+        return F.when(F.size(members) == 0, NONE).otherwise(F.base64(F.unhex(F.substring(F.lpad(F.hex(F.xxhash64(members)), 16, "0"), 5, 12))))
+
+    every = lambda c: F.concat(F.lpad(F.col(f"{c}_level").cast("string"), 2, "0"), *(hashed(c, k, up) for up in range(LEVELS) for k in range(SUBSETS)), F.col(f"{c}_all"))
+    return sized.select(*rest, *(every(c).alias(name) for c, name in texts.items()))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal hashes over subsets that hold a term of either text; without any, equality of the rest."""
-    x, y = (F.slice(F.split(c, r"\."), 1, len(SUBSETS)) for c in (a, b))
-    pairs = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (p["x"] != "-") | (p["y"] != "-"))
-    same = F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
-    return F.when(F.size(pairs) > 0, same / F.size(pairs)).otherwise((a == b).cast("double"))
+    """Equal hashes over subsets of the common levels that hold a term of either text; without kept terms in both, equality."""
+    one, most = SUBSETS * WIDE, 2 + LEVELS * SUBSETS * WIDE
+    x, y = (F.substring(c, 1, 2).cast("int") for c in (a, b))
+    skip = lambda p, q: F.greatest(q - p, F.lit(0)) * one
+    part = lambda c, off, k: F.substr(c, 3 + off + k * WIDE, F.lit(WIDE))
+    places = F.sequence(F.lit(0), (LEVELS - F.abs(x - y)) * SUBSETS - 1)
+    pairs = F.transform(places, lambda k: F.struct(part(a, skip(x, y), k).alias("x"), part(b, skip(y, x), k).alias("y")))
+    held = F.filter(pairs, lambda p: (p["x"] != NONE) | (p["y"] != NONE))
+    same = F.size(F.filter(held, lambda p: p["x"] == p["y"])) / F.greatest(F.size(held), F.lit(1))
+    bare = (F.length(a) > most) | (F.length(b) > most)
+    return F.when(bare | (a == b), (a == b).cast("double")).when(F.abs(x - y) >= LEVELS, 0.0).otherwise(same)
 
 
 def successors(ids: DataFrame) -> DataFrame:
@@ -98,11 +137,11 @@ def edited(docs: DataFrame) -> DataFrame:
     return both.withColumn("edited", F.concat(F.expr("left(text, n - cast(floor(n / 2) as int))"), F.substring(F.col("start"), F.lit(1), half)))
 
 
-def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
+def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, listed: int = LISTED) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
     terms = lexicon(id_text(docs).select(F.array_distinct(words(F.col("text"))).alias("t")), band)
     both = edited(docs).select("id", "doc_id", F.col("n").cast("long").alias("n_chars"), "h", "next", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited")
-    both = materialize(with_fingerprints(both, {"text": "fingerprint", "edited": "edited_fingerprint"}, terms), "imatch")
+    both = materialize(with_fingerprints(both, {"text": "fingerprint", "edited": "edited_fingerprint"}, terms, listed), "imatch")
     nexts = both.groupBy("id").agg(F.min(F.struct("h", "fingerprint")).alias("s")).select(F.col("id").alias("next"), F.col("s.fingerprint").alias("next_fingerprint"))
     return both.join(nexts, "next").select(
         "doc_id",
