@@ -1,29 +1,56 @@
 """Window and neighbourhood operators on dense rasters.
 
 A two-dimensional window is two one-dimensional ones, along the lines and then along the
-columns, so a k by k neighbourhood costs 2 k terms and two exchanges, not k * k rows a cell.
+columns, so a k by k neighbourhood costs 2 k terms, not k * k rows a cell. Both run within blocks of
+``BLOCK`` lines: a cell within reach of a block's edge is dealt to the neighbouring block as well,
+the blocks are shuffled once, and what a block computed on its halo is dropped. So no window is
+longer than a line or a block, however many lines an image has. ``keys``: columns that name the
+image, where a table holds several.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from echogrid.functions import cplx
 from echogrid.functions.radar import TAU
 
-ALONG, ACROSS = ("row", "col"), ("col", "row")
+#: Lines of a block.
+BLOCK = 64
+Keys = tuple[str, ...]
 
 
-def _pass(x: str, kernel: list[float], axis: tuple[str, str], keys: tuple[str, ...] = ()) -> Column:
+def blocked(cells: DataFrame, reach: int, keys: Keys = ()) -> DataFrame:
+    """``cells`` with ``_b``, the block of lines; cells within ``reach`` lines of a block stand in it too. One shuffle by block."""
+    at = lambda k: F.floor((F.col("row") + k) / BLOCK)
+    return cells.withColumn("_b", F.explode(F.sequence(at(-reach), at(reach)))).repartition(*keys, "_b")
+
+
+def owned(blocks: DataFrame) -> DataFrame:
+    """The cells of the blocks without their halo."""
+    return blocks.where(F.col("_b") == F.floor(F.col("row") / BLOCK)).drop("_b")
+
+
+def along(keys: Keys = ()) -> WindowSpec:
+    """A block's line by columns."""
+    return Window.partitionBy(*keys, "_b", "row").orderBy("col")
+
+
+def across(keys: Keys = ()) -> WindowSpec:
+    """A block's column by lines."""
+    return Window.partitionBy(*keys, "_b", "col").orderBy("row")
+
+
+def _pass(x: str, kernel: list[float], w: WindowSpec) -> Column:
     """The kernel's weighted sum over the cells beside this one; cells beyond the edge count as 0."""
-    w, half = Window.partitionBy(*keys, axis[0]).orderBy(axis[1]), len(kernel) // 2
+    half = len(kernel) // 2
     return reduce(lambda a, b: a + b, (F.coalesce(F.lead(x, j - half).over(w), F.lit(0.0)) * k for j, k in enumerate(kernel)))
 
 
-def smooth(cells: DataFrame, values: list[str], rows: list[float], cols: list[float], weight: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def smooth(cells: DataFrame, values: list[str], rows: list[float], cols: list[float], weight: Column | None = None, keys: Keys = ()) -> DataFrame:
     """``values`` convolved with a separable kernel of odd lengths.
 
     Without a weight the sum is over the whole kernel's sum, edges included as zeros. With a
@@ -33,8 +60,8 @@ def smooth(cells: DataFrame, values: list[str], rows: list[float], cols: list[fl
     own = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(0.0))
     d = cells.withColumn("_w", own).withColumns({f"_{v}": F.coalesce(F.col(v), F.lit(0.0)) * F.col("_w") for v in values})
     parts = [f"_{v}" for v in values] + ([] if weight is None else ["_w"])
-    d = d.withColumns({f"{p}a": _pass(p, cols, ALONG, keys) for p in parts})
-    d = d.withColumns({f"{p}b": _pass(f"{p}a", rows, ACROSS, keys) for p in parts})
+    d = blocked(d, len(rows) // 2, keys).withColumns({f"{p}a": _pass(p, cols, along(keys)) for p in parts})
+    d = owned(d.withColumns({f"{p}b": _pass(f"{p}a", rows, across(keys)) for p in parts}))
     if weight is None:
         out = {v: F.col(f"_{v}b") / (sum(rows) * sum(cols)) for v in values}
     else:
@@ -42,23 +69,26 @@ def smooth(cells: DataFrame, values: list[str], rows: list[float], cols: list[fl
     return d.withColumns(out).drop("_w", "_wa", "_wb", *(f"_{v}{s}" for v in values for s in ("", "a", "b")))
 
 
-def smooth_with_sigma(cells: DataFrame, x: str, sigma: str, rows: list[float], cols: list[float]) -> DataFrame:
+def smooth_with_sigma(cells: DataFrame, x: str, sigma: str, rows: list[float], cols: list[float], keys: Keys = ()) -> DataFrame:
     """Smoothing weighted by 1 / sigma squared, with the sigma of the result."""
     w = F.when(F.col(sigma) > 0, 1 / F.col(sigma) ** 2).otherwise(0.0)
-    d = cells.withColumns({"_w": w, "_x": w * F.coalesce(F.col(x), F.lit(0.0))})
+    d = blocked(cells.withColumns({"_w": w, "_x": w * F.coalesce(F.col(x), F.lit(0.0))}), len(rows) // 2, keys)
     square = lambda k: [a * a for a in k]
-    d = d.withColumns({"_wa": _pass("_w", cols, ALONG), "_xa": _pass("_x", cols, ALONG), "_sa": _pass("_w", square(cols), ALONG)})
-    d = d.withColumns({"_wb": _pass("_wa", rows, ACROSS), "_xb": _pass("_xa", rows, ACROSS), "_sb": _pass("_sa", square(rows), ACROSS)})
+    a, b = along(keys), across(keys)
+    d = d.withColumns({"_wa": _pass("_w", cols, a), "_xa": _pass("_x", cols, a), "_sa": _pass("_w", square(cols), a)})
+    d = owned(d.withColumns({"_wb": _pass("_wa", rows, b), "_xb": _pass("_xa", rows, b), "_sb": _pass("_sa", square(rows), b)}))
     total = F.nullif(F.col("_wb"), F.lit(0.0))
     return d.withColumns({x: F.col("_xb") / total, sigma: F.sqrt("_sb") / total}).drop(*(f"_{a}{b}" for a in "wxs" for b in ("", "a", "b")))
 
 
-def near(cells: DataFrame, x: str, rows: int, cols: int, out: str = "near") -> DataFrame:
+def _near(blocks: DataFrame, x: str, rows: int, cols: int, out: str, keys: Keys) -> DataFrame:
+    d = blocks.withColumn("_a", F.collect_list(x).over(along(keys).rangeBetween(-cols, cols)))
+    return d.withColumn(out, F.array_sort(F.flatten(F.collect_list("_a").over(across(keys).rangeBetween(-rows, rows))))).drop("_a")
+
+
+def near(cells: DataFrame, x: str, rows: int, cols: int, out: str = "near", keys: Keys = ()) -> DataFrame:
     """``out``: all values that are not null within so many rows and columns, sorted."""
-    a = Window.partitionBy("row").orderBy("col").rangeBetween(-cols, cols)
-    b = Window.partitionBy("col").orderBy("row").rangeBetween(-rows, rows)
-    d = cells.withColumn("_a", F.collect_list(x).over(a))
-    return d.withColumn(out, F.array_sort(F.flatten(F.collect_list("_a").over(b)))).drop("_a")
+    return owned(_near(blocked(cells, rows, keys), x, rows, cols, out, keys))
 
 
 def middle(a: Column) -> Column:
@@ -67,38 +97,36 @@ def middle(a: Column) -> Column:
     return (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
 
 
-def median(cells: DataFrame, x: str, rows: int, cols: int, out: str = "median") -> DataFrame:
-    return near(cells, x, rows, cols, "_n").withColumn(out, middle(F.col("_n"))).drop("_n")
+def median(cells: DataFrame, x: str, rows: int, cols: int, out: str = "median", keys: Keys = ()) -> DataFrame:
+    return near(cells, x, rows, cols, "_n", keys).withColumn(out, middle(F.col("_n"))).drop("_n")
 
 
-def deviation(cells: DataFrame, x: str, rows: int, cols: int) -> DataFrame:
+def deviation(cells: DataFrame, x: str, rows: int, cols: int, keys: Keys = ()) -> DataFrame:
     """``median`` and ``mad``, the median of the distances of the neighbours from it."""
-    d = near(cells, x, rows, cols, "_n").withColumn("median", middle(F.col("_n")))
+    d = near(cells, x, rows, cols, "_n", keys).withColumn("median", middle(F.col("_n")))
     return d.withColumn("mad", middle(F.array_sort(F.transform("_n", lambda v: F.abs(v - F.col("median")))))).drop("_n")
 
 
-def count_near(cells: DataFrame, flag: Column, rows: int, cols: int, out: str) -> DataFrame:
+def count_near(cells: DataFrame, flag: Column, rows: int, cols: int, out: str, keys: Keys = ()) -> DataFrame:
     """How many cells within so many rows and columns have the flag."""
-    a = Window.partitionBy("row").orderBy("col").rangeBetween(-cols, cols)
-    b = Window.partitionBy("col").orderBy("row").rangeBetween(-rows, rows)
-    return cells.withColumn("_f", F.sum(flag.cast("int")).over(a)).withColumn(out, F.sum("_f").over(b)).drop("_f")
+    d = blocked(cells.withColumn("_k", flag.cast("int")), rows, keys).withColumn("_f", F.sum("_k").over(along(keys).rangeBetween(-cols, cols)))
+    return owned(d.withColumn(out, F.sum("_f").over(across(keys).rangeBetween(-rows, rows)))).drop("_f", "_k")
 
 
-def fill_mean(cells: DataFrame, x: str, rows: int, cols: int, rounds: int = 1) -> DataFrame:
-    """Null cells get the mean of their neighbours, in so many rounds."""
-    a = Window.partitionBy("row").orderBy("col").rangeBetween(-cols, cols)
-    b = Window.partitionBy("col").orderBy("row").rangeBetween(-rows, rows)
+def fill_mean(cells: DataFrame, x: str, rows: int, cols: int, rounds: int = 1, keys: Keys = ()) -> DataFrame:
+    """Null cells get the mean of their neighbours, in so many rounds (all within one shuffle: the halo holds them)."""
+    a, b = along(keys).rangeBetween(-cols, cols), across(keys).rangeBetween(-rows, rows)
+    d = blocked(cells, rows * rounds, keys)
     for _ in range(rounds):
-        d = cells.withColumns({"_s": F.sum(x).over(a), "_n": F.count(x).over(a)})
-        d = d.withColumns({"_t": F.sum("_s").over(b), "_m": F.sum("_n").over(b)})
-        cells = d.withColumn(x, F.coalesce(x, F.col("_t") / F.nullif(F.col("_m"), F.lit(0)))).drop("_s", "_n", "_t", "_m")
-    return cells
+        d = d.withColumns({"_s": F.sum(x).over(a), "_n": F.count(x).over(a)}).withColumns({"_t": F.sum("_s").over(b), "_m": F.sum("_n").over(b)})
+        d = d.withColumn(x, F.coalesce(x, F.col("_t") / F.nullif(F.col("_m"), F.lit(0)))).drop("_s", "_n", "_t", "_m")
+    return owned(d)
 
 
-def fill_lines(cells: DataFrame, x: str) -> DataFrame:
+def fill_lines(cells: DataFrame, x: str, keys: Keys = ()) -> DataFrame:
     """Null cells between others of their line by a straight line, those at the ends by the nearest."""
-    back = Window.partitionBy("row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("row").orderBy("col").rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(*keys, "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys, "row").orderBy("col").rowsBetween(0, Window.unboundedFollowing)
     own = F.when(F.col(x).isNotNull(), F.struct(F.col("col").alias("c"), F.col(x).alias("v")))
     d = cells.withColumns({"_b": F.last(own, True).over(back), "_a": F.first(own, True).over(ahead)})
     b, a = F.col("_b"), F.col("_a")
@@ -106,57 +134,49 @@ def fill_lines(cells: DataFrame, x: str) -> DataFrame:
     return d.withColumn(x, F.coalesce(x, b["v"] + (a["v"] - b["v"]) * share, b["v"], a["v"])).drop("_b", "_a")
 
 
-def beside(cells: DataFrame, x: str) -> dict[str, Column]:
-    """The values right, below and below right of each cell."""
-    along, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
-    return {"right": F.lead(x).over(along), "below": F.lead(x).over(down)}
-
-
-def residues(cells: DataFrame, phase: str) -> DataFrame:
+def residues(cells: DataFrame, phase: str, keys: Keys = ()) -> DataFrame:
     """``charge``: whole turns around each 2 by 2 loop; 0 in the last row and column."""
-    b = beside(cells, phase)
-    d = cells.withColumns({"_r": b["right"], "_b": b["below"]})
-    d = d.withColumn("_d", F.lead("_r").over(Window.partitionBy("col").orderBy("row")))
+    d = blocked(cells, 1, keys).withColumns({"_r": F.lead(phase).over(along(keys)), "_b1": F.lead(phase).over(across(keys))})
+    d = owned(d.withColumn("_d", F.lead("_r").over(across(keys))))
     turn = lambda a, b: F.round((a - b) / TAU)
     p = F.col(phase)
-    loop = turn(F.col("_b"), p) + turn(F.col("_d"), F.col("_b")) + turn(F.col("_r"), F.col("_d")) + turn(p, F.col("_r"))
-    return d.withColumn("charge", F.coalesce(loop, F.lit(0.0)).cast("int")).drop("_r", "_b", "_d")
+    loop = turn(F.col("_b1"), p) + turn(F.col("_d"), F.col("_b1")) + turn(F.col("_r"), F.col("_d")) + turn(p, F.col("_r"))
+    return d.withColumn("charge", F.coalesce(loop, F.lit(0.0)).cast("int")).drop("_r", "_b1", "_d")
 
 
-def phase_gradient(cells: DataFrame, rows: list[float], cols: list[float]) -> DataFrame:
+def phase_gradient(cells: DataFrame, rows: list[float], cols: list[float], keys: Keys = ()) -> DataFrame:
     """``gx, gy``: phase of the smoothed product of each cell with the one left of it and above it."""
-    along, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
-    d = cells
-    for name, w in (("x", along), ("y", down)):
+    d = blocked(cells, 1, keys)
+    for name, w in (("x", along(keys)), ("y", across(keys))):
         re, im = cplx.conj_mul(cplx.pair(), (F.lag("re").over(w), F.lag("im").over(w)))
         d = d.withColumns({f"{name}re": F.coalesce(re, F.lit(0.0)), f"{name}im": F.coalesce(im, F.lit(0.0))})
-    d = smooth(d, ["xre", "xim", "yre", "yim"], rows, cols)
+    d = smooth(owned(d), ["xre", "xim", "yre", "yim"], rows, cols, keys=keys)
     return d.withColumns({"gx": F.atan2("xim", "xre"), "gy": F.atan2("yim", "yre")}).drop("xre", "xim", "yre", "yim")
 
 
-def eroded(cells: DataFrame, flag: Column, rows: int, cols: int, out: str = "eroded") -> DataFrame:
+def eroded(cells: DataFrame, flag: Column, rows: int, cols: int, out: str = "eroded", keys: Keys = ()) -> DataFrame:
     """Whether all cells of the neighbourhood exist and have the flag."""
-    return count_near(cells, flag, rows, cols, "_k").withColumn(out, F.col("_k") == (2 * rows + 1) * (2 * cols + 1)).drop("_k")
+    return count_near(cells, flag, rows, cols, "_c", keys).withColumn(out, F.col("_c") == (2 * rows + 1) * (2 * cols + 1)).drop("_c")
 
 
-def opened(cells: DataFrame, flag: Column, out: str = "opened") -> DataFrame:
+def opened(cells: DataFrame, flag: Column, out: str = "opened", keys: Keys = ()) -> DataFrame:
     """Opening with a 3 by 3 cross: erosion, where what is beyond the edge is unset, then dilation."""
-    along, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
 
     def cross(x: str, test) -> Column:
-        return reduce(test, (F.col(x), *(F.coalesce(F.lag(x, k).over(w), F.lit(False)) for k in (1, -1) for w in (along, down))))
+        return reduce(test, (F.col(x), *(F.coalesce(F.lag(x, k).over(w), F.lit(False)) for k in (1, -1) for w in (along(keys), across(keys)))))
 
-    d = cells.withColumn("_f", flag)
+    d = blocked(cells.withColumn("_f", flag), 2, keys)
     d = d.withColumn("_e", cross("_f", lambda a, b: a & b))
-    return d.withColumn(out, cross("_e", lambda a, b: a | b)).drop("_f", "_e")
+    return owned(d.withColumn(out, cross("_e", lambda a, b: a | b))).drop("_f", "_e")
 
 
-def repair_turns(cells: DataFrame, x: str, rows: int, cols: int, rounds: int) -> DataFrame:
+def repair_turns(cells: DataFrame, x: str, rows: int, cols: int, rounds: int, keys: Keys = ()) -> DataFrame:
     """Whole turns by which cells miss the median around them are taken off, in rounds."""
+    d = blocked(cells, rows * rounds, keys)
     for _ in range(rounds):
-        d = median(cells, x, rows, cols, "_m")
-        cells = d.withColumn(x, F.col(x) - TAU * F.rint((F.col(x) - F.col("_m")) / TAU)).drop("_m")
-    return cells
+        m = _near(d, x, rows, cols, "_n", keys)
+        d = m.withColumn(x, F.col(x) - TAU * F.rint((F.col(x) - middle(F.col("_n"))) / TAU)).drop("_n")
+    return owned(d)
 
 
 def layover_shadow(cells: DataFrame, keys: list[str], order: str, angle: str, reach: str, slack: float = 0.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echogrid.functions import cplx
+from echogrid.operators.neighbours import Keys, across, blocked, owned
 
 
 def real_stats(x: Column, prefix: str = "") -> list[Column]:
@@ -40,23 +41,25 @@ def trimmed(df: DataFrame, keys: list[str], x: str, share: float) -> DataFrame:
     return ranked.where((F.col("_k") >= low) & (F.col("_k") < F.col("_n") - low)).groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
 
 
-def noise_by_difference(lines: DataFrame, kind: str = "single") -> DataFrame:
-    """``col, power``: noise of each range bin from differences of neighbouring lines, those over two deviations dropped.
+def noise_by_difference(lines: DataFrame, kind: str = "single", keys: Keys = ()) -> DataFrame:
+    """``keys, col, power``: noise of each range bin from differences of neighbouring lines, those over two deviations dropped.
 
     ``single``: lines 0 and 1, 2 and 3, ...; ``diff``: all neighbours; both count half. ``mean``: each line less its bin's mean.
     """
+    of = [*keys, "col"]
     if kind == "mean":
-        w = Window.partitionBy("col")
-        d = lines.select("col", (F.col("re") - F.avg("re").over(w)).alias("dre"), (F.col("im") - F.avg("im").over(w)).alias("dim"))
+        means = lines.groupBy(*of).agg(F.avg("re").alias("_re"), F.avg("im").alias("_im"))
+        d = lines.join(means, of).select(*of, (F.col("re") - F.col("_re")).alias("dre"), (F.col("im") - F.col("_im")).alias("dim"))
     else:
-        w = Window.partitionBy("col").orderBy("row")
-        d = lines.withColumns({"dre": F.lead("re").over(w) - F.col("re"), "dim": F.lead("im").over(w) - F.col("im")}).where(F.col("dre").isNotNull())
+        w = across(keys)
+        d = blocked(lines, 1, keys).withColumns({"dre": F.lead("re").over(w) - F.col("re"), "dim": F.lead("im").over(w) - F.col("im")})
+        d = owned(d).where(F.col("dre").isNotNull())
         if kind == "single":
             d = d.where(F.col("row") % 2 == 0)
     scale = 1.0 if kind == "mean" else 0.5
-    p = d.select("col", (F.col("dre") ** 2 + F.col("dim") ** 2).alias("p"))
-    bound = p.groupBy("col").agg(F.avg("p").alias("m"))
-    return p.join(bound, "col").where(F.sqrt("p") < 2 * F.sqrt("m")).groupBy("col").agg((F.avg("p") * scale).alias("power"))
+    p = d.select(*of, (F.col("dre") ** 2 + F.col("dim") ** 2).alias("p"))
+    bound = p.groupBy(*of).agg(F.avg("p").alias("m"))
+    return p.join(bound, of).where(F.sqrt("p") < 2 * F.sqrt("m")).groupBy(*of).agg((F.avg("p") * scale).alias("power"))
 
 
 def smallest_eigenvalue_2(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,12 +74,13 @@ def smallest_eigenvalue_2(lines: DataFrame, keys: list[str]) -> DataFrame:
     return m.select(*keys, "k", (half - root).alias("smallest"))
 
 
-def lag_doppler(lines: DataFrame, keys: list[str], prf: float, lag: int = 1, signs: bool = False) -> DataFrame:
-    """Doppler frequency of each group from the product of cells ``lag`` lines apart, and its correlation."""
-    w = Window.partitionBy("col").orderBy("row")
+def lag_doppler(lines: DataFrame, keys: list[str], prf: float, lag: int = 1, signs: bool = False, image: Keys = ()) -> DataFrame:
+    """Doppler frequency of each group from the product of cells ``lag`` lines apart, and its correlation; ``image``: columns that name the image."""
+    w = across(image)
     z = (F.signum("re"), F.signum("im")) if signs else cplx.pair()
     near = lines.select(*lines.columns, z[0].alias("zre"), z[1].alias("zim"))
-    near = near.withColumns({"nre": F.lead("zre", lag).over(w), "nim": F.lead("zim", lag).over(w)}).where(F.col("nre").isNotNull())
+    near = blocked(near, lag, image).withColumns({"nre": F.lead("zre", lag).over(w), "nim": F.lead("zim", lag).over(w)})
+    near = owned(near).where(F.col("nre").isNotNull())
     re, im = cplx.conj_mul(cplx.pair("n"), cplx.pair("z"))
     g = near.groupBy(*keys).agg(F.avg(re).alias("x"), F.avg(im).alias("y"), F.avg(cplx.power(cplx.pair("z"))).alias("p"), F.avg(cplx.power(cplx.pair("n"))).alias("q"))
     if signs:

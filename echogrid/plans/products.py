@@ -52,8 +52,9 @@ _SPECTRUM = ", a AS (SELECT row, col, avg(re * re + im * im) OVER (PARTITION BY
 
 
 def _averaged(spark, sf):
-    w = Window.partitionBy("col").orderBy("row").rowsBetween(-4, 0)
-    return rel.slc(spark, sf).select("row", "col", F.avg(cplx.power(cplx.pair())).over(w).alias("p"))
+    w = neighbours.across().rowsBetween(-4, 0)
+    blocks = neighbours.blocked(rel.slc(spark, sf).select("row", "col", cplx.power(cplx.pair()).alias("q")), 4)
+    return neighbours.owned(blocks.withColumn("p", F.avg("q").over(w))).select("row", "col", "p")
 
 
 @query("a26_stationary_interference", "slc", f"{_SPECTRUM}, k AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY p) - 1 AS k FROM a), s AS (SELECT row, avg(p) AS m, stddev_pop(p) AS sd FROM k WHERE k >= 6 AND k < 26 GROUP BY row) SELECT row, col FROM a JOIN s USING (row) WHERE (p - m) / sd > 3.0")
