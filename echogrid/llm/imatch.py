@@ -82,13 +82,18 @@ def with_fingerprints(df: DataFrame, texts: dict[str, str], terms: DataFrame, li
     alone = lambda c: F.when(F.size(c) == 0, F.md5(F.array_join(F.array_sort(f"{c}_every"), " ").cast("binary"))).otherwise("")
     sized = kept.select(*rest, *(x for c in texts for x in (drawn(c).alias(c), level(c).alias(f"{c}_level"), alone(c).alias(f"{c}_all"))))
 
-    def hashed(c: str, k: int, up: int) -> Column:
+    def thinned(terms: str, c: str, k: int, up: int) -> Column:
         mask = F.call_function("shiftleft", F.lit(1), F.col(f"{c}_level") + up).cast("long") - 1
-        members = F.filter(c, lambda x: F.shiftright(x[f"h{k // 4}"], 16 * (k % 4)).bitwiseAND(mask) == 0)
+        return F.filter(terms, lambda x: F.shiftright(x[f"h{k // 4}"], 16 * (k % 4)).bitwiseAND(mask) == 0)
+
+    def hashed(members: Column) -> Column:
         return F.when(F.size(members) == 0, NONE).otherwise(F.base64(F.unhex(F.substring(F.lpad(F.hex(F.xxhash64(members)), 16, "0"), 5, 12))))
 
-    every = lambda c: F.concat(F.lpad(F.col(f"{c}_level").cast("string"), 2, "0"), *(hashed(c, k, up) for up in range(LEVELS) for k in range(SUBSETS)), F.col(f"{c}_all"))
-    return sized.select(*rest, *(every(c).alias(name) for c, name in texts.items()))
+    # The levels are nested: the next ones are sought among the few terms of the first.
+    first = sized.select("*", *(thinned(c, c, k, 0).alias(f"{c}_{k}") for c in texts for k in range(SUBSETS)))
+    part = lambda c, k, up: F.col(f"{c}_{k}") if up == 0 else thinned(f"{c}_{k}", c, k, up)
+    every = lambda c: F.concat(F.lpad(F.col(f"{c}_level").cast("string"), 2, "0"), *(hashed(part(c, k, up)) for up in range(LEVELS) for k in range(SUBSETS)), F.col(f"{c}_all"))
+    return first.select(*rest, *(every(c).alias(name) for c, name in texts.items()))
 
 
 def likeness(a: Column, b: Column) -> Column:
