@@ -21,13 +21,14 @@ def area_mean(boxes: DataFrame, cells: DataFrame, keys: list[str], values: list[
     return j.groupBy(*keys).agg(*((F.sum(F.col("_w") * F.col(v)) / total).alias(v) for v in values), total.alias("weight"), (total * total / F.sum(F.col("_w") ** 2)).alias("looks"))
 
 
-def scatter(points: DataFrame, amount: Column, y: str = "y", x: str = "x") -> DataFrame:
-    """``row, col, amount``: each point's amount dealt to the four cells around it by bilinear weights, and summed."""
+def scatter(points: DataFrame, amounts: dict[str, Column], y: str = "y", x: str = "x", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, row, col`` and the amounts: each point's amounts dealt to the four cells around it by bilinear weights, and summed; a null place gives none."""
     two = F.array(F.lit(0), F.lit(1))
-    d = points.withColumns({"_a": amount, "_y": F.col(y), "_x": F.col(x)}).withColumn("_r", F.explode(two)).withColumn("_c", F.explode(two))
+    own = points.select(*keys, F.col(y).alias("_y"), F.col(x).alias("_x"), *(v.alias(f"_{k}") for k, v in amounts.items()))
+    d = own.withColumn("_r", F.explode(two)).withColumn("_c", F.explode(two))
     d = d.withColumns({"row": F.floor("_y") + F.col("_r"), "col": (F.floor("_x") + F.col("_c")).cast("int")})
     w = (1 - F.abs(F.col("_y") - F.col("row"))) * (1 - F.abs(F.col("_x") - F.col("col")))
-    return d.groupBy("row", "col").agg(F.sum(w * F.col("_a")).alias("amount"))
+    return d.where(F.col("row").isNotNull() & F.col("col").isNotNull()).groupBy(*keys, "row", "col").agg(*(F.sum(w * F.col(f"_{k}")).alias(k) for k in amounts))
 
 
 def chips(targets: DataFrame, cells: DataFrame, half: int) -> DataFrame:

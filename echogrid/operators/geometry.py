@@ -34,9 +34,11 @@ def _vector(s: Column, kind: str) -> Vector:
     return s[f"{kind}x"], s[f"{kind}y"], s[f"{kind}z"]
 
 
-def ground_to_radar(targets: DataFrame, orbit: DataFrame, key: str = "orbit_id") -> DataFrame:
+def ground_to_radar(targets: DataFrame, orbit: DataFrame, key: str = "orbit_id", state: bool = False) -> DataFrame:
     """``targets`` (``key, x, y, z``) with ``t, r``: zero-Doppler time and slant range; null where the orbit never passes them.
 
+    ``state``: with ``px..vz`` too, the platform at that time.
+
     The segment is the first in which the product of line of sight and velocity turns from
     positive to not positive. Its Hermite polynomials are worked out once, then the crossing is
     found by a fixed number of Newton steps from the segment's linear estimate.
@@ -63,7 +65,10 @@ def ground_to_radar(targets: DataFrame, orbit: DataFrame, key: str = "orbit_id")
         return F.least(F.greatest(u - dot(los, d) / (dot(los, bend(u)) - dot(d, d)), F.lit(0.0)), F.lit(1.0))
 
     j = j.withColumn("_f", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.col("_u"), newton))
-    j = j.withColumns({"t": F.col("_t") + F.col("_f") * F.col("_h"), "r": norm(minus(x, place(F.col("_f"))))})
+    u, own = F.col("_f"), {}
+    if state:
+        own = {f"p{k}": q for k, q in zip("xyz", place(u), strict=True)} | {f"v{k}": q / F.col("_h") for k, q in zip("xyz", slope(u), strict=True)}
+    j = j.withColumns({"t": F.col("_t") + u * F.col("_h"), "r": norm(minus(x, place(u)))} | own)
     return j.drop("_f", *parts)
 
 
@@ -115,6 +120,11 @@ def doppler(look: Vector, velocity: Vector, wavelength: float) -> Column:
     return 2 / wavelength * dot(velocity, look) / norm(look)
 
 
+def dry_troposphere_delay(cosine: Column, h: Column) -> Column:
+    """Two-way delay of dry air: 2.3 m at the zenith of sea level, a scale height of 6 km (fixed values), at the cosine of the incidence."""
+    return 2 * 2.3 * F.exp(-h / 6000.0) / (299792458.0 * cosine)
+
+
 def bistatic_delay(p: Vector, v: Vector, x: Vector) -> Column:
     """Two-way delay to x of a platform that moves on between transmission and reception."""
     c = 299792458.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,29 +23,44 @@ def _cubic(d: Column) -> Column:
     return F.when(d <= 1, 1.5 * d**3 - 2.5 * d**2 + 1).when(d < 2, -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2).otherwise(0.0)
 
 
-KERNELS = {"nearest": (0, None), "bilinear": (1, lambda d: F.greatest(1 - F.abs(d), F.lit(0.0))), "bicubic": (2, _cubic)}
+def _sinc(d: Column) -> Column:
+    """A sinc of eight taps under a raised cosine."""
+    x = F.abs(d) * math.pi
+    return F.when(x < 1e-9, 1.0).when(x < 4 * math.pi, F.sin(x) / x * (0.5 + 0.5 * F.cos(x / 4))).otherwise(0.0)
+
+
+#: Cells on either side and the weight at a distance; the sinc's weights are divided by their sum.
+KERNELS = {"nearest": (0, None), "bilinear": (1, lambda d: F.greatest(1 - F.abs(d), F.lit(0.0))), "bicubic": (2, _cubic), "sinc": (4, _sinc)}
 
 
-def interpolate(points: DataFrame, cells: DataFrame, keys: list[str], method: str = "bilinear", v: str = "v", clamp: tuple[int, int] | None = None) -> DataFrame:
-    """``points`` (``keys, id, y, x``) with ``v`` at their places, null where a needed cell is missing.
+def interpolate(points: DataFrame, cells: DataFrame, keys: list[str], method: str = "bilinear", v: str | list[str] = "v", clamp: tuple[int, int] | None = None) -> DataFrame:
+    """``points`` (``keys, id, y, x``) with the values ``v`` at their places, null where a needed cell is missing.
 
     A point is dealt to the cells it needs, which are joined by row and column and summed with
-    their weights. ``clamp``: the shape to whose edge places are moved.
+    their weights; all values of a place share the join. ``clamp``: the shape to whose edge
+    places are moved. Without ``id``, all columns name the point.
     """
+    values = [v] if isinstance(v, str) else v
     reach, weight = KERNELS[method]
     p = points
     if clamp:
         p = p.withColumns({"y": F.least(F.greatest("y", F.lit(0.0)), F.lit(clamp[0] - 1.0)), "x": F.least(F.greatest("x", F.lit(0.0)), F.lit(clamp[1] - 1.0))})
     if method == "nearest":
         near = p.withColumns({"row": F.floor(F.col("y") + 0.5), "col": F.floor(F.col("x") + 0.5).cast("int")})
-        return near.join(cells.select(*keys, "row", "col", v), [*keys, "row", "col"], "left").drop("row", "col")
+        return near.join(cells.select(*keys, "row", "col", *values), [*keys, "row", "col"], "left").drop("row", "col")
     offsets = F.array(*(F.lit(k) for k in range(1 - reach, reach + 1)))
     d = p.withColumn("_r", F.explode(offsets)).withColumn("_c", F.explode(offsets))
     d = d.withColumns({"row": F.floor("y") + F.col("_r"), "col": (F.floor("x") + F.col("_c")).cast("int")})
-    d = d.withColumn("_w", weight(F.col("y") - F.col("row")) * weight(F.col("x") - F.col("col"))).where("_w <> 0")
-    j = d.join(cells.select(*keys, "row", "col", F.col(v).alias("_v")), [*keys, "row", "col"], "left")
-    g = j.groupBy(*points.columns).agg(F.count("*").alias("_n"), F.count("_v").alias("_k"), F.sum(F.col("_w") * F.col("_v")).alias("_s"))
-    return g.select(*points.columns, F.when(F.col("_n") == F.col("_k"), F.col("_s")).alias(v))
+    # Weights of 0 are passed over in the sums: a filter here would be pushed below and work the places out again for each cell.
+    d = d.withColumn("_w", F.nullif(weight(F.col("y") - F.col("row")) * weight(F.col("x") - F.col("col")), F.lit(0.0)))
+    j = d.join(cells.select(*keys, "row", "col", *(F.col(k).alias(f"_v{k}") for k in values)), [*keys, "row", "col"], "left")
+    named = [*keys, "id"] if "id" in points.columns else points.columns
+    rest = [k for k in points.columns if k not in named]
+    part = {k: F.col("_w") * F.col(f"_v{k}") for k in values}
+    sums = (x for k in values for x in (F.count(part[k]).alias(f"_k{k}"), F.sum(part[k]).alias(f"_s{k}")))
+    g = j.groupBy(*named).agg(F.count("_w").alias("_n"), F.sum("_w").alias("_t"), *(F.first(k).alias(k) for k in rest), *sums)
+    total = F.col("_t") if method == "sinc" else F.lit(1.0)
+    return g.select(*points.columns, *(F.when(F.col("_n") == F.col(f"_k{k}"), F.col(f"_s{k}") / total).alias(k) for k in values))
 
 
 def fill_by_distance(cells: DataFrame, x: str, radius: int, power: float = 2.0, nearest: int | None = None) -> DataFrame:

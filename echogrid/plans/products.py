@@ -39,7 +39,7 @@ def a13(spark, sf):
 @query("a16_facet_areas", "img", ", p AS (SELECT row * 0.5 + 0.25 AS y, col * 0.6 + 0.1 AS x, sqrt(1 + v * v) AS a FROM img), s AS (SELECT floor(y) + r AS row, floor(x) + k AS col, (1 - abs(y - floor(y) - r)) * (1 - abs(x - floor(x) - k)) * a AS a FROM p, range(0, 2) i(r), range(0, 2) j(k)) SELECT CAST(row AS BIGINT) AS row, CAST(col AS INT) AS col, round(sum(a), 6) + 0.0 AS area FROM s GROUP BY 1, 2")
 def a16(spark, sf):
     p = rel.img(spark, sf).select((c("row") * 0.5 + 0.25).alias("y"), (c("col") * 0.6 + 0.1).alias("x"), F.sqrt(1 + c("v") ** 2).alias("a"))
-    return footprint.scatter(p, c("a")).select("row", "col", r6(c("amount")).alias("area"))
+    return footprint.scatter(p, {"area": c("a")}).select("row", "col", r6(c("area")).alias("area"))
 
 
 @query("a19_noise_by_block", "slc", ", d AS (SELECT col, row, lead(re) OVER w - re AS dre, lead(im) OVER w - im AS dim FROM slc WINDOW w AS (PARTITION BY col ORDER BY row)), p AS (SELECT col, dre * dre + dim * dim AS p FROM d WHERE dre IS NOT NULL AND row % 2 = 0), m AS (SELECT col, avg(p) AS m FROM p GROUP BY col), x AS (SELECT col, avg(p) * 0.5 AS power FROM p JOIN m USING (col) WHERE sqrt(p) < 2 * sqrt(m) GROUP BY col) SELECT CAST(floor(col / 8) AS BIGINT) AS block, round(avg(power), 6) AS power FROM x GROUP BY 1")
@@ -115,9 +115,8 @@ def a51(spark, sf):
 @query("p49_timing_corrections", "img target", ", p AS (SELECT id, abs(lat) * 2.1 AS y, (lon + 180) * 0.17 AS x FROM target), t AS (SELECT id, (1 - abs(y - floor(y) - r)) * (1 - abs(x - floor(x) - k)) AS w, v FROM p, range(0, 2) i(r), range(0, 2) j(k) LEFT JOIN img ON img.row = floor(y) + r AND img.col = floor(x) + k), n AS (SELECT id, count(*) AS need, count(v) AS got, sum(w * v) AS v FROM t WHERE w <> 0 GROUP BY id) SELECT id, round(CASE WHEN need = got THEN 3 * v END, 6) + 0.0 AS v FROM n")
 def p49(spark, sf):
     p = rel.target(spark, sf).select("id", (F.abs("lat") * 2.1).alias("y"), ((c("lon") + 180) * 0.17).alias("x"))
-    first = grid.interpolate(p, rel.img(spark, sf), [])
-    second = grid.interpolate(p, rel.img(spark, sf).withColumn("v", c("v") * 2), []).select("id", c("v").alias("w"))
-    return first.join(second, "id").select("id", r6(c("v") + c("w")).alias("v"))
+    both = grid.interpolate(p, rel.img(spark, sf).withColumn("w", c("v") * 2), [], v=["v", "w"])
+    return both.select("id", r6(c("v") + c("w")).alias("v"))
 
 
 @query("j30_seam_jumps", "img", f", b AS (SELECT CAST(floor(row / 50) AS BIGINT) AS tile, row, col, v * 60 + CAST(floor(row / 50) AS BIGINT) * 9 AS p FROM img), o AS (SELECT a.tile, median(a.p - b.p) AS m FROM b a JOIN b ON b.tile = a.tile + 1 AND b.row = a.row + 50 AND b.col = a.col GROUP BY a.tile) SELECT tile, CAST(-round_even(abs(m) / {2 * math.pi}, 0) AS BIGINT) AS turns FROM o")
@@ -140,7 +139,7 @@ def g8(spark, sf):
     down = cplx.rotate(cplx.pair(), -0.3 * c("col"))
     flat = s.select("row", "col", down[0].alias("re"), down[1].alias("im"))
     p = s.select(c("row").alias("r"), c("col").alias("k"), (c("row") + 0.25).alias("y"), (c("col") + 0.4).alias("x"))
-    both = grid.interpolate(grid.interpolate(p, flat, [], v="re"), flat, [], v="im").where("re IS NOT NULL AND im IS NOT NULL")
+    both = grid.interpolate(p, flat, [], v=["re", "im"]).where("re IS NOT NULL AND im IS NOT NULL")
     up = cplx.rotate(cplx.pair(), 0.3 * c("x"))
     return both.select(c("r").alias("row"), c("k").alias("col"), r6(up[0]).alias("re"), r6(up[1]).alias("im"))
 
