@@ -6,9 +6,11 @@ pieces in code points, each with whether it is learnt: an assistant's text and i
 are, headers and other roles' turns are not. DataFrame functions only.
 
 Rows: a null role or text is an empty one. Turns stand in the order of their numbers (nulls
-first), equal numbers by role and text, repeated rows stay. If one conversation begins with
-the whole other one, the other's completion is empty and its mask an empty array. An empty
-table gives an empty result.
+first), equal numbers by role and text, repeated rows stay. A row without a conversation's id is
+a conversation of its own, of one turn and no partner, so such rows never meet in one group. If one
+conversation begins with the whole other one, the other's completion is empty and its mask an
+empty array. A conversation is one row, however long. Other columns are not read. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def neighbours(turns: DataFrame) -> DataFrame:
     stand in one group of one shuffle.
     """
     own = F.struct(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    two = turns.select(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair"), own.alias("t")).groupBy("pair").agg(F.sort_array(F.collect_list("t")).alias("all"))
+    two = turns.where(F.col("conv_id").isNotNull()).select(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair"), own.alias("t")).groupBy("pair").agg(F.sort_array(F.collect_list("t")).alias("all"))
 
     def side(bit: int) -> Column:
         return F.transform(F.filter("all", lambda t: F.pmod(t["conv_id"], F.lit(2)) == bit), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
@@ -40,7 +42,10 @@ def neighbours(turns: DataFrame) -> DataFrame:
     sides = two.select("pair", side(0).alias("even"), side(1).alias("odd"))
     number = F.shiftleft("pair", 1)
     pairs = F.array(F.struct(number.alias("conv_id"), F.col("even").alias("chosen"), spliced("even", "odd").alias("rejected")), F.struct((number + 1).alias("conv_id"), F.col("odd").alias("chosen"), spliced("odd", "even").alias("rejected")))
-    return sides.select(F.inline(F.filter(pairs, lambda p: F.size(p["chosen"]) > 0)))
+    named = sides.select(F.inline(F.filter(pairs, lambda p: F.size(p["chosen"]) > 0)))
+    turn = F.struct(F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    alone = turns.where(F.col("conv_id").isNull()).select(F.lit(None).cast("long").alias("conv_id"), F.array(turn).alias("chosen"))
+    return named.unionByName(alone.withColumn("rejected", F.slice("chosen", 1, 0)))
 
 
 def render(turns: Column) -> Column:
@@ -77,7 +82,8 @@ def flat(formatted: DataFrame) -> DataFrame:
 SQL = f"""
 WITH t AS (
   SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS c
-  FROM conversations GROUP BY conv_id),
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+  UNION ALL SELECT NULL, [{{'role': coalesce(role, ''), 'text': coalesce(text, '')}}] FROM conversations WHERE conv_id IS NULL),
 s AS (
   SELECT a.conv_id, a.c AS c, list_concat(a.c[1:len(a.c) // 2], coalesce(b.c, [])[len(a.c) // 2 + 1:]) AS r
   FROM t a LEFT JOIN t b ON b.conv_id = xor(a.conv_id, 1)),

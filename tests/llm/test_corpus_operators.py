@@ -283,6 +283,20 @@ def test_chat_pairs(spark):
     assert chat_pairs.neighbours(turns.limit(0)).count() == 0
 
 
+def test_chat_pairs_of_null_ids_and_long_conversations_like_sql(spark):
+    import duckdb
+
+    rows = [(None, 0, "user", "x"), (None, 0, "user", "x"), (None, 1, "assistant", None)]
+    rows += [(2, k, ("user", "assistant")[k % 2], f"turn {k} " + "w " * 50) for k in range(3000)] + [(3, k, "user", f"turn {k} " + "w " * 50 if k % 2 == 0 else "other") for k in range(2000)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = db.execute(chat_pairs.SQL)
+    names = [d[0] for d in found.description]
+    r = chat_pairs.flat(chat_pairs.format_pairs(chat_pairs.neighbours(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()
+    assert sorted((tuple(x[n] for n in names) for x in r), key=repr) == sorted(found.fetchall(), key=repr) and len(r) == 5
+
+
 def test_same_conversations_have_no_completions(spark):
     turn = [("user", "q"), ("assistant", "a")]
     pairs = spark.createDataFrame([(1, turn, turn), (2, turn, turn[:1])], "conv_id int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
