@@ -6,6 +6,8 @@ loss of an executor never re-runs what came before.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,13 +17,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or an own folder where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, an own folder that goes with the process, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        atexit.register(shutil.rmtree, _OWN[key], ignore_errors=True)
     return _OWN[key]
 
 
