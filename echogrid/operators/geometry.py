@@ -153,6 +153,16 @@ def aperture_seconds(r: Column, ground_speed: Column, wavelength: float, resolut
     return wavelength / (2 * resolution) * r / ground_speed
 
 
+def apertures(cells: DataFrame, pulse: Column, r: Column, ratio: Column, spacing: float, wavelength: float, resolution: float) -> DataFrame:
+    """``cells`` with ``first, last``: the pulses of each cell's synthetic aperture, around the pulse at its crossing.
+
+    Its length is ``wavelength * r * ratio / (2 * resolution)``, with ``ratio`` the platform's
+    distance to the centre over the cell's; ends are rounded outwards and kept from going below 0.
+    """
+    half = wavelength * r * ratio / (2 * resolution) / spacing / 2
+    return cells.withColumns({"first": F.greatest(F.floor(pulse - half), F.lit(0)).cast("long"), "last": F.greatest(F.ceil(pulse + half), F.lit(0)).cast("long")})
+
+
 def corner_spacing(targets: DataFrame, orbit: DataFrame, half: float, keys: list[str]) -> DataFrame:
     """``keys, dt, dr``: least half extent in time and range of the boxes of ``half`` metres around the targets (in y and z)."""
     ends = F.array(F.lit(-half), F.lit(half))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echogrid.shared import materialize
+
 
 def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
     """Crossing parity over the edges of a polygon given as literals."""
@@ -63,9 +65,11 @@ def interpolate(points: DataFrame, cells: DataFrame, keys: list[str], method: st
     return g.select(*points.columns, *(F.when(F.col("_n") == F.col(f"_k{k}"), F.col(f"_s{k}") / total).alias(k) for k in values))
 
 
-def fill_by_distance(cells: DataFrame, x: str, radius: int, power: float = 2.0, nearest: int | None = None) -> DataFrame:
+def fill_by_distance(cells: DataFrame, x: str, radius: int, power: float = 2.0, nearest: int | None = None, decay: float | None = None) -> DataFrame:
     """Null cells get the mean of the cells within a radius, weighted by distance to the minus power.
 
+    ``decay``: weights ``exp(-d^2 / 2 * decay)`` instead (the decay multiplies, as the survey's item 7 has it).
+
     Holes are dealt to tiles as wide as the radius and to the eight around, so each meets only
     cells nearby. ``nearest``: only so many count (ties by row and column).
     """
@@ -78,6 +82,42 @@ def fill_by_distance(cells: DataFrame, x: str, radius: int, power: float = 2.0,
     if nearest:
         best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "r", "c", "v"))), 1, nearest)
         near = near.groupBy("row", "col").agg(best.alias("n")).select("row", "col", F.inline("n"))
-    w = F.pow(F.col("d2"), F.lit(-power / 2))
+    w = F.pow(F.col("d2"), F.lit(-power / 2)) if decay is None else F.exp(-F.col("d2") / 2 * decay)
     filled = near.groupBy("row", "col").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("_f"))
     return cells.join(filled, ["row", "col"], "left").withColumn(x, F.coalesce(x, "_f")).drop("_f")
+
+
+def k_nearest(points: DataFrame, k: int, tile: float, y: str = "y", x: str = "x") -> DataFrame:
+    """``id, other, n, d2``: the k nearest other points of each point of ``id`` and places, ties by id.
+
+    Points are dealt to square tiles and compared with those of the nine tiles around. A point
+    whose k-th neighbour is not surely within reach (a tile's width) goes on to tiles twice as wide,
+    until all have k or the tiles span all points; so tiles stay small where points are dense.
+    """
+    p = materialize(points.select("id", F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")), "points")
+    span = p.agg(F.greatest(F.max("y") - F.min("y"), F.max("x") - F.min("x")).alias("s")).first().s or 0.0
+    left, out = p, None
+    around = F.array(*(F.lit(j) for j in (-1, 0, 1)))
+    while True:
+        at = lambda v, w=tile: F.floor(F.col(v) / w)
+        b = p.select(F.col("id").alias("other"), F.col("y").alias("y2"), F.col("x").alias("x2"), at("y").alias("ty"), at("x").alias("tx"))
+        a = left.withColumn("_a", F.explode(around)).withColumn("_b", F.explode(around)).withColumns({"ty": at("y") + F.col("_a"), "tx": at("x") + F.col("_b")})
+        d2 = (F.col("y") - F.col("y2")) ** 2 + (F.col("x") - F.col("x2")) ** 2
+        near = a.join(b, ["ty", "tx"]).where("id <> other").withColumn("d2", d2)
+        own = near.groupBy("id").agg(smallest(F.struct("d2", "other"), k).alias("t"))
+        last = tile > span
+        sure = F.lit(True) if last else (F.size("t") == k) & (F.get("t", F.lit(k - 1))["d2"] <= tile * tile)
+        done = materialize(own.where(sure), "nearest")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            break
+        left = materialize(left.join(done, "id", "left_anti"), "open")
+        if left.isEmpty():
+            break
+        tile *= 2
+    return out.select("id", F.posexplode("t").alias("n", "s")).select("id", F.col("s.other").alias("other"), (F.col("n") + 1).alias("n"), F.col("s.d2").alias("d2"))
+
+
+def smallest(value: Column, k: int) -> Column:
+    """Aggregate: the k least values, sorted."""
+    return F.slice(F.array_sort(F.collect_list(value)), 1, k)

@@ -6,19 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def subswath(cells: DataFrame, swaths: DataFrame) -> DataFrame:
-    """``cells`` with ``s``: the first valid interval ``[start, stop)`` of its line, 0 if none.
+def subswath(cells: DataFrame, swaths: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``cells`` with ``s``: the first sub-swath whose valid interval ``[start, stop)`` of the line holds the cell, 0 if none.
 
-    A line's intervals are gathered into one short array first, so each cell meets one row.
+    A line's intervals are gathered into one short array first, so each cell meets one row. A
+    sub-swath without any intervals is a row of ``s`` with a null ``row``: all cells belong to it.
+    Without any sub-swath at all (of the image named by ``keys``) every cell belongs to 1.
     """
-    lines = swaths.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "start", "stop"))).alias("own"))
+    lines = swaths.where(F.col("row").isNotNull()).groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("s", "start", "stop"))).alias("own"))
+    known = swaths.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.when(F.col("row").isNull(), F.col("s"))).alias("_all"))
     inside = F.filter("own", lambda i: (F.col("col") >= i["start"]) & (F.col("col") < i["stop"]))
-    return cells.join(lines, "row", "left").withColumn("s", F.coalesce(F.get(inside, F.lit(0))["s"], F.lit(0))).drop("own")
+    d = cells.join(lines, [*keys, "row"], "left")
+    # One row an image: a plain one-row side without keys.
+    d = d.join(known, list(keys), "left") if keys else d.crossJoin(F.broadcast(known))
+    first = F.least(F.get(inside, F.lit(0))["s"], F.col("_all"))
+    return d.withColumn("s", F.coalesce(first, F.when(F.coalesce("_n", F.lit(0)) == 0, 1).otherwise(0))).drop("own", "_n", "_all")
 
 
-def fill_gaps(cells: DataFrame, swaths: DataFrame, value: dict[str, float]) -> DataFrame:
+def fill_gaps(cells: DataFrame, swaths: DataFrame, value: dict[str, float], keys: tuple[str, ...] = ()) -> DataFrame:
     """Cells outside all valid intervals get the given values."""
-    named = subswath(cells, swaths)
+    named = subswath(cells, swaths, keys)
     return named.withColumns({k: F.when(F.col("s") > 0, F.col(k)).otherwise(v) for k, v in value.items()}).drop("s")
 
 

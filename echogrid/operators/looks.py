@@ -35,8 +35,10 @@ def power_mean(z: cplx.Pair, p: float) -> Column:
     return F.avg(F.pow(cplx.modulus(z), F.lit(p)))
 
 
-def coherence(a: cplx.Pair, b: cplx.Pair) -> Column:
-    """Aggregate: modulus of the mean product over the root of the mean powers."""
+def coherence(a: cplx.Pair, b: cplx.Pair, cells: int | None = None) -> Column:
+    """Aggregate: modulus of the mean product over the root of the mean powers; 1 everywhere for looks of one cell."""
+    if cells == 1:
+        return F.lit(1.0)
     re, im = cplx.mean(cplx.conj_mul(a, b))
     return F.hypot(re, im) / F.nullif(F.sqrt(F.avg(cplx.power(a)) * F.avg(cplx.power(b))), F.lit(0.0))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.functions import cplx, radar
-from echogrid.operators import looks
+from echogrid.operators import components, lines, looks, neighbours
+from echogrid.shared import materialize
 
 
 def interferogram_product(reference: DataFrame, secondary: DataFrame, rows: int, cols: int, offset: Column, spacing: float, wavelength: float) -> DataFrame:
@@ -17,3 +18,35 @@ def interferogram_product(reference: DataFrame, secondary: DataFrame, rows: int,
     mean = cplx.mean(cplx.pair("i"))
     power = F.sqrt(F.avg(cplx.power(cplx.pair())) * F.avg(cplx.power(cplx.pair("b"))))
     return looks.multilook(flat, rows, cols, looks.extent(reference.where("row >= 0").join(secondary.select("row").distinct(), "row", "left_semi")), coherence=F.hypot(*mean) / F.nullif(power, F.lit(0.0)), phase=F.atan2(mean[1], mean[0]), n=F.count("*"))
+
+
+def dispersive_phase(reference: DataFrame, secondary: DataFrame, f: tuple[float, float, float], block: tuple[int, int], least: float, cells: int, kernel: list[float]) -> DataFrame:
+    """``row, col, phase, sigma``: ionospheric phase of an image pair from its two sub-bands.
+
+    Lines are split into a lower and an upper half band and multiplied; looks give both phases
+    and their coherence; only cells coherent in both bands, in components of ``cells`` at least,
+    are valid. Their sub-band phases give the dispersive phase, whole turns are taken off, and
+    sigmas from the coherences weight the smoothing.
+    """
+    f0, fl, fh = f
+
+    def product(low: float, high: float, name: str) -> DataFrame:
+        half = [lines.to_cells(lines.band(lines.to_lines(x, ["row"]), ["row"], low, high, step=2), ["row"]) for x in (reference, secondary)]
+        t = looks.interferogram(*half)
+        shape = looks.extent(reference.select("row", "col").join(secondary.select("row").distinct(), "row", "left_semi"))
+        mean = cplx.mean(cplx.pair("i"))
+        power = F.sqrt(F.avg(cplx.power(cplx.pair())) * F.avg(cplx.power(cplx.pair("b"))))
+        return looks.multilook(t.where("row >= 0"), *block, (shape[0], shape[1] // 2), **{f"{name}_coherence": F.hypot(*mean) / F.nullif(power, F.lit(0.0)), name: F.atan2(mean[1], mean[0])})
+
+    both = materialize(product(-0.5, 0.0, "low").join(product(0.0, 0.5, "high"), ["row", "col"]), "sub-bands")
+    good = (F.col("low_coherence") >= least) & (F.col("high_coherence") >= least)
+    width = looks.extent(both)[1]
+    valid = components.large_enough(components.label(both, good, max(width, 1)), cells).select("row", "col", F.lit(True).alias("valid"))
+    disp, nondisp = radar.iono_low_high(f0, fl, fh, F.col("low"), F.col("high"))
+    common, differential = radar.turns_low_high(f0, fl, fh, disp, nondisp, F.col("low"), F.col("high"))
+    low, high = (F.col(k) - radar.TAU * n for k, n in (("low", common), ("high", common + differential)))
+    count = block[0] * block[1]
+    sigma, _ = radar.sigma_low_high(f0, fl, fh, radar.phase_sigma(F.col("low_coherence"), count), radar.phase_sigma(F.col("high_coherence"), count))
+    d = both.join(valid, ["row", "col"], "left").withColumn("phase", F.when(F.col("valid"), radar.iono_low_high(f0, fl, fh, low, high)[0]))
+    d = d.withColumn("sigma", F.when(F.col("valid"), sigma)).select("row", "col", "phase", "sigma")
+    return neighbours.smooth_with_sigma(d, "phase", "sigma", kernel, kernel)

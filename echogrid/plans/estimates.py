@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from echogrid.functions import cplx, radar
-from echogrid.operators import looks, pol, stats
+from echogrid.operators import looks, neighbours, pol, stats
 from echogrid.plans import relations as rel
 from echogrid.plans.registry import query, r6
 
@@ -258,9 +258,41 @@ def a48(spark, sf):
     return g.agg(F.round(F.max(p) / ((F.sum(p) - F.max(p)) / F.nullif(F.count("*") - 1, F.lit(0))), 5).alias("snr"))
 
 
-@query("l1_interferogram", "slc sec", f", o AS (SELECT row, col, re, im, {-4 * math.pi * 6.25 / 0.24} * 0.0005 * col AS a FROM slc), t AS (SELECT row, col, o.re, o.im, b.re AS bre, b.im AS bim, (o.re * b.re + o.im * b.im) * cos(a) - (o.im * b.re - o.re * b.im) * sin(a) AS ire, (o.re * b.re + o.im * b.im) * sin(a) + (o.im * b.re - o.re * b.im) * cos(a) AS iim FROM o JOIN sec b USING (row, col))" + _blocks("slc", 5, 4, f"{_COH}, round(atan2(avg(iim), avg(ire)), 5) + 0.0 AS phase, count(*) AS n", "t"))
+_L1 = f", o AS (SELECT row, col, re, im, {-4 * math.pi * 6.25 / 0.24} * 0.0005 * col AS a FROM slc), t AS (SELECT row, col, o.re, o.im, b.re AS bre, b.im AS bim, (o.re * b.re + o.im * b.im) * cos(a) - (o.im * b.re - o.re * b.im) * sin(a) AS ire, (o.re * b.re + o.im * b.im) * sin(a) + (o.im * b.re - o.re * b.im) * cos(a) AS iim FROM o JOIN sec b USING (row, col))" + _blocks("slc", 5, 4, f"{_COH}, round(atan2(avg(iim), avg(ire)), 5) + 0.0 AS phase, count(*) AS n", "t")
+
+
+@query("l1_interferogram", "slc sec", _L1)
 def l1(spark, sf):
     from echogrid.operators.pipelines import interferogram_product
 
     t = interferogram_product(rel.slc(spark, sf), rel.sec(spark, sf), 5, 4, offset=0.0005 * c("col"), spacing=6.25, wavelength=0.24)
     return t.select("row", "col", r6(c("coherence")).alias("coherence"), (F.round("phase", 5) + F.lit(0.0)).alias("phase"), "n")
+
+
+_SMOOTH = lambda x: f"(0.25 * coalesce(lag({x}) OVER w, 0) + 0.5 * {x} + 0.25 * coalesce(lead({x}) OVER w, 0))"
+
+
+def _filtered_sql() -> str:
+    with_part, _, select = _L1.rpartition(" SELECT ")
+    one = _SMOOTH
+    return (
+        f"{with_part}, pr AS (SELECT {select}), z AS (SELECT row, col, coherence * cos(phase) AS x, coherence * sin(phase) AS y FROM pr), "
+        f"za AS (SELECT row, col, {one('x')} AS x, {one('y')} AS y FROM z WINDOW w AS (PARTITION BY row ORDER BY col)), "
+        f"zb AS (SELECT row, col, {one('x')} AS x, {one('y')} AS y FROM za WINDOW w AS (PARTITION BY col ORDER BY row)) "
+        "SELECT row, col, round(x, 4) + 0.0 AS re, round(y, 4) + 0.0 AS im FROM zb"
+    )
+
+
+@query("l1_filtered_interferogram", "slc sec", _filtered_sql())
+def l1_filtered(spark, sf):
+    """The multilooked interferogram of modulus coherence, low-passed: what the filtered phase is the angle of."""
+    p = l1(spark, sf).select("row", "col", (c("coherence") * F.cos("phase")).alias("re"), (c("coherence") * F.sin("phase")).alias("im"))
+    k = [0.25, 0.5, 0.25]
+    d = neighbours.smooth(p, ["re", "im"], k, k)
+    return d.select("row", "col", *((F.round(x, 4) + F.lit(0.0)).alias(x) for x in ("re", "im")))
+
+
+@query("l1_statistics", "slc sec", _L1.rpartition(" SELECT ")[0] + ", pr AS (SELECT " + _L1.rpartition(" SELECT ")[2] + ") SELECT CAST(floor(col / 4) AS BIGINT) AS part, count(coherence) AS n, round(min(coherence), 5) + 0.0 AS least, round(avg(coherence), 5) AS mean, round(max(coherence), 5) AS most, round(stddev_samp(coherence), 5) AS sd FROM pr GROUP BY 1")
+def l1_statistics(spark, sf):
+    g = l1(spark, sf).groupBy(F.floor(c("col") / 4).alias("part")).agg(*stats.real_stats(c("coherence")))
+    return g.select("part", "n", *((F.round(x, 5) + F.lit(0.0)).alias(x) for x in ("least", "mean", "most", "sd")))

@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from echogrid.functions import geodesy
-from echogrid.operators import geometry, mapping, neighbours, stats
+from echogrid.functions import cplx, geodesy, radar
+from echogrid.operators import geometry, mapping, neighbours, pol, stats
 from echogrid.plans import relations as rel
 from echogrid.plans.registry import query, r6
 from echogrid.shared import materialize
@@ -285,3 +285,22 @@ def l4(spark, sf):
     coded = neighbours.layover_shadow(e, ["row"], "col", "angle", "r")
     water = 4 * ((c("id") * 37) % 251).between(1, 200).cast("int")
     return coded.join(_factors(cells), "id").select("id", "r", F.round("el", 5).alias("elevation"), (c("code") + water).alias("code"), "factor")
+
+
+_WIDE = "pw AS (SELECT row, col, " + ", ".join(f"max(CASE WHEN p = {k} THEN {x} END) AS {m}{x}" for k, m in enumerate(("hh", "hv", "vh", "vv")) for x in ("re", "im")) + " FROM pol GROUP BY row, col)"
+_CORRECTED = "cx AS (SELECT pw.row, pw.col, nullif(greatest(hhre * hhre + hhim * hhim - 0.001, 0), 0) / (gamma / sigma) AS hh, nullif(pow((hvre + vhre) / 2, 2) + pow((hvim + vhim) / 2, 2), 0) / (gamma / sigma) AS hv FROM pw JOIN sc USING (row, col) WHERE sigma > 100 AND gamma > 0)"
+_AT = "wq AS (SELECT nrow * 100 + ncol AS id, floor(gy) + i AS row, floor(gx) + j AS col, (1 - abs(gy - floor(gy) - i)) * (1 - abs(gx - floor(gx) - j)) AS w FROM f, range(0, 2) a(i), range(0, 2) b(j))"
+
+
+@query("l2_terrain_corrected_map", "img pol", f"{_AREAS}, {_WIDE}, {_CORRECTED}, {_AT}, n AS (SELECT id, count(*) AS need, count(hh) AS got, sum(w * hh) AS hh, sum(w * hv) AS hv FROM wq LEFT JOIN cx USING (row, col) WHERE w <> 0 GROUP BY id) SELECT id, round(hh, 4) + 0.0 AS hh, round(hv, 4) + 0.0 AS hv FROM n WHERE need = got")
+def l2(spark, sf):
+    """Noise off, cross-polarised channels as one, divided by the area factor of the radar cell, and put on the map."""
+    cells = _crossed(spark, sf)
+    areas = mapping.area_layers(cells, (), T0, PRF, R0, DR).where((c("sigma") > 100) & (c("gamma") > 0)).select("row", "col", mapping.normalisation().alias("rtc"))
+    w = pol.wide(rel.pol(spark, sf))
+    cross = cplx.power(cplx.add(cplx.pair("hv"), cplx.pair("vh"))) / 4
+    image = w.select("row", "col", radar.denoised_power(cplx.power(cplx.pair("hh")), F.lit(0.001)).alias("hh"), cross.alias("hv")).join(areas, ["row", "col"])
+    image = image.select("row", "col", *(radar.terrain_corrected(c(k), c("rtc")).alias(k) for k in ("hh", "hv")))
+    places = mapping.image_places(cells.select("id", "t", "r"), T0, PRF, R0, DR)
+    d = mapping.geocode(places, image, [], ["hh", "hv"]).where("hh IS NOT NULL")
+    return d.select("id", *((F.round(k, 4) + F.lit(0.0)).alias(k) for k in ("hh", "hv")))

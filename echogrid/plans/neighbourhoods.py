@@ -55,7 +55,7 @@ def w4(spark, sf):
 
 
 _HOLES = ", h AS (SELECT row, col, CASE WHEN (row * 3 + col * 5) % 7 > 1 THEN v END AS v FROM img)"
-_N3 = ", n AS (SELECT a.row, a.col, a.v, b.v AS w FROM h a JOIN h b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1)"
+_N3 = ", n AS (SELECT a.row, a.col, a.v, b.v AS w FROM h a, range(-1, 2) i(i), range(-1, 2) j(j), h b WHERE b.row = a.row + i AND b.col = a.col + j)"
 
 
 def _holes(spark, sf):
@@ -182,7 +182,7 @@ def j14(spark, sf):
     return grid.interpolate(p, rel.img(spark, sf), []).select(c("r0").alias("row"), c("c0").alias("col"), r6(c("v")).alias("v"))
 
 
-_BIG = ", h AS (SELECT row, col, CASE WHEN floor(row / 3) % 4 = 1 AND floor(col / 3) % 3 = 1 THEN NULL ELSE v END AS v FROM img), d AS (SELECT a.row, a.col, pow(a.row - b.row, 2) + pow(a.col - b.col, 2) AS d2, b.row AS r, b.col AS c, b.v FROM h a JOIN h b ON b.row BETWEEN a.row - 4 AND a.row + 4 AND b.col BETWEEN a.col - 4 AND a.col + 4 WHERE a.v IS NULL AND b.v IS NOT NULL)"
+_BIG = ", h AS (SELECT row, col, CASE WHEN floor(row / 3) % 4 = 1 AND floor(col / 3) % 3 = 1 THEN NULL ELSE v END AS v FROM img), d AS (SELECT a.row, a.col, pow(a.row - b.row, 2) + pow(a.col - b.col, 2) AS d2, b.row AS r, b.col AS c, b.v FROM (SELECT row, col FROM h WHERE v IS NULL) a, range(-4, 5) i(i), range(-4, 5) j(j), h b WHERE b.row = a.row + i AND b.col = a.col + j AND b.v IS NOT NULL)"
 
 
 def _big(spark, sf):
@@ -200,6 +200,11 @@ def j18(spark, sf):
     return grid.fill_by_distance(_big(spark, sf), "v", 4).select("row", "col", r6(c("v")).alias("v"))
 
 
+@query("j18_exponential_fill", "img", f"{_BIG}, n AS (SELECT row, col, sum(v * exp(-d2 / 2 * 0.3)) / sum(exp(-d2 / 2 * 0.3)) AS v FROM d WHERE d2 <= 16 GROUP BY row, col) SELECT h.row, h.col, round(coalesce(h.v, n.v), 6) + 0.0 AS v FROM h LEFT JOIN n USING (row, col)")
+def j18_exponential(spark, sf):
+    return grid.fill_by_distance(_big(spark, sf), "v", 4, decay=0.3).select("row", "col", r6(c("v")).alias("v"))
+
+
 @query("f13_phase_preprocessing", "slc", f", t AS (SELECT row, col, atan2(im, re) AS p, abs(re) >= 0.02 AS ok FROM slc) SELECT row, col, round(CASE WHEN ok THEN cos(p) ELSE 0.0 END, 6) + 0.0 AS re, round(CASE WHEN ok THEN sin(p) ELSE 0.0 END, 6) + 0.0 AS im FROM t")
 def f13(spark, sf):
     ok, p = F.abs("re") >= 0.02, F.atan2("im", "re")

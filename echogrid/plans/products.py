@@ -11,7 +11,7 @@ from echogrid.functions import cplx, radar
 from echogrid.operators import footprint, grid, looks, neighbours, pol, stats
 from echogrid.plans import relations as rel
 from echogrid.plans.registry import query, r6
-from echogrid.shared import new_path
+from echogrid.shared import materialize, new_path
 
 c = F.col
 _BOX = ", b AS (SELECT id, (id % 180) + 0.3 AS y0, (id % 180) + 2.8 AS y1, (id * 7 % 55) + 0.6 AS x0, (id * 7 % 55) + 4.1 AS x1 FROM target)"
@@ -225,38 +225,64 @@ def l2(spark, sf):
     return looks.multilook(x, 5, 4, looks.extent(x), hh=r6(F.avg("hh")), hv=r6(F.avg("hv")))
 
 
-@query("l5_focused_lines")
-def l5(spark, sf):
-    """Pulses to compressed lines: gap fill, tone removal, range compression."""
+def _compressed(spark, sf):
+    """Gap fill, tone removal, interference removal by eigenvectors and by tones, range compression."""
     from echogrid.operators import intervals, lines
     from echogrid.plans.signals import CHIRP
 
     w = Window.partitionBy(F.floor(c("row") / 100), "col")
     filled = intervals.fill_gaps(rel.slc(spark, sf), rel.swath(spark, sf), {"re": 0.0, "im": 0.0})
     clean = filled.select("row", "col", (c("re") - F.avg("re").over(w)).alias("re"), (c("im") - F.avg("im").over(w)).alias("im"))
-    done = lines.compress(lines.to_lines(clean, ["row"]), ["row"], CHIRP, "same")
+    quiet = lines.null_tones(lines.remove_loud(lines.to_lines(clean, ["row"]), 16, 3, 4.0), ["row"], 6.0)
+    return lines.compress(quiet, ["row"], CHIRP, "same")
+
+
+@query("l5_focused_lines")
+def l5(spark, sf):
+    done = _compressed(spark, sf)
     return done.select("row", F.round(F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda a, x: a + x), 6).alias("energy"))
 
 
+@query("l5_focused_image")
+def l5_image(spark, sf):
+    """Compressed pulses to a focused image by back-projection over each cell's own aperture, and its statistics by line."""
+    from echogrid.operators import geometry
+
+    pulses = materialize(_compressed(spark, sf), "pulses").select(F.lit(0).alias("scene"), c("row").alias("k"), F.lit(7071000.0).alias("px"), (c("row") * 5.0).alias("py"), F.lit(0.0).alias("pz"), F.lit(700000.0).alias("r0"), "re", "im")
+    cells = rel.target(spark, sf).select(F.lit(0).alias("scene"), "id", F.lit(6371000.0).alias("x"), ((c("id") % 400) * 5.0 + 75).alias("y"), (10000.0 + (c("id") % 20) * 300).alias("z"))
+    r = F.hypot(F.lit(700000.0), c("z"))
+    cells = geometry.apertures(cells, c("y") / 5.0, r, F.lit(7071000.0 / 6371000.0), 5.0, 0.24, 600.0)
+    d = geometry.back_project(cells, pulses, ["scene"], 25.0, 0.24)
+    named = d.withColumn("line", c("id") % 20)
+    return named.groupBy("line").agg(*stats.complex_stats(cplx.pair())).select("line", "n", *(F.round(x, 5).alias(x) for x in ("mean_re", "mean_im", "sd")))
+
+
 @query("l6_ionosphere")
 def l6(spark, sf):
-    """Two sub-band phases to a smoothed dispersive phase with its sigma."""
-    f0, fl, fh = 1257.5, 1237.5, 1277.5
-    z = rel.slc(spark, sf)
-    low, high = c("re") * 4, c("im") * 4
-    disp, _ = radar.iono_low_high(f0, fl, fh, low, high)
-    s = radar.phase_sigma(0.2 + 0.7 * F.abs("re"), 20)
-    sigma, _ = radar.sigma_low_high(f0, fl, fh, s, s)
-    d = z.select("row", "col", disp.alias("phase"), sigma.alias("sigma"))
-    k = [0.25, 0.5, 0.25]
-    return neighbours.smooth_with_sigma(d, "phase", "sigma", k, k).select("row", "col", r6(c("phase")).alias("phase"), r6(c("sigma")).alias("sigma"))
+    """Two sub-bands of each image to interferograms, valid cells of large components, dispersive phase less whole turns, smoothed by its sigma."""
+    from echogrid.operators.pipelines import dispersive_phase
+
+    d = dispersive_phase(rel.slc(spark, sf), rel.sec(spark, sf), (1257.5, 1237.5, 1277.5), (5, 2), 0.15, 4, [0.25, 0.5, 0.25])
+    return d.select("row", "col", r6(c("phase")).alias("phase"), r6(c("sigma")).alias("sigma"))
+
+
+_N = lambda t, u: f", {u} AS (SELECT a.row, a.col, any_value(a.v) AS v, avg(b.v) AS mean, median(b.v) AS mid FROM {t} a, range(-1, 2) i(i), range(-1, 2) j(j), {t} b WHERE b.row = a.row + i AND b.col = a.col + j GROUP BY a.row, a.col)"
+_PASS = lambda x, w: f"0.25 * coalesce(lag({x}) OVER {w}, 0) + 0.5 * {x} + 0.25 * coalesce(lead({x}) OVER {w}, 0)"
+_L7 = (
+    f", h AS (SELECT row, col, CASE WHEN floor(row / 5) % 4 = 1 AND floor(col / 8) % 3 = 1 THEN NULL ELSE v END AS v FROM img){_N('h', 'm0')}, c0 AS (SELECT row, col, CASE WHEN abs(v - mid) <= 0.15 THEN v END AS v FROM m0)"
+    f"{_N('c0', 'm1')}, c1 AS (SELECT row, col, coalesce(v, mean) AS v FROM m1)"
+    ", dn AS (SELECT a.row, a.col, b.row AS r, b.col AS c, i * i + j * j AS d2, b.v FROM (SELECT row, col FROM c1 WHERE v IS NULL) a, range(-4, 5) i(i), range(-4, 5) j(j), c1 b WHERE b.row = a.row + i AND b.col = a.col + j AND b.v IS NOT NULL AND i * i + j * j <= 16)"
+    ", best AS (SELECT row, col, first(v ORDER BY d2, r, c) AS v FROM dn GROUP BY row, col), c2 AS (SELECT c1.row, c1.col, coalesce(c1.v, best.v, 0) AS v FROM c1 LEFT JOIN best USING (row, col))"
+    f", s1 AS (SELECT row, col, {_PASS('v', 'w')} AS v FROM c2 WINDOW w AS (PARTITION BY row ORDER BY col)), s2 AS (SELECT row, col, {_PASS('v', 'w')} AS v FROM s1 WINDOW w AS (PARTITION BY col ORDER BY row)) SELECT row, col, round(v, 6) + 0.0 AS v FROM s2"
+)
 
 
-@query("l7_offset_field")
+@query("l7_offset_field", "img", _L7)
 def l7(spark, sf):
-    """Offsets culled by their local median, holes filled by neighbours' means, then smoothed."""
-    d = neighbours.median(rel.img(spark, sf), "v", 1, 1)
+    """Offsets culled by their local median, small holes filled by neighbours' means, larger ones by the nearest, then smoothed."""
+    hole = (F.floor(c("row") / 5) % 4 == 1) & (F.floor(c("col") / 8) % 3 == 1)
+    d = neighbours.median(rel.img(spark, sf).withColumn("v", F.when(~hole, c("v"))), "v", 1, 1)
     culled = d.withColumn("v", F.when(F.abs(c("v") - c("median")) <= 0.15, c("v"))).drop("median")
-    filled = neighbours.fill_mean(culled, "v", 1, 1, 2)
+    filled = grid.fill_by_distance(neighbours.fill_mean(culled, "v", 1, 1), "v", 4, nearest=1)
     k = [0.25, 0.5, 0.25]
     return neighbours.smooth(filled, ["v"], k, k).select("row", "col", r6(c("v")).alias("v"))

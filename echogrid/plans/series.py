@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from echogrid.operators import asof, intervals
+from echogrid.operators import asof, grid, intervals
 from echogrid.plans import relations as rel
 from echogrid.plans.registry import query, r6
 
@@ -38,6 +38,16 @@ def j5(spark, sf):
     return intervals.subswath(rel.img(spark, sf), rel.swath(spark, sf)).select("row", "col", "s")
 
 
+@query("j5_subswath_defaults", "img", " SELECT row, col, 1 AS none, CASE WHEN col >= 10 AND col < 20 THEN 1 ELSE 2 END AS empty FROM img")
+def j5_defaults(spark, sf):
+    """No sub-swath at all, and a second one without intervals, which takes what the first leaves."""
+    kind = "row long, s int, start int, stop int"
+    x = intervals.subswath(rel.img(spark, sf), spark.createDataFrame([], kind)).withColumnRenamed("s", "none")
+    first = rel.read(spark, sf, "embeddings").select(c("vec_id").alias("row"), F.lit(1).alias("s"), F.lit(10).alias("start"), F.lit(20).alias("stop"))
+    swaths = first.unionByName(spark.createDataFrame([(None, 2, None, None)], kind))
+    return intervals.subswath(x, swaths).select("row", "col", "none", c("s").alias("empty"))
+
+
 @query("j7_fill_gaps", "img swath", f"{_J5} SELECT row, col, round(CASE WHEN s IS NULL THEN -1.0 ELSE v END, 6) + 0.0 AS v FROM j")
 def j7(spark, sf):
     return intervals.fill_gaps(rel.img(spark, sf), rel.swath(spark, sf), {"v": -1.0}).select("row", "col", r6(c("v")).alias("v"))
@@ -245,12 +255,9 @@ def t4(spark, sf):
     return e.select("row", at(0).alias("first"), at(63).alias("last"), at(7).alias("eighth"))
 
 
-@query("t5_k_nearest", "target", ", g AS (SELECT id, floor(lon / 20) AS x, floor(lat / 20) AS y, lon, lat FROM target), p AS (SELECT a.id, b.id AS other, pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2) AS d FROM g a JOIN g b USING (x, y) WHERE a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS n FROM p) SELECT id, other, CAST(n AS INT) AS n FROM r WHERE n <= 3")
+@query("t5_k_nearest", "target", ", p AS (SELECT a.id, b.id AS other, pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2) AS d FROM target a JOIN target b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS n FROM p) SELECT id, other, CAST(n AS INT) AS n FROM r WHERE n <= 3")
 def t5(spark, sf):
-    g = rel.target(spark, sf).select("id", F.floor(c("lon") / 20).alias("x"), F.floor(c("lat") / 20).alias("y"), "lon", "lat")
-    b = g.select("x", "y", c("id").alias("other"), c("lon").alias("lon2"), c("lat").alias("lat2"))
-    p = g.join(b, ["x", "y"]).where("id <> other").withColumn("d", F.pow(c("lon") - c("lon2"), F.lit(2)) + F.pow(c("lat") - c("lat2"), F.lit(2)))
-    return p.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where("n <= 3").select("id", "other", "n")
+    return grid.k_nearest(rel.target(spark, sf), 3, 4.0, "lat", "lon").select("id", "other", "n")
 
 
 @query("u1_regularised_channels", "channel", ", g AS (SELECT scene, freq, count(DISTINCT (center, width)) AS n, count(*) AS pols, max(center - width / 2) AS lo, min(center + width / 2) AS hi FROM channel GROUP BY scene, freq) SELECT scene, freq, n, pols, CASE WHEN hi > lo THEN (lo + hi) / 2 END AS center, CASE WHEN hi > lo THEN hi - lo END AS width FROM g")
@@ -300,14 +307,13 @@ def x2(spark, sf):
 def s1(spark, sf):
     from echogrid.sources import rasters
 
-    return rasters.window(rasters.as_lines(rel.img(spark, sf), ["v"]), ["v"], (20, 60), (8, 24)).select("row", "col", r6(c("v")).alias("v"))
+    lines = rel.read(spark, sf, "embeddings").select(c("vec_id").alias("row"), c("embedding").cast("array<double>").alias("v"))
+    return rasters.window(lines, ["v"], (20, 60), (8, 24)).select("row", "col", r6(c("v")).alias("v"))
 
 
 @query("s2_line_scan", "", "SELECT vec_id AS row, len(embedding) AS n, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]), 6) + 0.0 AS total FROM embeddings")
 def s2(spark, sf):
-    from echogrid.sources import rasters
-
-    lines = rasters.as_lines(rel.img(spark, sf), ["v"])
+    lines = rel.read(spark, sf, "embeddings").select(c("vec_id").alias("row"), c("embedding").cast("array<double>").alias("v"))
     return lines.select("row", F.size("v").cast("long").alias("n"), r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
