@@ -97,12 +97,20 @@ def _geographic(tau: Column) -> Column:
 
 
 def utm(lon: Column, lat: Column, zone: Column, north: Column) -> tuple[Column, Column]:
+    """The series' angles are multiples of one: its sines and cosines come from the conformal tangent, the multiples by recurrence."""
     d = lon - F.radians((zone * 6 - 183).cast("double"))
-    tau = _conformal(lat)
-    xi, eta = F.atan2(tau, F.cos(d)), F.asinh(F.sin(d) / F.sqrt(tau * tau + F.cos(d) ** 2))
-    x, y = eta, xi
-    for k, a in enumerate(_FORWARD, 1):
-        x, y = x + a * F.cos(2 * k * xi) * F.sinh(2 * k * eta), y + a * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+    tau, cos = _conformal(lat), F.cos(d)
+    size = tau * tau + cos * cos
+    root = F.sqrt(size)
+    sh = F.sin(d) / root
+    s, k, hs, hk = 2 * tau * cos / size, (cos * cos - tau * tau) / size, 2 * sh * F.sqrt(1 + sh * sh), 1 + 2 * sh * sh
+    x, y = F.asinh(sh), F.atan2(tau, cos)
+    sn, kn, hsn, hkn = s, k, hs, hk
+    for n, a in enumerate(_FORWARD):
+        if n:
+            sn, kn = sn * k + kn * s, kn * k - sn * s
+            hsn, hkn = hsn * hk + hkn * hs, hkn * hk + hsn * hs
+        x, y = x + a * kn * hsn, y + a * sn * hkn
     return 500000.0 + 0.9996 * _RECT * x, 0.9996 * _RECT * y + F.when(north, 0.0).otherwise(1e7)
 
 

@@ -55,18 +55,44 @@ def large_enough(labels: DataFrame, least: int) -> DataFrame:
     return labels.join(sizes, "label", "left_semi")
 
 
-def closest_pairs(labels: DataFrame, reach: int) -> DataFrame:
-    """``a < b, ar, ac, br, bc, d2``: the closest cells of every two components within ``reach`` of each other."""
+def closest_pairs(labels: DataFrame, reach: int, roots: DataFrame | None = None) -> DataFrame:
+    """``a < b, ar, ac, br, bc, d2``: the closest cells of every two components within ``reach`` of each other.
+
+    ``roots`` (``label, root``): only pairs of different roots.
+    """
+    labels = labels.withColumn("root", F.col("label")) if roots is None else labels.join(roots, "label")
     tile = lambda x: F.floor(F.col(x) / reach)
     around = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    p = labels.select(F.col("label").alias("a"), F.col("row").alias("ar"), F.col("col").alias("ac"), (tile("row")).alias("ty"), (tile("col")).alias("tx"))
-    q = labels.select(F.col("label").alias("b"), F.col("row").alias("br"), F.col("col").alias("bc"), tile("row").alias("y"), tile("col").alias("x")).withColumn("_y", F.explode(around)).withColumn("_x", F.explode(around))
-    q = q.select("b", "br", "bc", (F.col("y") + F.col("_y")).alias("ty"), (F.col("x") + F.col("_x")).alias("tx"))
+    p = labels.select(F.col("label").alias("a"), F.col("root").alias("ra"), F.col("row").alias("ar"), F.col("col").alias("ac"), (tile("row")).alias("ty"), (tile("col")).alias("tx"))
+    q = labels.select(F.col("label").alias("b"), F.col("root").alias("rb"), F.col("row").alias("br"), F.col("col").alias("bc"), tile("row").alias("y"), tile("col").alias("x")).withColumn("_y", F.explode(around)).withColumn("_x", F.explode(around))
+    q = q.select("b", "rb", "br", "bc", (F.col("y") + F.col("_y")).alias("ty"), (F.col("x") + F.col("_x")).alias("tx"))
     d2 = (F.col("ar") - F.col("br")) ** 2 + (F.col("ac") - F.col("bc")) ** 2
-    near = p.join(q, ["ty", "tx"]).where("a < b").withColumn("d2", d2).where(F.col("d2") <= reach * reach)
+    near = p.join(q, ["ty", "tx"]).where("a < b AND ra <> rb").withColumn("d2", d2).where(F.col("d2") <= reach * reach)
     return near.groupBy("a", "b").agg(F.min(F.struct("d2", "ar", "ac", "br", "bc")).alias("t")).select("a", "b", "t.*")
 
 
+def bridges(labels: DataFrame, reach: int) -> DataFrame:
+    """A minimum spanning tree over all components of ``labels``, however far apart.
+
+    Pairs are sought within ``reach``, then within twice that among what is not connected yet, and
+    so on. A link that a wider search finds is longer than all those found before, so none of the
+    tree's is missed.
+    """
+    labels = materialize(labels, "labels")
+    ends = labels.agg(F.max("row") - F.min("row"), F.max("col") - F.min("col")).first()
+    span = max(int(v or 0) for v in ends) + 1
+    names = materialize(labels.select("label").distinct().withColumn("root", F.col("label")), "roots")
+    roots, found = names, None
+    while True:
+        near = materialize(closest_pairs(labels, reach, roots), "pairs")
+        found = near if found is None else found.unionByName(near)
+        merged = graph_components(found).select(F.col("node").alias("label"), F.col("root").alias("to"))
+        roots = materialize(names.select("label").join(merged, "label", "left").select("label", F.coalesce("to", "label").alias("root")), "roots")
+        if reach > span or roots.select("root").distinct().limit(2).count() < 2:
+            return spanning_bridges(found)
+        reach *= 2
+
+
 def spanning_bridges(pairs: DataFrame) -> DataFrame:
     """A minimum spanning forest of ``a, b, d2`` links, by Boruvka rounds: each component takes its shortest way out."""
     pairs = materialize(pairs, "pairs")

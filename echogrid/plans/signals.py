@@ -56,9 +56,9 @@ def j27(spark, sf):
 
 @query("a36_bridges")
 def a36(spark, sf):
-    pairs = components.closest_pairs(components.large_enough(_labels(spark, sf), 8), 6)
+    tree = components.bridges(components.large_enough(_labels(spark, sf), 8), 6)
     phase = rel.img(spark, sf).select("row", "col", (c("v") * 40).alias("phase"))
-    return components.bridge_turns(components.spanning_bridges(pairs), phase)
+    return components.bridge_turns(tree, phase)
 
 
 CHIRP = np.exp(1j * math.pi * 0.02 * np.arange(-8, 8) ** 2)
