@@ -153,6 +153,17 @@ def aperture_seconds(r: Column, ground_speed: Column, wavelength: float, resolut
     return wavelength / (2 * resolution) * r / ground_speed
 
 
+def between(first: tuple, second: tuple, share: Column) -> Vector:
+    """East, north and up displacements at a share of the way between two epochs."""
+    return tuple(F.lit(a) + share * (F.lit(b) - F.lit(a)) for a, b in zip(first, second, strict=True))
+
+
+def displacement(enu: Vector, basis: tuple[Vector, Vector, Vector], look: Vector, velocity: Vector) -> tuple[Column, Column]:
+    """A displacement in east, north and up along the (unit) line of sight and along the track."""
+    d = tuple(sum((k * b[i] for k, b in zip(enu, basis, strict=True)), F.lit(0.0)) for i in range(3))
+    return dot(d, look), dot(d, velocity) / norm(velocity)
+
+
 def apertures(cells: DataFrame, pulse: Column, r: Column, ratio: Column, spacing: float, wavelength: float, resolution: float) -> DataFrame:
     """``cells`` with ``first, last``: the pulses of each cell's synthetic aperture, around the pulse at its crossing.
 

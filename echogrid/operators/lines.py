@@ -138,6 +138,16 @@ def remove_loud(lines: DataFrame, interval: int, count: int, ratio: float) -> Da
     return lines.groupBy(F.floor(F.col("row") / interval)).applyInPandas(run, f"row long, {SCHEMA}")
 
 
+def eigenvalues(lines: DataFrame, interval: int) -> DataFrame:
+    """``k, values``: eigenvalues of the covariance of every ``interval`` lines ``row``, the largest first."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        z = np.stack(g["re"].to_numpy()) + 1j * np.stack(g["im"].to_numpy())
+        return pd.DataFrame({"k": [int(key[0])], "values": [np.linalg.eigvalsh(z @ z.conj().T / z.shape[1])[::-1].tolist()]})
+
+    return lines.groupBy(F.floor(F.col("row") / interval).alias("k")).applyInPandas(run, "k long, values array<double>")
+
+
 def offsets(reference: DataFrame, secondary: DataFrame, size: int, search: int) -> DataFrame:
     """``wy, wx, dy, dx, snr``: shift of each window of the secondary image that fits the reference best.
 

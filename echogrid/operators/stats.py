@@ -89,3 +89,16 @@ def lag_doppler(lines: DataFrame, keys: list[str], prf: float, lag: int = 1, sig
     else:
         x, y = F.col("x"), F.col("y")
     return g.select(*keys, (F.atan2(y, x) * (prf / (2 * math.pi * lag))).alias("doppler"), (F.hypot("x", "y") / F.nullif(F.sqrt(F.col("p") * F.col("q")), F.lit(0.0))).alias("correlation"))
+
+
+def window_hits(cells: DataFrame, flag: Column, size: int, image: Keys = ()) -> DataFrame:
+    """``cells`` with ``hits``: how many of the ``size`` windows of lines that hold a cell end with its flag set.
+
+    A window ends at each line from the cell's own on; the last ``size - 1`` lines of an image have not
+    been passed by all of theirs and stay 0.
+    """
+    last = cells.groupBy(*image).agg(F.max("row").alias("_last"))
+    d = cells.join(last, list(image)) if image else cells.crossJoin(F.broadcast(last))
+    d = blocked(d.withColumn("_f", flag.cast("int")), size - 1, image)
+    d = owned(d.withColumn("hits", F.sum("_f").over(across(image).rowsBetween(0, size - 1))))
+    return d.withColumn("hits", F.when(F.col("row") + size - 1 <= F.col("_last"), F.col("hits")).otherwise(0).cast("int")).drop("_f", "_last")

@@ -163,3 +163,13 @@ def l9(spark, sf):
     par, perp = geometry.baselines(_vector("p"), _vector("v"), (c("px") + 120.0, c("py") + 55.0, c("pz") - 80.0), _vector())
     r3 = lambda x: F.round(x, 3) + F.lit(0.0)
     return j.select("id", "height", r3(par).alias("parallel"), r3(perp).alias("perpendicular"))
+
+
+@query("p44_tide_range_azimuth", "target", f"{_BASIS}, l AS (SELECT *, 0.6 AS lx, -0.48 AS ly, 0.64 AS lz, (id % 7) / 7.0 AS u FROM b), w AS (SELECT *, 0.02 + u * 0.03 AS de, 0.05 - u * 0.02 AS dn, -0.1 + u * 0.04 AS du FROM l), d AS (SELECT id, de * (ex * lx + ey * ly) + dn * (nx * lx + ny * ly + nz * lz) + du * (ux * lx + uy * ly + uz * lz) AS r, (de * (100.0 * ex + 7000.0 * ey) + dn * (100.0 * nx + 7000.0 * ny + 500.0 * nz) + du * (100.0 * ux + 7000.0 * uy + 500.0 * uz)) / sqrt({100.0**2 + 7000.0**2 + 500.0**2}) AS a FROM w) SELECT id, round(r, 6) + 0.0 AS range, round(a, 6) + 0.0 AS azimuth FROM d")
+def p44_both(spark, sf):
+    """Displacements at two whole seconds, in between by a straight line, along the line of sight and along the track."""
+    k = c("id") % 7 / 7.0
+    between = geometry.between((0.02, 0.05, -0.1), (0.05, 0.03, -0.06), k)
+    basis = geodesy.enu(F.radians("lon"), F.radians("lat"))
+    r, a = geometry.displacement(between, basis, (F.lit(0.6), F.lit(-0.48), F.lit(0.64)), (F.lit(100.0), F.lit(7000.0), F.lit(500.0)))
+    return rel.target(spark, sf).select("id", r6(r).alias("range"), r6(a).alias("azimuth"))

@@ -81,6 +81,22 @@ def a28(spark, sf):
     return d.join(t, "row").groupBy("row").agg(F.coalesce(F.max(F.when(c("step") > c("t"), c("n"))), F.lit(0)).cast("int").alias("loud"))
 
 
+@query("a51_ground_spacing", "channel", ", t AS (SELECT id, 7100000.0 AS p, 6371000.0 AS g, 800000.0 + 1000 * width AS s FROM channel) SELECT id, round(6.25 / sin(acos((p * p - g * g - s * s) / (2 * g * s))), 6) AS spacing FROM t")
+def a51_ground(spark, sf):
+    """Ground spacing of a slant spacing at the incidence."""
+    a = radar.incidence(F.lit(7100000.0), F.lit(6371000.0), 800000.0 + 1000 * c("width"))
+    return rel.channel(spark, sf).select("id", r6(6.25 / F.sin(a)).alias("spacing"))
+
+
+@query("a26_window_hits", "slc", f"{_SPECTRUM}, k AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY p) - 1 AS k FROM a), s AS (SELECT row, avg(p) AS m, stddev_pop(p) AS sd FROM k WHERE k >= 6 AND k < 26 GROUP BY row), f AS (SELECT a.row, a.col, CAST((p - m) / sd > 2.0 AS INT) AS f FROM a JOIN s USING (row)), e AS (SELECT *, max(row) OVER () AS most FROM f), h AS (SELECT row, col, most, sum(f) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS hits FROM e) SELECT row, col, CAST(CASE WHEN row + 4 <= most THEN hits ELSE 0 END AS INT) AS hits FROM h WHERE hits > 0 AND row + 4 <= most")
+def a26_hits(spark, sf):
+    """How many windows of five lines flagged a cell; a line counts once its last window has passed, so the trailing ones stay 0."""
+    a = _averaged(spark, sf)
+    s = stats.trimmed(a, ["row"], "p", 0.2)
+    flags = a.join(s, "row").withColumn("f", (c("p") - c("mean")) / c("sd") > 2.0)
+    return stats.window_hits(flags, c("f"), 5).where("hits > 0").select("row", "col", "hits")
+
+
 @query("a45_absolute_calibration", "img target", ", t AS (SELECT id, side, (id % 180) + 5 AS row, CAST(id * 7 % 55 + 4 AS INT) AS col FROM target), p AS (SELECT id, side, sum(v * v) AS p FROM t JOIN img i ON i.row BETWEEN t.row - 2 AND t.row + 2 AND i.col BETWEEN t.col - 2 AND t.col + 2 GROUP BY id, side) SELECT id, round(10 * log10(p / (4 * pi() / 3 * pow(side, 4) / pow(0.24, 2))), 5) AS db FROM p")
 def a45(spark, sf):
     t = rel.target(spark, sf).select("id", "side", (c("id") % 180 + 5).alias("row"), (c("id") * 7 % 55 + 4).alias("col"))
@@ -158,31 +174,41 @@ def s3(spark, sf):
     return rasters.read(spark, path)[0].select("raster_id", "row", "col", r6(c("v")).alias("v"))
 
 
-@query("s5_orbit_xml", "pulse", "SELECT i, round(t, 6) AS t, x AS px, x * 2 AS vx FROM pulse")
+_UTC = "strftime(make_timestamp(CAST(round(t * 1000000) AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f')"
+
+
+@query("s5_orbit_xml", "pulse", f"SELECT i, {_UTC} AS utc, round(t, 6) AS t, x AS px, x * 2 AS py, x * 3 AS pz, -x AS vx, x / 2 AS vy, x / 4 AS vz FROM pulse WHERE i % 5 <> 0")
 def s5(spark, sf):
+    """Full state vectors with UTC strings, written and read back; only those of nominal quality."""
     from echogrid.sources import records
 
-    path = new_path(spark, "orbit")
-    rel.pulse(spark, sf).select("i", "t", c("x").alias("px"), (c("x") * 2).alias("vx")).write.format("xml").option("rootTag", "orbit").option("rowTag", "stateVector").save(path)
-    return records.xml(spark, path, "stateVector", "i long, t double, px double, vx double").select("i", F.round("t", 6).alias("t"), "px", "vx")
+    path, x = new_path(spark, "orbit"), c("x")
+    state = {"px": x, "py": x * 2, "pz": x * 3, "vx": -x, "vy": x / 2, "vz": x / 4}
+    utc = F.date_format(F.timestamp_micros(F.round(c("t") * 1000000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    quality = F.when(c("i") % 5 == 0, "degraded").otherwise("nominal")
+    rel.pulse(spark, sf).select("i", utc.alias("utc"), *(v.alias(k) for k, v in state.items()), quality.alias("quality")).write.format("xml").option("rootTag", "orbit").option("rowTag", "stateVector").save(path)
+    d = records.states(spark, path, "stateVector", "i long, utc string, px double, py double, pz double, vx double, vy double, vz double, quality string")
+    return d.where("quality = 'nominal'").select("i", "utc", F.round("t", 6).alias("t"), *state)
 
 
-@query("s6_attitude_xml", "pulse", "SELECT i, round(t, 6) AS t, round(cos(x), 9) AS q0, round(sin(x), 9) AS q1 FROM pulse")
+@query("s6_attitude_xml", "pulse", f"SELECT i, {_UTC} AS utc, round(t, 6) AS t, round(cos(x), 9) AS q0, round(sin(x) * 0.6, 9) AS q1, 0.0 AS q2, round(sin(x) * 0.8, 9) AS q3 FROM pulse")
 def s6(spark, sf):
+    """Attitude states with UTC strings and whole quaternions."""
     from echogrid.sources import records
 
-    path = new_path(spark, "attitude")
-    q = rel.pulse(spark, sf).select("i", "t", F.round(F.cos("x"), 9).alias("q0"), F.round(F.sin("x"), 9).alias("q1"))
-    q.write.format("xml").option("rootTag", "attitude").option("rowTag", "pointingVector").save(path)
-    return records.xml(spark, path, "pointingVector", "i long, t double, q0 double, q1 double").select("i", F.round("t", 6).alias("t"), "q0", "q1")
+    path, x = new_path(spark, "attitude"), c("x")
+    parts = {"q0": F.round(F.cos(x), 9), "q1": F.round(F.sin(x) * 0.6, 9), "q2": F.lit(0.0), "q3": F.round(F.sin(x) * 0.8, 9)}
+    utc = F.date_format(F.timestamp_micros(F.round(c("t") * 1000000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rel.pulse(spark, sf).select("i", utc.alias("utc"), *(v.alias(k) for k, v in parts.items())).write.format("xml").option("rootTag", "attitude").option("rowTag", "pointingVector").save(path)
+    return records.states(spark, path, "pointingVector", "i long, utc string, q0 double, q1 double, q2 double, q3 double").select("i", "utc", F.round("t", 6).alias("t"), *parts)
 
 
-@query("s7_electron_content_json", "", "SELECT event_id % 50 AS file, event_id, value AS total, value * 0.25 AS top FROM events")
+@query("s7_electron_content_json", "", "SELECT CAST(floor(event_id / 200) AS BIGINT) AS file, event_id, value AS total, value * 0.25 AS top FROM events")
 def s7(spark, sf):
     from echogrid.sources import records
 
     path = new_path(spark, "tec")
-    e = rel.read(spark, sf, "events").select((c("event_id") % 50).alias("file"), F.struct("event_id", c("value").alias("total"), (c("value") * 0.25).alias("top")).alias("s"))
+    e = rel.read(spark, sf, "events").select(F.floor(c("event_id") / 200).alias("file"), F.struct("event_id", c("value").alias("total"), (c("value") * 0.25).alias("top")).alias("s"))
     g = e.groupBy("file").agg(F.array_sort(F.collect_list("s")).alias("s")).select("file", c("s.event_id").alias("event_id"), c("s.total").alias("total"), c("s.top").alias("top"))
     g.write.json(path)
     return records.parallel_json(spark, path, {"event_id": "long", "total": "double", "top": "double"}, "file long")

@@ -212,6 +212,18 @@ def w20(spark, sf):
     return t.select("row", "col", F.round(c("col") + c("v") / (c("v") - c("n")), 6).alias("x"))
 
 
+@query("w20_half_power_width", "img", ", m AS (SELECT row, max(v * v) AS top FROM img GROUP BY row), p AS (SELECT row, min(col) AS peak FROM img JOIN m USING (row) WHERE v * v = top GROUP BY row), t AS (SELECT i.row, i.col, peak, v * v - top / 2 AS d, lead(v * v - top / 2) OVER (PARTITION BY i.row ORDER BY col) AS n FROM img i JOIN m USING (row) JOIN p USING (row)), x AS (SELECT row, peak, col, col + d / (d - n) AS x FROM t WHERE (d >= 0) <> (n >= 0)) SELECT row, round(min(x) FILTER (col >= peak) - max(x) FILTER (col < peak), 6) AS width FROM x GROUP BY row")
+def w20_width(spark, sf):
+    """Width at half power: between the crossings on either side of the peak; null if one is missing."""
+    line = Window.partitionBy("row")
+    p = c("v") * c("v")
+    t = rel.img(spark, sf).withColumn("p", p).withColumn("top", F.max("p").over(line))
+    t = t.withColumn("peak", F.min(F.when(c("p") == c("top"), c("col"))).over(line)).withColumn("d", c("p") - c("top") / 2)
+    t = t.withColumn("n", F.lead("d").over(line.orderBy("col"))).where((c("d") >= 0) != (c("n") >= 0)).withColumn("x", c("col") + c("d") / (c("d") - c("n")))
+    right, left = F.min(F.when(c("col") >= c("peak"), c("x"))), F.max(F.when(c("col") < c("peak"), c("x")))
+    return t.groupBy("row").agg(F.round(right - left, 6).alias("width"))
+
+
 @query("w21_layover_shadow", "img", ", t AS (SELECT row, col, v, col + v * 6 AS x FROM img), s AS (SELECT *, max(v) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, max(x) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far, min(x) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS near FROM t) SELECT row, col, CAST(CASE WHEN v <= top - 0.3 THEN 1 ELSE 0 END | CASE WHEN x <= far OR x >= near THEN 2 ELSE 0 END AS INT) AS code FROM s")
 def w21(spark, sf):
     from echogrid.operators.neighbours import layover_shadow
@@ -248,6 +260,15 @@ def t3(spark, sf):
     return best.select("scene", (-c("t.l")).alias("label"), c("t.n").alias("n"))
 
 
+@query("t4_interval_eigenvalues", "slc", ", b AS (SELECT CAST(floor(a.row / 2) AS BIGINT) AS k, avg(a.re * a.re + a.im * a.im) AS p, avg(b.re * b.re + b.im * b.im) AS q, avg(a.re * b.re + a.im * b.im) AS x, avg(a.im * b.re - a.re * b.im) AS y FROM slc a JOIN slc b ON b.row = a.row + 1 AND b.col = a.col WHERE a.row % 2 = 0 GROUP BY 1) SELECT k, round((p + q) / 2 + sqrt(pow((p - q) / 2, 2) + x * x + y * y), 6) AS first, round((p + q) / 2 - sqrt(pow((p - q) / 2, 2) + x * x + y * y), 6) + 0.0 AS second FROM b")
+def t4_eigen(spark, sf):
+    """Eigenvalues of the covariance of each interval of lines, the largest first (of two lines here, so that SQL can state them)."""
+    from echogrid.operators import lines
+
+    e = lines.eigenvalues(lines.to_lines(rel.slc(spark, sf), ["row"]), 2).where(F.size("values") == 2)
+    return e.select("k", r6(F.get("values", F.lit(0))).alias("first"), r6(F.get("values", F.lit(1))).alias("second"))
+
+
 @query("t4_sorted_values", "img", "SELECT row, round(list_sort(list(v), 'DESC')[1], 6) + 0.0 AS first, round(list_sort(list(v), 'DESC')[64], 6) + 0.0 AS last, round(list_sort(list(v), 'DESC')[8], 6) + 0.0 AS eighth FROM img GROUP BY row")
 def t4(spark, sf):
     e = rel.read(spark, sf, "embeddings").select(c("vec_id").alias("row"), F.sort_array("embedding", asc=False).alias("s"))

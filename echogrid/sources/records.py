@@ -23,3 +23,9 @@ def csv(spark: SparkSession, path: str, schema: str, degrees: list[str] | None =
     """A survey with a header and ``#`` comments; columns in degrees come in radians."""
     d = spark.read.schema(schema).option("header", True).option("comment", "#").csv(path)
     return d.withColumns({k: F.radians(k) for k in degrees or []})
+
+
+def states(spark: SparkSession, path: str, tag: str, schema: str, utc: str = "utc", epoch: float = 0.0) -> DataFrame:
+    """State vectors of an XML file with ``t``: seconds since the epoch (in Unix seconds) of their UTC strings."""
+    seconds = F.unix_micros(F.to_timestamp(F.concat(utc, F.lit("Z")))) / 1000000.0 - epoch
+    return xml(spark, path, tag, schema).withColumn("t", seconds)
