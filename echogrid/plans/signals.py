@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from echogrid.operators import components, fit, lines
 from echogrid.plans import relations as rel
-from echogrid.plans.registry import query, r6
+from echogrid.plans.registry import SQL, query, r6
+from echogrid.plans.relations import with_relations
 
 c = F.col
 
@@ -35,6 +36,33 @@ def a37(spark, sf):
     return fit.without_ramp(b, "v", ["block"]).select("row", "col", r6(c("v")).alias("v"))
 
 
+def _reach(eight: bool) -> str:
+    """SQL that labels each cell with the least of the cells it reaches, by a recursion from every cell to later ones."""
+    near = "range(-1, 2) i(i), range(-1, 2) j(j)" if eight else "(VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) n(i, j)"
+    return (
+        f", f AS (SELECT row, col FROM img WHERE v > 0.1), cc(row, col, label) AS (SELECT row, col, row * 64 + col FROM f UNION SELECT f.row, f.col, cc.label FROM cc, {near}, f "
+        "WHERE f.row = cc.row + i AND f.col = cc.col + j AND f.row * 64 + f.col > cc.label), l AS (SELECT row, col, min(label) AS label FROM cc GROUP BY row, col)"
+    )
+
+
+def _large(n: int) -> str:
+    return f", k AS (SELECT l.* FROM l JOIN (SELECT label FROM l GROUP BY label HAVING count(*) >= {n}) USING (label))"
+
+
+def _recursive(body: str) -> str:
+    return with_relations("img", body).replace("WITH", "WITH RECURSIVE", 1)
+
+
+SQL |= {
+    "a34_components": _recursive(f"{_reach(True)} SELECT row, col, label FROM l"),
+    "a35_size_filter": _recursive(f"{_reach(False)}{_large(6)} SELECT row, col, label FROM k"),
+    "j27_closest_pairs": _recursive(
+        f"{_reach(True)}{_large(8)}, d AS (SELECT p.label AS a, q.label AS b, p.row AS ar, p.col AS ac, q.row AS br, q.col AS bc, i * i + j * j AS d2 FROM k p, range(-6, 7) i(i), range(-6, 7) j(j), k q WHERE q.row = p.row + i AND q.col = p.col + j AND p.label < q.label AND i * i + j * j <= 36), "
+        "n AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY d2, ar, ac, br, bc) AS n FROM d) SELECT a, b, CAST(d2 AS DOUBLE) AS d2, ar, ac, br, bc FROM n WHERE n = 1"
+    ),
+}
+
+
 def _labels(spark, sf):
     return components.label(rel.img(spark, sf), c("v") > 0.1, 64)
 
