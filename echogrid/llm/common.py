@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], most_bytes: int, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that no slice but a single row holds more than ``most_bytes`` of text."""
     for batch in batches:
-        sizes = [len(x) for x in byte_texts(batch, name)]
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > most_bytes:

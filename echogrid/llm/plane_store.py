@@ -18,8 +18,9 @@ Other columns are not read. An empty table gives an empty file.
 from __future__ import annotations
 
 import re
-import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,7 +101,10 @@ def word_encoder(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
         raise ValueError("tokens of this vocabulary reach across white space")
 
     def packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        out = array("I", ids)
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
 
     def learn(word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
@@ -129,7 +133,7 @@ def word_encoder(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
         if len(known) > REMEMBERED:
             known.clear()
             parts.clear()
-        for w in {w for x in words for w in x} - known.keys():
+        for w in set().union(*words).difference(known):
             known[w] = learn(w)
         return [b"".join(map(known.__getitem__, x)) for x in words]
 

@@ -232,7 +232,7 @@ class Pieces:
         cut = [_words(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        fresh = list({w for x in cut for w in x} - self.known.keys())
+        fresh = list(set().union(*cut).difference(self.known))
         new = dict(zip(fresh, self.trie.segment(fresh), strict=True))
         self.known.update(p for p in new.items() if len(p[0]) <= LONG)
         return [b"".join([self.known.get(w) or new[w] for w in x]) for x in cut]
