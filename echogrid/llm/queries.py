@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echogrid.llm import chat_pairs, imatch, license_scan, merkle_manifest, piece_counts, plane_store, simhash, source_divergence, suffix_decontam, toxicity_gbt, unigram_pieces, zstd_quality
+from echogrid.llm import chat_pairs, imatch, license_scan, merkle_manifest, piece_counts, plane_store, set_relations, simhash, source_divergence, suffix_decontam, toxicity_gbt, unigram_pieces, zstd_quality
 from echogrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontam.digest(suffix_decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_relations.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_chat_pairs, op2_token_planes, op3_simhash, op4_license_scan, op5_zstd_quality, op6_imatch, op7_piece_counts, op8_toxicity, op9_unigram, op10_decontaminate, op12_source_divergence, op13_merkle_manifest)
+_ALL = (op1_chat_pairs, op2_token_planes, op3_simhash, op4_license_scan, op5_zstd_quality, op6_imatch, op7_piece_counts, op8_toxicity, op9_unigram, op10_decontaminate, op11_set_relations, op12_source_divergence, op13_merkle_manifest)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-#: No SQL for 2, 3, 5, 6, 7, 8 and 9: their tests compare with brute force, round trips or held-out labels.
+#: No SQL for 2, 3, 5, 6, 7, 8, 9 and 11: their tests compare with brute force, round trips or held-out labels.
 SQL: dict[str, str] = {"op1_chat_pairs": chat_pairs.SQL, "op4_license_scan": license_scan.sql(), "op10_decontaminate": suffix_decontam.SQL, "op12_source_divergence": source_divergence.SQL, "op13_merkle_manifest": merkle_manifest.SQL}
