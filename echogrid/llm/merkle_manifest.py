@@ -112,7 +112,9 @@ def manifest(docs: DataFrame) -> DataFrame:
     """``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified`` of every row."""
     # A key that is never null, so joins by it are plain ones; '-' stands before '=', so keys are in the order of sources, null first.
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
-    own = numbered(leaves(docs).withColumn("tree", key), "tree", [F.col("doc_id"), F.col("leaf")], "merkle-leaves")
+    # Written first: the sampling for the ranges reads digests, not texts.
+    own = materialize(leaves(docs).withColumn("tree", key), "merkle-digests")
+    own = numbered(own, "tree", [F.col("doc_id"), F.col("leaf")], "merkle-leaves")
     nodes = own.select("tree", "pos", "size", F.struct(F.col("leaf").alias("hash"), "doc_id", "tampered").alias("child"))
     trees = levels(nodes, "merkle-tree")
 
