@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,55 @@ def asof(events: DataFrame, states: DataFrame, keys: list[str], values: list[str
     return found.select("_e.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
+def neighbourhoods(states: DataFrame, keys: list[str], points: int, t: str = "t", out: str = "near") -> DataFrame:
+    """Each state with ``near``: that many states around it and the next one, moved inward at both ends of its series; series with fewer go.
+
+    ``_last``: the time of the series' last state. An interval is served by the states of its start.
+    """
+    w = Window.partitionBy(*keys).orderBy(t)
+    every = Window.partitionBy(*keys)
+    d = states.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(every), "_last": F.max(t).over(every)})
+    own = F.struct(*(c for c in states.columns if c not in keys))
+    d = d.withColumn(out, F.collect_list(own).over(w.rowsBetween(1 - points, points - 1)))
+    first = F.least(F.greatest(F.col("_i") - (points // 2 - (points + 1) % 2), F.lit(0)), F.col("_n") - points)
+    start = first - F.greatest(F.col("_i") - (points - 1), F.lit(0)) + 1
+    return d.where(F.col("_n") >= points).withColumn(out, F.slice(out, start, points)).drop("_i", "_n")
+
+
+def orbit_at(times: DataFrame, states: DataFrame, keys: list[str], names: dict[str, str], method: str = "hermite") -> DataFrame:
+    """``times`` (``keys, t``) with positions and velocities from the states around them; times outside a series go.
+
+    ``names``: from each position column of the states to its velocity column. ``hermite``: the
+    polynomial of degree seven through the positions and velocities of four states; ``legendre``:
+    polynomials of degree eight through the positions and through the velocities of nine. States
+    come by one as-of sort; what follows is columns, worked out once a time and state.
+    """
+    k = {"hermite": 4, "legendre": 9}[method]
+    s = neighbourhoods(states.select(*keys, "t", *names, *names.values()), keys, k).select(*keys, "t", F.struct("near", "_last").alias("_s"))
+    d = asof(times, s, keys, ["_s"]).where(F.col("_s").isNotNull() & (F.col("t") <= F.col("_s._last")))
+    at = lambda i, c: F.get("_s.near", F.lit(i))[c]
+    d = d.withColumns({f"_d{i}": F.col("t") - at(i, "t") for i in range(k)} | {f"_t{i}": at(i, "t") for i in range(k)})
+    gap = lambda i, j: F.col(f"_t{i}") - F.col(f"_t{j}")
+    others = lambda i: [j for j in range(k) if j != i]
+    product = lambda parts: reduce(lambda a, b: a * b, parts, F.lit(1.0))
+    share = {f"_h{i}": product(F.col(f"_d{j}") / gap(i, j) for j in others(i)) for i in range(k)}
+    h = lambda i: F.col(f"_h{i}")
+    temporary = ["_s", *(f"_{a}{i}" for a in "dth" for i in range(k))]
+    if method == "legendre":
+        d = d.withColumns(share)
+        values = {c: sum((h(i) * at(i, c) for i in range(k)), F.lit(0.0)) for pair in names.items() for c in pair}
+        return d.withColumns(values).drop(*temporary)
+    slope = {f"_g{i}": sum((product(F.col(f"_d{m}") / gap(i, m) for m in others(i) if m != j) / gap(i, j) for j in others(i)), F.lit(0.0)) for i in range(k)}
+    bend = {f"_b{i}": sum((1 / gap(i, j) for j in others(i)), F.lit(0.0)) for i in range(k)}
+    d = d.withColumns(share | slope | bend)
+    values = {}
+    for p, v in names.items():
+        terms = [(h(i), F.col(f"_g{i}"), F.col(f"_b{i}"), F.col(f"_d{i}"), at(i, p), at(i, v)) for i in range(k)]
+        values[p] = sum((a * a * ((1 - 2 * b * x) * q + x * w) for a, _, b, x, q, w in terms), F.lit(0.0))
+        values[v] = sum((2 * a * g * ((1 - 2 * b * x) * q + x * w) + a * a * (w - 2 * b * q) for a, g, b, x, q, w in terms), F.lit(0.0))
+    return d.withColumns(values).drop(*temporary, *slope, *bend)
+
+
 def hermite(u: Column, h: Column, p0: Column, v0: Column, p1: Column, v1: Column) -> tuple[Column, Column]:
     """Position and velocity at share u of a segment of length h, from both ends' positions and velocities."""
     u2, u3 = u * u, u * u * u

@@ -1,4 +1,4 @@
-"""Cells and footprints: area-weighted means, scattering to neighbours, chips around targets."""
+"""Cells and footprints: area-weighted means, polygons against cells, scattering to neighbours, chips around targets."""
 
 from __future__ import annotations
 
@@ -21,6 +21,66 @@ def area_mean(boxes: DataFrame, cells: DataFrame, keys: list[str], values: list[
     return j.groupBy(*keys).agg(*((F.sum(F.col("_w") * F.col(v)) / total).alias(v) for v in values), total.alias("weight"), (total * total / F.sum(F.col("_w") ** 2)).alias("looks"))
 
 
+Corners = list[tuple[Column, Column]]
+
+
+def _covered(u: Column) -> Column:
+    """The integral from minus infinity to u of a ramp from 0 at 0 to 1 at 1."""
+    return F.when(u <= 0, 0.0).when(u >= 1, u - 0.5).otherwise(u * u / 2)
+
+
+def cell_shares(polygons: DataFrame, corners: Corners, out: str = "share") -> DataFrame:
+    """``polygons`` dealt to the cells that they meet (``row, col``; cell k covers k to k + 1), with the area of the overlap.
+
+    ``corners``: the ``y, x`` of a simple polygon in order; null ones give no row. Each edge is cut to the
+    cell's row, and what lies within the cell between its left side and that piece is added with
+    the sign of the edge's way; summed over all edges that is the overlap, in one pass of column
+    expressions, without a shuffle.
+    """
+    n = len(corners)
+    names = [(f"_y{i}", f"_x{i}") for i in range(n)]
+    d = polygons.withColumns({k: v for pair, at in zip(names, corners, strict=True) for k, v in zip(pair, at, strict=True)})
+    spans = [(F.least(*(F.col(p[i]) for p in names)), F.greatest(*(F.col(p[i]) for p in names))) for i in (0, 1)]
+    touched = [F.sequence(F.floor(lo), F.greatest(F.ceil(hi) - 1, F.floor(lo))) for lo, hi in spans]
+    d = d.where(" AND ".join(f"{k} IS NOT NULL" for p in names for k in p)).withColumn("row", F.explode(touched[0]))
+    pieces = {}
+    for i, ((ya, xa), (yb, xb)) in enumerate(zip(names, [*names[1:], names[0]], strict=True)):
+        slope = (F.col(xb) - F.col(xa)) / F.nullif(F.col(yb) - F.col(ya), F.lit(0.0))
+        inside = lambda k: F.greatest(F.least(F.col(k), (F.col("row") + 1).cast("double")), F.col("row").cast("double"))
+        at = lambda k, slope=slope, ya=ya, xa=xa: F.coalesce(F.col(xa) + slope * (inside(k) - F.col(ya)), F.lit(0.0))
+        pieces |= {f"_h{i}": inside(yb) - inside(ya), f"_a{i}": at(ya), f"_b{i}": at(yb)}
+    d = d.withColumns(pieces).withColumn("col", F.explode(touched[1].cast("array<int>")))
+    total = F.lit(0.0)
+    for i in range(n):
+        a, b = F.col(f"_a{i}") - F.col("col"), F.col(f"_b{i}") - F.col("col")
+        ramp = F.when(F.abs(b - a) < 1e-7, F.greatest(F.least((a + b) / 2, F.lit(1.0)), F.lit(0.0))).otherwise((_covered(b) - _covered(a)) / (b - a))
+        total = total + F.col(f"_h{i}") * ramp
+    return d.withColumn(out, F.abs(total)).drop(*(k for p in names for k in p), *pieces)
+
+
+def polygon_area(corners: Corners) -> Column:
+    """The area within corners in order."""
+    pairs = zip(corners, [*corners[1:], corners[0]], strict=True)
+    return F.abs(sum((a[0] * b[1] - b[0] * a[1] for a, b in pairs), F.lit(0.0))) / 2
+
+
+def project_by_area(cells: DataFrame, corners: Corners, image: DataFrame, keys: list[str], values: list[str], tiny: float = 1e-9) -> DataFrame:
+    """Map cells (``keys``, with the corners of their footprints) with the area-weighted means of the image cells under them.
+
+    ``weight``: the area under the footprint; ``looks``: the square of the sum of weights over the sum of their squares. A cell
+    of which a part lies on no image cell, or whose footprint has no area, has null values.
+    """
+    own = cells.select(*keys, polygon_area(corners).alias("_all"), *(F.struct(y.alias("y"), x.alias("x")).alias(f"_c{i}") for i, (y, x) in enumerate(corners)))
+    at = [(F.col(f"_c{i}.y"), F.col(f"_c{i}.x")) for i in range(len(corners))]
+    d = cell_shares(own, at, "_w").where(F.col("_w") > tiny)
+    j = d.join(image.select(F.col("row"), F.col("col").cast("int").alias("col"), F.struct(*values).alias("_v")), ["row", "col"], "left")
+    there = F.when(F.col("_v").isNotNull(), F.col("_w"))
+    total = F.sum(there)
+    mean = {v: F.sum(F.col("_w") * F.col(f"_v.{v}")) / total for v in values}
+    whole = (F.count(there) == F.count("*")) & (F.abs(total - F.first("_all")) <= 1e-6 * F.first("_all") + len(corners) * tiny)
+    return j.groupBy(*keys).agg(*(F.when(whole & (F.count(f"_v.{v}") == F.count("*")), m).alias(v) for v, m in mean.items()), total.alias("weight"), (total * total / F.sum(there**2)).alias("looks"))
+
+
 def scatter(points: DataFrame, amounts: dict[str, Column], y: str = "y", x: str = "x", keys: tuple[str, ...] = ()) -> DataFrame:
     """``keys, row, col`` and the amounts: each point's amounts dealt to the four cells around it by bilinear weights, and summed; a null place gives none."""
     two = F.array(F.lit(0), F.lit(1))

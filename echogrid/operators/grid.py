@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,41 @@ def _sinc(d: Column) -> Column:
     return F.when(x < 1e-9, 1.0).when(x < 4 * math.pi, F.sin(x) / x * (0.5 + 0.5 * F.cos(x / 4))).otherwise(0.0)
 
 
-#: Cells on either side and the weight at a distance; the sinc's weights are divided by their sum.
-KERNELS = {"nearest": (0, None), "bilinear": (1, lambda d: F.greatest(1 - F.abs(d), F.lit(0.0))), "bicubic": (2, _cubic), "sinc": (4, _sinc)}
+#: Nodes of the spline's window, and the interval that is read: between its second and third node.
+SPLINE, INSIDE = 6, 1
+
+
+def spline_weights(nodes: int = SPLINE, inside: int = INSIDE) -> np.ndarray:
+    """Weights of unit-spaced nodes for a natural cubic spline within one interval: one row a node, coefficients of powers 0 to 3 of the share.
+
+    A spline is linear in its values, so the solve for second derivatives (1, 4, 1 on the left,
+    six times the second difference on the right) is done for unit vectors, once.
+    """
+    one = np.eye(nodes)
+    bend = np.zeros((nodes, nodes))
+    inner = 4 * np.eye(nodes - 2) + np.eye(nodes - 2, k=1) + np.eye(nodes - 2, k=-1)
+    bend[1:-1] = np.linalg.solve(inner, 6 * (one[2:] - 2 * one[1:-1] + one[:-2]))
+    y0, y1, m0, m1 = one[inside], one[inside + 1], bend[inside], bend[inside + 1]
+    return np.stack([y0, y1 - y0 - m0 / 3 - m1 / 6, m0 / 2, (m1 - m0) / 6], axis=1)
+
+
+def _spline(d: Column) -> Column:
+    """The weight of a cell at the signed distance d from it: each node of the window is read in one interval of d."""
+    out = F.lit(0.0)
+    for k, (a, b, c, e) in enumerate(spline_weights().tolist()):
+        u = d - (INSIDE - k)
+        out = F.when((u >= 0) & (u < 1), ((e * u + c) * u + b) * u + a).otherwise(out)
+    return out
+
+
+#: First and last cell from the one before a place, and the weight at a distance; the sinc's weights are divided by their sum.
+KERNELS = {
+    "nearest": (0, 0, None),
+    "bilinear": (0, 1, lambda d: F.greatest(1 - F.abs(d), F.lit(0.0))),
+    "bicubic": (-1, 2, _cubic),
+    "biquintic": (-INSIDE, SPLINE - 1 - INSIDE, _spline),
+    "sinc": (-3, 4, _sinc),
+}
 
 
 def interpolate(points: DataFrame, cells: DataFrame, keys: list[str], method: str = "bilinear", v: str | list[str] = "v", clamp: tuple[int, int] | None = None) -> DataFrame:
@@ -43,14 +77,14 @@ def interpolate(points: DataFrame, cells: DataFrame, keys: list[str], method: st
     places are moved. Without ``id``, all columns name the point.
     """
     values = [v] if isinstance(v, str) else v
-    reach, weight = KERNELS[method]
+    first, last, weight = KERNELS[method]
     p = points
     if clamp:
         p = p.withColumns({"y": F.least(F.greatest("y", F.lit(0.0)), F.lit(clamp[0] - 1.0)), "x": F.least(F.greatest("x", F.lit(0.0)), F.lit(clamp[1] - 1.0))})
     if method == "nearest":
         near = p.withColumns({"row": F.floor(F.col("y") + 0.5), "col": F.floor(F.col("x") + 0.5).cast("int")})
         return near.join(cells.select(*keys, "row", "col", *values), [*keys, "row", "col"], "left").drop("row", "col")
-    offsets = F.array(*(F.lit(k) for k in range(1 - reach, reach + 1)))
+    offsets = F.array(*(F.lit(k) for k in range(first, last + 1)))
     d = p.withColumn("_r", F.explode(offsets)).withColumn("_c", F.explode(offsets))
     d = d.withColumns({"row": F.floor("y") + F.col("_r"), "col": (F.floor("x") + F.col("_c")).cast("int")})
     # Weights of 0 are passed over in the sums: a filter here would be pushed below and work the places out again for each cell.

@@ -139,7 +139,7 @@ def remove_loud(lines: DataFrame, interval: int, count: int, ratio: float) -> Da
 
 
 def eigenvalues(lines: DataFrame, interval: int) -> DataFrame:
-    """``k, values``: eigenvalues of the covariance of every ``interval`` lines ``row``, the largest first."""
+    """``k, values``: eigenvalues of the covariance of every ``interval`` lines ``row``, the largest first; a group holds that many lines."""
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         z = np.stack(g["re"].to_numpy()) + 1j * np.stack(g["im"].to_numpy())
@@ -183,6 +183,138 @@ def offsets(reference: DataFrame, secondary: DataFrame, size: int, search: int)
     return a.unionByName(b).groupBy("wy", "wx").applyInPandas(run, "wy long, wx long, dy long, dx long, snr double")
 
 
+def _finer(z: np.ndarray, k: int) -> np.ndarray:
+    """A real matrix at k times the sampling both ways, from its first to its last cell, by zeros around the spectrum.
+
+    It is taken with its mirror images, so that the transform meets no step at the edges.
+    """
+    if k == 1:
+        return z
+    both = np.block([[z, z[:, -2:0:-1]], [z[-2:0:-1], z[-2:0:-1, -2:0:-1]]]).astype(complex)
+    return _upsampled(_upsampled(both, k).T, k).T.real[: (z.shape[0] - 1) * k + 1, : (z.shape[1] - 1) * k + 1]
+
+
+def correlation(ref: np.ndarray, search: np.ndarray) -> np.ndarray:
+    """Normalised correlation of the reference chip with every window of its size: means off, over both norms."""
+    rows, cols = ref.shape
+    r = ref - ref.mean()
+    shape = search.shape[0] + rows - 1, search.shape[1] + cols - 1
+    size = tuple(1 << (n - 1).bit_length() for n in shape)
+    product = np.fft.irfft2(np.fft.rfft2(search, size) * np.conj(np.fft.rfft2(r, size)), size)[: search.shape[0] - rows + 1, : search.shape[1] - cols + 1]
+
+    def sums(z: np.ndarray) -> np.ndarray:
+        t = np.zeros((z.shape[0] + 1, z.shape[1] + 1))
+        t[1:, 1:] = z.cumsum(0).cumsum(1)
+        return t[rows:, cols:] - t[:-rows, cols:] - t[rows:, :-cols] + t[:-rows, :-cols]
+
+    q = search - search.mean()
+    spread = np.maximum(sums(q * q) - sums(q) ** 2 / ref.size, 0.0)
+    return product / np.sqrt(spread * (r * r).sum() + 1e-300)
+
+
+def peak_covariance(surface: np.ndarray, y: int, x: int, cells: int) -> tuple[float, float, float]:
+    """Variances along both axes and covariance of a peak's place, in cells of the surface; ``UNSURE`` on its edge or where it is flat.
+
+    With C the surface's curvature at the peak, times the cells of a chip, and e what the peak
+    misses to one, the covariance is ``2 e C^-1 + e^2 cells / 2 C^-2``.
+    """
+    if not (0 < y < surface.shape[0] - 1 and 0 < x < surface.shape[1] - 1):
+        return UNSURE, UNSURE, 0.0
+    n = surface[y - 1 : y + 2, x - 1 : x + 2]
+    mixed = (n[2, 2] + n[0, 0] - n[2, 0] - n[0, 2]) / 4
+    curve = cells * np.array([[2 * n[1, 1] - n[0, 1] - n[2, 1], mixed], [mixed, 2 * n[1, 1] - n[1, 0] - n[1, 2]]])
+    if abs(np.linalg.det(curve)) < 1e-2:
+        return UNSURE, UNSURE, 0.0
+    inverse, missed = np.linalg.inv(curve), max(1.0 - n[1, 1], 0.0)
+    out = 2 * missed * inverse + missed**2 * cells / 2 * inverse @ inverse
+    return out[0, 0], out[1, 1], out[0, 1]
+
+
+#: Variance of a place that the surface does not fix.
+UNSURE = 99.0
+
+
+def _best(surface: np.ndarray) -> tuple[int, int]:
+    """The greatest value's place; of equal ones (but for rounding) the first."""
+    return tuple(int(k) for k in np.unravel_index(int(np.argmax(surface >= surface.max() - 1e-12)), surface.shape))
+
+
+def _track(ref: np.ndarray, search: np.ndarray, half: int, fine: int, zoom: int, factor: int) -> tuple[float, ...]:
+    """``dy, dx, snr, var_y, var_x, cov, peak``: the correlator's stages for one window.
+
+    The whole search at the images' own sampling gives the place to a cell, the ratio of its
+    square to the mean of the others' and its covariance. Both chips are then sampled ``fine``
+    times, and correlated within ``zoom`` cells of that place only; that surface is sampled ``factor`` times.
+    """
+    coarse = correlation(ref, search)
+    y, x = _best(coarse)
+    top = coarse[y, x]
+    rest = max(((coarse * coarse).sum() - top * top) / max(coarse.size - 1, 1), 1e-300)
+    spread = peak_covariance(coarse, y, x, ref.size)
+    y0, x0 = (min(max(k - zoom, 0), 2 * half - 2 * zoom) for k in (y, x))
+    around = search[y0 : y0 + ref.shape[0] + 2 * zoom, x0 : x0 + ref.shape[1] + 2 * zoom]
+    near = correlation(_finer(ref, fine), _finer(around, fine))
+    dense = _finer(near, factor)
+    fy, fx = _best(dense)
+    step = fine * factor
+    return y0 + fy / step - half, x0 + fx / step - half, float(top * top / rest), *map(float, spread), float(dense[fy, fx])
+
+
+def track(reference: DataFrame, secondary: DataFrame, size: int, search: int, fine: int = 2, zoom: int = 2, factor: int = 16, step: int | None = None) -> DataFrame:
+    """``wy, wx, dy, dx, snr, var_y, var_x, cov, peak``: sub-cell shifts of windows of the secondary image against the reference.
+
+    Windows of ``size`` cells start every ``step`` cells; the secondary's cells within ``search``
+    of one meet it in a group of fixed size. Only whole windows are matched. Cells without value make
+    their windows go. ``v`` is a real amplitude.
+    """
+    step = step or size
+    low = lambda k, pad: F.ceil((F.col(k) - size - pad + 1) / step)
+    high = lambda k, pad: F.floor((F.col(k) + pad) / step)
+
+    def dealt(image: DataFrame, kind: int, pad: int) -> DataFrame:
+        d = image.where("v IS NOT NULL").withColumn("wy", F.explode(F.sequence(low("row", pad), high("row", pad))))
+        return d.withColumn("wx", F.explode(F.sequence(low("col", pad), high("col", pad)))).select("wy", "wx", F.lit(kind).alias("k"), (F.col("row") - F.col("wy") * step + pad).cast("int").alias("y"), (F.col("col") - F.col("wx") * step + pad).cast("int").alias("x"), "v")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        chips = []
+        for k, n in ((0, size), (1, size + 2 * search)):
+            p, chip = g[g["k"] == k], np.full((n, n), np.nan)
+            chip[p["y"].to_numpy(), p["x"].to_numpy()] = p["v"]
+            chips.append(chip)
+        out = [] if any(np.isnan(x).any() for x in chips) else [(g["wy"].iloc[0], g["wx"].iloc[0], *_track(*chips, search, fine, min(zoom, search), factor))]
+        return pd.DataFrame(out, columns=["wy", "wx", "dy", "dx", "snr", "var_y", "var_x", "cov", "peak"])
+
+    both = dealt(reference, 0, 0).unionByName(dealt(secondary, 1, search))
+    return both.groupBy("wy", "wx").applyInPandas(run, "wy long, wx long, dy double, dx double, snr double, var_y double, var_x double, cov double, peak double")
+
+
+def remove_tone(lines: DataFrame, keys: list[str], frequency: float, window: int = 64) -> DataFrame:
+    """A tone of slowly varying strength, of ``frequency`` cycles a sample, taken off each line.
+
+    Raised-cosine windows of ``window`` samples, half a window apart (the first and last cut by
+    the line's ends), sum to one. In each the tone's strength is the windowed mean of the line turned back by the tone;
+    what the windows hold of the tone together is subtracted.
+    """
+
+    def f(z: np.ndarray, _: pd.DataFrame) -> np.ndarray:
+        n, half = z.shape[1], window // 2
+        shape, turn, out = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window), np.exp(-2j * np.pi * frequency * np.arange(n)), z.copy()
+        for mid in range(0, n + half - 1, half):
+            lo, hi = max(mid - half, 0), min(mid + half, n)
+            w = shape[lo - mid + half : hi - mid + half] * turn[lo:hi]
+            total = shape[lo - mid + half : hi - mid + half].sum()
+            if total > 0:
+                out[:, lo:hi] -= (z[:, lo:hi] @ w / total)[:, None] * np.conj(w)
+        return out
+
+    return map_lines(lines, keys, f)
+
+
+def spectra(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The transform of each line, by rising frequency: sample k has frequency ``(k - n // 2) / n`` cycles a sample."""
+    return map_lines(lines, keys, lambda z, _: np.fft.fftshift(np.fft.fft(z, axis=1), axes=1))
+
+
 def point_target(lines: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
     """``keys, peak, width, pslr``: place of the greatest modulus of each line at k times the sampling, its width at
     half power (samples), and the greatest lobe beyond its first nulls (decibels)."""

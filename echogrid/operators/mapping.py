@@ -7,6 +7,7 @@ key; every step is a projection or an equi-join, so points and images may be of
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +115,26 @@ def geocode_complex(places: DataFrame, image: DataFrame, keys: list[str], wavele
     return d.withColumns({"re": up[0], "im": up[1]})
 
 
+def polynomial(terms: dict[tuple[int, int], float], y: Column, x: Column) -> Column:
+    """The sum of ``terms[i, j] y^i x^j``."""
+    power = lambda k, n: reduce(lambda a, b: a * b, [k] * n, F.lit(1.0))
+    return sum((power(y, i) * power(x, j) * v for (i, j), v in terms.items()), F.lit(0.0))
+
+
+def resample(places: DataFrame, image: DataFrame, keys: list[str], carrier: dict[tuple[int, int], float], method: str = "sinc", flatten: Column | None = None) -> DataFrame:
+    """A complex image at ``y, x`` (``keys, id``), with a carrier whose phase is a polynomial of row and column.
+
+    The carrier is taken off the cells, which are then slow enough to be interpolated, and put
+    back at the place itself. ``flatten``: a phase to take off each place besides. Null where a needed cell is missing.
+    """
+    down = cplx.rotate(cplx.pair(), -polynomial(carrier, c("row").cast("double"), c("col").cast("double")))
+    flat = image.select(*keys, "row", "col", down[0].alias("re"), down[1].alias("im"))
+    d = grid.interpolate(places, flat, keys, method, ["re", "im"])
+    phase = polynomial(carrier, c("y"), c("x"))
+    up = cplx.rotate(cplx.pair(), phase if flatten is None else phase - flatten)
+    return d.withColumns({"re": up[0], "im": up[1]})
+
+
 def facets(nodes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Cells between DEM nodes (``keys, row, col, lon, lat, h``): centre ``x, y, z`` and area vector ``ax, ay, az`` (two triangles)."""
     d = nodes.withColumns(dict(zip("xyz", geodesy.to_xyz(c("lon"), c("lat"), c("h")), strict=True)))
@@ -127,6 +148,14 @@ def facets(nodes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return d.withColumns({f"a{k}": q / 2 for k, q in zip("xyz", area, strict=True)} | mean).drop("_n", "_r", "_d", "_e")
 
 
+def footprints(nodes: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame, footprint.Corners]:
+    """Map cells between nodes (``keys, row, col`` and their places ``y, x`` on the radar grid) with the corners of their footprints there, in order around."""
+    d = nodes.withColumn("_n", F.struct("y", "x"))
+    d = neighbours.blocked(d, 1, keys).withColumns({"_r": F.lead("_n").over(neighbours.along(keys)), "_d": F.lead("_n").over(neighbours.across(keys))})
+    d = neighbours.owned(d.withColumn("_e", F.lead("_r").over(neighbours.across(keys)))).where(c("_e").isNotNull())
+    return d, [(c(k)["y"], c(k)["x"]) for k in ("_n", "_r", "_e", "_d")]
+
+
 def facet_amounts(cells: DataFrame, orbit: DataFrame, key: str = "orbit_id") -> DataFrame:
     """Facets with ``t, r`` of their centres, ``sigma`` (their area) and ``gamma`` (their area as seen from the platform; 0 if it faces away)."""
     d = geometry.ground_to_radar(cells, orbit, key, state=True)
@@ -141,6 +170,13 @@ def area_layers(amounts: DataFrame, keys: tuple[str, ...], t0: float, prf: float
     return footprint.scatter(d, {"sigma": c("sigma"), "gamma": c("gamma")}, keys=keys)
 
 
+def area_layers_by_overlap(amounts: DataFrame, corners: footprint.Corners, keys: tuple[str, ...]) -> DataFrame:
+    """``keys, row, col, sigma, gamma``: each facet's areas dealt to the radar cells under its footprint, in the proportion of the overlaps, and summed; a footprint without area gives none."""
+    whole = F.nullif(footprint.polygon_area(corners), F.lit(0.0))
+    d = footprint.cell_shares(amounts.drop("row", "col"), corners).withColumn("_w", c("share") / whole)
+    return d.where("_w IS NOT NULL AND share > 1e-9").groupBy(*keys, "row", "col").agg(*(F.sum(c("_w") * c(k)).alias(k) for k in ("sigma", "gamma")))
+
+
 def normalisation() -> Column:
     """The factor from gamma to sigma of a radar cell, null without an area."""
     return c("gamma") / F.nullif(c("sigma"), F.lit(0.0))

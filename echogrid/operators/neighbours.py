@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from echogrid.functions import cplx
 from echogrid.functions.radar import TAU
+from echogrid.shared import materialize
 
 #: Lines of a block.
 BLOCK = 64
@@ -123,6 +124,35 @@ def fill_mean(cells: DataFrame, x: str, rows: int, cols: int, rounds: int = 1, k
     return owned(d)
 
 
+def fill_from(cells: DataFrame, x: str, other: DataFrame, y: str, rows: int, cols: int, keys: Keys = ()) -> DataFrame:
+    """Null cells get the mean of another layer's cells around them; null where it has none there either."""
+    at = [*keys, "row", "col"]
+    d = cells.join(other.select(*at, F.col(y).alias("_y")), at, "left")
+    a, b = along(keys).rangeBetween(-cols, cols), across(keys).rangeBetween(-rows, rows)
+    d = blocked(d, rows, keys).withColumns({"_s": F.sum("_y").over(a), "_n": F.count("_y").over(a)})
+    d = owned(d.withColumns({"_t": F.sum("_s").over(b), "_m": F.sum("_n").over(b)}))
+    return d.withColumn(x, F.coalesce(x, F.col("_t") / F.nullif(F.col("_m"), F.lit(0)))).drop("_y", "_s", "_n", "_t", "_m")
+
+
+def fill_pyramid(cells: DataFrame, x: str, layers: list[str], rows: int, cols: int, keys: Keys = (), rounds: int = 4) -> DataFrame:
+    """Holes of the finest layer ``x`` filled from the coarser ``layers`` (columns, finer ones first), then from their own edges inward.
+
+    A layer fills what those before it left, by the mean of its cells around a hole. What no layer
+    reaches is filled in rounds from its neighbours, ``rounds`` of them a shuffle, until an image has no hole
+    or no value at all; the cells of each pass are written to the shared folder.
+    """
+    d = cells
+    for y in layers:
+        d = fill_from(d, x, cells, y, rows, cols, keys)
+    d = materialize(d, "pyramid")
+    left = None
+    while True:
+        now = d.where(F.col(x).isNull()).count()
+        if now in (0, left):
+            return d
+        left, d = now, materialize(fill_mean(d, x, rows, cols, rounds, keys), "pyramid")
+
+
 def fill_lines(cells: DataFrame, x: str, keys: Keys = ()) -> DataFrame:
     """Null cells between others of their line by a straight line, those at the ends by the nearest."""
     back = Window.partitionBy(*keys, "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)

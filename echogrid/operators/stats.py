@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echogrid.functions import cplx
+from echogrid.operators import asof
 from echogrid.operators.neighbours import Keys, across, blocked, owned
 
 
@@ -102,3 +103,62 @@ def window_hits(cells: DataFrame, flag: Column, size: int, image: Keys = ()) ->
     d = blocked(d.withColumn("_f", flag.cast("int")), size - 1, image)
     d = owned(d.withColumn("hits", F.sum("_f").over(across(image).rowsBetween(0, size - 1))))
     return d.withColumn("hits", F.when(F.col("row") + size - 1 <= F.col("_last"), F.col("hits")).otherwise(0).cast("int")).drop("_f", "_last")
+
+
+def noise_by_interval(values: DataFrame, interval: int, scale: float = 1.0, median: bool = False, keys: Keys = ()) -> DataFrame:
+    """``keys, intervals, power``: the median over intervals of the least eigenvalue of their covariances (``k, values``, the largest first).
+
+    ``median``: of each interval the median of all but its largest eigenvalue instead. Intervals of fewer lines go.
+    """
+    whole = values.where(F.size("values") == interval)
+    rest = F.array_sort(F.slice("values", 2, interval - 1))
+    own = (F.get(rest, F.lit((interval - 2) // 2)) + F.get(rest, F.lit((interval - 1) // 2))) / 2 if median else F.get("values", F.lit(interval - 1))
+    g = whole.select(*keys, own.alias("_p")).groupBy(*keys).agg(F.count("*").alias("intervals"), (F.median("_p") * scale).alias("power"))
+    return g
+
+
+#: Ratios of the deviations of the largest and the least eigenvalues' steps, and how many deviations the threshold then takes.
+STEP_RATIOS, STEP_DEVIATIONS = (2.0, 20.0), (5.0, 2.0)
+
+
+def eigenvalue_threshold(values: DataFrame, block: int, leading: int, least: int, ratios: tuple[float, float] = STEP_RATIOS, deviations: tuple[float, float] = STEP_DEVIATIONS) -> DataFrame:
+    """``block, intervals, ratio, threshold`` of each block of so many intervals ``k``: a slope in decibels between eigenvalues beyond which they are interference.
+
+    Of the ``leading`` eigenvalues that with the greatest deviation over the block's intervals, and the
+    eigenvalue of index ``least``, are followed from interval to interval. The ratio of the
+    deviations of their steps says how strong interference is, and by a straight line how many deviations
+    of the least one's steps, from their mean, are taken. Without such deviation a block has no
+    ratio and no threshold, and nothing of it is loud.
+    """
+    db = lambda k: 10 * F.log10(F.abs(F.get("values", F.lit(k))))
+    d = values.withColumns({"block": F.floor(F.col("k") / block), "_low": db(least)} | {f"_top{i}": db(i) for i in range(leading)})
+    w = Window.partitionBy("block").orderBy("k")
+    names = ["_low", *(f"_top{i}" for i in range(leading))]
+    d = d.withColumns({f"{n}_step": F.col(n) - F.lag(n).over(w) for n in names})
+    tops = [F.struct(F.stddev_pop(f"_top{i}").alias("sd"), F.lit(-i).alias("i"), F.stddev_pop(f"_top{i}_step").alias("step")) for i in range(leading)]
+    best = F.array_max(F.array(*tops))["step"]
+    g = d.groupBy("block").agg(F.count("*").alias("intervals"), (best / F.nullif(F.stddev_pop("_low_step"), F.lit(0.0))).alias("ratio"), F.stddev_pop("_low_step").alias("_sd"), F.avg("_low_step").alias("_mean"))
+    share = F.least(F.greatest((F.col("ratio") - ratios[0]) / (ratios[1] - ratios[0]), F.lit(0.0)), F.lit(1.0))
+    return g.withColumn("threshold", F.col("_mean") + (deviations[0] + share * (deviations[1] - deviations[0])) * F.col("_sd")).drop("_sd", "_mean")
+
+
+def loud_eigenvalues(values: DataFrame, thresholds: DataFrame, block: int, most: int) -> DataFrame:
+    """``k, loud``: how many of the leading eigenvalues of each interval are interference: up to the last of the first ``most`` falls that exceed its block's threshold."""
+    d = values.withColumn("block", F.floor(F.col("k") / block)).join(thresholds.select("block", "threshold"), "block")
+    fall = lambda i: 10 * (F.log10(F.abs(F.get("values", F.lit(i + 1)))) - F.log10(F.abs(F.get("values", F.lit(i)))))
+    hits = [F.when(fall(i) < -F.col("threshold"), i + 1).otherwise(0) for i in range(most)]
+    return d.select("k", (F.greatest(*hits) if most > 1 else hits[0]).alias("loud"))
+
+
+def spectral_slope(bins: DataFrame, n: int, half_width: float, rate: float, frequency: float, keys: Keys = ()) -> DataFrame:
+    """``keys, bins, slope, doppler``: Doppler without ambiguity from the phase of neighbouring lines' products in each bin of the range spectrum.
+
+    ``bins``: ``col`` (of frequency ``(col - n // 2) / n`` cycles a sample) and ``phase``; those within ``half_width``
+    cycles count. Their phases are unwrapped by frequency and fitted by a line; its slope times the line ``rate``
+    and the carrier ``frequency`` (in samples' rate too) is the Doppler there.
+    """
+    reach = int(half_width * n)
+    d = bins.where(F.col("col").between(n // 2 - reach, n // 2 + reach - (n + 1) % 2))
+    d = asof.unwrapped(d, list(keys) or ["_all"], "col", "phase") if keys else asof.unwrapped(d.withColumn("_all", F.lit(0)), ["_all"], "col", "phase")
+    g = d.groupBy(*keys).agg(F.count("*").alias("bins"), F.regr_slope("unwrapped", (F.col("col") - n // 2) / F.lit(float(n))).alias("slope"))
+    return g.withColumn("doppler", F.col("slope") * (frequency * rate / (2 * math.pi)))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from echogrid.functions import cplx, geodesy, radar
-from echogrid.operators import geometry, mapping, neighbours, pol, stats
+from echogrid.operators import footprint, geometry, mapping, neighbours, pol, stats
 from echogrid.plans import relations as rel
 from echogrid.plans.registry import query, r6
 from echogrid.shared import materialize
@@ -29,11 +29,15 @@ P0 = tuple(p - 45 * v for p, v in zip(_place(_LON, _LAT, 700_000.0), V, strict=T
 T0, PRF, R0, DR, WAVE = 50.0, 4.0, 770_000.0, 2500.0, 0.24
 
 _XYZ = f"g0 AS (SELECT *, {_A} / sqrt(1 - {_E2} * pow(sin(lat), 2)) AS rn FROM m), g AS (SELECT *, (rn + h) * cos(lat) * cos(lon) AS x, (rn + h) * cos(lat) * sin(lon) AS y, (rn * {1 - _E2} + h) * sin(lat) AS z FROM g0)"
-_CROSS = (
-    f"s AS (SELECT *, ((x - {P0[0]} - orbit_id * 100) * {V[0]} + (y - {P0[1]}) * {V[1]} + (z - {P0[2]}) * {V[2]}) / {7500.0**2} AS t FROM {{0}}), "
-    f"k AS (SELECT *, {P0[0]} + orbit_id * 100 + t * {V[0]} - x AS lx, {P0[1]} + t * {V[1]} - y AS ly, {P0[2]} + t * {V[2]} - z AS lz FROM s), l AS (SELECT *, sqrt(lx * lx + ly * ly + lz * lz) AS r FROM k)"
-)
-_MAP = ", m AS (SELECT id, id % 4 AS orbit_id, radians(10 + (id % 40) * 0.02) AS lon, radians(45 + (id * 7 % 30) * 0.02) AS lat, CAST((id % 13) * 80.0 AS DOUBLE) AS h FROM target), " + _XYZ + ", " + _CROSS.format("g")
+def _crossing(source: str, tag: str = "") -> str:
+    """Crossings ``l`` of the points of ``source``; the tag keeps apart several of them in one statement."""
+    return (
+        f"s{tag} AS (SELECT *, ((x - {P0[0]} - orbit_id * 100) * {V[0]} + (y - {P0[1]}) * {V[1]} + (z - {P0[2]}) * {V[2]}) / {7500.0**2} AS t FROM {source}), "
+        f"k{tag} AS (SELECT *, {P0[0]} + orbit_id * 100 + t * {V[0]} - x AS lx, {P0[1]} + t * {V[1]} - y AS ly, {P0[2]} + t * {V[2]} - z AS lz FROM s{tag}), l{tag} AS (SELECT *, sqrt(lx * lx + ly * ly + lz * lz) AS r FROM k{tag})"
+    )
+
+
+_MAP = ", m AS (SELECT id, id % 4 AS orbit_id, radians(10 + (id % 40) * 0.02) AS lon, radians(45 + (id * 7 % 30) * 0.02) AS lat, CAST((id % 13) * 80.0 AS DOUBLE) AS h FROM target), " + _XYZ + ", " + _crossing("g")
 #: The direction to the platform in east, north and up.
 _ENU = ", d AS (SELECT *, (-sin(lon) * lx + cos(lon) * ly) / r AS le, (-sin(lat) * cos(lon) * lx - sin(lat) * sin(lon) * ly + cos(lat) * lz) / r AS ln, (cos(lat) * cos(lon) * lx + cos(lat) * sin(lon) * ly + sin(lat) * lz) / r AS lu FROM l)"
 _GRID = f", q AS (SELECT *, (t - {T0}) * {PRF} AS gy, (r - {R0}) / {DR} AS gx FROM l)"
@@ -234,7 +238,7 @@ def l8_water(spark, sf):
 #: A height model of the image: lines 0.0002 degrees apart in latitude, columns 0.01 in longitude.
 _NODES = ", m AS (SELECT row, col, 0 AS orbit_id, radians(10 + col * 0.01) AS lon, radians(45 + row * 0.0002) AS lat, 500 * v AS h FROM img), " + _XYZ
 _next = lambda k: f"lead({k}) OVER a AS r{k}, lead({k}) OVER d AS d{k}"
-_FACETS = f"{_NODES}, o1 AS (SELECT row, col, orbit_id, x, y, z, {', '.join(map(_next, 'xyz'))} FROM g WINDOW a AS (PARTITION BY row ORDER BY col), d AS (PARTITION BY col ORDER BY row)), o2 AS (SELECT *, lead(rx) OVER d AS ex, lead(ry) OVER d AS ey, lead(rz) OVER d AS ez FROM o1 WINDOW d AS (PARTITION BY col ORDER BY row)), o3 AS (SELECT row AS nrow, col AS ncol, orbit_id, ((ey - y) * (dz - rz) - (ez - z) * (dy - ry)) / 2 AS ax, ((ez - z) * (dx - rx) - (ex - x) * (dz - rz)) / 2 AS ay, ((ex - x) * (dy - ry) - (ey - y) * (dx - rx)) / 2 AS az, (x + rx + dx + ex) / 4 AS x, (y + ry + dy + ey) / 4 AS y, (z + rz + dz + ez) / 4 AS z FROM o2 WHERE ex IS NOT NULL), {_CROSS.format('o3')}, f AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS sigma, greatest(CASE WHEN ax * x + ay * y + az * z < 0 THEN -1.0 ELSE 1.0 END * (ax * lx + ay * ly + az * lz) / r, 0.0) AS gamma, (t - {T0}) * {PRF} AS gy, (r - {R0}) / {DR} AS gx FROM l)"
+_FACETS = f"{_NODES}, o1 AS (SELECT row, col, orbit_id, x, y, z, {', '.join(map(_next, 'xyz'))} FROM g WINDOW a AS (PARTITION BY row ORDER BY col), d AS (PARTITION BY col ORDER BY row)), o2 AS (SELECT *, lead(rx) OVER d AS ex, lead(ry) OVER d AS ey, lead(rz) OVER d AS ez FROM o1 WINDOW d AS (PARTITION BY col ORDER BY row)), o3 AS (SELECT row AS nrow, col AS ncol, orbit_id, ((ey - y) * (dz - rz) - (ez - z) * (dy - ry)) / 2 AS ax, ((ez - z) * (dx - rx) - (ex - x) * (dz - rz)) / 2 AS ay, ((ex - x) * (dy - ry) - (ey - y) * (dx - rx)) / 2 AS az, (x + rx + dx + ex) / 4 AS x, (y + ry + dy + ey) / 4 AS y, (z + rz + dz + ez) / 4 AS z FROM o2 WHERE ex IS NOT NULL), {_crossing('o3')}, f AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS sigma, greatest(CASE WHEN ax * x + ay * y + az * z < 0 THEN -1.0 ELSE 1.0 END * (ax * lx + ay * ly + az * lz) / r, 0.0) AS gamma, (t - {T0}) * {PRF} AS gy, (r - {R0}) / {DR} AS gx FROM l)"
 _AREAS = f"{_FACETS}, sc AS (SELECT CAST(floor(gy) + i AS BIGINT) AS row, CAST(floor(gx) + j AS INT) AS col, sum((1 - abs(gy - floor(gy) - i)) * (1 - abs(gx - floor(gx) - j)) * sigma) AS sigma, sum((1 - abs(gy - floor(gy) - i)) * (1 - abs(gx - floor(gx) - j)) * gamma) AS gamma FROM f, range(0, 2) a(i), range(0, 2) b(j) GROUP BY 1, 2)"
 
 
@@ -243,9 +247,7 @@ def _nodes(spark, sf):
 
 
 def _areas(spark, sf):
-    n = _nodes(spark, sf)
-    amounts = mapping.facet_amounts(mapping.facets(n), _orbit(spark, n))
-    return mapping.area_layers(amounts, (), T0, PRF, R0, DR)
+    return mapping.area_layers(_crossed(spark, sf), (), T0, PRF, R0, DR)
 
 
 @query("a16_facet_areas", "img", f"{_AREAS} SELECT row, col, round(sigma, 0) AS sigma, round(gamma, 0) AS gamma, round(gamma / nullif(sigma, 0), 5) AS factor FROM sc WHERE sigma > 100")
@@ -254,6 +256,47 @@ def a16(spark, sf):
     return _areas(spark, sf).where("sigma > 100").select("row", "col", F.round("sigma", 0).alias("sigma"), F.round("gamma", 0).alias("gamma"), F.round(mapping.normalisation(), 5).alias("factor"))
 
 
+#: A finer radar grid, on which a map cell's footprint is slanted over some cells: first time, line rate, first range, spacing.
+_FINE = (53.7, 300.0, 793_300.0, 420.0)
+_CORNERS = f"{_NODES}, {_crossing('g', '_n')}, n0 AS (SELECT row, col, (t - {_FINE[0]}) * {_FINE[1]} AS y, (r - {_FINE[2]}) / {_FINE[3]} AS x FROM l_n), n1 AS (SELECT row, col, y, x, lead(y) OVER a AS ry, lead(x) OVER a AS rx, lead(y) OVER d AS dy, lead(x) OVER d AS dx FROM n0 WINDOW a AS (PARTITION BY row ORDER BY col), d AS (PARTITION BY col ORDER BY row)), n2 AS (SELECT *, lead(ry) OVER d AS ey, lead(rx) OVER d AS ex FROM n1 WINDOW d AS (PARTITION BY col ORDER BY row)), fp AS (SELECT row AS frow, col AS fcol, [{{'y': y, 'x': x}}, {{'y': ry, 'x': rx}}, {{'y': ey, 'x': ex}}, {{'y': dy, 'x': dx}}, {{'y': y, 'x': x}}] AS p FROM n2 WHERE ey IS NOT NULL)"
+_CLIP = lambda v: f"greatest(least({v}, r + 1), r)"
+_RAMP = lambda u: f"CASE WHEN {u} <= 0 THEN 0 WHEN {u} >= 1 THEN {u} - 0.5 ELSE {u} * {u} / 2 END"
+_OVERLAP = (
+    f"{_CORNERS}, fa AS (SELECT *, abs(list_sum([p[i].y * p[i + 1].x - p[i + 1].y * p[i].x FOR i IN range(1, 5)])) / 2 AS whole, list_transform(p, lambda k: k.y) AS ys, list_transform(p, lambda k: k.x) AS xs FROM fp)"
+    ", fr AS (SELECT *, unnest(range(CAST(floor(list_min(ys)) AS BIGINT), CAST(ceil(list_max(ys)) AS BIGINT))) AS r FROM fa)"
+    ", fe AS (SELECT frow, fcol, whole, r, xs, p[i].y AS y1, p[i].x AS x1, p[i + 1].y AS y2, p[i + 1].x AS x2 FROM fr, range(1, 5) e(i))"
+    f", fg AS (SELECT frow, fcol, whole, r, xs, {_CLIP('y2')} - {_CLIP('y1')} AS h, x1 + (x2 - x1) / (y2 - y1) * ({_CLIP('y1')} - y1) AS xa, x1 + (x2 - x1) / (y2 - y1) * ({_CLIP('y2')} - y1) AS xb FROM fe)"
+    ", fc AS (SELECT *, unnest(range(CAST(floor(list_min(xs)) AS BIGINT), CAST(ceil(list_max(xs)) AS BIGINT))) AS k FROM fg)"
+    f", ov AS (SELECT frow, fcol, any_value(whole) AS whole, r AS row, CAST(k AS INT) AS col, abs(sum(h * CASE WHEN abs(xb - xa) < 1e-7 THEN greatest(least((xa + xb) / 2 - k, 1), 0) ELSE ({_RAMP('(xb - k)')} - {_RAMP('(xa - k)')}) / (xb - xa) END)) AS w FROM fc GROUP BY frow, fcol, r, k)"
+)
+
+
+def _footprints(spark, sf):
+    """Nodes' crossings, written once, and the footprints of the map cells between them."""
+    n = _nodes(spark, sf)
+    crossed = geometry.ground_to_radar(n.withColumns(dict(zip("xyz", geodesy.to_xyz(c("lon"), c("lat"), c("h")), strict=True))), _orbit(spark, n), "orbit_id")
+    return mapping.footprints(materialize(mapping.image_places(crossed.select("row", "col", "t", "r"), *_FINE), "crossings"))
+
+
+@query("a13_area_projection", "img", f"{_OVERLAP}, av AS (SELECT frow, fcol, any_value(whole) AS whole, count(*) AS n, count(v) AS got, sum(w) FILTER (v IS NOT NULL) AS total, sum(w * v) AS s, sum(w * w) FILTER (v IS NOT NULL) AS q FROM ov LEFT JOIN img USING (row, col) WHERE w > 1e-9 GROUP BY frow, fcol) SELECT frow AS row, fcol AS col, round(CASE WHEN n = got AND abs(total - whole) <= 1e-6 * whole + 4e-9 THEN s / total END, 5) + 0.0 AS v, round(total, 5) AS weight, round(total * total / q, 3) AS looks FROM av WHERE whole > 1e-3")
+def a13(spark, sf):
+    """Map cells between nodes of a height model, projected to the radar grid as slanted quadrangles: means of the image cells under them by overlap."""
+    d, corners = _footprints(spark, sf)
+    cells = d.where(footprint.polygon_area(corners) > 1e-3).withColumns({"frow": c("row"), "fcol": c("col")})
+    g = footprint.project_by_area(cells, corners, rel.img(spark, sf), ["frow", "fcol"], ["v"])
+    return g.select(c("frow").alias("row"), c("fcol").alias("col"), (F.round("v", 5) + F.lit(0.0)).alias("v"), F.round("weight", 5).alias("weight"), F.round("looks", 3).alias("looks"))
+
+
+@query("a16_area_projection", "img", f"{_FACETS}{_OVERLAP.removeprefix(_NODES)}, ap AS (SELECT row, col, sum(w / whole * sigma) AS sigma, sum(w / whole * gamma) AS gamma FROM ov JOIN f ON f.nrow = frow AND f.ncol = fcol WHERE w > 1e-9 AND whole > 1e-3 GROUP BY row, col) SELECT row, col, round(sigma, 0) AS sigma, round(gamma, 0) AS gamma FROM ap")
+def a16_projection(spark, sf):
+    """Facet areas spread over radar cells by the overlap of their footprints, instead of the four cells around their centres."""
+    d, corners = _footprints(spark, sf)
+    amounts = _crossed(spark, sf).select("row", "col", "sigma", "gamma")
+    quads = d.where(footprint.polygon_area(corners) > 1e-3).select("row", "col", "_n", "_r", "_e", "_d")
+    cells = mapping.area_layers_by_overlap(quads.join(amounts, ["row", "col"]), corners, ())
+    return cells.select("row", "col", F.round("sigma", 0).alias("sigma"), F.round("gamma", 0).alias("gamma"))
+
+
 _ANF = f"{_AREAS}, p AS (SELECT id, floor(gy + 0.5) AS row, floor(gx + 0.5) AS col FROM (SELECT nrow * 100 + ncol AS id, gy, gx FROM f)), an AS (SELECT p.id, round(CASE WHEN sigma > 100 THEN gamma / sigma END, 5) AS factor FROM p LEFT JOIN sc USING (row, col))"
 
 

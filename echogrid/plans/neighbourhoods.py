@@ -83,6 +83,19 @@ def w8(spark, sf):
     return neighbours.fill_mean(_holes(spark, sf), "v", 1, 1).select("row", "col", r6(c("v")).alias("v"))
 
 
+_COARSE = ", h AS (SELECT row, col, CASE WHEN row % 20 >= 14 AND col % 16 >= 9 THEN NULL ELSE v END AS v, CASE WHEN row % 20 BETWEEN 15 AND 18 AND col % 32 >= 24 THEN NULL WHEN (row + col) % 2 = 0 THEN v * 2 END AS a, CASE WHEN col % 32 BETWEEN 26 AND 29 THEN NULL ELSE v * 3 END AS b FROM img)"
+_FROM = lambda t, x, u: f", {u} AS (SELECT d.row, d.col, coalesce(any_value(d.v), avg(o.{x})) AS v FROM {t} d, range(-1, 2) i(i), range(-1, 2) j(j) LEFT JOIN {'h' if x != 'v' else t} o ON o.row = d.row + i AND o.col = d.col + j GROUP BY d.row, d.col)"
+
+
+@query("w8_pyramid_fill", "img", f"{_COARSE}{_FROM('h', 'a', 'p0')}{_FROM('p0', 'b', 'p1')}" + "".join(_FROM(f"p{k}", "v", f"p{k + 1}") for k in range(1, 5)) + " SELECT row, col, round(v, 5) + 0.0 AS v FROM p5")
+def w8_pyramid(spark, sf):
+    """Holes wider than a window: filled from two coarser layers with holes of their own, then inward from their edges."""
+    y, x = c("row") % 20, c("col") % 16
+    coarse = F.when(~(y.between(15, 18) & (c("col") % 32 >= 24)) & ((c("row") + c("col")) % 2 == 0), c("v") * 2)
+    d = rel.img(spark, sf).select("row", "col", F.when(~((y >= 14) & (x >= 9)), c("v")).alias("v"), coarse.alias("a"), F.when(~(c("col") % 32).between(26, 29), c("v") * 3).alias("b"))
+    return neighbours.fill_pyramid(d, "v", ["a", "b"], 1, 1).select("row", "col", (F.round("v", 5) + F.lit(0.0)).alias("v"))
+
+
 @query("w13_repair_turns", "img", f", h AS (SELECT row, col, v + {_PI2} * CAST((row * 5 + col * 3) % 11 = 0 AS INT) AS v FROM img){_N3}, m AS (SELECT row, col, median(w) AS m FROM n GROUP BY row, col) SELECT row, col, round(v - {_PI2} * round_even((v - m) / {_PI2}, 0), 6) + 0.0 AS v FROM h JOIN m USING (row, col)")
 def w13(spark, sf):
     x = rel.img(spark, sf).withColumn("v", c("v") + _PI2 * ((c("row") * 5 + c("col") * 3) % 11 == 0).cast("int"))
@@ -163,6 +176,16 @@ def j12(spark, sf):
     return grid.interpolate(_points(spark, sf), rel.img(spark, sf), [], "bicubic").select("id", r6(c("v")).alias("v"))
 
 
+#: The weight of each node of the spline's window at share u of the interval, as SQL.
+_SPLINE = lambda u, k: "CASE " + k + " " + " ".join(f"WHEN {n - grid.INSIDE} THEN {a!r} + {u} * ({b!r} + {u} * ({d!r} + {u} * {e!r}))" for n, (a, b, d, e) in enumerate(grid.spline_weights().tolist())) + " END"
+
+
+@query("j12_biquintic", "img target", f"{_POINTS}, t AS (SELECT p.id, ({_SPLINE('(y - floor(y))', 'r')}) * ({_SPLINE('(x - floor(x))', 'k')}) AS w, v FROM p, range(-1, 5) a(r), range(-1, 5) b(k) LEFT JOIN img ON img.row = floor(y) + r AND img.col = floor(x) + k), n AS (SELECT id, count(*) AS need, count(v) AS got, sum(w * v) AS v FROM t WHERE w <> 0 GROUP BY id) SELECT id, round(CASE WHEN need = got THEN v END, 6) + 0.0 AS v FROM n")
+def j12_biquintic(spark, sf):
+    """A natural cubic spline through six cells along each axis, solved once for all windows."""
+    return grid.interpolate(_points(spark, sf), rel.img(spark, sf), [], "biquintic").select("id", r6(c("v")).alias("v"))
+
+
 @query("j12_nearest", "img target", f"{_POINTS} SELECT id, round(v, 6) + 0.0 AS v FROM p LEFT JOIN img ON img.row = floor(y + 0.5) AND img.col = floor(x + 0.5)")
 def j12n(spark, sf):
     return grid.interpolate(_points(spark, sf), rel.img(spark, sf), [], "nearest").select("id", r6(c("v")).alias("v"))

@@ -29,19 +29,13 @@ def a12(spark, sf):
     return g.select("id", *(r6(c(x)).alias(x) for x in ("v", "weight", "looks")))
 
 
-@query("a13_area_projection", "img", ", b AS (SELECT row, col, row * 0.9 + 0.2 AS y0, row * 0.9 + 1.4 AS y1, col * 0.8 + 0.1 AS x0, col * 0.8 + 1.3 AS x1 FROM img), w AS (SELECT b.row AS r, b.col AS c, greatest(least(y1, i.row + 1) - greatest(y0, i.row), 0) * greatest(least(x1, i.col + 1) - greatest(x0, i.col), 0) AS w, v FROM b, range(0, 3) p(p), range(0, 3) q(q) JOIN img i ON i.row = floor(y0) + p AND i.col = floor(x0) + q) SELECT r AS row, c AS col, round(sum(w * v) / sum(w), 6) + 0.0 AS v, CAST(round(sum(w), 6) AS DOUBLE) AS weight FROM w WHERE w > 0 GROUP BY r, c")
-def a13(spark, sf):
+@query("a13_box_projection", "img", ", b AS (SELECT row, col, row * 0.9 + 0.2 AS y0, row * 0.9 + 1.4 AS y1, col * 0.8 + 0.1 AS x0, col * 0.8 + 1.3 AS x1 FROM img), w AS (SELECT b.row AS r, b.col AS c, greatest(least(y1, i.row + 1) - greatest(y0, i.row), 0) * greatest(least(x1, i.col + 1) - greatest(x0, i.col), 0) AS w, v FROM b, range(0, 3) p(p), range(0, 3) q(q) JOIN img i ON i.row = floor(y0) + p AND i.col = floor(x0) + q) SELECT r AS row, c AS col, round(sum(w * v) / sum(w), 6) + 0.0 AS v, CAST(round(sum(w), 6) AS DOUBLE) AS weight FROM w WHERE w > 0 GROUP BY r, c")
+def a13_boxes(spark, sf):
     b = rel.img(spark, sf).select(c("row").alias("r"), c("col").alias("k"), (c("row") * 0.9 + 0.2).alias("y0"), (c("row") * 0.9 + 1.4).alias("y1"), (c("col") * 0.8 + 0.1).alias("x0"), (c("col") * 0.8 + 1.3).alias("x1"))
     g = footprint.area_mean(b, rel.img(spark, sf), ["r", "k"], ["v"])
     return g.select(c("r").alias("row"), c("k").alias("col"), r6(c("v")).alias("v"), r6(c("weight")).alias("weight"))
 
 
-@query("a16_facet_areas", "img", ", p AS (SELECT row * 0.5 + 0.25 AS y, col * 0.6 + 0.1 AS x, sqrt(1 + v * v) AS a FROM img), s AS (SELECT floor(y) + r AS row, floor(x) + k AS col, (1 - abs(y - floor(y) - r)) * (1 - abs(x - floor(x) - k)) * a AS a FROM p, range(0, 2) i(r), range(0, 2) j(k)) SELECT CAST(row AS BIGINT) AS row, CAST(col AS INT) AS col, round(sum(a), 6) + 0.0 AS area FROM s GROUP BY 1, 2")
-def a16(spark, sf):
-    p = rel.img(spark, sf).select((c("row") * 0.5 + 0.25).alias("y"), (c("col") * 0.6 + 0.1).alias("x"), F.sqrt(1 + c("v") ** 2).alias("a"))
-    return footprint.scatter(p, {"area": c("a")}).select("row", "col", r6(c("area")).alias("area"))
-
-
 @query("a19_noise_by_block", "slc", ", d AS (SELECT col, row, lead(re) OVER w - re AS dre, lead(im) OVER w - im AS dim FROM slc WINDOW w AS (PARTITION BY col ORDER BY row)), p AS (SELECT col, dre * dre + dim * dim AS p FROM d WHERE dre IS NOT NULL AND row % 2 = 0), m AS (SELECT col, avg(p) AS m FROM p GROUP BY col), x AS (SELECT col, avg(p) * 0.5 AS power FROM p JOIN m USING (col) WHERE sqrt(p) < 2 * sqrt(m) GROUP BY col) SELECT CAST(floor(col / 8) AS BIGINT) AS block, round(avg(power), 6) AS power FROM x GROUP BY 1")
 def a19(spark, sf):
     n = stats.noise_by_difference(rel.slc(spark, sf), "single")
@@ -160,6 +154,30 @@ def g8(spark, sf):
     return both.select(c("r").alias("row"), c("k").alias("col"), r6(up[0]).alias("re"), r6(up[1]).alias("im"))
 
 
+#: A carrier of second order along lines and columns, and offsets that grow over the image.
+_CARRIER = {(0, 1): 0.3, (1, 0): -0.7, (2, 0): 0.0004, (1, 1): 0.0011, (0, 2): 0.002}
+_PHASE = lambda y, x: " + ".join(f"{v} * pow({y}, {i}) * pow({x}, {j})" for (i, j), v in _CARRIER.items())
+_SINC = lambda d: f"CASE WHEN abs({d}) * pi() < 1e-9 THEN 1.0 WHEN abs({d}) < 4 THEN sin(abs({d}) * pi()) / (abs({d}) * pi()) * (0.5 + 0.5 * cos(abs({d}) * pi() / 4)) ELSE 0.0 END"
+
+
+@query(
+    "g8_sinc_resampled",
+    "slc",
+    f", d AS (SELECT row, col, {_PHASE('row', 'col')} AS a, re, im FROM slc), f AS (SELECT row, col, re * cos(a) + im * sin(a) AS re, im * cos(a) - re * sin(a) AS im FROM d), p AS (SELECT row, col, row + 0.25 + 0.001 * row AS y, col + 0.4 - 0.003 * col + 0.0005 * row AS x FROM slc)"
+    f", t AS (SELECT p.row, p.col, y, x, ({_SINC('(y - (floor(y) + r))')}) * ({_SINC('(x - (floor(x) + k))')}) AS w, f.re, f.im FROM p, range(-3, 5) i(r), range(-3, 5) j(k) LEFT JOIN f ON f.row = floor(y) + r AND f.col = floor(x) + k)"
+    f", n AS (SELECT row, col, y, x, count(*) AS need, count(re) AS got, sum(w * re) / sum(w) AS re, sum(w * im) / sum(w) AS im, {_PHASE('y', 'x')} AS a FROM t WHERE w <> 0 GROUP BY row, col, y, x) SELECT row, col, round(re * cos(a) - im * sin(a), 5) + 0.0 AS re, round(re * sin(a) + im * cos(a), 5) + 0.0 AS im FROM n WHERE need = got",
+)
+def g8_sinc(spark, sf):
+    """An image resampled by eight-tap sincs at places that drift over it, without and again with its two-dimensional carrier."""
+    from echogrid.operators import mapping
+
+    s = rel.slc(spark, sf)
+    p = s.select(c("row").alias("r"), c("col").alias("k"), (c("row") + 0.25 + 0.001 * c("row")).alias("y"), (c("col") + 0.4 - 0.003 * c("col") + 0.0005 * c("row")).alias("x"))
+    d = mapping.resample(p, s, [], _CARRIER).where("re IS NOT NULL AND im IS NOT NULL")
+    r5 = lambda x: F.round(x, 5) + F.lit(0.0)
+    return d.select(c("r").alias("row"), c("k").alias("col"), r5(c("re")).alias("re"), r5(c("im")).alias("im"))
+
+
 @query("d1_user_function", "img", "SELECT row, col, round(sqrt(abs(v)), 6) AS v FROM img")
 def d1(spark, sf):
     return footprint.apply(rel.img(spark, sf), lambda v: r6(F.sqrt(F.abs(v))))

@@ -15,9 +15,11 @@ SQL: dict[str, str] = {}
 
 
 def query(name: str, relations: str = "", sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; ``sql`` follows the ``WITH`` of the named relations."""
+    """Register a query; ``sql`` follows the ``WITH`` of the named relations. A name is used once."""
 
     def put(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
             SQL[name] = with_relations(relations, sql) if relations else sql

@@ -74,6 +74,38 @@ def j8(spark, sf):
     return j.where(inside).select("event_id", (F.round(p, 3) + F.lit(0.0)).alias("p"), (F.round(v, 5) + F.lit(0.0)).alias("v"))
 
 
+#: Each user's events number the states of an orbit, ten seconds apart (a little off for the Hermite polynomial); other events ask for it in between.
+_ORBITS = lambda off, n, before: (
+    f"WITH e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events), o AS (SELECT user_id, k, 10.0 * k + {off} * (k % 3) AS t FROM e), s AS (SELECT user_id, k, t, 7000000 * cos(t / 1000) AS p, -7000 * sin(t / 1000) AS v FROM o), "
+    f"z AS (SELECT user_id, k, t, count(*) OVER (PARTITION BY user_id) AS n, max(t) OVER (PARTITION BY user_id) AS last FROM s), q AS (SELECT event_id, e.user_id, z.t + abs(value) % 9 AS t, least(greatest(e.k - {before}, 0), n - {n}) AS lo FROM e JOIN z ON z.user_id = e.user_id AND z.k = e.k WHERE n >= {n} AND z.t + abs(value) % 9 <= last), "
+    f"a AS (SELECT event_id, s.k, q.t - s.t AS d, s.t, s.p, s.v FROM q JOIN s ON s.user_id = q.user_id AND s.k BETWEEN lo AND lo + {n - 1}), h AS (SELECT a.event_id, a.k, any_value(a.d) AS d, any_value(a.p) AS p, any_value(a.v) AS v, product(b.d / (a.t - b.t)) FILTER (b.k <> a.k) AS h, sum(1 / (a.t - b.t)) FILTER (b.k <> a.k) AS b, "
+    "sum(1 / b.d) FILTER (b.k <> a.k) AS g FROM a JOIN a b USING (event_id) GROUP BY a.event_id, a.k)"
+)
+_NEAR = " WHERE event_id NOT IN (SELECT event_id FROM a WHERE d = 0)"
+
+
+def _orbit_places(spark, sf, off, method):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = rel.read(spark, sf, "events").select("event_id", "user_id", "value", (F.row_number().over(w) - 1).alias("k"))
+    e = e.withColumn("t", 10.0 * c("k") + off * (c("k") % 3))
+    s = e.select("user_id", "t", (7000000 * F.cos(c("t") / 1000)).alias("p"), (-7000 * F.sin(c("t") / 1000)).alias("v"))
+    asked = e.select("event_id", "user_id", (c("t") + F.abs("value") % 9).alias("t")).where(F.abs("value") % 9 != 0)
+    d = asof.orbit_at(asked, s, ["user_id"], {"p": "v"}, method)
+    return d.select("event_id", (F.round("p", 2) + F.lit(0.0)).alias("p"), (F.round("v", 4) + F.lit(0.0)).alias("v"))
+
+
+@query("j8_orbit_hermite", "", f"{_ORBITS(0.4, 4, 1)} SELECT event_id, round(sum(h * h * ((1 - 2 * b * d) * p + d * v)), 2) + 0.0 AS p, round(sum(2 * h * h * g * ((1 - 2 * b * d) * p + d * v) + h * h * (v - 2 * b * p)), 4) + 0.0 AS v FROM h{_NEAR} GROUP BY event_id")
+def j8_hermite(spark, sf):
+    """Positions and velocities of four states around a time, one polynomial through both."""
+    return _orbit_places(spark, sf, 0.4, "hermite")
+
+
+@query("j8_orbit_legendre", "", f"{_ORBITS(0.0, 9, 4)} SELECT event_id, round(sum(h * p), 2) + 0.0 AS p, round(sum(h * v), 4) + 0.0 AS v FROM h{_NEAR} GROUP BY event_id")
+def j8_legendre(spark, sf):
+    """Nine states around a time, a polynomial through their positions and one through their velocities."""
+    return _orbit_places(spark, sf, 0.0, "legendre")
+
+
 @query("j9_attitude_slerp", "pulse", ", a AS (SELECT i, 0.001 * x AS w0, 0.02 * x AS w1, (i % 10) / 10.0 AS u FROM pulse), q AS (SELECT i, u, cos(w0) AS a0, sin(w0) AS a1, cos(w1) AS b0, sin(w1) AS b1 FROM a), d AS (SELECT *, CASE WHEN a0 * b0 + a1 * b1 < 0 THEN -1.0 ELSE 1.0 END AS s, acos(least(abs(a0 * b0 + a1 * b1), 1.0)) AS g, least(abs(a0 * b0 + a1 * b1), 1.0) AS k FROM q), w AS (SELECT *, CASE WHEN k > 0.9999999 THEN 1 - u ELSE sin((1 - u) * g) / sin(g) END AS wa, CASE WHEN k > 0.9999999 THEN u ELSE sin(u * g) / sin(g) END * s AS wb FROM d) SELECT i, round(wa * a0 + wb * b0, 6) + 0.0 AS q0, round(wa * a1 + wb * b1, 6) + 0.0 AS q1 FROM w")
 def j9(spark, sf):
     p = rel.pulse(spark, sf).select("i", (0.001 * c("x")).alias("w0"), (0.02 * c("x")).alias("w1"), ((c("i") % 10) / 10.0).alias("u"))

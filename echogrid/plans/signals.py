@@ -7,10 +7,11 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from echogrid.operators import components, fit, lines
+from echogrid.operators import components, fit, lines, neighbours, stats
 from echogrid.plans import relations as rel
 from echogrid.plans.registry import SQL, query, r6
 from echogrid.plans.relations import with_relations
+from echogrid.shared import materialize
 
 c = F.col
 
@@ -141,6 +142,17 @@ def g7(spark, sf):
     return lines.offsets(a, moved, 16, 3).select("wy", "wx", "dy", "dx", F.round("snr", 4).alias("snr"))
 
 
+@query("g7_subcell_tracking")
+def g7_subcell(spark, sf):
+    """A smooth image against itself moved by a line and by 5/16 of a cell along lines: correlation sampled finely, with covariance."""
+    k = [1.0, 4.0, 6.0, 4.0, 1.0]
+    a = neighbours.smooth(rel.img(spark, sf), ["v"], k, k).select("row", "col", "v")
+    moved = lines.shift(lines.to_lines(a.select("row", "col", c("v").alias("re"), F.lit(0.0).alias("im")), ["row"]).withColumn("by", F.lit(5 / 16)), ["row"], "by")
+    b = lines.to_cells(moved, ["row"]).select((c("row") + 1).alias("row"), "col", c("re").alias("v"))
+    d = lines.track(a, b, 16, 4)
+    return d.select("wy", "wx", "dy", "dx", *(F.round(x, 5).alias(x) for x in ("snr", "var_y", "var_x", "cov", "peak")))
+
+
 @query("g10_eigen_interference")
 def g10(spark, sf):
     return _sums(lines.remove_loud(_lines(spark, sf), 16, 3, 4.0))
@@ -161,3 +173,64 @@ def g12(spark, sf):
 def g13(spark, sf):
     m = rel.slc(spark, sf).groupBy(F.floor(c("col") / 4).alias("bin")).agg(F.avg(F.atan2("im", "re")).alias("p"))
     return m.agg(F.count("*").alias("n"), (F.round(F.regr_slope("p", "bin"), 8) + F.lit(0.0)).alias("slope"))
+
+
+_BINS = (
+    ", sp AS (SELECT row, k, sum(re * cos(2 * pi() * (k - 16) * col / 32) + im * sin(2 * pi() * (k - 16) * col / 32)) AS re, sum(im * cos(2 * pi() * (k - 16) * col / 32) - re * sin(2 * pi() * (k - 16) * col / 32)) AS im FROM slc, range(0, 32) b(k) GROUP BY row, k)"
+    ", ph AS (SELECT a.k, atan2(avg(b.im * a.re - b.re * a.im), avg(b.re * a.re + b.im * a.im)) AS p FROM sp a JOIN sp b ON b.row = a.row + 1 AND b.k = a.k WHERE a.k BETWEEN 4 AND 27 GROUP BY a.k)"
+    f", st AS (SELECT k, p, coalesce(-round_even((p - lag(p) OVER (ORDER BY k)) / {2 * math.pi}, 0), 0) AS s FROM ph), un AS (SELECT k, p + {2 * math.pi} * sum(s) OVER (ORDER BY k) AS p FROM st)"
+)
+
+
+@query("g13_spectral_doppler", "slc", f"{_BINS} SELECT count(*) AS bins, round(regr_slope(p, (k - 16) / 32.0), 6) + 0.0 AS slope, round(regr_slope(p, (k - 16) / 32.0) * 1257.5 * 1500 / 48 / (2 * pi()), 3) + 0.0 AS doppler FROM un")
+def g13_spectral(spark, sf):
+    """Each line's range spectrum, products of neighbouring lines by bin, their phases unwrapped over the band and fitted by a line."""
+    spectrum = lines.to_cells(lines.spectra(_lines(spark, sf), ["row"]), ["row"])
+    phase = stats.lag_doppler(spectrum, ["col"], 2 * math.pi).select("col", c("doppler").alias("phase"))
+    d = stats.spectral_slope(phase, 32, 0.375, 1500.0, 1257.5 / 48)
+    return d.select("bins", r6(c("slope")).alias("slope"), (F.round("doppler", 3) + F.lit(0.0)).alias("doppler"))
+
+
+#: Eigenvalues of the covariance of three lines, by the angles of the cubic's roots.
+_THREE = (
+    ", tr AS (SELECT CAST(floor(a.row / 3) AS BIGINT) AS k, avg(a.re * a.re + a.im * a.im) AS p, avg(b.re * b.re + b.im * b.im) AS q, avg(d.re * d.re + d.im * d.im) AS s, avg(a.re * b.re + a.im * b.im) AS xr, avg(a.im * b.re - a.re * b.im) AS xi, avg(a.re * d.re + a.im * d.im) AS yr, avg(a.im * d.re - a.re * d.im) AS yi, avg(b.re * d.re + b.im * d.im) AS zr, avg(b.im * d.re - b.re * d.im) AS zi"
+    " FROM slc a JOIN slc b ON b.row = a.row + 1 AND b.col = a.col JOIN slc d ON d.row = a.row + 2 AND d.col = a.col WHERE a.row % 3 = 0 GROUP BY 1)"
+    ", c0 AS (SELECT *, (p + q + s) / 3 AS m FROM tr), c1 AS (SELECT *, sqrt((pow(p - m, 2) + pow(q - m, 2) + pow(s - m, 2) + 2 * (xr * xr + xi * xi + yr * yr + yi * yi + zr * zr + zi * zi)) / 6) AS h FROM c0)"
+    ", c2 AS (SELECT *, ((p - m) * (q - m) * (s - m) + 2 * ((xr * zr - xi * zi) * yr + (xr * zi + xi * zr) * yi) - (p - m) * (zr * zr + zi * zi) - (q - m) * (yr * yr + yi * yi) - (s - m) * (xr * xr + xi * xi)) / (2 * pow(h, 3)) AS r FROM c1)"
+    ", ev AS (SELECT k, m + 2 * h * cos(acos(greatest(least(r, 1), -1)) / 3) AS e0, m + 2 * h * cos(acos(greatest(least(r, 1), -1)) / 3 - 2 * pi() / 3) AS e1, m + 2 * h * cos(acos(greatest(least(r, 1), -1)) / 3 + 2 * pi() / 3) AS e2 FROM c2)"
+)
+
+
+def _triples(spark, sf):
+    return lines.eigenvalues(_lines(spark, sf), 3).where(F.size("values") == 3)
+
+
+@query("a18_interval_noise", "slc", f"{_THREE} SELECT count(*) AS intervals, round(median(e2), 6) AS power, round(median((e1 + e2) / 2), 6) AS middle FROM ev")
+def a18_intervals(spark, sf):
+    """Noise from the least eigenvalues of intervals of three lines, and from the middle of all but the largest."""
+    e = materialize(_triples(spark, sf), "eigenvalues")
+    a = stats.noise_by_interval(e, 3)
+    return a.crossJoin(F.broadcast(stats.noise_by_interval(e, 3, median=True).select(c("power").alias("middle")))).select("intervals", r6(c("power")).alias("power"), r6(c("middle")).alias("middle"))
+
+
+@query("a28_eigenvalue_slopes", "slc", f"{_THREE}, dbs AS (SELECT k, k // 20 AS block, 10 * log10(abs(e0)) AS d0, 10 * log10(abs(e1)) AS d1, 10 * log10(abs(e2)) AS d2 FROM ev), sl AS (SELECT *, d0 - lag(d0) OVER w AS s0, d1 - lag(d1) OVER w AS s1, d2 - lag(d2) OVER w AS s2 FROM dbs WINDOW w AS (PARTITION BY block ORDER BY k)), sd AS (SELECT block, CASE WHEN stddev_pop(d0) >= stddev_pop(d1) THEN stddev_pop(s0) ELSE stddev_pop(s1) END / nullif(stddev_pop(s2), 0) AS ratio, stddev_pop(s2) AS sd, avg(s2) AS mean FROM sl GROUP BY block), th AS (SELECT block, ratio, mean + (5 - 3 * least(greatest((ratio - 2) / 18, 0), 1)) * sd AS threshold FROM sd) SELECT k, block, round(ratio, 5) AS ratio, round(threshold, 5) AS threshold, CASE WHEN d2 - d1 < -threshold THEN 2 WHEN d1 - d0 < -threshold THEN 1 ELSE 0 END AS loud FROM dbs JOIN th USING (block)")
+def a28_slopes(spark, sf):
+    """Per block of intervals the threshold on the fall between eigenvalues, and how many of each interval are interference."""
+    e = materialize(_triples(spark, sf), "eigenvalues")
+    t = materialize(stats.eigenvalue_threshold(e, 20, 2, 2), "thresholds")
+    loud = stats.loud_eigenvalues(e, t, 20, 2)
+    d = loud.withColumn("block", F.floor(c("k") / 20)).join(t, "block")
+    return d.select("k", "block", F.round("ratio", 5).alias("ratio"), F.round("threshold", 5).alias("threshold"), "loud")
+
+
+_BANK = (
+    ", wd AS (SELECT row, col, re, im, 8 * b AS mid, 0.5 - 0.5 * cos(2 * pi() * (col - 8 * b + 8) / 16) AS w, cos(2 * pi() * 0.17 * col) AS u, sin(2 * pi() * 0.17 * col) AS v FROM slc, range(0, 5) t(b) WHERE col >= 8 * b - 8 AND col < 8 * b + 8)"
+    ", cf AS (SELECT row, mid, sum(w * (re * u + im * v)) / sum(w) AS cr, sum(w * (im * u - re * v)) / sum(w) AS ci FROM wd GROUP BY row, mid)"
+)
+
+
+@query("w19_tone_bank", "slc", f"{_BANK} SELECT row, col, round(any_value(re) - sum(w * (cr * u - ci * v)), 6) + 0.0 AS re, round(any_value(im) - sum(w * (cr * v + ci * u)), 6) + 0.0 AS im FROM wd JOIN cf USING (row, mid) GROUP BY row, col")
+def w19_bank(spark, sf):
+    """A tone of varying strength taken off each line by windows that overlap by half."""
+    d = lines.to_cells(lines.remove_tone(_lines(spark, sf), ["row"], 0.17, 16), ["row"])
+    return d.select("row", "col", r6(c("re")).alias("re"), r6(c("im")).alias("im"))
