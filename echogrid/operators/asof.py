@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echogrid.functions.radar import TAU
+from echogrid.shared import materialize
 
 
 def latest_before(surveys: DataFrame, keys: list[str], when: str, epoch: Column, tie: str) -> DataFrame:
@@ -124,3 +128,49 @@ def uniform(pulses: DataFrame, keys: list[str], step: float, reach: float, value
     w = pulses.withColumn("k", F.explode(near)).withColumn("_w", 1 - F.abs(F.col("k") * step - F.col("t")) / reach)
     g = w.groupBy(*keys, "k").agg(F.sum("_w").alias("_w"), *(F.sum(F.col("_w") * F.col(v)).alias(v) for v in values))
     return g.where("_w > 0").select(*keys, "k", *((F.col(v) / F.col("_w")).alias(v) for v in values))
+
+
+def unwrapped_tiles(cells: DataFrame, keys: list[str], x: str, tile: int, halo: int) -> DataFrame:
+    """``keys, row, col`` and x unwrapped within each group, in tiles of so many lines that share ``halo`` lines with the next one.
+
+    A line is unwrapped by itself, lines of a tile by the median of their differences from the
+    line before, and tiles by the median of what two of them give for the lines that they share. Only the
+    turns of whole lines and of whole tiles are summed up, one row each.
+    """
+    t = F.floor(F.col("row") / tile)
+    d = cells.withColumn("_t", F.explode(F.sequence(F.floor((F.col("row") - halo) / tile), t)))
+    d = unwrapped(d, [*keys, "_t", "row"], "col", x, out="_u")
+    before = Window.partitionBy(*keys, "_t", "col").orderBy("row")
+    turn = lambda m: F.coalesce(-F.rint(m / TAU), F.lit(0.0))
+    lines = d.withColumn("_d", F.col("_u") - F.lag("_u").over(before)).groupBy(*keys, "_t", "row").agg(F.median("_d").alias("_m"))
+    lines = lines.select(*keys, "_t", "row", F.sum(turn(F.col("_m"))).over(Window.partitionBy(*keys, "_t").orderBy("row")).alias("_k"))
+    d = materialize(d.join(lines, [*keys, "_t", "row"]).select(*keys, "_t", "row", "col", (F.col("_u") + TAU * F.col("_k")).alias("_u")), "tiles")
+    last = d.where(F.floor(F.col("row") / tile) > F.col("_t")).select(*keys, (F.col("_t") + 1).alias("_t"), "row", "col", F.col("_u").alias("_v"))
+    seams = d.join(last, [*keys, "_t", "row", "col"]).groupBy(*keys, "_t").agg(F.median(F.col("_u") - F.col("_v")).alias("_m"))
+    # A tile without a seam of its own goes on with the turns of those before it.
+    every = d.select(*keys, "_t").distinct().join(seams, [*keys, "_t"], "left")
+    tiles = every.select(*keys, "_t", F.sum(turn(F.col("_m"))).over(Window.partitionBy(*keys).orderBy("_t")).alias("_k"))
+    own = d.where(F.floor(F.col("row") / tile) == F.col("_t"))
+    return own.join(tiles, [*keys, "_t"]).select(*keys, "row", "col", (F.col("_u") + TAU * F.col("_k")).alias(x))
+
+
+def presum_weights(times: DataFrame, step: float, reach: float, band: float, keys: list[str], noise: float = 1e-3) -> DataFrame:
+    """``keys, k, i, w``: weights of the pulses ``i, t`` within ``reach`` of each multiple k of ``step`` for the least mean square error there.
+
+    The signal's spectrum is taken as flat over ``band`` (hertz), with ``noise`` beside it: the weights solve the pulses'
+    correlations among themselves against those with the place. A group is what lies within reach.
+    """
+    near = F.sequence(F.ceil((F.col("t") - reach) / step), F.floor((F.col("t") + reach) / step))
+    g = times.withColumn("k", F.explode(near)).groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("t", "i"))).alias("p"))
+    g = g.select(*keys, "k", F.col("p.t").alias("t"), F.col("p.i").alias("i"))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in g.dtypes if n not in ("t", "i"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            w = []
+            for k, t in zip(p["k"], p["t"], strict=True):
+                t = np.asarray(t)
+                w.append(np.linalg.solve(np.sinc(band * (t[:, None] - t)) + noise * np.eye(len(t)), np.sinc(band * (t - k * step))))
+            yield p.drop(columns="t").assign(w=w)
+
+    return g.mapInPandas(run, f"{kinds}, i array<long>, w array<double>").select(*keys, "k", F.inline(F.arrays_zip("i", "w")))

@@ -118,3 +118,37 @@ def bridge_turns(bridges: DataFrame, phase: DataFrame) -> DataFrame:
     at = lambda r, k, out: phase.select(F.col("row").alias(r), F.col("col").alias(k), F.col("phase").alias(out))
     d = bridges.join(at("ar", "ac", "pa"), ["ar", "ac"]).join(at("br", "bc", "pb"), ["br", "bc"])
     return d.withColumn("turns", F.round((F.col("pa") - F.col("pb")) / TAU)).drop("pa", "pb")
+
+
+def tree_turns(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``label, root, turns``: whole turns to add to each component so that all of a tree agree with its least label, ``root``.
+
+    ``edges`` (``a, b, turns``): what b needs to agree with a. Each round every group draws heads or
+    tails by a hash; a group with tails that has an edge to one with heads goes to it, and its turns
+    move by what that edge wants. So rounds grow with the logarithm of the components, however long the tree's
+    branches are, and each is a join and an aggregate, written to the shared folder.
+    """
+    edges = materialize(edges.select("a", "b", "turns"), "edges")
+    nodes = labels.select("label").distinct().select("label", F.col("label").alias("root"), F.lit(0.0).alias("turns"))
+    nodes, draw = materialize(nodes, "turns"), 0
+    own = lambda k: nodes.select(F.col("label").alias(k), F.col("root").alias(f"r{k}"), F.col("turns").alias(f"t{k}"))
+    while True:
+        open_ = edges.join(own("a"), "a").join(own("b"), "b").where("ra <> rb").select("ra", "rb", (F.col("turns") + F.col("ta") - F.col("tb")).alias("by"))
+        open_ = materialize(open_, "open")
+        if open_.isEmpty():
+            break
+        ways = open_.unionByName(open_.select(F.col("rb").alias("ra"), F.col("ra").alias("rb"), (-F.col("by")).alias("by")))
+        heads = lambda k: F.pmod(F.xxhash64(k, F.lit(draw)), F.lit(2)) == 0  # noqa: B023, E731
+        hooks = ways.where(~heads("rb") & heads("ra")).groupBy(F.col("rb").alias("root")).agg(F.min(F.struct("ra", "by")).alias("to"))
+        moved = nodes.join(hooks, "root", "left").select("label", F.coalesce("to.ra", "root").alias("root"), (F.col("turns") + F.coalesce("to.by", F.lit(0.0))).alias("turns"))
+        nodes, draw = materialize(moved, "turns"), draw + 1
+    least = nodes.groupBy("root").agg(F.min(F.struct("label", "turns")).alias("first"))
+    return nodes.join(least, "root").select("label", F.col("first.label").alias("root"), (F.col("turns") - F.col("first.turns")).alias("turns"))
+
+
+def bridged(labels: DataFrame, phase: DataFrame, reach: int, tree: DataFrame | None = None) -> DataFrame:
+    """``row, col, label, phase``: the phase of each component with the whole turns off by which it misses the others across their bridges."""
+    tree = bridges(labels, reach) if tree is None else tree
+    turns = tree_turns(bridge_turns(tree, phase), labels)
+    d = labels.join(turns.select("label", "turns"), "label").join(phase, ["row", "col"])
+    return d.select("row", "col", "label", (F.col("phase") + TAU * F.col("turns")).alias("phase"))

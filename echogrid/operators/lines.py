@@ -310,6 +310,17 @@ def remove_tone(lines: DataFrame, keys: list[str], frequency: float, window: int
     return map_lines(lines, keys, f)
 
 
+def presum(lines: DataFrame, weights: DataFrame) -> DataFrame:
+    """``row, re, im``: lines ``row`` summed with weights (``k, i, w``: line i counts w in the new line k)."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        w = g["w"].to_numpy()
+        return pd.DataFrame({"row": [int(g["k"].iloc[0])], "re": [(np.stack(g["re"].to_numpy()) * w[:, None]).sum(axis=0)], "im": [(np.stack(g["im"].to_numpy()) * w[:, None]).sum(axis=0)]})
+
+    both = lines.withColumnRenamed("row", "i").join(weights, "i")
+    return both.groupBy("k").applyInPandas(run, f"row long, {SCHEMA}")
+
+
 def spectra(lines: DataFrame, keys: list[str]) -> DataFrame:
     """The transform of each line, by rising frequency: sample k has frequency ``(k - n // 2) / n`` cycles a sample."""
     return map_lines(lines, keys, lambda z, _: np.fft.fftshift(np.fft.fft(z, axis=1), axes=1))

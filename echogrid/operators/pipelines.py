@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.functions import cplx, radar
-from echogrid.operators import components, lines, looks, neighbours
+from echogrid.operators import asof, components, geometry, intervals, lines, looks, neighbours
 from echogrid.shared import materialize
 
 
@@ -20,15 +20,8 @@ def interferogram_product(reference: DataFrame, secondary: DataFrame, rows: int,
     return looks.multilook(flat, rows, cols, looks.extent(reference.where("row >= 0").join(secondary.select("row").distinct(), "row", "left_semi")), coherence=F.hypot(*mean) / F.nullif(power, F.lit(0.0)), phase=F.atan2(mean[1], mean[0]), n=F.count("*"))
 
 
-def dispersive_phase(reference: DataFrame, secondary: DataFrame, f: tuple[float, float, float], block: tuple[int, int], least: float, cells: int, kernel: list[float]) -> DataFrame:
-    """``row, col, phase, sigma``: ionospheric phase of an image pair from its two sub-bands.
-
-    Lines are split into a lower and an upper half band and multiplied; looks give both phases
-    and their coherence; only cells coherent in both bands, in components of ``cells`` at least,
-    are valid. Their sub-band phases give the dispersive phase, whole turns are taken off, and
-    sigmas from the coherences weight the smoothing.
-    """
-    f0, fl, fh = f
+def sub_bands(reference: DataFrame, secondary: DataFrame, block: tuple[int, int]) -> DataFrame:
+    """``row, col, low, low_coherence, high, high_coherence``: wrapped phases and coherences of the lower and the upper half band of an image pair."""
 
     def product(low: float, high: float, name: str) -> DataFrame:
         half = [lines.to_cells(lines.band(lines.to_lines(x, ["row"]), ["row"], low, high, step=2), ["row"]) for x in (reference, secondary)]
@@ -38,7 +31,19 @@ def dispersive_phase(reference: DataFrame, secondary: DataFrame, f: tuple[float,
         power = F.sqrt(F.avg(cplx.power(cplx.pair())) * F.avg(cplx.power(cplx.pair("b"))))
         return looks.multilook(t.where("row >= 0"), *block, (shape[0], shape[1] // 2), **{f"{name}_coherence": F.hypot(*mean) / F.nullif(power, F.lit(0.0)), name: F.atan2(mean[1], mean[0])})
 
-    both = materialize(product(-0.5, 0.0, "low").join(product(0.0, 0.5, "high"), ["row", "col"]), "sub-bands")
+    return materialize(product(-0.5, 0.0, "low").join(product(0.0, 0.5, "high"), ["row", "col"]), "sub-bands")
+
+
+def dispersive_phase(reference: DataFrame, secondary: DataFrame, f: tuple[float, float, float], block: tuple[int, int], least: float, cells: int, kernel: list[float]) -> DataFrame:
+    """``row, col, phase, sigma``: ionospheric phase of an image pair from its two sub-bands.
+
+    Lines are split into a lower and an upper half band and multiplied; looks give both phases
+    and their coherence; only cells coherent in both bands, in components of ``cells`` at least,
+    are valid. Their sub-band phases give the dispersive phase, whole turns are taken off, and
+    sigmas from the coherences weight the smoothing.
+    """
+    f0, fl, fh = f
+    both = sub_bands(reference, secondary, block)
     good = (F.col("low_coherence") >= least) & (F.col("high_coherence") >= least)
     width = looks.extent(both)[1]
     valid = components.large_enough(components.label(both, good, max(width, 1)), cells).select("row", "col", F.lit(True).alias("valid"))
@@ -50,3 +55,59 @@ def dispersive_phase(reference: DataFrame, secondary: DataFrame, f: tuple[float,
     d = both.join(valid, ["row", "col"], "left").withColumn("phase", F.when(F.col("valid"), radar.iono_low_high(f0, fl, fh, low, high)[0]))
     d = d.withColumn("sigma", F.when(F.col("valid"), sigma)).select("row", "col", "phase", "sigma")
     return neighbours.smooth_with_sigma(d, "phase", "sigma", kernel, kernel)
+
+
+def ionosphere(both: DataFrame, f: tuple[float, float, float], count: int, least: float, cells: int, kernel: list[float], tile: int = 128, halo: int = 8, reach: int = 8) -> DataFrame:
+    """``row, col, phase, sigma``: the ionospheric phase from the wrapped phases of two sub-bands (as ``sub_bands`` gives them).
+
+    Cells coherent in both bands, in components of ``cells`` at least, are valid. Each component of each band is
+    unwrapped in tiles of lines whose seams are mended by what they share, and components are brought
+    together over a spanning tree of bridges. Then the dispersive phase is formed, the turns that both bands (or their
+    difference) still miss are taken off, and it is smoothed by its sigma, which fills what is not valid.
+    """
+    f0, fl, fh = f
+    good = (F.col("low_coherence") >= least) & (F.col("high_coherence") >= least)
+    labels = components.large_enough(components.label(both, good, max(looks.extent(both)[1], 1)), cells)
+    labels = materialize(labels, "components")
+    tree = materialize(components.bridges(labels, reach), "bridges")
+    valid = both.join(labels, ["row", "col"])
+
+    def whole(name: str) -> DataFrame:
+        phase = asof.unwrapped_tiles(valid.select("label", "row", "col", F.col(name).alias("phase")), ["label"], "phase", tile, halo)
+        out = components.bridged(labels, materialize(phase.drop("label"), "unwrapped"), reach, tree)
+        return out.select("row", "col", F.col("phase").alias(name))
+
+    d = both.select("row", "col", "low_coherence", "high_coherence").join(whole("low").join(whole("high"), ["row", "col"]), ["row", "col"], "left")
+    disp, nondisp = radar.iono_low_high(f0, fl, fh, F.col("low"), F.col("high"))
+    common, differential = radar.turns_low_high(f0, fl, fh, disp, nondisp, F.col("low"), F.col("high"))
+    low, high = (F.col(k) - radar.TAU * n for k, n in (("low", common), ("high", common + differential)))
+    sigma, _ = radar.sigma_low_high(f0, fl, fh, radar.phase_sigma(F.col("low_coherence"), count), radar.phase_sigma(F.col("high_coherence"), count))
+    d = d.select("row", "col", radar.iono_low_high(f0, fl, fh, low, high)[0].alias("phase"), F.when(F.col("low").isNotNull(), sigma).alias("sigma"))
+    return neighbours.smooth_with_sigma(d, "phase", "sigma", kernel, kernel)
+
+
+def uniform_pulses(codes: DataFrame, values: list[float], swaths: DataFrame, times: DataFrame, tone: float | None, step: float, reach: float, band: float, eigen: tuple[int, int, float] | None = (16, 3, 4.0)) -> DataFrame:
+    """``row, re, im`` lines of uniform pulses from raw samples.
+
+    ``codes`` (``row, col, a, b``) are numbers of entries of ``values``, the table of a quantiser
+    (its length is that of the code). What lies outside the valid intervals ``swaths`` becomes 0; a
+    calibration tone and, in intervals of lines, what stands out of the covariance are taken off; the pulses, sent at ``times``
+    (``row, t``), are resampled to multiples of ``step`` by the weights of least error within ``reach``.
+    """
+    lut = codes.sparkSession.createDataFrame(list(enumerate(values)), "code int, value double")
+    one = lambda k, out: F.broadcast(lut.select(F.col("code").alias(k), F.col("value").alias(out)))
+    decoded = codes.join(one("a", "re"), "a").join(one("b", "im"), "b").select("row", "col", "re", "im")
+    pulses = lines.to_lines(intervals.fill_gaps(decoded, swaths, {"re": 0.0, "im": 0.0}), ["row"])
+    if tone is not None:
+        pulses = lines.remove_tone(pulses, ["row"], tone)
+    if eigen is not None:
+        pulses = lines.remove_loud(pulses, *eigen)
+    weights = asof.presum_weights(times.select(F.col("row").cast("long").alias("i"), "t"), step, reach, band, [])
+    return lines.presum(pulses, weights)
+
+
+def focus(pulses: DataFrame, chirp, track: DataFrame, cells: DataFrame, spacing: float, wavelength: float) -> DataFrame:
+    """``id, re, im, n``: uniform pulses compressed in range and focused at ``cells`` (``id, first, last, x, y, z``) by back-projection; ``track``: ``row, px, py, pz, r0``."""
+    done = materialize(lines.compress(pulses, ["row"], chirp, "same"), "compressed")
+    there = done.join(track, "row").select(F.lit(0).alias("scene"), F.col("row").alias("k"), "px", "py", "pz", "r0", "re", "im")
+    return geometry.back_project(cells.withColumn("scene", F.lit(0)), there, ["scene"], spacing, wavelength).drop("scene")

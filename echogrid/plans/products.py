@@ -310,6 +310,33 @@ def l6(spark, sf):
     return d.select("row", "col", r6(c("phase")).alias("phase"), r6(c("sigma")).alias("sigma"))
 
 
+@query("l6_ionosphere_bridged")
+def l6_bridged(spark, sf):
+    """The same from sub-band phases that are unwrapped in tiles with their seams mended, and bridged between components."""
+    from echogrid.operators.pipelines import ionosphere, sub_bands
+
+    d = ionosphere(sub_bands(rel.slc(spark, sf), rel.sec(spark, sf), (5, 2)), (1257.5, 1237.5, 1277.5), 10, 0.15, 4, [0.25, 0.5, 0.25], tile=32, halo=4, reach=4)
+    return d.select("row", "col", r6(c("phase")).alias("phase"), r6(c("sigma")).alias("sigma"))
+
+
+@query("l5_resampled_focus")
+def l5_resampled(spark, sf):
+    """Raw codes decoded, gaps filled, tone and interference off, irregular pulses resampled, compressed and back-projected; statistics by line."""
+    from echogrid.operators import geometry, pipelines
+    from echogrid.plans.signals import CHIRP
+
+    values = [math.copysign((abs(k - 127.5) / 127.5) ** 1.2, k - 127.5) for k in range(256)]
+    code = lambda k: F.greatest(F.least(F.floor(c(k) * 200) + 128, F.lit(255)), F.lit(0)).cast("int")
+    codes = rel.slc(spark, sf).select("row", "col", code("re").alias("a"), code("im").alias("b"))
+    sent = rel.read(spark, sf, "embeddings").select(c("vec_id").alias("row"), (c("vec_id") + 0.2 * F.sin(c("vec_id").cast("double"))).alias("t"))
+    pulses = pipelines.uniform_pulses(codes, values, rel.swath(spark, sf), sent, 0.17, 1.0, 2.5, 0.7)
+    track = sent.select("row", F.lit(7071000.0).alias("px"), (c("row") * 5.0).alias("py"), F.lit(0.0).alias("pz"), F.lit(700000.0).alias("r0"))
+    cells = rel.target(spark, sf).select("id", F.lit(6371000.0).alias("x"), ((c("id") % 400) * 5.0 + 75).alias("y"), (10000.0 + (c("id") % 20) * 300).alias("z"))
+    cells = geometry.apertures(cells, c("y") / 5.0, F.hypot(F.lit(700000.0), c("z")), F.lit(7071000.0 / 6371000.0), 5.0, 0.24, 600.0)
+    d = pipelines.focus(pulses, CHIRP, track, cells, 25.0, 0.24)
+    return d.withColumn("line", c("id") % 20).groupBy("line").agg(*stats.complex_stats(cplx.pair())).select("line", "n", *(F.round(x, 5).alias(x) for x in ("mean_re", "mean_im", "sd")))
+
+
 _N = lambda t, u: f", {u} AS (SELECT a.row, a.col, any_value(a.v) AS v, avg(b.v) AS mean, median(b.v) AS mid FROM {t} a, range(-1, 2) i(i), range(-1, 2) j(j), {t} b WHERE b.row = a.row + i AND b.col = a.col + j GROUP BY a.row, a.col)"
 _PASS = lambda x, w: f"0.25 * coalesce(lag({x}) OVER {w}, 0) + 0.5 * {x} + 0.25 * coalesce(lead({x}) OVER {w}, 0)"
 _L7 = (
