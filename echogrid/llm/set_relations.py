@@ -2,14 +2,15 @@
 
 The join is exact. Linked sets of n and m shingles share at least 0.9 of either, so, in any
 order that holds for all shingles, the first ``n - ceil(0.9 n) + k`` of the one and those of
-the other have k in common. With the order of hashes and k of a tenth, most sets are seen to
+the other have k in common. With the order of hashes and k of a twenty-fifth, most sets are seen to
 be linked with none and go. The others are put in the order of how many sets hold a shingle,
-and k = 1: sets that share one of these first shingles are compared, where the places of the
-shared one in both leave room for enough in common.
+and k = 1: sets that share one of these first shingles are candidates, where the places of the
+shared one in both leave room for enough in common; a shingle with more than ``BUCKET`` sets
+makes candidates of all of them without naming their pairs. Which sets share a shingle is seen in
+the order of all (shingle, set) pairs over the cluster, so a frequent one is spread over many tasks.
 
-A shingle with more than ``BUCKET`` sets goes to a search. Sets that such shingles connect are
-searched by size class, in pairs of blocks of bounded size, and each search gives a spanning
-forest, at most one link a set:
+Sets that candidates connect are searched together; beyond one block they are parted by size class
+and searched in pairs of blocks of bounded size. Each search gives a spanning forest, at most one link a set:
 
 * Index lists are sorted by size and cut into blocks of ``SKIP`` entries whose headers hold the
   sizes and the least position; a block without room for enough in common is skipped whole.
@@ -29,7 +30,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,8 @@ WORDS, SEED = 3, 11
 BUCKET = 24
 #: Sets, and shingles, in one block of the search; entries in a block of an index list.
 SETS, SHINGLES, SKIP = 4096, 1 << 20, 64
+#: Rows of a table of hashes that may be broadcast; the frequency of a shingle whose sets are not counted to the end.
+LISTED, EDGE = 2_000_000, 2**31 - 1
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -85,7 +88,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
                 n = len(s)
                 node.append(xxhash.xxh3_64_digest(s.tobytes(), SEED))
                 size.append(n)
-                heads.append(s[: n - least_common(n) + (n + 9) // 10])
+                heads.append(s[: n - least_common(n) + (n + 24) // 25])
             nodes = np.frombuffer(b"".join(node), ">i8").astype(np.int64)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(nodes), pa.array(size, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], list("abcde"))
 
@@ -222,16 +225,65 @@ def forest(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": node[np.array(parents, np.int64)], "b": node[np.array(children, np.int64)]})
 
 
+def in_order(pairs: DataFrame) -> DataFrame:
+    """``h, node`` pairs over all partitions in the order of h, then node, so that a shingle of many sets is spread over several."""
+    return pairs.repartitionByRange("h", "node").sortWithinPartitions("h", "node")
+
+
+def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sorted batch: h, node and the first row of each of its runs of one h, and whether a run reaches the batch's edge, so that it may go on elsewhere."""
+    h, node = batch.column("h").to_numpy(), batch.column("node").to_numpy()
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    edge = np.zeros(len(start), bool)
+    edge[[0, -1]] = True
+    return h, node, start, edge
+
+
+def shared_heads(pairs: DataFrame) -> DataFrame:
+    """``node, k``: how many of its first shingles others have among theirs; never too few, so no set is lost: a run at a batch's edge counts as shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, node, start, edge = _runs(batch)
+                stop = np.r_[start[1:], len(node)]
+                some = np.repeat(edge | (node[start] != node[stop - 1]), stop - start)
+                nodes, k = np.unique(node[some], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(k)], ["node", "k"])
+
+    return in_order(pairs).mapInArrow(run, "node long, k long").groupBy("node").agg(F.sum("k").alias("k"))
+
+
+def frequencies(pairs: DataFrame) -> DataFrame:
+    """``node, h, k``: how many sets hold each shingle of a set, without those of one set only.
+
+    Runs at a batch's edge have the greatest k there is, in whatever partitions they stand: any order serves that holds for all sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                h, node, start, edge = _runs(batch)
+                size = np.diff(np.r_[start, len(node)])
+                k = np.repeat(np.where(edge, EDGE, np.minimum(size, EDGE)), size)
+                kept = k > 1
+                yield pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.array(h[kept]), pa.array(k[kept].astype(np.int32))], list("abc"))
+
+    return in_order(pairs).mapInArrow(run, "node long, h long, k int")
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """A written table of numbers, broadcast only if it has at most ``LISTED`` rows; else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= LISTED else df
+
+
 def linkable(rows: DataFrame) -> DataFrame:
-    """``node, t``: the sets that may be linked with another one, and a text of each."""
-    sets = rows.where("n > 0").groupBy("node").agg(F.min("t").alias("t"), F.first("n").alias("n"), F.first("heads").alias("heads"))
-    sets = materialize(sets, "relations-heads")
-    flat = sets.select("node", "n", "t", F.explode("heads").alias("h"))
-    shared = flat.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h")
-    # The other's tenth, of 0.9 n at least, may be the smaller one.
-    need = F.floor((9 * F.col("n") + 99) / 100)
-    hits = flat.join(shared, "h", "left_semi").groupBy("node", "t", "n").agg(F.count("*").alias("k"))
-    return materialize(hits.where(F.col("k") >= need).select("node", "t"), "relations-open")
+    """``t``: a text of each set that may be linked with another one."""
+    hits = shared_heads(rows.where("n > 0").select("node", F.explode("heads").alias("h")))
+    sets = rows.where("n > 0").groupBy("node").agg(F.min("t").alias("t"), F.min("n").alias("n"))
+    # The other's twenty-fifth, of 0.9 n at least, may be the smaller one.
+    need = F.floor((9 * F.col("n") + 249) / 250)
+    return materialize(sets.join(hits, "node").where(F.col("k") >= need).select("t"), "relations-open")
 
 
 def size_class(n: Column) -> Column:
@@ -241,16 +293,14 @@ def size_class(n: Column) -> Column:
 
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``a, b``: nodes; they join the same sets as all links do."""
-    texts = text_hash(docs).select("t", "text").join(linkable(rows).select("t"), "t", "left_semi").dropDuplicates(["t"])
+    texts = text_hash(docs).select("t", "text").join(checked(linkable(rows)), "t", "left_semi").dropDuplicates(["t"])
     sets = materialize(shingle_sets(texts), "relations-sets")
 
-    flat = sets.select("node", "n", F.explode("s").alias("h"))
-    often = flat.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
     # Shingles of one set stand first in the order and pair with none.
-    ranked = flat.join(often, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("s"))
-    alone = F.col("n") - F.size("s")
-    most = F.col("n") - F.floor((9 * F.col("n") + 9) / 10) + 1 - alone
-    first = ranked.where(most > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("s", 1, most.cast("int"))).alias("at", "t"))
+    ranked = frequencies(sets.select("node", F.explode("s").alias("h"))).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("s"))
+    ranked = ranked.join(sets.select("node", "n"), "node").withColumn("alone", F.col("n") - F.size("s"))
+    most = F.col("n") - F.floor((9 * F.col("n") + 9) / 10) + 1 - F.col("alone")
+    first = ranked.where(most > 0).select("node", "n", "alone", F.posexplode(F.slice("s", 1, most.cast("int"))).alias("at", "t"))
     first = materialize(first.select("node", "n", (F.col("alone") + F.col("at")).alias("place"), F.col("t.h").alias("h")), "relations-first")
     counts = first.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
     hot = materialize(counts.where(F.col("k") > BUCKET).select("h"), "relations-hot")
@@ -258,23 +308,27 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     x = first.join(counts.where(F.col("k") <= BUCKET).select("h"), "h", "left_semi")
     y = x.select("h", F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("there"))
     room = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("there"))
-    pairs = x.join(y, "h").where("node < other AND 10 * least(n, m) >= 9 * greatest(n, m)").where(linked(F.col("n"), F.col("m"), room)).select("node", "other").distinct()
-    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("s").alias("z")), "other")
-    out = both.where(linked(F.col("n"), F.col("m"), F.size(F.array_intersect("s", "z")))).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pairs = x.join(y, "h").where("node < other AND 10 * least(n, m) >= 9 * greatest(n, m)").where(linked(F.col("n"), F.col("m"), room))
 
     # Sets that any such shingles connect are searched together, so that each goes once to a block.
-    edges = first.join(hot, "h", "left_semi").select(F.col("h").alias("a"), F.col("node").alias("b"))
-    root = graph_components(edges).groupBy("node").agg(F.min("root").alias("root"))
+    edges = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(first.join(hot, "h", "left_semi").select(F.col("h").alias("a"), F.col("node").alias("b")))
+    root = materialize(graph_components(edges).groupBy("node").agg(F.min("root").alias("root")), "relations-roots")
+    named = sets.join(checked(root), "node")
+    sums = named.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
+    blocks = lambda count, total: F.greatest(F.ceil(count / SETS), F.ceil(total / SHINGLES)).cast("int")
+    large = materialize(sums.where(blocks(F.col("sets"), F.col("all")) > 1).select("root"), "relations-large")
+    one = named.join(checked(large), "root", "left_anti").select("root", F.lit(0).alias("class"), F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "n", "s")
+    # Groups beyond a block: by size class, each with the next one, in pairs of blocks.
     own = size_class(F.col("n"))
-    searched = sets.join(root, "node").withColumn("class", F.explode(F.array(own, own - 1)))
-    blocks = searched.groupBy("root", "class").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    parted = named.join(checked(large), "root", "left_semi").withColumn("class", F.explode(F.array(own, own - 1)))
+    cut = parted.groupBy("root", "class").agg(blocks(F.count("*"), F.sum("n")).alias("blocks"))
     dealt = (
-        searched.join(blocks, ["root", "class"])
+        parted.join(cut, ["root", "class"])
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("root", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "s")
     )
-    return out.unionByName(dealt.groupBy("root", "class", "i", "j").applyInPandas(forest, "a long, b long"))
+    return one.unionByName(dealt).groupBy("root", "class", "i", "j").applyInPandas(forest, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
