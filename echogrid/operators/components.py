@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from echogrid.functions.radar import TAU
 from echogrid.operators.intervals import runs
+from echogrid.operators.neighbours import across, along, blocked, owned
 from echogrid.shared import materialize
 
 
@@ -55,19 +56,52 @@ def large_enough(labels: DataFrame, least: int) -> DataFrame:
     return labels.join(sizes, "label", "left_semi")
 
 
+def edge_cells(labels: DataFrame) -> DataFrame:
+    """The cells of which a neighbour along a line or a column is of no or another component: no other cell is nearest to anything."""
+    same = lambda w, k: F.coalesce(F.lag("label", k).over(w) == F.col("label"), F.lit(False)) & (F.abs(F.lag("_at", k).over(w) - F.col("_at")) == 1)
+    d = blocked(labels.withColumn("_at", F.col("col")), 1)
+    inner = same(along(), 1) & same(along(), -1)
+    d = d.withColumn("_in", F.coalesce(inner, F.lit(False))).withColumn("_at", F.col("row"))
+    d = owned(d.withColumn("_inner", F.col("_in") & F.coalesce(same(across(), 1) & same(across(), -1), F.lit(False))))
+    return d.where(~F.col("_inner")).drop("_at", "_in", "_inner")
+
+
 def closest_pairs(labels: DataFrame, reach: int, roots: DataFrame | None = None) -> DataFrame:
     """``a < b, ar, ac, br, bc, d2``: the closest cells of every two components within ``reach`` of each other.
 
-    ``roots`` (``label, root``): only pairs of different roots.
+    ``roots`` (``label, root``): the closest of every two roots, with the labels of its ends. Cells of one
+    side are boxed by tiles of a quarter of the reach. Boxes come first: of two sides only those pairs of boxes
+    are opened that may hold a pair as close as the farthest cells of some pair of boxes are, so a wide
+    reach compares boxes, not all cells within it.
     """
-    labels = labels.withColumn("root", F.col("label")) if roots is None else labels.join(roots, "label")
-    tile = lambda x: F.floor(F.col(x) / reach)
+    who = "label" if roots is None else "root"
+    p = labels if roots is None else labels.join(roots, "label")
+    side = max(reach // 4, 1)
+    p = p.select(F.col(who).alias("w"), "label", "row", "col", F.floor(F.col("row") / side).alias("ty"), F.floor(F.col("col") / side).alias("tx"))
+    boxes = p.groupBy("w", "ty", "tx").agg(F.min("row").alias("y0"), F.max("row").alias("y1"), F.min("col").alias("x0"), F.max("col").alias("x1"))
+    wide = reach // side + 1
+    names = ("w", "ty", "tx", "y0", "y1", "x0", "x1")
+    block = lambda k: F.floor(F.col(k) / wide)
     around = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    p = labels.select(F.col("label").alias("a"), F.col("root").alias("ra"), F.col("row").alias("ar"), F.col("col").alias("ac"), (tile("row")).alias("ty"), (tile("col")).alias("tx"))
-    q = labels.select(F.col("label").alias("b"), F.col("root").alias("rb"), F.col("row").alias("br"), F.col("col").alias("bc"), tile("row").alias("y"), tile("col").alias("x")).withColumn("_y", F.explode(around)).withColumn("_x", F.explode(around))
-    q = q.select("b", "rb", "br", "bc", (F.col("y") + F.col("_y")).alias("ty"), (F.col("x") + F.col("_x")).alias("tx"))
-    d2 = (F.col("ar") - F.col("br")) ** 2 + (F.col("ac") - F.col("bc")) ** 2
-    near = p.join(q, ["ty", "tx"]).where("a < b AND ra <> rb").withColumn("d2", d2).where(F.col("d2") <= reach * reach)
+    left = boxes.select(*(F.col(n).alias(f"p{n}") for n in names), block("ty").alias("by"), block("tx").alias("bx"))
+    right = boxes.withColumn("_y", F.explode(around)).withColumn("_x", F.explode(around))
+    right = right.select(*(F.col(n).alias(f"q{n}") for n in names), (block("ty") + F.col("_y")).alias("by"), (block("tx") + F.col("_x")).alias("bx"))
+    both = left.join(right, ["by", "bx"]).where("pw < qw").drop("by", "bx")
+    apart = lambda k: F.greatest(F.col(f"p{k}0") - F.col(f"q{k}1"), F.col(f"q{k}0") - F.col(f"p{k}1"), F.lit(0))
+    span = lambda k: F.greatest(F.col(f"p{k}1") - F.col(f"q{k}0"), F.col(f"q{k}1") - F.col(f"p{k}0"))
+    both = both.withColumns({"least": apart("y") ** 2 + apart("x") ** 2, "most": span("y") ** 2 + span("x") ** 2}).where(F.col("least") <= reach * reach)
+    bound = both.groupBy("pw", "qw").agg(F.min("most").alias("bound"))
+    open_ = both.join(bound, ["pw", "qw"]).where("least <= bound").select("pw", "pty", "ptx", "qw", "qty", "qtx")
+    ends = lambda k, label, r, c: p.select(F.col("w").alias(f"{k}w"), F.col("ty").alias(f"{k}ty"), F.col("tx").alias(f"{k}tx"), F.col("label").alias(label), F.col("row").alias(r), F.col("col").alias(c))
+    near = open_.join(ends("p", "a", "ar", "ac"), ["pw", "pty", "ptx"]).join(ends("q", "b", "br", "bc"), ["qw", "qty", "qtx"])
+    near = near.withColumn("d2", (F.col("ar") - F.col("br")) ** 2 + (F.col("ac") - F.col("bc")) ** 2).where(F.col("d2") <= reach * reach)
+    if roots is not None:
+        # Roots may be in the other order than their labels.
+        turn = F.col("a") > F.col("b")
+        swap = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+        near = near.select("pw", "qw", "d2", *(swap(x, y).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ar", "br"), ("br", "ar"), ("ac", "bc"), ("bc", "ac"))))
+        best = near.groupBy("pw", "qw").agg(F.min(F.struct("d2", "a", "b", "ar", "ac", "br", "bc")).alias("t"))
+        return best.select("t.a", "t.b", "t.d2", "t.ar", "t.ac", "t.br", "t.bc")
     return near.groupBy("a", "b").agg(F.min(F.struct("d2", "ar", "ac", "br", "bc")).alias("t")).select("a", "b", "t.*")
 
 
@@ -76,9 +110,10 @@ def bridges(labels: DataFrame, reach: int) -> DataFrame:
 
     Pairs are sought within ``reach``, then within twice that among what is not connected yet, and
     so on. A link that a wider search finds is longer than all those found before, so none of the
-    tree's is missed.
+    tree's is missed. Only cells at the edges of components are compared, and of each two parts of what is
+    connected so far one link is kept.
     """
-    labels = materialize(labels, "labels")
+    labels = materialize(edge_cells(labels), "labels")
     ends = labels.agg(F.max("row") - F.min("row"), F.max("col") - F.min("col")).first()
     span = max(int(v or 0) for v in ends) + 1
     names = materialize(labels.select("label").distinct().withColumn("root", F.col("label")), "roots")

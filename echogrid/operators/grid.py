@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echogrid.shared import materialize
@@ -114,8 +114,7 @@ def fill_by_distance(cells: DataFrame, x: str, radius: int, power: float = 2.0,
     d2 = F.pow(F.col("row") - F.col("r"), F.lit(2)) + F.pow(F.col("col") - F.col("c"), F.lit(2))
     near = holes.join(known, ["ty", "tx"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
     if nearest:
-        best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "r", "c", "v"))), 1, nearest)
-        near = near.groupBy("row", "col").agg(best.alias("n")).select("row", "col", F.inline("n"))
+        near = smallest(near, ["row", "col"], ["d2", "r", "c", "v"], nearest, "n").select("row", "col", F.inline("n"))
     w = F.pow(F.col("d2"), F.lit(-power / 2)) if decay is None else F.exp(-F.col("d2") / 2 * decay)
     filled = near.groupBy("row", "col").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("_f"))
     return cells.join(filled, ["row", "col"], "left").withColumn(x, F.coalesce(x, "_f")).drop("_f")
@@ -138,7 +137,7 @@ def k_nearest(points: DataFrame, k: int, tile: float, y: str = "y", x: str = "x"
         a = left.withColumn("_a", F.explode(around)).withColumn("_b", F.explode(around)).withColumns({"ty": at("y") + F.col("_a"), "tx": at("x") + F.col("_b")})
         d2 = (F.col("y") - F.col("y2")) ** 2 + (F.col("x") - F.col("x2")) ** 2
         near = a.join(b, ["ty", "tx"]).where("id <> other").withColumn("d2", d2)
-        own = near.groupBy("id").agg(smallest(F.struct("d2", "other"), k).alias("t"))
+        own = smallest(near, ["id"], ["d2", "other"], k, "t")
         last = tile > span
         sure = F.lit(True) if last else (F.size("t") == k) & (F.get("t", F.lit(k - 1))["d2"] <= tile * tile)
         done = materialize(own.where(sure), "nearest")
@@ -152,6 +151,8 @@ def k_nearest(points: DataFrame, k: int, tile: float, y: str = "y", x: str = "x"
     return out.select("id", F.posexplode("t").alias("n", "s")).select("id", F.col("s.other").alias("other"), (F.col("n") + 1).alias("n"), F.col("s.d2").alias("d2"))
 
 
-def smallest(value: Column, k: int) -> Column:
-    """Aggregate: the k least values, sorted."""
-    return F.slice(F.array_sort(F.collect_list(value)), 1, k)
+def smallest(df: DataFrame, keys: list[str], order: list[str], k: int, out: str) -> DataFrame:
+    """``keys`` and the k least structs of ``order``, sorted: ranked within tasks first, so that no more than k of a group are shuffled or gathered."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    best = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    return best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order))).alias(out))

@@ -10,6 +10,7 @@ from echogrid.functions import cplx, radar
 from echogrid.operators import looks, neighbours, pol, stats
 from echogrid.plans import relations as rel
 from echogrid.plans.registry import query, r6
+from echogrid.shared import materialize
 
 c = F.col
 
@@ -217,7 +218,8 @@ def a41(spark, sf):
 @query("a42_elevation_pattern", "slc", ", g AS (SELECT CAST(floor(col / 4) AS BIGINT) AS block, avg((re * re + im * im) * pow((800000.0 + 50 * col) / 800000.0, 3)) AS p FROM slc GROUP BY 1), m AS (SELECT max(p) AS m FROM g) SELECT block, round(p / m, 6) AS p FROM g, m")
 def a42(spark, sf):
     p = cplx.power(cplx.pair()) * F.pow(radar.range_of(c("col"), 800000.0, 50.0) / 800000.0, F.lit(3))
-    g = rel.slc(spark, sf).groupBy(F.floor(c("col") / 4).alias("block")).agg(F.avg(p).alias("p"))
+    # A row a block of columns, written once for both its uses.
+    g = materialize(rel.slc(spark, sf).groupBy(F.floor(c("col") / 4).alias("block")).agg(F.avg(p).alias("p")), "pattern")
     return g.crossJoin(F.broadcast(g.agg(F.max("p").alias("m")))).select("block", r6(c("p") / c("m")).alias("p"))
 
 
