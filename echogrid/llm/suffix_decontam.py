@@ -40,6 +40,8 @@ from echogrid.shared import materialize
 WINDOW = 10
 #: Item words that one pass broadcasts at most.
 BLOCK_WORDS = 1_000_000
+#: Bytes of texts in one shard, unless a single text is longer.
+SLICE = 8 << 20
 _WORD = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -188,7 +190,7 @@ def _found(base: DataFrame, shared, every: bool) -> DataFrame:
 
         return each
 
-    return map_slices(base, make, _FOUND, 8 << 20)
+    return map_slices(base, make, _FOUND, SLICE)
 
 
 def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -279,14 +281,25 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     return docs
 
 
+def _bounded(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """The texts in lists of at most so many bytes; a longer text is a list of its own."""
+    some, held = [], 0
+    for t in texts:
+        if some and held + len(t) > most:
+            yield some
+            some, held = [], 0
+        some.append(t)
+        held += len(t)
+    if some:
+        yield some
+
+
 def _clean(shared):
     @F.pandas_udf("boolean")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             texts = [(x or "").encode() for x in part]
-            out = []
-            for at in range(0, len(texts), 1000):
-                out.append(np.diff(Shard(texts[at : at + 1000], shared.value).bounds) == 0)
+            out = [np.diff(Shard(some, shared.value).bounds) == 0 for some in _bounded(texts, SLICE)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
     return clean

@@ -88,3 +88,14 @@ def test_no_items_and_no_documents(spark):
     assert [tuple(r)[2:5] for r in suffix_decontam.hits(docs, bench.limit(0)).select("doc_id", "n_words", "n_hit", "n_items", "longest").collect()] == [(0, 0, None)] * len(DOCS)
     assert suffix_decontam.hits(docs.limit(0), bench).count() == 0 and suffix_decontam.matches(docs, bench.limit(0)).count() == 0
     assert suffix_decontam.decontaminate(docs.selectExpr("*", "1 AS m", "2 AS key"), bench).columns == ["doc_id", "text", "m", "key"]
+
+
+def test_filter_slices_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffix_decontam, "SLICE", 40)
+    texts = [b"a" * 30, b"b" * 30, b"c" * 100, b"", b"d" * 10, b"e" * 30]
+    cut = list(suffix_decontam._bounded(texts, 40))
+    assert sum(cut, []) == texts and [len(x) for x in cut] == [1, 1, 1, 3]
+    docs = spark.createDataFrame([(k, x) for k in range(40) for _, x in DOCS], "doc_id long, text string")
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    assert suffix_decontam.decontaminate(docs, bench).count() == 40 * sum(r.n_hit == 0 for r in suffix_decontam.hits(spark.createDataFrame(DOCS, "doc_id long, text string"), bench).collect())
+
