@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echogrid.operators import neighbours
+
 
 def area_mean(boxes: DataFrame, cells: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Each box (``keys, y0, y1, x0, x1``; cell k covers k to k + 1) with the area-weighted means of the cells that it
@@ -98,6 +100,22 @@ def chips(targets: DataFrame, cells: DataFrame, half: int) -> DataFrame:
     return d.join(cells, ["row", "col"])
 
 
+def chip_peaks(targets: DataFrame, cells: DataFrame, half: int, power: Column, tie: int = 9) -> DataFrame:
+    """``targets`` (``id, row, col``) with ``prow, pcol, power``, the cell of greatest power within reach (ties by row and column), and ``y, x, top``, the top of the quadratic surface around it (the cell itself where there is none)."""
+    own = cells.select("row", "col", power.alias("_p"))
+    c = chips(targets.select("id", "row", "col"), own, half)
+    best = c.groupBy("id").agg(F.max(F.struct(F.round("_p", tie).alias("q"), (-F.col("row")).alias("r"), (-F.col("col")).alias("k"), "_p")).alias("_t"))
+    best = best.select("id", (-F.col("_t.r")).alias("prow"), (-F.col("_t.k")).alias("pcol"), F.col("_t._p").alias("power"))
+    around = chips(best.select("id", F.col("prow").alias("row"), F.col("pcol").alias("col")), own, 1)
+    at = lambda y, x: F.max(F.when((F.col("dr") == y) & (F.col("dc") == x), F.col("_p"))).alias(f"_{y + 1}{x + 1}")
+    nine = around.groupBy("id").agg(*(at(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)))
+    dy, dx, top = neighbours.quadratic_top(lambda y, x: F.col(f"_{y + 1}{x + 1}"))
+    inside = (F.abs(dy) <= 1) & (F.abs(dx) <= 1)
+    fit = nine.select("id", F.when(inside, F.struct(dy.alias("dy"), dx.alias("dx"), top.alias("top"))).alias("_f"))
+    d = targets.join(best, "id").join(fit, "id", "left")
+    return d.withColumns({"y": F.col("prow") + F.coalesce("_f.dy", F.lit(0.0)), "x": F.col("pcol") + F.coalesce("_f.dx", F.lit(0.0)), "top": F.coalesce("_f.top", "power")}).drop("_f")
+
+
 def line_intervals(polygons: DataFrame) -> DataFrame:
     """``id, row, start, stop``: where a convex polygon (``id, corners``: an array of ``y, x``) lies on each line it crosses."""
     edges = F.arrays_zip(F.col("corners").alias("a"), F.concat(F.slice("corners", F.lit(2), F.size("corners") - 1), F.slice("corners", 1, 1)).alias("b"))

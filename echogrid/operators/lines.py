@@ -353,3 +353,50 @@ def point_target(lines: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
                 yield same[keys].assign(**dict(zip(("peak", "width", "pslr"), map(list, zip(*rows, strict=True)), strict=True)))
 
     return lines.mapInPandas(run, f"{kinds}, peak double, width double, pslr double")
+
+
+def _cut(power: np.ndarray, k: int, lobes: int) -> tuple[float, float, float]:
+    """Width at half power, greatest and summed side lobes (decibels) of a cut through its peak, sampled k times; null lobes if it has none within the chip.
+
+    The main lobe ends at the first nulls; side lobes are summed over ``lobes`` of its half widths to either side, over the main lobe.
+    """
+    top = int(power.argmax())
+    half = power[top] / 2
+    below = np.flatnonzero(power < half)
+    left, right = below[below < top], below[below > top]
+    place = lambda i, j: i + (power[i] - half) / (power[i] - power[j]) * (j - i)
+    width = (place(right[0] - 1, right[0]) - place(left[-1] + 1, left[-1])) / k if len(left) and len(right) else np.nan
+    rise = np.diff(power)
+    down, up = np.flatnonzero(rise[:top] < 0), np.flatnonzero(rise[top:] > 0)
+    lo, hi = int(down[-1]) + 1 if len(down) else 0, top + int(up[0]) if len(up) else len(power) - 1
+    reach = lobes * max(hi - top, top - lo)
+    a, b = max(0, top - reach), min(len(power), top + reach + 1)
+    side = np.r_[power[a:lo], power[hi + 1 : b]]
+    if not len(side) or side.max() <= 0:
+        return width, np.nan, np.nan
+    return width, 10 * np.log10(side.max() / power[top]), 10 * np.log10(side.sum() / power[lo : hi + 1].sum())
+
+
+def target_response(chips: DataFrame, half: int, k: int = 16, lobes: int = 10) -> DataFrame:
+    """Per target the place, phase and power of its peak and along both axes its width and side lobes.
+
+    ``chips``: ``id, dr, dc, re, im``, cells within ``half`` of a target's nominal place; a group is one chip. Chips
+    that lack cells go. A chip is sampled k times along both axes and cut through its peak. ``y, x``: places from the
+    nominal one; ``width``: cells at half power; ``pslr, islr``: greatest and summed side lobes to the main one, in decibels.
+    """
+    n = 2 * half + 1
+    names = ("y", "x", "power", "phase", "width_y", "pslr_y", "islr_y", "width_x", "pslr_x", "islr_x")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        z = np.full((n, n), np.nan, complex)
+        z[g["dr"].to_numpy(int) + half, g["dc"].to_numpy(int) + half] = g["re"].to_numpy() + 1j * g["im"].to_numpy()
+        rows = []
+        if not np.isnan(z).any():
+            fine = _upsampled(_upsampled(z, k).T, k).T
+            power = np.abs(fine) ** 2
+            y, x = np.unravel_index(int(power.argmax()), power.shape)
+            rows.append((int(g["id"].iloc[0]), y / k - half, x / k - half, power[y, x], float(np.angle(fine[y, x])), *_cut(power[:, x], k, lobes), *_cut(power[y], k, lobes)))
+        return pd.DataFrame(rows, columns=["id", *names])
+
+    return chips.groupBy("id").applyInPandas(run, "id long, " + ", ".join(f"{x} double" for x in names))
+

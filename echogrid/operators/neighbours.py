@@ -221,3 +221,18 @@ def layover_shadow(cells: DataFrame, keys: list[str], order: str, angle: str, re
 def quadratic_peak(a: Column, b: Column, c: Column) -> Column:
     """Place of the vertex of a parabola through values at -1, 0 and 1."""
     return (a - c) / F.nullif(2 * (a - 2 * b + c), F.lit(0.0))
+
+
+def quadratic_top(value) -> tuple[Column, Column, Column]:
+    """``dy, dx, top`` of the quadratic surface that fits nine cells best; ``value(dy, dx)`` gives them, -1 to 1. Null where it is flat or a saddle."""
+    nine = {(y, x): value(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)}
+    total = lambda f: reduce(lambda a, b: a + b, (v * f(y, x) for (y, x), v in nine.items() if f(y, x)))
+    every = total(lambda y, x: 1.0)
+    by, bx, mixed = total(lambda y, x: y / 6), total(lambda y, x: x / 6), total(lambda y, x: x * y / 4)
+    byy, bxx = total(lambda y, x: y * y / 2) - every / 3, total(lambda y, x: x * x / 2) - every / 3
+    middle = (5 * every - 3 * total(lambda y, x: float(y * y + x * x))) / 9
+    bend = 4 * byy * bxx - mixed * mixed
+    good = (bend > 0) & (byy < 0)
+    dy, dx = (mixed * bx - 2 * bxx * by) / bend, (mixed * by - 2 * byy * bx) / bend
+    top = middle + (by * dy + bx * dx) / 2
+    return tuple(F.when(good, v) for v in (dy, dx, top))

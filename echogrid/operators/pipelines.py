@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.functions import cplx, radar
-from echogrid.operators import asof, components, geometry, intervals, lines, looks, neighbours
+from echogrid.operators import asof, components, footprint, geometry, grid, intervals, lines, looks, mapping, neighbours
 from echogrid.shared import materialize
 
 
@@ -111,3 +113,46 @@ def focus(pulses: DataFrame, chirp, track: DataFrame, cells: DataFrame, spacing:
     done = materialize(lines.compress(pulses, ["row"], chirp, "same"), "compressed")
     there = done.join(track, "row").select(F.lit(0).alias("scene"), F.col("row").alias("k"), "px", "py", "pz", "r0", "re", "im")
     return geometry.back_project(cells.withColumn("scene", F.lit(0)), there, ["scene"], spacing, wavelength).drop("scene")
+
+
+def reflectors_in_force(surveys: DataFrame, epoch: Column, bits: int, corners: list[tuple[float, float]], heading: Column | None = None, tolerance: float = math.pi) -> DataFrame:
+    """The latest survey of each reflector not after the epoch, of those that are valid (any of ``bits``), within the polygon (longitude, latitude, in the surveys' units) and, with ``heading``, set up for it within the tolerance."""
+    d = asof.latest_before(surveys, ["id"], "survey_date", epoch, "event_id")
+    d = d.where((F.col("validity").bitwiseAND(bits) != 0) & grid.in_polygon(F.col("lon"), F.col("lat"), corners))
+    if heading is not None:
+        off = F.col("heading") - heading
+        d = d.where(F.abs(F.atan2(F.sin(off), F.cos(off))) <= tolerance)
+    return d
+
+
+def absolute_calibration(reflectors: DataFrame, orbit: DataFrame, image: DataFrame, place: tuple[float, float, float, float], half: int, wavelength: float) -> DataFrame:
+    """``id, row, col, y, x, power, rcs, factor``: measured over predicted power of each reflector in an image.
+
+    ``reflectors``: ``id, orbit_id, lon, lat, h`` (radians, metres), ``tilt, heading, side``; each is found
+    on the radar grid (``place``: first time, line rate, first range, spacing) by its zero-Doppler crossing, its peak
+    is fitted within ``half`` cells of there, and the cross-section that it should have is that of a
+    triangular trihedral seen along the line of sight in its own axes. Those that the orbit or the image misses go.
+    """
+    d = mapping.image_places(mapping.layers(reflectors, orbit), *place).where("y IS NOT NULL")
+    up = F.cos("incidence")
+    seen = mapping.reflector_angles((F.col("los_e"), F.col("los_n"), up), F.col("tilt"), F.col("heading"))
+    d = d.withColumns({f"_u{k}": u for k, u in zip("xyz", seen, strict=True)})
+    d = d.withColumn("rcs", radar.trihedral_rcs(F.col("_ux"), F.col("_uy"), F.col("_uz"), F.col("side"), wavelength))
+    d = materialize(d.select("id", F.floor(F.col("y") + 0.5).alias("row"), F.floor(F.col("x") + 0.5).cast("int").alias("col"), "rcs"), "reflectors")
+    found = footprint.chip_peaks(d, image, half, cplx.power(cplx.pair()))
+    return found.select("id", "row", "col", "y", "x", F.col("top").alias("power"), "rcs", (F.col("top") / F.col("rcs")).alias("factor"))
+
+
+def covariance_map(cells: DataFrame, corners: footprint.Corners, channels: DataFrame, areas: DataFrame, noise: float, keys: list[str]) -> DataFrame:
+    """Map cells with ``hhhh, hvhv`` (powers) and ``hhhv_re, hhhv_im`` of the calibrated covariance, the area and the looks.
+
+    ``channels``: ``row, col`` and the four polarisations. Noise is taken off the co-polarised power, the cross-polarised
+    channels are made one, every term is divided by the radar cell's area factor (``row, col, rtc``; cells without one are no cells),
+    and each map cell is the mean of the radar cells under its footprint, weighted by overlap.
+    """
+    w = channels.select("row", "col", "hhre", "hhim", ((F.col("hvre") + F.col("vhre")) / 2).alias("xre"), ((F.col("hvim") + F.col("vhim")) / 2).alias("xim"))
+    re, im = cplx.conj_mul(cplx.pair("hh"), cplx.pair("x"))
+    terms = {"hhhh": radar.denoised_power(cplx.power(cplx.pair("hh")), F.lit(noise)), "hvhv": cplx.power(cplx.pair("x")), "hhhv_re": re, "hhhv_im": im}
+    image = w.join(areas.where("rtc > 0"), ["row", "col"]).select("row", "col", *((v / F.col("rtc")).alias(k) for k, v in terms.items()))
+    return footprint.project_by_area(cells, corners, image, keys, list(terms))
+

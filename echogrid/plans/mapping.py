@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from echogrid.functions import cplx, geodesy, radar
-from echogrid.operators import footprint, geometry, mapping, neighbours, pol, stats
+from echogrid.operators import footprint, geometry, mapping, neighbours, pipelines, pol, stats
 from echogrid.plans import relations as rel
 from echogrid.plans.registry import query, r6
 from echogrid.shared import materialize
@@ -347,3 +347,23 @@ def l2(spark, sf):
     places = mapping.image_places(cells.select("id", "t", "r"), T0, PRF, R0, DR)
     d = mapping.geocode(places, image, [], ["hh", "hv"]).where("hh IS NOT NULL")
     return d.select("id", *((F.round(k, 4) + F.lit(0.0)).alias(k) for k in ("hh", "hv")))
+
+
+_GCOV = (
+    f"{_OVERLAP.replace(_NODES, _FACETS, 1)}, ar AS (SELECT row, col, sum(w / whole * gamma) / sum(w / whole * sigma) AS rtc FROM ov JOIN f ON f.nrow = frow AND f.ncol = fcol WHERE w > 1e-9 AND whole > 1e-3 GROUP BY row, col), {_WIDE}"
+    ", tm AS (SELECT pw.row, pw.col, greatest(hhre * hhre + hhim * hhim - 0.001, 0) / rtc AS a, (pow((hvre + vhre) / 2, 2) + pow((hvim + vhim) / 2, 2)) / rtc AS b, (hhre * (hvre + vhre) / 2 + hhim * (hvim + vhim) / 2) / rtc AS d, (hhim * (hvre + vhre) / 2 - hhre * (hvim + vhim) / 2) / rtc AS e FROM pw JOIN ar USING (row, col) WHERE rtc > 0)"
+)
+
+
+@query("l2_covariance_by_area", "img pol", f"{_GCOV}, av AS (SELECT frow, fcol, any_value(whole) AS whole, count(*) AS n, count(a) AS got, sum(w) FILTER (a IS NOT NULL) AS total, sum(w * a) AS a, sum(w * b) AS b, sum(w * d) AS d, sum(w * e) AS e FROM ov LEFT JOIN tm USING (row, col) WHERE w > 1e-9 AND whole > 1e-3 GROUP BY frow, fcol) SELECT frow AS row, fcol AS col, round(a / total, 4) AS hhhh, round(b / total, 4) AS hvhv, round(d / total, 4) + 0.0 AS hhhv_re, round(e / total, 4) + 0.0 AS hhhv_im FROM av WHERE n = got AND abs(total - whole) <= 1e-6 * whole + 4e-9")
+def l2_by_area(spark, sf):
+    """Noise off, one cross-polarised channel, covariance terms over the area factor of facets by overlap, projected to the map by area."""
+    d, corners = _footprints(spark, sf)
+    quads = materialize(d.where(footprint.polygon_area(corners) > 1e-3).select("row", "col", "_n", "_r", "_e", "_d"), "footprints")
+    amounts = _crossed(spark, sf).select("row", "col", "sigma", "gamma")
+    areas = mapping.area_layers_by_overlap(quads.join(amounts, ["row", "col"]), corners, ()).select("row", "col", mapping.normalisation().alias("rtc"))
+    named = quads.withColumnsRenamed({"row": "frow", "col": "fcol"})
+    out = pipelines.covariance_map(named, corners, pol.wide(rel.pol(spark, sf)), areas, 0.001, ["frow", "fcol"]).where("hhhh IS NOT NULL")
+    r4 = lambda k: (F.round(k, 4) + F.lit(0.0)).alias(k)
+    return out.select(c("frow").alias("row"), c("fcol").alias("col"), *map(r4, ("hhhh", "hvhv", "hhhv_re", "hhhv_im")))
+

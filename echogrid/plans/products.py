@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from echogrid.functions import cplx, radar
 from echogrid.operators import footprint, grid, looks, neighbours, pol, stats
+from echogrid.plans import mapping as onmap
 from echogrid.plans import relations as rel
 from echogrid.plans.registry import query, r6
 from echogrid.shared import materialize, new_path
@@ -108,6 +109,64 @@ def g14(spark, sf):
     return g.select("id", (-c("t.r")).alias("row"), (-c("t.k")).alias("col"), "t.power")
 
 
+_AROUND = lambda y, x: f"sum(CASE WHEN dr = {y} AND dc = {x} THEN p END)"
+#: The best quadratic surface of nine powers around the greatest one, as SQL over ``k`` (id, row, col) and ``im`` (row, col, p).
+_TOP = (
+    ", nn AS (SELECT k.id, k.row, k.col, k.p AS power, dr, dc, im.p FROM k, range(-1, 2) a(dr), range(-1, 2) b(dc) JOIN im ON im.row = k.row + dr AND im.col = k.col + dc), ss AS (SELECT id, row, col, any_value(power) AS power, count(*) AS n, sum(p) AS z, sum(p * dr) / 6 AS sy, sum(p * dc) / 6 AS sx, sum(p * dr * dc) / 4 AS m, sum(p * dr * dr) / 2 - sum(p) / 3 AS yy, sum(p * dc * dc) / 2 - sum(p) / 3 AS xx, sum(p * (dr * dr + dc * dc)) AS q FROM nn GROUP BY id, row, col)"
+    ", tp AS (SELECT *, 4 * yy * xx - m * m AS bend, (m * sx - 2 * xx * sy) / (4 * yy * xx - m * m) AS dy, (m * sy - 2 * yy * sx) / (4 * yy * xx - m * m) AS dx FROM ss), tq AS (SELECT *, n = 9 AND bend > 0 AND yy < 0 AND abs(dy) <= 1 AND abs(dx) <= 1 AS ok FROM tp)"
+)
+_CHIPS = ", im AS (SELECT row, col, re * re + im * im AS p FROM slc), t AS (SELECT id, (id % 180) + 5 AS row, CAST(id * 7 % 24 + 4 AS INT) AS col FROM target), kk AS (SELECT id, im.row, im.col, im.p, row_number() OVER (PARTITION BY id ORDER BY round(im.p, 9) DESC, im.row, im.col) AS n FROM t JOIN im ON im.row BETWEEN t.row - 3 AND t.row + 3 AND im.col BETWEEN t.col - 3 AND t.col + 3), k AS (SELECT * FROM kk WHERE n = 1)" + _TOP
+
+
+def _targets(spark, sf):
+    return rel.target(spark, sf).select("id", (c("id") % 180 + 5).alias("row"), (c("id") * 7 % 24 + 4).cast("int").alias("col"))
+
+
+@query("t2_quadratic_surface", "slc target", f"{_CHIPS} SELECT id, row AS prow, col AS pcol, round(row + CASE WHEN ok THEN dy ELSE 0 END, 5) AS y, round(col + CASE WHEN ok THEN dx ELSE 0 END, 5) AS x, round(CASE WHEN ok THEN (5 * z - 3 * q) / 9 + (sy * dy + sx * dx) / 2 ELSE power END, 6) AS top FROM tq")
+def t2_surface(spark, sf):
+    """The greatest power within a target's chip, and the top of the quadratic surface through the nine cells around it."""
+    d = footprint.chip_peaks(_targets(spark, sf), rel.slc(spark, sf), 3, cplx.power(cplx.pair()))
+    return d.select("id", "prow", "pcol", F.round("y", 5).alias("y"), F.round("x", 5).alias("x"), F.round("top", 6).alias("top"))
+
+
+#: Where the image of the calibration chain lies, and the polygon within which reflectors count.
+_SCENE, _FIELD = (53.0, 50.0, 790_000.0, 1500.0), [(9.9, 44.9), (10.7, 44.9), (10.7, 45.7), (10.2, 45.7)]
+_INSIDE = " + ".join(f"CASE WHEN ({y1} > dlat) <> ({y2} > dlat) AND dlon < ({x2} - {x1}) * (dlat - {y1}) / ({y2} - {y1}) + {x1} THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in zip(_FIELD, [*_FIELD[1:], _FIELD[0]], strict=True) if y1 != y2)
+_CALIBRATED = (
+    ", u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY survey_date DESC, event_id) AS n FROM survey WHERE survey_date <= TIMESTAMP '2024-01-20'), v AS (SELECT id, az, 10 + (id % 40) * 0.02 AS dlon, 45 + (id * 7 % 30) * 0.02 AS dlat FROM u WHERE n = 1 AND validity & 7 <> 0)"
+    f", rf AS (SELECT v.id, id % 4 AS orbit_id, radians(dlon) AS lon, radians(dlat) AS lat, CAST((id % 13) * 80.0 AS DOUBLE) AS h, 0.1 + (id % 5) * 0.05 AS tilt, az / 100 AS heading, 1.0 + (id % 7) * 0.5 AS side FROM v WHERE ({_INSIDE}) % 2 = 1)"
+    f", {onmap._XYZ.replace('FROM m)', 'FROM rf)')}, {onmap._crossing('g', '_r')}{onmap._ENU.replace('FROM l)', 'FROM l_r)')}, e AS (SELECT *, cos(heading + pi() / 4) * le - sin(heading + pi() / 4) * ln AS x0, sin(heading + pi() / 4) * le + cos(heading + pi() / 4) * ln AS y0, cos(tilt) AS ck, sin(tilt) AS sk FROM d)"
+    ", w AS (SELECT *, list_sort([abs(x0 * ck + sqrt(0.5) * lu * sk + (x0 - y0) / 2 * (1 - ck)), abs(y0 * ck + sqrt(0.5) * lu * sk - (x0 - y0) / 2 * (1 - ck)), abs(lu * ck - sqrt(0.5) * (x0 + y0) * sk)]) AS p FROM e)"
+    ", rc AS (SELECT id, t, r, 4 * pi() * pow(side, 4) / pow(0.24, 2) * pow(CASE WHEN p[1] + p[2] > p[3] THEN list_sum(p) - 2 / list_sum(p) ELSE 4 * p[1] * p[2] / list_sum(p) END, 2) AS rcs FROM w)"
+    f", t AS (SELECT id, rcs, CAST(floor((t - {_SCENE[0]}) * {_SCENE[1]} + 0.5) AS BIGINT) AS row, CAST(floor((r - {_SCENE[2]}) / {_SCENE[3]} + 0.5) AS INT) AS col FROM rc)"
+    ", im AS (SELECT row, col, re * re + im * im AS p FROM slc), kk AS (SELECT id, im.row, im.col, im.p, row_number() OVER (PARTITION BY id ORDER BY round(im.p, 9) DESC, im.row, im.col) AS n FROM t JOIN im ON im.row BETWEEN t.row - 3 AND t.row + 3 AND im.col BETWEEN t.col - 3 AND t.col + 3), k AS (SELECT * FROM kk WHERE n = 1)" + _TOP
+)
+
+
+@query("a45_calibration_chain", "survey slc", f"{_CALIBRATED} SELECT id, t.row, t.col, round(10 * log10(CASE WHEN ok THEN (5 * z - 3 * q) / 9 + (sy * dy + sx * dx) / 2 ELSE power END), 4) AS power, round(10 * log10(rcs), 4) AS rcs, round(10 * log10(CASE WHEN ok THEN (5 * z - 3 * q) / 9 + (sy * dy + sx * dx) / 2 ELSE power END / rcs), 4) AS factor FROM tq JOIN t USING (id)")
+def a45_chain(spark, sf):
+    """Surveys in force at an epoch, valid and within a polygon, to the image by their crossing; peaks over the cross-section along each line of sight."""
+    from echogrid.operators import pipelines
+
+    k = c("id")
+    s = rel.survey(spark, sf).withColumns({"lon": 10 + (k % 40) * 0.02, "lat": 45 + (k * 7 % 30) * 0.02})
+    d = pipelines.reflectors_in_force(s, F.lit("2024-01-20").cast("timestamp_ntz"), 7, _FIELD)
+    r = d.select("id", (k % 4).alias("orbit_id"), F.radians("lon").alias("lon"), F.radians("lat").alias("lat"), ((k % 13) * 80.0).alias("h"), (0.1 + (k % 5) * 0.05).alias("tilt"), (c("az") / 100).alias("heading"), (1.0 + (k % 7) * 0.5).alias("side"))
+    out = pipelines.absolute_calibration(materialize(r, "in-force"), onmap._orbit(spark, r), rel.slc(spark, sf), _SCENE, 3, 0.24)
+    return out.select("id", "row", "col", *(F.round(radar.db(c(x)), 4).alias(x) for x in ("power", "rcs", "factor")))
+
+
+@query("g14_target_faraday", "pol target", ", wp AS (SELECT row, col, " + ", ".join(f"max(CASE WHEN p = {k} THEN {x} END) AS {m}{x}" for k, m in enumerate(("hh", "hv", "vh", "vv")) for x in ("re", "im")) + " FROM pol GROUP BY row, col), t AS (SELECT id, (id % 80) + 5 AS row, CAST(id * 7 % 24 + 4 AS INT) AS col FROM target), kk AS (SELECT id, w.row, w.col, row_number() OVER (PARTITION BY id ORDER BY round(hhre * hhre + hhim * hhim, 9) DESC, w.row, w.col) AS n FROM t JOIN wp w ON w.row BETWEEN t.row - 3 AND t.row + 3 AND w.col BETWEEN t.col - 3 AND t.col + 3), f AS (SELECT *, hhre + vvre AS cr, hhim + vvim AS ci, vhre - hvre AS xr, vhim - hvim AS xi FROM wp), g AS (SELECT *, -ci + xr AS ar, cr + xi AS ai, -ci - xr AS br, cr - xi AS bi FROM f) SELECT id, k.row AS prow, k.col AS pcol, round(atan2(avg(bi * ar - br * ai), avg(br * ar + bi * ai)) / 4, 6) + 0.0 AS angle FROM kk k JOIN g ON g.row BETWEEN k.row - 1 AND k.row + 1 AND g.col BETWEEN k.col - 1 AND k.col + 1 WHERE n = 1 GROUP BY id, k.row, k.col")
+def g14_faraday(spark, sf):
+    """Each target's peak in HH and the Faraday angle of the cells around it."""
+    w = materialize(pol.wide(rel.pol(spark, sf)), "channels")
+    t = rel.target(spark, sf).select("id", (c("id") % 80 + 5).alias("row"), (c("id") * 7 % 24 + 4).cast("int").alias("col"))
+    peaks = footprint.chip_peaks(t, w, 3, cplx.power(cplx.pair("hh"))).select("id", "prow", "pcol")
+    chip = footprint.chips(peaks.select("id", c("prow").alias("row"), c("pcol").alias("col")), w, 1)
+    angle = pol.faraday_bickel(chip, ["id"])
+    return peaks.join(angle, "id").select("id", "prow", "pcol", r6(c("angle")).alias("angle"))
+
+
 @query("a50_valid_intervals", "target", ", p AS (SELECT id, id % 50 + 0.5 AS y, id % 7 * 3.0 AS x FROM target), e AS (SELECT id, y AS y1, x AS x1, y + 4 AS y2, x + 9.5 AS x2 FROM p UNION ALL SELECT id, y + 4, x + 9.5, y + 6.2, x + 3.5 FROM p UNION ALL SELECT id, y + 6.2, x + 3.5, y, x FROM p), l AS (SELECT *, unnest(generate_series(CAST(ceil(least(y1, y2)) AS BIGINT), CAST(floor(greatest(y1, y2)) AS BIGINT))) AS row FROM e) SELECT id, row, round(min(x1 + (x2 - x1) * (row - y1) / (y2 - y1)), 6) + 0.0 AS start, round(max(x1 + (x2 - x1) * (row - y1) / (y2 - y1)), 6) + 0.0 AS stop FROM l GROUP BY id, row")
 def a50(spark, sf):
     y, x = c("id") % 50 + 0.5, c("id") % 7 * 3.0

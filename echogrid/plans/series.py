@@ -113,6 +113,19 @@ def j9(spark, sf):
     return p.select("i", r6(q[0]).alias("q0"), r6(q[1]).alias("q1"))
 
 
+@query("j9_attitude_bracketed", "", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 - 1704067200.0 AS t, value FROM events), s AS (SELECT user_id, t, 0.02 * value + 0.000001 * t AS w FROM e WHERE event_id % 4 = 0), g AS (SELECT *, lead(t) OVER o AS t1, lead(w) OVER o AS w1 FROM s WINDOW o AS (PARTITION BY user_id ORDER BY t)), j AS (SELECT e.event_id, (e.t - g.t) / (t1 - g.t) AS u, cos(w) AS a0, sin(w) AS a1, cos(w1) AS b0, sin(w1) AS b1 FROM e ASOF JOIN g ON e.user_id = g.user_id AND e.t >= g.t WHERE t1 IS NOT NULL AND e.t <= t1 AND e.event_id % 4 <> 0), d AS (SELECT *, CASE WHEN a0 * b0 + a1 * b1 < 0 THEN -1.0 ELSE 1.0 END AS s, least(abs(a0 * b0 + a1 * b1), 1.0) AS k FROM j), x AS (SELECT *, CASE WHEN k > 0.9999999 THEN 1 - u ELSE sin((1 - u) * acos(k)) / sin(acos(k)) END AS wa, CASE WHEN k > 0.9999999 THEN u ELSE sin(u * acos(k)) / sin(acos(k)) END * s AS wb FROM d) SELECT event_id, round(wa * a0 + wb * b0, 6) + 0.0 AS q0, round(wa * a1 + wb * b1, 6) + 0.0 AS q1 FROM x")
+def j9_bracketed(spark, sf):
+    """Attitude at a time: the two states around it by one as-of sort, then the shorter way between them."""
+    from echogrid.operators import mapping
+
+    t = F.unix_micros(c("ts").cast("timestamp")) / 1000000.0 - 1704067200.0
+    e = rel.read(spark, sf, "events").select("event_id", "user_id", t.alias("t"), "value")
+    w = 0.02 * c("value") + 0.000001 * c("t")
+    s = e.where("event_id % 4 = 0").select("user_id", "t", F.cos(w).alias("q0"), F.sin(w).alias("q1"), F.lit(0.0).alias("q2"), F.lit(0.0).alias("q3"))
+    d = mapping.attitude_at(e.where("event_id % 4 <> 0").select("event_id", "user_id", "t"), s, ["user_id"])
+    return d.select("event_id", r6(c("q0")).alias("q0"), r6(c("q1")).alias("q1"))
+
+
 @query("j10_latest_survey", "survey", ", t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY survey_date DESC, event_id) AS n FROM survey WHERE survey_date <= TIMESTAMP '2024-01-15') SELECT id, event_id, validity FROM t WHERE n = 1 AND validity <> 0")
 def j10(spark, sf):
     last = asof.latest_before(rel.survey(spark, sf), ["id"], "survey_date", F.lit("2024-01-15").cast("timestamp_ntz"), "event_id")

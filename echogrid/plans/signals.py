@@ -7,7 +7,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from echogrid.operators import components, fit, lines, neighbours, stats
+from echogrid.functions import cplx
+from echogrid.operators import components, fit, footprint, lines, neighbours, stats
 from echogrid.plans import relations as rel
 from echogrid.plans.registry import SQL, query, r6
 from echogrid.plans.relations import with_relations
@@ -169,6 +170,16 @@ def g12(spark, sf):
     return p.select("row", *(F.round(x, 4).alias(x) for x in ("peak", "width", "pslr")))
 
 
+@query("g12_target_response")
+def g12_response(spark, sf):
+    """Chips around targets' strongest cells: place, phase, widths and side lobes along both axes."""
+    t = rel.target(spark, sf).select("id", (c("id") % 180 + 20).alias("row"), (c("id") * 7 % 10 + 11).cast("int").alias("col"))
+    z = rel.slc(spark, sf)
+    peaks = footprint.chip_peaks(t, z, 2, cplx.power(cplx.pair())).select("id", c("prow").alias("row"), c("pcol").alias("col"))
+    d = lines.target_response(footprint.chips(peaks, z, 8), 8)
+    return d.select("id", *(F.round(x, 4).alias(x) for x in d.columns if x != "id"))
+
+
 @query("g13_wavelength_doppler", "slc", ", p AS (SELECT CAST(floor(col / 4) AS BIGINT) AS bin, row, atan2(im, re) AS p FROM slc), m AS (SELECT bin, avg(p) AS p FROM p GROUP BY bin) SELECT count(*) AS n, round(regr_slope(p, bin), 8) + 0.0 AS slope FROM m")
 def g13(spark, sf):
     m = rel.slc(spark, sf).groupBy(F.floor(c("col") / 4).alias("bin")).agg(F.avg(F.atan2("im", "re")).alias("p"))
