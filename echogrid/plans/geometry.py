@@ -105,7 +105,13 @@ def j31(spark, sf):
     return geometry.ground_to_radar(cube, _orbit(spark, t)).select("id", "height", F.round("t", 5).alias("t"), F.round("r", 3).alias("r"))
 
 
-@query("j29_back_projection")
+_SUMMED = (
+    ", ce AS (SELECT id, id % 400 AS first, (id % 400) * 5.0 + 75 AS y, 10000.0 + (id % 20) * 300 AS z FROM target), pd AS (SELECT id, p.row AS k, sqrt(pow(6371000.0 - 7071000.0, 2) + pow(y - p.row * 5.0, 2) + z * z) AS d FROM ce JOIN (SELECT DISTINCT row FROM slc) p ON p.row BETWEEN first AND first + 30)"
+    ", ps AS (SELECT id, k, d * 4 * pi() / 0.24 AS a, (d - 700000.0) / 25.0 AS s FROM pd), pv AS (SELECT id, a, u.re * (1 - (s - floor(s))) + v.re * (s - floor(s)) AS re, u.im * (1 - (s - floor(s))) + v.im * (s - floor(s)) AS im FROM ps JOIN slc u ON u.row = k AND u.col = floor(s) JOIN slc v ON v.row = k AND v.col = floor(s) + 1)"
+)
+
+
+@query("j29_back_projection", "slc target", f"{_SUMMED} SELECT id, count(*) AS n, round(sum(re * cos(a) - im * sin(a)), 4) + 0.0 AS re, round(sum(re * sin(a) + im * cos(a)), 4) + 0.0 AS im FROM pv GROUP BY id")
 def j29(spark, sf):
     """Image lines as pulses along the track, targets as cells; each sums the pulses of its aperture."""
     from echogrid.operators.lines import to_lines
@@ -113,7 +119,7 @@ def j29(spark, sf):
     pulses = to_lines(rel.slc(spark, sf), ["row"]).select(F.lit(0).alias("scene"), c("row").alias("k"), F.lit(7071000.0).alias("px"), (c("row") * 5.0).alias("py"), F.lit(0.0).alias("pz"), F.lit(700000.0).alias("r0"), "re", "im")
     cells = rel.target(spark, sf).select(F.lit(0).alias("scene"), "id", (c("id") % 400).alias("first"), (c("id") % 400 + 30).alias("last"), F.lit(6371000.0).alias("x"), ((c("id") % 400) * 5.0 + 75).alias("y"), (10000.0 + (c("id") % 20) * 300).alias("z"))
     d = geometry.back_project(cells, pulses, ["scene"], 25.0, 0.24)
-    return d.select("id", "n", F.round("re", 4).alias("re"), F.round("im", 4).alias("im"))
+    return d.select("id", "n", (F.round("re", 4) + F.lit(0.0)).alias("re"), (F.round("im", 4) + F.lit(0.0)).alias("im"))
 
 
 @query("p48_aperture_duration", "target", f"{_T} SELECT id, round(0.24 / (2 * 7.0) * sqrt(pow(x - px, 2) + pow(z - pz, 2)) / (7500.0 * 6371000.0 / px), 6) AS seconds FROM o")

@@ -103,35 +103,59 @@ def _sums(df):
     return df.select("row", F.size("re").alias("n"), F.round(F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda a, x: a + x), 6).alias("energy"), r6(F.get("re", F.lit(0))).alias("first"))
 
 
-@query("g1_range_compression")
+def _dft(source: str, out: str, n: str = "32") -> str:
+    """Transform of the lines of ``source`` (row, col, re, im) to ``n`` frequencies ``k``, as sums of cosines."""
+    return f", {out} AS (SELECT row, k, any_value(n) AS n, sum(re * cos(a) + im * sin(a)) AS re, sum(im * cos(a) - re * sin(a)) AS im FROM (SELECT row, k, re, im, {n} AS n, 2 * pi() * k * col / {n} AS a FROM {source}, range(0, 256) t(k) WHERE k < {n}) GROUP BY row, k)"
+
+
+def _back(source: str, out: str, keep: str = "n") -> str:
+    """The first ``keep`` samples of the inverse transform."""
+    return f", {out} AS (SELECT row, col, sum(re * cos(a) - im * sin(a)) / any_value(n) AS re, sum(im * cos(a) + re * sin(a)) / any_value(n) AS im FROM (SELECT row, col, re, im, n, 2 * pi() * k * col / n AS a FROM {source}, range(0, 256) t(col) WHERE col < {keep}) GROUP BY row, col)"
+
+
+_FREQ = "(CASE WHEN k < (n + 1) // 2 THEN k ELSE k - n END) / CAST(n AS DOUBLE)"
+_TURN = lambda a: f"re * cos({a}) - im * sin({a}) AS re, im * cos({a}) + re * sin({a}) AS im"
+_LINE_SUMS = " SELECT row, CAST(count(*) AS INT) AS n, round(sum(re * re + im * im), 6) AS energy, round(arg_min(re, col), 6) + 0.0 AS first FROM o GROUP BY row"
+_G1 = (
+    ", ch AS (SELECT 0 AS row, j AS col, cos(pi() * 0.02 * pow(7 - j, 2)) AS re, -sin(pi() * 0.02 * pow(7 - j, 2)) AS im FROM range(0, 16) t(j))" + _dft("ch", "h", "64") + _dft("slc", "f", "64") + f", g AS (SELECT f.row, f.k, f.n, f.re * h.re - f.im * h.im AS re, f.im * h.re + f.re * h.im AS im FROM f JOIN (SELECT * FROM h WHERE NOT {_FREQ} BETWEEN 0.24 AND 0.26) h USING (k))" + _back("g", "o", "47")
+)
+_G2 = _dft("slc", "f") + f", g AS (SELECT * FROM f WHERE abs({_FREQ} - 0.125) <= 0.125)" + _back("g", "b") + f", o AS (SELECT row, col, {_TURN('-2 * pi() * 0.125 * col')} FROM b WHERE col % 2 = 0)"
+_G3 = ", tc AS (SELECT row // 256 * 64 + col AS row, row % 256 AS col, re, im FROM slc), tn AS (SELECT *, count(*) OVER (PARTITION BY row) AS m FROM tc)" + _dft("tn", "f", "m") + f", g AS (SELECT * FROM f WHERE abs({_FREQ}) <= 0.3)" + _back("g", "o")
+_G4 = _dft("slc", "f") + f", w AS (SELECT *, abs({_FREQ}) AS d FROM f), v AS (SELECT row, k, n, re, im, CASE WHEN d <= 0.15 THEN 1.0 WHEN d <= 0.2 THEN 0.5 * (1 + cos(pi() * (d - 0.15) / (0.2 - 0.15))) ELSE 0.0 END AS w FROM w), g AS (SELECT row, k, n, re * w AS re, im * w AS im FROM v)" + _back("g", "o")
+_WIDER = lambda f, g: f", {g} AS (SELECT row, CASE WHEN k < 16 THEN k ELSE k + 32 END AS k, 64 AS n, 2 * re AS re, 2 * im AS im FROM {f})"
+_G5 = _dft("slc", "f") + _WIDER("f", "g") + _back("g", "a") + _dft("sec", "f2") + _WIDER("f2", "g2") + _back("g2", "b") + ", o AS (SELECT a.row, a.col // 2 AS col, avg(a.re * b.re + a.im * b.im) AS re, avg(a.im * b.re - a.re * b.im) AS im FROM a JOIN b USING (row, col) GROUP BY a.row, a.col // 2)"
+_G6 = _dft("slc", "f") + f", g AS (SELECT row, k, n, {_TURN(f'-2 * pi() * {_FREQ} * (row % 7) * 0.25')} FROM f)" + _back("g", "o")
+
+
+@query("g1_range_compression", "slc", f"{_G1}{_LINE_SUMS}")
 def g1(spark, sf):
     return _sums(lines.compress(_lines(spark, sf), ["row"], CHIRP, "full", [(0.24, 0.26)]))
 
 
-@query("g2_split_spectrum")
+@query("g2_split_spectrum", "slc", f"{_G2}{_LINE_SUMS}")
 def g2(spark, sf):
     return _sums(lines.band(_lines(spark, sf), ["row"], 0.0, 0.25, step=2))
 
 
-@query("g3_azimuth_band")
+@query("g3_azimuth_band", "slc", f"{_G3}{_LINE_SUMS}")
 def g3(spark, sf):
     turned = rel.slc(spark, sf).select(c("col").alias("line"), (c("row") % 256).alias("col"), F.floor(c("row") / 256).alias("block"), "re", "im")
     columns = lines.to_lines(turned, ["block", "line"])
     return _sums(lines.band(columns, ["block", "line"], -0.3, 0.3, center=False).withColumn("row", c("block") * 64 + c("line")))
 
 
-@query("g4_band_pass")
+@query("g4_band_pass", "slc", f"{_G4}{_LINE_SUMS}")
 def g4(spark, sf):
     return _sums(lines.band(_lines(spark, sf), ["row"], -0.2, 0.2, center=False, taper=0.25))
 
 
-@query("g5_oversampled_product")
+@query("g5_oversampled_product", "slc sec", f"{_G5}{_LINE_SUMS}")
 def g5(spark, sf):
     other = lines.to_lines(rel.sec(spark, sf), ["row"])
     return _sums(lines.cross_multiply(_lines(spark, sf), other, ["row"]))
 
 
-@query("g6_line_shift")
+@query("g6_line_shift", "slc", f"{_G6}{_LINE_SUMS}")
 def g6(spark, sf):
     return _sums(lines.shift(_lines(spark, sf).withColumn("by", (c("row") % 7) * 0.25), ["row"], "by"))
 
