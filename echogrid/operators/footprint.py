@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +128,76 @@ def line_intervals(polygons: DataFrame) -> DataFrame:
     return e.groupBy("id", "row").agg(F.min(x).alias("start"), F.max(x).alias("stop"))
 
 
+def _edges(corners: str = "corners") -> Column:
+    """The edges of a polygon as structs of its corners ``a`` and ``b``."""
+    return F.arrays_zip(F.col(corners).alias("a"), F.concat(F.slice(corners, F.lit(2), F.size(corners) - 1), F.slice(corners, 1, 1)).alias("b"))
+
+
+def polygon_intervals(polygons: DataFrame) -> DataFrame:
+    """``id, row, part, start, stop``: where a polygon of any shape (``id, corners``) lies on each line, in order along it.
+
+    A line is crossed by the edges that begin on it or before and end beyond it; crossings in order, taken in twos, are its
+    parts. So a concave polygon has several on a line, and a line through a corner is counted once.
+    """
+    e = polygons.select("id", F.inline(_edges()))
+    lo, hi = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
+    e = e.where(F.ceil(lo) < F.ceil(hi)).withColumn("row", F.explode(F.sequence(F.ceil(lo), F.ceil(hi) - 1)))
+    x = F.col("a.x") + (F.col("b.x") - F.col("a.x")) * (F.col("row") - F.col("a.y")) / (F.col("b.y") - F.col("a.y"))
+    g = e.groupBy("id", "row").agg(F.array_sort(F.collect_list(x)).alias("_x"))
+    at = lambda k: F.get("_x", k)
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size("_x") / 2).cast("int") - 1), lambda k: F.struct(k.alias("part"), at(2 * k).alias("start"), at(2 * k + 1).alias("stop")))
+    return g.select("id", "row", F.inline(parts))
+
+
+def within(points: DataFrame, polygons: DataFrame, tile: float, buffer: float = 0.0) -> DataFrame:
+    """``id, polygon, inside``: points ``id, y, x`` in polygons (``polygon, corners``) or within ``buffer`` of their edges, and which it is.
+
+    Polygons are dealt to the square tiles that their bounds and the buffer touch, points to their own; the two meet by tile, and a
+    polygon's edges are gone through as an array.
+    """
+    side = lambda k: F.transform("corners", lambda p: p[k])
+    reach = lambda k: F.explode(F.sequence(F.floor((F.array_min(side(k)) - buffer) / tile), F.floor((F.array_max(side(k)) + buffer) / tile)))
+    a = polygons.withColumn("_ty", reach("y")).withColumn("_tx", reach("x")).withColumn("_e", _edges())
+    b = points.withColumns({"_ty": F.floor(F.col("y") / tile), "_tx": F.floor(F.col("x") / tile)})
+    y, x = F.col("y"), F.col("x")
+
+    def crossed(e: Column) -> Column:
+        (y1, x1), (y2, x2) = ((e[k]["y"], e[k]["x"]) for k in "ab")
+        return F.when(((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1), 1).otherwise(0)
+
+    def near(e: Column) -> Column:
+        (y1, x1), (y2, x2) = ((e[k]["y"], e[k]["x"]) for k in "ab")
+        size = (y2 - y1) ** 2 + (x2 - x1) ** 2
+        u = F.greatest(F.least(F.coalesce(((y - y1) * (y2 - y1) + (x - x1) * (x2 - x1)) / F.nullif(size, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        return (y - y1 - u * (y2 - y1)) ** 2 + (x - x1 - u * (x2 - x1)) ** 2
+
+    d = b.join(a, ["_ty", "_tx"]).withColumn("inside", F.aggregate(F.transform("_e", crossed), F.lit(0), lambda s, k: s + k) % 2 == 1)
+    kept = F.col("inside") if buffer <= 0 else F.col("inside") | (F.array_min(F.transform("_e", near)) <= buffer * buffer)
+    return d.where(kept).select("id", "polygon", "inside")
+
+
+def map_blocks(cells: DataFrame, function, rows: int, cols: int, halo: int = 0, column: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
+    """A user's function of a block, an array of so many rows and columns with ``halo`` cells around it, over an image of any size.
+
+    ``function(block)`` takes and returns a matrix of one shape, NaN where there is no cell; only the block's own cells are kept
+    of what it returns. A group is one block, of fixed size.
+    """
+    at = lambda k, n: F.explode(F.sequence(F.floor((F.col(k) - halo) / n), F.floor((F.col(k) + halo) / n)))
+    d = cells.select(*keys, "row", "col", F.col(column).cast("double").alias("v")).withColumn("_y", at("row", rows)).withColumn("_x", at("col", cols))
+    kinds = ", ".join(f"`{k}` {t}" for k, t in cells.dtypes if k in keys)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(g["_y"].iloc[0]) * rows - halo, int(g["_x"].iloc[0]) * cols - halo
+        block = np.full((rows + 2 * halo, cols + 2 * halo), np.nan)
+        y, x = g["row"].to_numpy(int) - y0, g["col"].to_numpy(int) - x0
+        block[y, x] = g["v"]
+        own = (y >= halo) & (y < rows + halo) & (x >= halo) & (x < cols + halo)
+        out = np.asarray(function(block), float)[y[own], x[own]]
+        return g.loc[own, [*keys, "row", "col"]].assign(**{column: out})
+
+    return d.groupBy(*keys, "_y", "_x").applyInPandas(run, f"{kinds + ', ' if kinds else ''}row long, col long, `{column}` double")
+
+
 def apply(cells: DataFrame, function, column: str = "v") -> DataFrame:
     """A user's function of a column, over all cells: a column function first, else a pandas UDF."""
     return cells.withColumn(column, function(F.col(column)))

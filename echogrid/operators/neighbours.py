@@ -236,3 +236,36 @@ def quadratic_top(value) -> tuple[Column, Column, Column]:
     dy, dx = (mixed * bx - 2 * bxx * by) / bend, (mixed * by - 2 * byy * bx) / bend
     top = middle + (by * dy + bx * dx) / 2
     return tuple(F.when(good, v) for v in (dy, dx, top))
+
+
+def masked_phase(cells: DataFrame, x: str, masked: Column | None = None, coherence: Column | None = None, least: float = 0.0, deviations: float | None = None, reach: int = 1, fill: str = "zero", keys: Keys = ()) -> DataFrame:
+    """``cells`` with x as it goes to an unwrapper, and ``valid``: what a mask, a low coherence or the neighbours rule out is filled.
+
+    A cell is ruled out by ``masked``, by a ``coherence`` below ``least``, or where it is more than ``deviations`` median absolute
+    deviations from the median around it; no value is ruled out too. ``fill``: with "zero", or "mean", the mean of the
+    valid cells around (0 where there is none).
+    """
+    d = cells.withColumn("_k", F.coalesce(masked, F.lit(False)) if masked is not None else F.lit(False))
+    if coherence is not None:
+        d = d.withColumn("_k", F.col("_k") | F.coalesce(coherence < least, F.lit(True)))
+    if deviations is not None:
+        d = deviation(d, x, reach, reach, keys)
+        d = d.withColumn("_k", F.col("_k") | F.coalesce(F.abs(F.col(x) - F.col("median")) > deviations * F.col("mad"), F.lit(False))).drop("median", "mad")
+    d = d.withColumn("valid", ~F.col("_k") & F.col(x).isNotNull()).withColumn(x, F.when(F.col("valid"), F.col(x))).drop("_k")
+    if fill == "mean":
+        d = fill_mean(d, x, reach, reach, keys=keys)
+    return d.withColumn(x, F.coalesce(x, F.lit(0.0)))
+
+
+def culled(cells: DataFrame, x: str, snr: Column | None = None, least: float = 0.0, variance: Column | None = None, most: float = 0.0, median_off: float | None = None, reach: int = 1, keys: Keys = ()) -> DataFrame:
+    """``cells`` with x null where its signal is too weak, its variance too great, or it is too far from the median around it."""
+    d = cells if median_off is None else median(cells, x, reach, reach, "_m", keys)
+    bad = F.lit(False)
+    if snr is not None:
+        bad = bad | F.coalesce(snr < least, F.lit(True))
+    if variance is not None:
+        bad = bad | F.coalesce(variance > most, F.lit(True))
+    if median_off is not None:
+        bad = bad | (F.abs(F.col(x) - F.col("_m")) > median_off)
+    return d.withColumn(x, F.when(~F.coalesce(bad, F.lit(True)), F.col(x))).drop("_m")
+

@@ -228,6 +228,23 @@ def j18_exponential(spark, sf):
     return grid.fill_by_distance(_big(spark, sf), "v", 4, decay=0.3).select("row", "col", r6(c("v")).alias("v"))
 
 
+_JUDGED = f", h AS (SELECT row, col, v FROM img){_N3}, m AS (SELECT row, col, median(w) AS m FROM n GROUP BY row, col), d AS (SELECT row, col, any_value(m) AS m, median(abs(w - m)) AS mad FROM n JOIN m USING (row, col) GROUP BY row, col)"
+
+
+@query("f13_masked_phase", "img", f"{_JUDGED}, k AS (SELECT row, col, CASE WHEN (row + col) % 17 = 0 OR abs(sin(row * 0.3 + col)) < 0.1 OR abs(v - m) > 2.5 * mad THEN NULL ELSE v END AS v FROM h JOIN d USING (row, col)), f AS (SELECT a.row, a.col, any_value(a.v) IS NOT NULL AS valid, coalesce(any_value(a.v), avg(b.v), 0) AS v FROM k a JOIN range(-1, 2) i(i) ON TRUE JOIN range(-1, 2) j(j) ON TRUE JOIN k b ON b.row = a.row + i AND b.col = a.col + j GROUP BY a.row, a.col) SELECT row, col, valid, round(v, 6) + 0.0 AS v FROM f")
+def f13_masked(spark, sf):
+    """Phases ruled out by a mask, by coherence and by their neighbours, filled by the mean of the valid cells around."""
+    d = neighbours.masked_phase(rel.img(spark, sf), "v", (c("row") + c("col")) % 17 == 0, F.abs(F.sin(c("row") * 0.3 + c("col"))), 0.1, 2.5, fill="mean")
+    return d.select("row", "col", "valid", r6(c("v")).alias("v"))
+
+
+@query("f10_culling_modes", "img", f"{_JUDGED} SELECT row, col, round(CASE WHEN abs(sin(row * 0.7 + col)) >= 0.2 AND abs(cos(row * 0.2 - col)) <= 0.9 AND abs(v - m) <= 0.15 THEN v END, 6) + 0.0 AS v FROM h JOIN d USING (row, col)")
+def f10_modes(spark, sf):
+    """Offsets culled by signal, by variance and by the median around them."""
+    d = neighbours.culled(rel.img(spark, sf), "v", F.abs(F.sin(c("row") * 0.7 + c("col"))), 0.2, F.abs(F.cos(c("row") * 0.2 - c("col"))), 0.9, 0.15)
+    return d.select("row", "col", r6(c("v")).alias("v"))
+
+
 @query("f13_phase_preprocessing", "slc", f", t AS (SELECT row, col, atan2(im, re) AS p, abs(re) >= 0.02 AS ok FROM slc) SELECT row, col, round(CASE WHEN ok THEN cos(p) ELSE 0.0 END, 6) + 0.0 AS re, round(CASE WHEN ok THEN sin(p) ELSE 0.0 END, 6) + 0.0 AS im FROM t")
 def f13(spark, sf):
     ok, p = F.abs("re") >= 0.02, F.atan2("im", "re")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -175,6 +176,35 @@ def a50(spark, sf):
     return footprint.line_intervals(p).select("id", "row", r6(c("start")).alias("start"), r6(c("stop")).alias("stop"))
 
 
+_ARROW = [(0.0, 0.0), (7.3, 4.0), (2.1, 3.6), (6.0, 9.5), (-1.5, 6.0)]
+
+
+@query("a50_concave_intervals", "target", f", p AS (SELECT id, id % 50 + 0.5 AS y, id % 7 * 3.0 AS x FROM target), q AS (SELECT id, [{', '.join(f'y + {a}' for a, _ in [*_ARROW, _ARROW[0]])}] AS ys, [{', '.join(f'x + {b}' for _, b in [*_ARROW, _ARROW[0]])}] AS xs FROM p), e AS (SELECT id, ys[i] AS y1, xs[i] AS x1, ys[i + 1] AS y2, xs[i + 1] AS x2 FROM q, range(1, 6) t(i)), l AS (SELECT *, unnest(generate_series(CAST(ceil(least(y1, y2)) AS BIGINT), CAST(ceil(greatest(y1, y2)) AS BIGINT) - 1)) AS row FROM e), k AS (SELECT id, row, x1 + (x2 - x1) * (row - y1) / (y2 - y1) AS x, row_number() OVER (PARTITION BY id, row ORDER BY x1 + (x2 - x1) * (row - y1) / (y2 - y1)) - 1 AS n FROM l) SELECT id, row, CAST(n // 2 AS INT) AS part, round(min(x), 6) + 0.0 AS start, round(max(x), 6) + 0.0 AS stop FROM k GROUP BY id, row, n // 2")
+def a50_concave(spark, sf):
+    """A concave polygon's intervals on each line, two where it is notched."""
+    y, x = c("id") % 50 + 0.5, c("id") % 7 * 3.0
+    p = rel.target(spark, sf).select("id", F.array(*(F.struct((y + a).alias("y"), (x + b).alias("x")) for a, b in _ARROW)).alias("corners"))
+    return footprint.polygon_intervals(p).select("id", "row", "part", r6(c("start")).alias("start"), r6(c("stop")).alias("stop"))
+
+
+_FIELDS = f", fd AS (SELECT s_suppkey AS polygon, CAST((s_suppkey * 29) % 120 - 60 AS DOUBLE) AS y, CAST((s_suppkey * 83) % 300 - 150 AS DOUBLE) AS x FROM supplier), fe AS (SELECT polygon, [{', '.join(f'y + {3 * a}' for a, _ in [*_ARROW, _ARROW[0]])}] AS ys, [{', '.join(f'x + {3 * b}' for _, b in [*_ARROW, _ARROW[0]])}] AS xs FROM fd), e AS (SELECT polygon, ys[i] AS y1, xs[i] AS x1, ys[i + 1] AS y2, xs[i + 1] AS x2 FROM fe, range(1, 6) t(i))"
+
+
+@query("j23_polygons_with_buffer", "target", f"{_FIELDS}, h AS (SELECT id, polygon, sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1 AS inside, min(pow(lat - y1 - u * (y2 - y1), 2) + pow(lon - x1 - u * (x2 - x1), 2)) AS d FROM (SELECT *, greatest(least(((lat - y1) * (y2 - y1) + (lon - x1) * (x2 - x1)) / (pow(y2 - y1, 2) + pow(x2 - x1, 2)), 1), 0) AS u FROM target, e) GROUP BY id, polygon) SELECT id, polygon, inside FROM h WHERE inside OR d <= 4.0")
+def j23_buffer(spark, sf):
+    """Targets within a table of concave polygons, or within two degrees of their edges."""
+    y, x = ((c("s_suppkey") * 29) % 120 - 60).cast("double"), ((c("s_suppkey") * 83) % 300 - 150).cast("double")
+    p = rel.read(spark, sf, "supplier").select(c("s_suppkey").alias("polygon"), F.array(*(F.struct((y + 3 * a).alias("y"), (x + 3 * b).alias("x")) for a, b in _ARROW)).alias("corners"))
+    return footprint.within(rel.target(spark, sf).select("id", c("lat").alias("y"), c("lon").alias("x")), p, 10.0, 2.0)
+
+
+@query("d1_block_function", "img", "SELECT row, col, round(v - avg(v) OVER (PARTITION BY row // 16, col // 16), 6) + 0.0 AS v FROM img")
+def d1_blocks(spark, sf):
+    """A function of whole blocks, here their departure from the block's mean."""
+    d = footprint.map_blocks(rel.img(spark, sf), lambda b: b - np.nanmean(b), 16, 16)
+    return d.select("row", c("col").cast("int").alias("col"), r6(c("v")).alias("v"))
+
+
 @query("a51_near_far_incidence", "channel", ", t AS (SELECT scene, 7100000.0 AS p, 6371000.0 AS g, 800000.0 + 1000 * width AS s FROM channel), a AS (SELECT scene, acos((p * p - g * g - s * s) / (2 * g * s)) AS a FROM t) SELECT scene, round(min(a), 6) AS near, round(max(a), 6) AS far FROM a GROUP BY scene")
 def a51(spark, sf):
     a = radar.incidence(F.lit(7100000.0), F.lit(6371000.0), 800000.0 + 1000 * c("width"))
@@ -407,6 +437,25 @@ _L7 = (
 )
 
 
+_FILL = lambda t, o, u: f", {u} AS (SELECT d.row, d.col, coalesce(any_value(d.v), avg(o.v)) AS v FROM {t} d, range(-1, 2) i(i), range(-1, 2) j(j) LEFT JOIN {o} o ON o.row = d.row + i AND o.col = d.col + j GROUP BY d.row, d.col)"
+_L7B = (
+    f", h AS (SELECT row, col, CASE WHEN row % 20 >= 12 AND col % 16 >= 9 THEN NULL ELSE v END AS v FROM img), g AS (SELECT row, col, CASE WHEN row % 40 BETWEEN 13 AND 18 AND col % 32 >= 20 THEN NULL ELSE v * 0.5 END AS v FROM img){_N('h', 'm0')}, c0 AS (SELECT row, col, CASE WHEN abs(v - mid) <= 0.15 THEN v END AS v FROM m0){_N('g', 'm1')}, c1 AS (SELECT row, col, CASE WHEN abs(v - mid) <= 0.15 THEN v END AS v FROM m1)"
+    + _FILL("c0", "c1", "f0") + "".join(_FILL(f"f{k}", f"f{k}", f"f{k + 1}") for k in range(8))
+    + f", s1 AS (SELECT row, col, {_PASS('v', 'w')} AS v FROM f8 WINDOW w AS (PARTITION BY row ORDER BY col)), s2 AS (SELECT row, col, {_PASS('v', 'w')} AS v FROM s1 WINDOW w AS (PARTITION BY col ORDER BY row)) SELECT row, col, round(v, 5) + 0.0 AS v FROM s2"
+)
+
+
+@query("l7_blended_offsets", "img", _L7B)
+def l7_blended(spark, sf):
+    """Layers culled by their local medians, the finer one's holes filled from the coarser one and then inward, and smoothed."""
+    fine = rel.img(spark, sf).withColumn("v", F.when(~((c("row") % 20 >= 12) & (c("col") % 16 >= 9)), c("v")))
+    coarse = rel.img(spark, sf).select("row", "col", F.when(~((c("row") % 40).between(13, 18) & (c("col") % 32 >= 20)), c("v") * 0.5).alias("w"))
+    both = neighbours.culled(fine, "v", median_off=0.15).join(neighbours.culled(coarse, "w", median_off=0.15), ["row", "col"])
+    k = [0.25, 0.5, 0.25]
+    d = neighbours.fill_pyramid(both, "v", ["w"], 1, 1)
+    return neighbours.smooth(d, ["v"], k, k).select("row", "col", (F.round("v", 5) + F.lit(0.0)).alias("v"))
+
+
 @query("l7_offset_field", "img", _L7)
 def l7(spark, sf):
     """Offsets culled by their local median, small holes filled by neighbours' means, larger ones by the nearest, then smoothed."""
