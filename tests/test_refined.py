@@ -264,3 +264,37 @@ def test_pyramid_fill_directly(spark):
     while np.isnan(v).any():
         v = np.where(np.isnan(v), mean(v), v)
     assert np.abs(got - v).max() < 1e-9
+
+
+def test_block_functions_see_their_halo(spark):
+    """A three by three mean over blocks is that of the whole image, whatever the blocks are."""
+    z = np.random.default_rng(2).random((23, 18))
+
+    def mean3(b):
+        p = np.pad(b, 1, constant_values=np.nan)
+        return np.nanmean(np.lib.stride_tricks.sliding_window_view(p, (3, 3)), axis=(2, 3))
+
+    for rows, cols in ((5, 7), (64, 64)):
+        got = np.full(z.shape, np.nan)
+        for r in footprint.map_blocks(cells_of(spark, z), mean3, rows, cols, 1).collect():
+            got[r.row, r.col] = r.v
+        assert np.abs(got - mean3(z)).max() < 1e-12
+
+
+def test_points_in_a_table_of_polygons(spark):
+    polygons = quads(21, 8)
+    points = np.random.default_rng(6).uniform(-6, 12, (300, 2))
+    p = frame(spark, [(k, [{"y": a, "x": b} for a, b in q]) for k, q in enumerate(polygons)], "polygon long, corners array<struct<y: double, x: double>>")
+    got = {(r.id, r.polygon): r.inside for r in footprint.within(frame(spark, [(k, float(a), float(b)) for k, (a, b) in enumerate(points)], "id long, y double, x double"), p, 2.5, 0.5).collect()}
+    for k, (y, x) in enumerate(points):
+        for j, q in enumerate(polygons):
+            edges = list(zip(q, [*q[1:], q[0]], strict=True))
+            inside = sum(((a[0] > y) != (b[0] > y)) and x < (b[1] - a[1]) * (y - a[0]) / (b[0] - a[0]) + a[1] for a, b in edges) % 2 == 1
+            far = []
+            for a, b in edges:
+                d = np.subtract(b, a)
+                u = min(max(float(np.dot((y - a[0], x - a[1]), d) / max(np.dot(d, d), 1e-300)), 0), 1)
+                far.append(math.hypot(y - a[0] - u * d[0], x - a[1] - u * d[1]))
+            assert ((k, j) in got) == (inside or min(far) <= 0.5)
+            if (k, j) in got:
+                assert got[k, j] == inside
