@@ -67,5 +67,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_chat_pairs, op2_token_planes, op3_simhash, op4_license_scan, op5_zstd_quality, op6_imatch, op7_piece_counts, op8_toxicity, op9_unigram, op10_decontaminate, op11_set_relations, op12_source_divergence, op13_merkle_manifest)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-#: No SQL for 2, 3, 5, 6, 7, 8, 9 and 11: their tests compare with brute force, round trips or held-out labels.
-SQL: dict[str, str] = {"op1_chat_pairs": chat_pairs.SQL, "op4_license_scan": license_scan.sql(), "op10_decontaminate": suffix_decontam.SQL, "op12_source_divergence": source_divergence.SQL, "op13_merkle_manifest": merkle_manifest.SQL}
+#: No SQL for 2, 3, 5, 6, 7, 8 and 9: their tests compare with brute force, round trips or held-out labels.
+SQL: dict[str, str] = {"op1_chat_pairs": chat_pairs.SQL, "op4_license_scan": license_scan.sql(), "op10_decontaminate": suffix_decontam.SQL, "op11_set_relations": set_relations.SQL, "op12_source_divergence": source_divergence.SQL, "op13_merkle_manifest": merkle_manifest.SQL}

@@ -344,3 +344,17 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     shared = named.join(least.where("rows > 1"), "root").select("node", "component_id", F.lit(True).alias("grouped"))
     found = own.join(shared, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("grouped") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return found
+
+
+#: The same by counting what every two documents share, for the oracle; for tables of some thousand rows.
+SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(CAST(text AS VARCHAR), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT k, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS h FROM d),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.k < b.k GROUP BY a.k, b.k),
+l AS (SELECT a, b FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT k, k AS o FROM n UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.o),
+g AS (SELECT r.k, min(d.doc_id) AS least FROM r JOIN d ON d.k = r.o GROUP BY r.k)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN n > 0 THEN least ELSE doc_id END AS component_id FROM d LEFT JOIN n USING (k) LEFT JOIN g USING (k)
+"""

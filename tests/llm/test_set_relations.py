@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -80,6 +81,15 @@ def test_like_all_pairs(spark, monkeypatch, bucket, sets):
     assert len({r[2] for r in found}) < len({t for _, t in rows}) - 10
 
 
+@pytest.mark.parametrize("rows", [[], ODD, chains(3, 4, 20)])
+def test_sql_links_what_all_pairs_link(rows):
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    if rows:
+        db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(db.execute(set_relations.SQL).fetchall(), key=repr) == direct(rows)
+
+
 @pytest.mark.parametrize("seed", range(25))
 def test_search_links_what_all_pairs_link(monkeypatch, seed):
     """The search alone, with short blocks of its lists, against all pairs; answers are taken from similar sets."""
