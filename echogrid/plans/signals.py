@@ -127,6 +127,18 @@ _G5 = _dft("slc", "f") + _WIDER("f", "g") + _back("g", "a") + _dft("sec", "f2")
 _G6 = _dft("slc", "f") + f", g AS (SELECT row, k, n, {_TURN(f'-2 * pi() * {_FREQ} * (row % 7) * 0.25')} FROM f)" + _back("g", "o")
 
 
+_G11 = _dft("slc", "f") + ", pw AS (SELECT *, log10(re * re + im * im + 1e-30) AS p FROM f), md AS (SELECT row, median(p) AS m FROM pw GROUP BY row), dv AS (SELECT row, any_value(m) AS m, 1.4826 * median(abs(p - m)) + 1e-30 AS sd FROM pw JOIN md USING (row) GROUP BY row), g AS (SELECT pw.* FROM pw JOIN dv USING (row) WHERE (p - m) / sd <= 3.0)" + _back("g", "o")
+_G12 = (
+    _dft("slc", "f") + ", g AS (SELECT row, CASE WHEN k < 16 THEN k ELSE k + 224 END AS k, 256 AS n, 8 * re AS re, 8 * im AS im FROM f)" + _back("g", "o") + ", q AS (SELECT row, col, re * re + im * im AS q FROM o), b AS (SELECT *, lag(q) OVER w AS b, lead(q) OVER w AS a FROM q WINDOW w AS (PARTITION BY row ORDER BY col)), t AS (SELECT row, arg_max(col, q) AS m, max(q) AS top FROM b GROUP BY row)"
+    ", e AS (SELECT row, any_value(m) AS m, any_value(top) AS top, max(CASE WHEN col <= m AND q >= top / 2 AND b < top / 2 THEN col - (q - top / 2) / (q - b) END) AS l, min(CASE WHEN col >= m AND q >= top / 2 AND a < top / 2 THEN col + (q - top / 2) / (q - a) END) AS r, coalesce(max(CASE WHEN col <= m AND b >= q THEN col END), 0) AS i, coalesce(min(CASE WHEN col >= m AND a >= q THEN col END), 255) AS j FROM b JOIN t USING (row) GROUP BY row)"
+    ", sl AS (SELECT row, max(q) AS side FROM q JOIN e USING (row) WHERE col < i OR col > j GROUP BY row)"
+)
+_G7 = (
+    ", mv AS (SELECT row + 2 AS row, col - 1 AS col, v FROM img), wn AS (SELECT CAST(floor(a.row / 16) AS BIGINT) AS wy, CAST(floor(a.col / 16) AS BIGINT) AS wx, dy, dx, count(*) AS n, (avg(a.v * b.v) - avg(a.v) * avg(b.v)) / sqrt(var_pop(a.v) * var_pop(b.v)) AS c FROM img a, range(-3, 4) s(dy), range(-3, 4) t(dx), mv b WHERE b.row = a.row + dy AND b.col = a.col + dx GROUP BY 1, 2, 3, 4)"
+    ", wh AS (SELECT wy, wx FROM wn WHERE n = 256 GROUP BY wy, wx HAVING count(*) = 49), rk AS (SELECT *, row_number() OVER (PARTITION BY wy, wx ORDER BY c DESC, dy, dx) AS k, sum(c * c) OVER (PARTITION BY wy, wx) AS every FROM wn JOIN wh USING (wy, wx))"
+)
+
+
 @query("g1_range_compression", "slc", f"{_G1}{_LINE_SUMS}")
 def g1(spark, sf):
     return _sums(lines.compress(_lines(spark, sf), ["row"], CHIRP, "full", [(0.24, 0.26)]))
@@ -160,7 +172,7 @@ def g6(spark, sf):
     return _sums(lines.shift(_lines(spark, sf).withColumn("by", (c("row") % 7) * 0.25), ["row"], "by"))
 
 
-@query("g7_offset_tracking")
+@query("g7_offset_tracking", "img", f"{_G7} SELECT wy, wx, dy, dx, round(c * c / ((every - c * c) / 48), 4) AS snr FROM rk WHERE k = 1")
 def g7(spark, sf):
     a = rel.img(spark, sf)
     moved = a.select((c("row") + 2).alias("row"), (c("col") - 1).alias("col"), "v")
@@ -183,12 +195,12 @@ def g10(spark, sf):
     return _sums(lines.remove_loud(_lines(spark, sf), 16, 3, 4.0))
 
 
-@query("g11_frequency_nulling")
+@query("g11_frequency_nulling", "slc", f"{_G11}{_LINE_SUMS}")
 def g11(spark, sf):
     return _sums(lines.null_tones(_lines(spark, sf), ["row"], 3.0))
 
 
-@query("g12_point_target")
+@query("g12_point_target", "slc", f"{_G12} SELECT row, round(m / 8.0, 4) AS peak, round((coalesce(r, 255.0) - coalesce(l, 0.0)) / 8, 4) AS width, round(10 * log10(side / top), 4) AS pslr FROM e LEFT JOIN sl USING (row)")
 def g12(spark, sf):
     p = lines.point_target(_lines(spark, sf), ["row"])
     return p.select("row", *(F.round(x, 4).alias(x) for x in ("peak", "width", "pslr")))
