@@ -209,6 +209,22 @@ def repair_turns(cells: DataFrame, x: str, rows: int, cols: int, rounds: int, ke
     return owned(d)
 
 
+def repair_turns_smoothed(cells: DataFrame, x: str, rows: list[float], cols: list[float], rounds: int, keys: Keys = ()) -> DataFrame:
+    """Whole turns by which cells miss the smoothed surface around them are taken off, in rounds.
+
+    Cells of zero, and null ones, are holes: they stay as they are and do not count in the
+    surface, whose kernel is renewed by what it meets. All rounds are within one shuffle: the halo holds them.
+    """
+    a, b = along(keys), across(keys)
+    d = blocked(cells.withColumn("_x", F.nullif(F.col(x), F.lit(0.0))), len(rows) // 2 * rounds, keys)
+    for _ in range(rounds):
+        d = d.withColumns({"_n": F.coalesce("_x", F.lit(0.0)), "_d": F.col("_x").isNotNull().cast("double")})
+        d = d.withColumns({f"{k}a": _pass(k, cols, a) for k in ("_n", "_d")})
+        d = d.withColumns({f"{k}b": _pass(f"{k}a", rows, b) for k in ("_n", "_d")})
+        d = d.withColumn("_x", F.col("_x") - TAU * F.rint((F.col("_x") - F.col("_nb") / F.nullif(F.col("_db"), F.lit(0.0))) / TAU))
+    return owned(d).withColumn(x, F.coalesce("_x", x)).drop("_x", *(f"{k}{s}" for k in ("_n", "_d") for s in ("", "a", "b")))
+
+
 def layover_shadow(cells: DataFrame, keys: list[str], order: str, angle: str, reach: str, slack: float = 0.0) -> DataFrame:
     """``code``: 1 where the angle stays below the greatest before it, 2 where the reach does not grow from either end; or-ed."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -102,6 +102,18 @@ def w13(spark, sf):
     return neighbours.repair_turns(x, "v", 1, 1, 1).select("row", "col", r6(c("v")).alias("v"))
 
 
+_TURNED = f", h AS (SELECT row, col, CASE WHEN (row + col * 3) % 13 = 0 THEN 0.0 ELSE v + {_PI2} * CAST(row % 9 IN (2, 3) AND col % 11 IN (4, 5) AS INT) END AS v FROM img), t0 AS (SELECT row, col, nullif(v, 0) AS x FROM h)"
+_TURN = lambda k: f", n{k} AS (SELECT row, col, x, {_sum('coalesce(x, 0)', K5, 'col')} AS n, {_sum('CAST(x IS NOT NULL AS INT)', K5, 'col')} AS d FROM t{k}), s{k} AS (SELECT row, col, x, {_sum('n', K5, 'row')} AS n, {_sum('d', K5, 'row')} AS d FROM n{k}), t{k + 1} AS (SELECT row, col, x - {_PI2} * round_even((x - n / nullif(d, 0)) / {_PI2}, 0) AS x FROM s{k})"
+
+
+@query("w13_repair_smoothed", "img", f"{_TURNED}{_TURN(0)}{_TURN(1)} SELECT row, col, round(coalesce(x, v), 6) + 0.0 AS v FROM t2 JOIN h USING (row, col)")
+def w13_smoothed(spark, sf):
+    """Patches that are a turn off, brought back to the smoothed surface in two rounds; holes stay."""
+    turned = c("v") + _PI2 * ((c("row") % 9).isin(2, 3) & (c("col") % 11).isin(4, 5)).cast("int")
+    x = rel.img(spark, sf).withColumn("v", F.when((c("row") + c("col") * 3) % 13 == 0, 0.0).otherwise(turned))
+    return neighbours.repair_turns_smoothed(x, "v", K5, K5, 2).select("row", "col", r6(c("v")).alias("v"))
+
+
 @query("w14_residues", "slc", f", p AS (SELECT row, col, atan2(im, re) AS p FROM slc), t AS (SELECT a.row, a.col, a.p AS p00, r.p AS p01, b.p AS p10, d.p AS p11 FROM p a LEFT JOIN p r ON r.row = a.row AND r.col = a.col + 1 LEFT JOIN p b ON b.row = a.row + 1 AND b.col = a.col LEFT JOIN p d ON d.row = a.row + 1 AND d.col = a.col + 1) SELECT row, col, CAST(coalesce(round((p10 - p00) / {_PI2}) + round((p11 - p10) / {_PI2}) + round((p01 - p11) / {_PI2}) + round((p00 - p01) / {_PI2}), 0) AS INT) AS charge FROM t")
 def w14(spark, sf):
     p = rel.slc(spark, sf).select("row", "col", F.atan2("im", "re").alias("p"))

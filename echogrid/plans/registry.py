@@ -35,6 +35,6 @@ def r6(x: Column) -> Column:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from echogrid.plans import cells, estimates, geometry, mapping, neighbourhoods, products, series, signals  # noqa: F401
+    from echogrid.plans import blocks, cells, estimates, geometry, mapping, native, neighbourhoods, products, series, signals  # noqa: F401
 
 
