@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -91,24 +92,28 @@ def noise_by_eigenvalue(cells: DataFrame, width: int, blocks: int, r0: float, sp
     mine = F.array(F.when(own < last, own), F.when(F.col("n") >= count - F.col("interval"), last))
     d = d.withColumn("k", F.explode(F.array_compact(mine)))
     of = [*keys, "block"]
-    samples = cells.where(cplx.modulus(cplx.pair()) > ZERO).withColumn("block", block_of(F.col("col"), width, blocks))
-    rows = samples.groupBy(*of, "row").agg(F.collect_list("col").alias("at"), F.collect_list("re").alias("re"), F.collect_list("im").alias("im"))
+    # The line's place within its interval: the last one is counted from the block's end.
+    place = F.when(F.col("k") == last, F.col("n") - count + F.col("interval")).otherwise(F.col("n") - F.col("k") * F.col("interval"))
+    d = d.withColumn("i", place.cast("int"))
     size = width // blocks
-    j = d.join(rows, [*of, "row"], "left").withColumns({"_bins": _bins(width, blocks), "_first": F.col("block") * size})
+    samples = cells.where(cplx.modulus(cplx.pair()) > ZERO).withColumn("block", block_of(F.col("col"), width, blocks))
+    j = d.join(samples.select(*of, "row", (F.col("col") - F.col("block") * size).cast("int").alias("at"), "re", "im"), [*of, "row"])
+    # At most 100 lines of one block's bins, unless a longer interval is asked for.
     named = [*of, "k", "lines", "interval"]
-    kinds = dict(j.dtypes)
+    j = j.groupBy(*named).agg(F.collect_list(F.struct("i", "at", "re", "im")).alias("s")).select(*named, _bins(width, blocks).alias("bins"), "s.i", "s.at", "s.re", "s.im")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            power = np.full(len(p), np.nan)
+            for g, (n, bins, i, at, re, im) in enumerate(zip(*(p[x] for x in ("interval", "bins", "i", "at", "re", "im")), strict=True)):
+                z = np.zeros((n, bins), complex)
+                z[i, at] = re + 1j * im
+                values = np.linalg.eigvalsh(z @ z.conj().T / bins)
+                power[g] = np.median(values[:-1]) if median else values[0]
+            yield p[named].assign(power=power)
 
-    def run(_: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        bins, first = int(g["_bins"].iloc[0]), int(g["_first"].iloc[0])
-        z = np.zeros((len(g), bins), complex)
-        for i, (at, re, im) in enumerate(zip(g["at"], g["re"], g["im"], strict=True)):
-            if at is not None:
-                z[i, np.asarray(at) - first] = np.asarray(re) + 1j * np.asarray(im)
-        values = np.linalg.eigvalsh(z @ z.conj().T / bins)
-        power = np.median(values[:-1]) if median else values[0]
-        return g[named].head(1).assign(power=float(power))
-
-    each = j.groupBy(*of, "k").applyInPandas(run, ", ".join(f"`{n}` {kinds[n]}" for n in named) + ", power double")
+    kinds = dict(j.dtypes)
+    each = j.mapInPandas(run, ", ".join(f"`{n}` {kinds[n]}" for n in named) + ", power double")
     found = each.groupBy(*of, "lines", "interval").agg((F.median("power") * scale).alias("power"))
     counts = lines.groupBy(*of).agg(F.first("lines").alias("lines"))
     found = counts.join(found.drop("lines"), of, "left")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echogrid.operators import stats
+
 SCHEMA = "re array<double>, im array<double>"
 
 
@@ -80,6 +82,37 @@ def band(lines: DataFrame, keys: list[str], low: float, high: float, center: boo
     return map_lines(lines, keys, f)
 
 
+def common_band(lines: DataFrame, keys: list[str], middle: str, bandwidth: float, rate: float, taper: float = 0.0) -> DataFrame:
+    """The band of so many hertz around each line's own frequency in column ``middle``; ``rate``: samples a second.
+
+    ``taper``: share of the bandwidth over which a raised cosine falls, half of it within the band and half beyond.
+    Frequencies are those of the transform, without turns: a band over the edge is cut there.
+    """
+
+    def f(z: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+        d = np.abs(np.fft.fftfreq(z.shape[1], 1 / rate)[None, :] - rows[middle].to_numpy(float)[:, None])
+        first, last = bandwidth * (1 - taper) / 2, bandwidth * (1 + taper) / 2
+        slope = 0.5 * (1 + np.cos(np.pi * (d - first) / max(last - first, 1e-12)))
+        w = np.where(d <= first, 1.0, np.where(d <= last, slope, 0.0))
+        return np.fft.ifft(np.fft.fft(z, axis=1) * w, axis=1)
+
+    return map_lines(lines, keys, f)
+
+
+def azimuth_common_band(reference: DataFrame, secondary: DataFrame, bandwidth: float, rate: float, taper: float, block: int) -> DataFrame:
+    """``image, block, line, re, im``: the columns of two images (0 and 1; cells) in the band that both share.
+
+    The band lies around the mean of both images' Doppler frequencies in a column, each from the
+    products of neighbouring lines. Columns are transformed in blocks of so many lines.
+    """
+    both = reference.select(F.lit(0).alias("image"), "row", "col", "re", "im").unionByName(secondary.select(F.lit(1).alias("image"), "row", "col", "re", "im"))
+    doppler = stats.lag_doppler(both, ["image", "col"], rate, image=("image",))
+    middle = doppler.groupBy(F.col("col").alias("line")).agg(F.avg("doppler").alias("middle"))
+    turned = both.select("image", F.floor(F.col("row") / block).alias("block"), F.col("col").alias("line"), (F.col("row") - F.floor(F.col("row") / block) * block).alias("col"), "re", "im")
+    keys = ["image", "block", "line"]
+    return common_band(to_lines(turned, keys).join(middle, "line"), keys, "middle", bandwidth, rate, taper)
+
+
 def _upsampled(z: np.ndarray, k: int) -> np.ndarray:
     n = z.shape[1]
     s, out = np.fft.fft(z, axis=1), np.zeros((len(z), n * k), complex)

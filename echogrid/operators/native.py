@@ -57,7 +57,7 @@ def reskew(points: DataFrame, table: DataFrame, orbit: DataFrame, axes: tuple[fl
     at = points.withColumns({"y": (c("t") - t0) / dt, "x": (c("r") - r0) / dr})
     d = grid.interpolate(at, table, [key], "bilinear", "v", shape).withColumnRenamed("v", "doppler").drop("x", "y")
     ground = radar_to_ground(with_state(d, orbit, key), wavelength, dem)
-    own = {"t": "_t", "r": "_r"}
+    own = {"t": "_time", "r": "_range"}
     seen = geometry.ground_to_radar(ground.withColumnsRenamed(own).drop(*(f"{a}{k}" for a in "pv" for k in "xyz"), "lon", "lat"), orbit, key)
     return seen.withColumnsRenamed({"t": "t_zero", "r": "r_zero"}).withColumnsRenamed({v: k for k, v in own.items()}).drop("x", "y", "z")
 

@@ -156,6 +156,26 @@ def g3(spark, sf):
     return _sums(lines.band(columns, ["block", "line"], -0.3, 0.3, center=False).withColumn("row", c("block") * 64 + c("line")))
 
 
+_SHARED = (
+    ", im2 AS (SELECT 0 AS i, row, col, re, im FROM slc UNION ALL SELECT 1, row, col, re * cos(0.4 * row) - im * sin(0.4 * row), im * cos(0.4 * row) + re * sin(0.4 * row) FROM sec), nx AS (SELECT *, lead(re) OVER w AS nre, lead(im) OVER w AS nim FROM im2 WINDOW w AS (PARTITION BY i, col ORDER BY row))"
+    ", dp AS (SELECT i, col, atan2(sum(nim * re - nre * im), sum(nre * re + nim * im)) * 750 / pi() AS f FROM nx GROUP BY i, col), md AS (SELECT col AS line, avg(f) AS mid FROM dp GROUP BY col)"
+    ", tc AS (SELECT (CAST(floor(row / 256) AS BIGINT) * 2 + i) * 64 + col AS row, row - CAST(floor(row / 256) AS BIGINT) * 256 AS col, re, im FROM im2), tn AS (SELECT *, count(*) OVER (PARTITION BY row) AS filled, min(col) OVER (PARTITION BY row) AS low FROM tc), tl AS (SELECT row, col - low AS col, re, im, filled AS m FROM tn)"
+    + _dft("tl", "f", "m")
+    + f", d AS (SELECT f.*, abs({_FREQ} * 1500 - mid) AS d FROM f JOIN md ON md.line = ((f.row % 64) + 64) % 64), g AS (SELECT row, k, n, re * w AS re, im * w AS im FROM (SELECT *, CASE WHEN d <= 300 THEN 1 WHEN d <= 500 THEN 0.5 * (1 + cos(pi() * (d - 300) / 200)) ELSE 0 END AS w FROM d))"
+    + _back("g", "o")
+)
+
+
+@query("g3_common_band", "slc sec", f"{_SHARED}{_LINE_SUMS}")
+def g3_common(spark, sf):
+    """Both images' columns in the band around the mean of their Doppler frequencies, under a raised cosine."""
+    turn = F.cos(0.4 * c("row")), F.sin(0.4 * c("row"))
+    re, im = cplx.mul(cplx.pair(), turn)
+    second = rel.sec(spark, sf).select("row", "col", re.alias("re"), im.alias("im"))
+    d = lines.azimuth_common_band(rel.slc(spark, sf), second, 800.0, 1500.0, 0.25, 256)
+    return _sums(d.withColumn("row", (c("block") * 2 + c("image")) * 64 + c("line")))
+
+
 @query("g4_band_pass", "slc", f"{_G4}{_LINE_SUMS}")
 def g4(spark, sf):
     return _sums(lines.band(_lines(spark, sf), ["row"], -0.2, 0.2, center=False, taper=0.25))
