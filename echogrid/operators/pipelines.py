@@ -59,16 +59,29 @@ def dispersive_phase(reference: DataFrame, secondary: DataFrame, f: tuple[float,
     return neighbours.smooth_with_sigma(d, "phase", "sigma", kernel, kernel)
 
 
-def ionosphere(both: DataFrame, f: tuple[float, float, float], count: int, least: float, cells: int, kernel: list[float], tile: int = 128, halo: int = 8, reach: int = 8) -> DataFrame:
-    """``row, col, phase, sigma``: the ionospheric phase from the wrapped phases of two sub-bands (as ``sub_bands`` gives them).
+#: Band plans: the two phases, their dispersive and other part, the turns they miss, sigmas, and whether the second's turns are counted from the first's.
+PLANS = {
+    "low_high": (("low", "high"), radar.iono_low_high, radar.turns_low_high, radar.sigma_low_high, True),
+    "main_side": (("main", "side"), radar.iono_main_side, radar.turns_main_side, radar.sigma_main_side, True),
+    "main_diff_side": (("main", "diff"), radar.iono_main_diff_side, radar.turns_main_diff_side, radar.sigma_main_side, False),
+}
 
-    Cells coherent in both bands, in components of ``cells`` at least, are valid. Each component of each band is
+
+def ionosphere(both: DataFrame, f: tuple[float, ...], count: int, least: float, cells: int, kernel: list[float], tile: int = 128, halo: int = 8, reach: int = 8, plan: str = "low_high") -> DataFrame:
+    """``row, col, phase, sigma``: the ionospheric phase from two wrapped phases of an image pair and their coherences.
+
+    ``plan``: ``low_high`` takes ``low, high`` (as ``sub_bands`` gives them) of the carriers ``f = (f0, fl, fh)``;
+    ``main_side`` the carriers ``(f0, f1)`` of two bands on one
+    grid; ``main_diff_side`` the main one and main less side (with the side band's coherence).
+
+    Cells coherent in both, in components of ``cells`` at least, are valid. Each component of each phase is
     unwrapped in tiles of lines whose seams are mended by what they share, and components are brought
-    together over a spanning tree of bridges. Then the dispersive phase is formed, the turns that both bands (or their
+    together over a spanning tree of bridges. Then the dispersive phase is formed, the turns that both phases (or their
     difference) still miss are taken off, and it is smoothed by its sigma, which fills what is not valid.
     """
-    f0, fl, fh = f
-    good = (F.col("low_coherence") >= least) & (F.col("high_coherence") >= least)
+    names, split, missed, spread, linked = PLANS[plan]
+    one, two = names
+    good = (F.col(f"{one}_coherence") >= least) & (F.col(f"{two}_coherence") >= least)
     labels = components.large_enough(components.label(both, good, max(looks.extent(both)[1], 1)), cells)
     labels = materialize(labels, "components")
     tree = materialize(components.bridges(labels, reach), "bridges")
@@ -79,12 +92,13 @@ def ionosphere(both: DataFrame, f: tuple[float, float, float], count: int, least
         out = components.bridged(labels, materialize(phase.drop("label"), "unwrapped"), reach, tree)
         return out.select("row", "col", F.col("phase").alias(name))
 
-    d = both.select("row", "col", "low_coherence", "high_coherence").join(whole("low").join(whole("high"), ["row", "col"]), ["row", "col"], "left")
-    disp, nondisp = radar.iono_low_high(f0, fl, fh, F.col("low"), F.col("high"))
-    common, differential = radar.turns_low_high(f0, fl, fh, disp, nondisp, F.col("low"), F.col("high"))
-    low, high = (F.col(k) - radar.TAU * n for k, n in (("low", common), ("high", common + differential)))
-    sigma, _ = radar.sigma_low_high(f0, fl, fh, radar.phase_sigma(F.col("low_coherence"), count), radar.phase_sigma(F.col("high_coherence"), count))
-    d = d.select("row", "col", radar.iono_low_high(f0, fl, fh, low, high)[0].alias("phase"), F.when(F.col("low").isNotNull(), sigma).alias("sigma"))
+    d = both.select("row", "col", *(f"{n}_coherence" for n in names)).join(whole(one).join(whole(two), ["row", "col"]), ["row", "col"], "left")
+    a, b = F.col(one), F.col(two)
+    disp, nondisp = split(*f, a, b)
+    common, differential = missed(*f, disp, nondisp, a, b)
+    first, second = a - radar.TAU * common, b - radar.TAU * ((common + differential) if linked else differential)
+    sigma, _ = spread(*f, *(radar.phase_sigma(F.col(f"{n}_coherence"), count) for n in names))
+    d = d.select("row", "col", split(*f, first, second)[0].alias("phase"), F.when(a.isNotNull(), sigma).alias("sigma"))
     return neighbours.smooth_with_sigma(d, "phase", "sigma", kernel, kernel)
 
 

@@ -408,6 +408,16 @@ def l6_bridged(spark, sf):
     return d.select("row", "col", r6(c("phase")).alias("phase"), r6(c("sigma")).alias("sigma"))
 
 
+@query("l6_main_side_bands")
+def l6_main_side(spark, sf):
+    """The chain from a main and a side band: the halves of the spectrum, at their own carriers."""
+    from echogrid.operators.pipelines import ionosphere, sub_bands
+
+    bands = sub_bands(rel.slc(spark, sf), rel.sec(spark, sf), (5, 2)).withColumnsRenamed({"low": "main", "high": "side", "low_coherence": "main_coherence", "high_coherence": "side_coherence"})
+    d = ionosphere(bands, (1237.5, 1277.5), 10, 0.15, 4, [0.25, 0.5, 0.25], tile=32, halo=4, reach=4, plan="main_side")
+    return d.select("row", "col", r6(c("phase")).alias("phase"), r6(c("sigma")).alias("sigma"))
+
+
 @query("l5_resampled_focus")
 def l5_resampled(spark, sf):
     """Raw codes decoded, gaps filled, tone and interference off, irregular pulses resampled, compressed and back-projected; statistics by line."""
