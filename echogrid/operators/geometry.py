@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echogrid.functions.geodesy import Vector, cross, dot, minus, norm
+from echogrid.shared import shuffled, spread
 
 #: Newton steps from the linear estimate; they double the digits.
 STEPS = 5
@@ -104,10 +105,10 @@ def back_project(cells: DataFrame, pulses: DataFrame, keys: list[str], spacing:
     are read by linear interpolation in range and turned by the two-way phase.
     """
     block = lambda c: F.floor(F.col(c) / salt)
-    a = cells.withColumn("_b", F.explode(F.sequence(block("first"), block("last"))))
+    a = spread(cells, *keys, "id").withColumn("_b", F.explode(F.sequence(block("first"), block("last"))))
     b = pulses.withColumn("_b", block("k"))
     d = norm(minus((F.col("x"), F.col("y"), F.col("z")), (F.col("px"), F.col("py"), F.col("pz"))))
-    j = a.join(b, [*keys, "_b"]).where(F.col("k").between(F.col("first"), F.col("last"))).withColumn("_d", d)
+    j = a.join(shuffled(b), [*keys, "_b"]).where(F.col("k").between(F.col("first"), F.col("last"))).withColumn("_d", d)
     j = j.withColumn("_s", (F.col("_d") - F.col("r0")) / spacing).withColumn("_k", F.floor("_s").cast("int"))
     part = lambda v: F.get(v, F.col("_k")) * (1 - (F.col("_s") - F.col("_k"))) + F.get(v, F.col("_k") + 1) * (F.col("_s") - F.col("_k"))
     j = j.where((F.col("_k") >= 0) & (F.col("_k") + 1 < F.size("re"))).withColumns({"_re": part("re"), "_im": part("im"), "_p": F.col("_d") * (4 * math.pi / wavelength)})
@@ -177,7 +178,7 @@ def apertures(cells: DataFrame, pulse: Column, r: Column, ratio: Column, spacing
 def corner_spacing(targets: DataFrame, orbit: DataFrame, half: float, keys: list[str]) -> DataFrame:
     """``keys, dt, dr``: least half extent in time and range of the boxes of ``half`` metres around the targets (in y and z)."""
     ends = F.array(F.lit(-half), F.lit(half))
-    corners = targets.withColumn("_y", F.explode(ends)).withColumn("_z", F.explode(ends)).withColumns({"y": F.col("y") + F.col("_y"), "z": F.col("z") + F.col("_z")})
+    corners = spread(targets, *keys, "id").withColumn("_y", F.explode(ends)).withColumn("_z", F.explode(ends)).withColumns({"y": F.col("y") + F.col("_y"), "z": F.col("z") + F.col("_z")})
     t = ground_to_radar(corners, orbit)
     each = t.groupBy(*keys, "id").agg(((F.max("t") - F.min("t")) / 2).alias("dt"), ((F.max("r") - F.min("r")) / 2).alias("dr"))
     return each.groupBy(*keys).agg(F.min("dt").alias("dt"), F.min("dr").alias("dr"))

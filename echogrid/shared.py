@@ -35,6 +35,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over tasks by its keys, before its rows are multiplied: a small file is read by one task, however much is made of it."""
+    return df.repartition(*keys)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the other side of a join of multiplied rows, which are never broadcast: their size is estimated from the file that they come from."""
+    return df.hint("merge")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back with the same schema."""
     spark = df.sparkSession
