@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,10 @@ def on_surface(points: DataFrame, a: Vector, b: Vector, side: Column, dem=None,
     lat`` (a join, one a round); else h stays.
     """
     p = vector("p")
+    if dem is None:
+        given = F.struct(*(x.cast("double").alias(f"k{i}") for i, x in enumerate((*p, c("r"), *a, *b, c("h"), side))))
+        d = points.withColumn("_g", _surface(rounds)(given))
+        return d.withColumns({k: c(f"_g.{k}") for k in ("x", "y", "z", "lon", "lat")}).drop("_g")
     names = [f"_{k}{i}" for k in "ab" for i in range(3)] + ["_pa", "_pb", "_side", "_big"]
     d = points.withColumns(dict(zip(names, (*a, *b, dot(p, a), dot(p, b), side.cast("double"), F.lit(geodesy.A) + c("h")), strict=True)))
     for _ in range(rounds):
@@ -48,6 +54,31 @@ def on_surface(points: DataFrame, a: Vector, b: Vector, side: Column, dem=None,
     return d.drop(*names, "_t")
 
 
+def _surface(rounds: int):
+    """The rounds of ``on_surface`` at fixed heights, a batch of points at a time: as columns they make one method too long to be compiled."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        v = g.to_numpy(float, na_value=np.nan).T
+        p, r, a, b, h, side = v[0:3], v[3], v[4:7], v[7:10], v[10], v[11]
+        pa, pb, pp, big = (p * a).sum(axis=0), (p * b).sum(axis=0), (p * p).sum(axis=0), geodesy.A + h
+        ep2 = geodesy.E2 / (1 - geodesy.E2)
+        for _ in range(rounds):
+            k = (big**2 - pp - r**2) / (2 * r)
+            t = np.arctan2(pb, pa) + side * np.arccos(np.clip(k / np.hypot(pa, pb), -1.0, 1.0))
+            x, y, z = p + r * (np.cos(t) * a + np.sin(t) * b)
+            lon, q = np.arctan2(y, x), np.hypot(x, y)
+            n = np.arctan2(z * geodesy.A, q * geodesy.B)
+            for _ in range(2):
+                lat = np.arctan2(z + ep2 * geodesy.B * np.sin(n) ** 3, q - geodesy.E2 * geodesy.A * np.cos(n) ** 3)
+                n = np.arctan2(np.sin(lat) * (geodesy.B / geodesy.A), np.cos(lat))
+            s = np.sin(lat)
+            east = geodesy.A / np.sqrt(1 - geodesy.E2 * s * s)
+            big = np.hypot((east + h) * np.cos(lat), (east * (1 - geodesy.E2) + h) * s)
+        return pd.DataFrame({"x": x, "y": y, "z": z, "lon": lon, "lat": lat})
+
+    return F.pandas_udf(run, "x double, y double, z double, lon double, lat double")
+
+
 def with_llh(d: DataFrame) -> DataFrame:
     """``lon, lat`` of ``x, y, z``, step by step so that no expression repeats."""
     d = d.withColumns({"lon": F.atan2("y", "x"), "_p": F.hypot("x", "y")}).withColumn("_n", F.atan2(c("z") * geodesy.A, c("_p") * geodesy.B))

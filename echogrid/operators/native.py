@@ -9,6 +9,7 @@ from echogrid.functions import geodesy
 from echogrid.functions.geodesy import dot, norm
 from echogrid.operators import asof, geometry, grid, mapping
 from echogrid.operators.mapping import vector
+from echogrid.shared import spread
 
 c = F.col
 
@@ -89,7 +90,7 @@ def perimeter(scenes: DataFrame, orbit: DataFrame, per_edge: int, heights: list[
     if per_edge < 2:
         raise ValueError("an edge has two points at least")
     steps = per_edge - 1
-    d = scenes.withColumn("height", F.explode(F.array(*(F.lit(float(h)) for h in heights)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4 * steps - 1))))
+    d = spread(scenes, "id").withColumn("height", F.explode(F.array(*(F.lit(float(h)) for h in heights)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4 * steps - 1))))
     edge, share = F.floor(c("k") / steps), (c("k") % steps) / F.lit(float(steps))
     out = F.when(edge == 0, share).when(edge == 1, 1.0).when(edge == 2, 1 - share).otherwise(0.0)
     side = F.when(edge == 0, 0.0).when(edge == 1, share).when(edge == 2, 1.0).otherwise(1 - share)
