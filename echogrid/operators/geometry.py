@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from echogrid.functions.geodesy import Vector, cross, dot, minus, norm
 from echogrid.shared import shuffled, spread
@@ -35,6 +38,18 @@ def _vector(s: Column, kind: str) -> Vector:
     return s[f"{kind}x"], s[f"{kind}y"], s[f"{kind}z"]
 
 
+@F.pandas_udf(DoubleType())
+def _crossing(g: pd.DataFrame) -> pd.Series:
+    """Newton steps of ``ground_to_radar``, a batch of points at a time: as columns they make one method too long to be compiled."""
+    v = g.to_numpy(float, na_value=np.nan).T
+    u, x = v[0], v[1:4]
+    k0, k1, k2, k3 = (v[4 + 3 * n : 7 + 3 * n] for n in range(4))
+    for _ in range(STEPS):
+        los, d = x - (((k3 * u + k2) * u + k1) * u + k0), (3 * k3 * u + 2 * k2) * u + k1
+        u = np.clip(u - (los * d).sum(axis=0) / ((los * (6 * k3 * u + 2 * k2)).sum(axis=0) - (d * d).sum(axis=0)), 0.0, 1.0)
+    return pd.Series(u)
+
+
 def ground_to_radar(targets: DataFrame, orbit: DataFrame, key: str = "orbit_id", state: bool = False) -> DataFrame:
     """``targets`` (``key, x, y, z``) with ``t, r``: zero-Doppler time and slant range; null where the orbit never passes them.
 
@@ -59,13 +74,8 @@ def ground_to_radar(targets: DataFrame, orbit: DataFrame, key: str = "orbit_id",
     c = lambda k, n: F.col(f"_{k}{n}")
     place = lambda u: tuple(((c(k, 3) * u + c(k, 2)) * u + c(k, 1)) * u + c(k, 0) for k in "xyz")
     slope = lambda u: tuple((3 * c(k, 3) * u + 2 * c(k, 2)) * u + c(k, 1) for k in "xyz")
-    bend = lambda u: tuple(6 * c(k, 3) * u + 2 * c(k, 2) for k in "xyz")
-
-    def newton(u: Column, _: Column) -> Column:
-        los, d = minus(x, place(u)), slope(u)
-        return F.least(F.greatest(u - dot(los, d) / (dot(los, bend(u)) - dot(d, d)), F.lit(0.0)), F.lit(1.0))
-
-    j = j.withColumn("_f", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.col("_u"), newton))
+    given = F.struct("_u", *(q.cast("double").alias(f"p{k}") for k, q in zip("xyz", x, strict=True)), *(c(k, n) for n in range(4) for k in "xyz"))
+    j = j.withColumn("_f", _crossing(given))
     u, own = F.col("_f"), {}
     if state:
         own = {f"p{k}": q for k, q in zip("xyz", place(u), strict=True)} | {f"v{k}": q / F.col("_h") for k, q in zip("xyz", slope(u), strict=True)}

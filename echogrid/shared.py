@@ -36,8 +36,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt over tasks by its keys, before its rows are multiplied: a small file is read by one task, however much is made of it."""
-    return df.repartition(*keys)
+    """``df`` dealt over tasks by its keys, before its rows are multiplied: a small file is read by one task, however much is made of it.
+
+    The number is fixed to that of shuffles, for few bytes would be put together again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def shuffled(df: DataFrame) -> DataFrame:

@@ -67,3 +67,18 @@ def test_one_response_for_targets_of_one_cell(spark, monkeypatch):
     d = registry.QUERIES["g12_target_response"](spark, "/root/testdata/sf0.01")
     assert kept[0].select("id").distinct().count() <= 200
     assert "id" in d.columns
+
+
+def test_multiplied_rows_start_in_many_tasks(spark):
+    boxes = spark.range(1, numPartitions=1).select("id", F.lit(0).alias("orbit_id"), *(F.lit(0.0).alias(k) for k in "xyz"))
+    states = F.array(*(F.struct(F.lit(10.0 * k).alias("t"), F.lit(9.0).alias("px"), F.lit(10.0 * k - 15).alias("py"), F.lit(0.0).alias("pz"), F.lit(0.0).alias("vx"), F.lit(1.0).alias("vy"), F.lit(0.0).alias("vz")) for k in range(4)))
+    d = geometry.corner_spacing(boxes, spark.range(1).select(F.lit(0).alias("orbit_id"), states.alias("states")), 2.0, ["orbit_id"])
+    assert "RepartitionByExpression" in d._jdf.queryExecution().logical().toString()
+    assert [(r.dt, round(r.dr, 9)) for r in d.collect()] == [(2.0, round(0.0, 9))]
+
+
+def test_missed_crossings_stay_null(spark):
+    t = spark.range(2).select("id", F.lit(0).alias("orbit_id"), F.lit(0.0).alias("x"), (c("id") * 1000.0).alias("y"), F.lit(0.0).alias("z"))
+    states = F.array(*(F.struct(F.lit(10.0 * k).alias("t"), F.lit(9.0).alias("px"), F.lit(10.0 * k - 15).alias("py"), F.lit(0.0).alias("pz"), F.lit(0.0).alias("vx"), F.lit(1.0).alias("vy"), F.lit(0.0).alias("vz")) for k in range(4)))
+    d = geometry.ground_to_radar(t, spark.range(1).select(F.lit(0).alias("orbit_id"), states.alias("states")))
+    assert sorted((r.id, r.t, r.r) for r in d.collect()) == [(0, 15.0, 9.0), (1, None, None)]
