@@ -55,11 +55,19 @@ def value(terms: list[Column]) -> Column:
 
 
 def without_ramp(cells: DataFrame, x: str, keys: list[str], degree: int = 1) -> DataFrame:
-    """x less its least-squares plane (or quadratic) of row and column."""
-    terms = plane_terms(F.col("row").cast("double"), F.col("col").cast("double"), degree)
-    k = solve(cells.where(F.col(x).isNotNull()), keys, terms, F.col(x)).drop("n")
-    joined = cells.join(k, keys) if keys else cells.crossJoin(F.broadcast(k))
-    return joined.withColumn(x, F.col(x) - value(terms)).drop(*(f"k{i}" for i in range(len(terms))))
+    """x less its least-squares plane (or quadratic) of row and column.
+
+    Rows and columns are taken from their group's mean in units of their deviation: as they stand, the moments of a
+    few lines far down an image are those of its line numbers, and the equations look singular.
+    """
+    with_row = lambda d, one: d.join(one, keys) if keys else d.crossJoin(F.broadcast(one))
+    there = cells.where(F.col(x).isNotNull())
+    scale = lambda k: F.coalesce(F.nullif(F.stddev_pop(k), F.lit(0.0)), F.lit(1.0))
+    centre = there.groupBy(*keys).agg(*(f(k).alias(f"_{n}{k}") for k in ("row", "col") for n, f in (("m", F.avg), ("s", scale))))
+    terms = plane_terms(*((F.col(k) - F.col(f"_m{k}")) / F.col(f"_s{k}") for k in ("row", "col")), degree)
+    k = solve(with_row(there, centre), keys, terms, F.col(x)).drop("n")
+    joined = with_row(with_row(cells, centre), k)
+    return joined.withColumn(x, F.col(x) - value(terms)).drop(*(f"k{i}" for i in range(len(terms))), *(f"_{n}{k}" for k in ("row", "col") for n in "ms"))
 
 
 def robust_surface(ties: DataFrame, keys: list[str], x: str, terms: list[Column], weight: Column, critical: float, rounds: int) -> tuple[DataFrame, DataFrame]:
