@@ -27,9 +27,9 @@ def orbits(states: DataFrame, key: str = "orbit_id") -> DataFrame:
     return states.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "px", "py", "pz", "vx", "vy", "vz"))).alias("states"))
 
 
-def straight_orbits(spark: SparkSession, ids: DataFrame, n: int, step: float, start: Vector, velocity: tuple[float, float, float]) -> DataFrame:
-    """Orbits of constant velocity whose starts are columns of ``ids``: for analytic checks."""
-    t = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k * step)
+def straight_orbits(spark: SparkSession, ids: DataFrame, n: int, step: float, start: Vector, velocity: tuple[float, float, float], first: float = 0.0) -> DataFrame:
+    """Orbits of constant velocity whose places at time 0 are columns of ``ids``: for analytic checks. ``first``: the time of the first state."""
+    t = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k * step + first)
     state = lambda x: F.struct(x.alias("t"), *((p + v * x).alias(f"p{a}") for a, p, v in zip("xyz", start, velocity, strict=True)), *(F.lit(v).alias(f"v{a}") for a, v in zip("xyz", velocity, strict=True)))
     return ids.select("orbit_id", F.transform(t, state).alias("states"))
 
