@@ -9,11 +9,12 @@ from echogrid.functions import cplx
 from echogrid.functions.cplx import add, conj_mul, power, sub
 
 
-def wide(channels: DataFrame) -> DataFrame:
-    """``row, col`` and ``hh, hv, vh, vv`` with ``re`` and ``im`` each, from ``p`` 0 to 3; cells with all four."""
+def wide(channels: DataFrame, whole: bool = True) -> DataFrame:
+    """``row, col`` and ``hh, hv, vh, vv`` with ``re`` and ``im`` each, from ``p`` 0 to 3; cells with all four, or (not ``whole``) all cells, with nulls for what they lack."""
     names = ("hh", "hv", "vh", "vv")
     one = lambda k, part: F.max(F.when(F.col("p") == k, F.col(part)))
-    return channels.groupBy("row", "col").agg(*(one(k, part).alias(n + part) for k, n in enumerate(names) for part in ("re", "im"))).dropna()
+    w = channels.groupBy("row", "col").agg(*(one(k, part).alias(n + part) for k, n in enumerate(names) for part in ("re", "im")))
+    return w.dropna() if whole else w
 
 
 def symmetrised(w: DataFrame) -> DataFrame:
