@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.functions.radar import TAU
-from echogrid.operators.intervals import runs
 from echogrid.operators.neighbours import across, along, blocked, owned
 from echogrid.shared import materialize
 
+#: Cells of the blocks that are labelled in one task each.
+CELLS = 1 << 13
+#: Links between components (never cells) that one task takes; a graph of more goes in rounds of joins.
+LINKS = 1 << 14
+
 
 def graph_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``a, b`` edges: the smallest node that it reaches.
@@ -32,22 +40,63 @@ def graph_components(edges: DataFrame) -> DataFrame:
         e = materialize(small.distinct(), "components")
 
 
+def united(edges: DataFrame) -> DataFrame:
+    """As ``graph_components``, for numbers: up to ``LINKS`` edges are united in one task, more of them in rounds."""
+    e = materialize(edges.select("a", "b").where("a <> b").distinct(), "links")
+    if e.count() > LINKS:
+        return graph_components(e)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = pd.concat([pd.DataFrame({"a": [], "b": []}, dtype=np.int64), *parts])
+        node, at = np.unique(p[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+        at = at.reshape(-1, 2)
+        yield pd.DataFrame({"node": node, "root": node[_least(len(node), at[:, 0], at[:, 1])]})
+
+    return e.coalesce(1).mapInPandas(run, "node long, root long")
+
+
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes reaches over the edges between a and b."""
+    root = np.arange(n)
+    while True:
+        new, least = root.copy(), np.minimum(root[a], root[b])
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 def label(cells: DataFrame, flag: Column, width: int, eight: bool = True) -> DataFrame:
     """``row, col, label`` of the cells with the flag: label is the least ``row * width + col`` of the component.
 
-    Runs of each line are the nodes, so the graph is far smaller than the image; runs of
-    neighbouring lines that touch are joined by tiles of ``width`` / 16 columns.
+    Components of blocks of some ``CELLS`` cells (whole lines, 64 at least) are found in one task each. They are the nodes of
+    the graph, and where the last line of a block touches the first one of the next is an edge, so the
+    graph grows with the blocks, not with the cells, and no way through it is longer than the blocks.
     """
-    reach, tile = int(eight), max(1, width // 16)
-    r = runs(cells, ["row"], "col", flag).withColumn("node", F.col("row") * width + F.col("first"))
-    r = materialize(r, "runs")
-    low, high = F.floor((F.col("first") - reach) / tile), F.floor((F.col("last") + reach) / tile)
-    a = r.select("row", F.col("first").alias("f"), F.col("last").alias("l"), F.col("node").alias("a"), F.explode(F.sequence(low, high)).alias("tile"))
-    b = r.select((F.col("row") - 1).alias("row"), "first", "last", F.col("node").alias("b"), F.explode(F.sequence(low, high)).alias("tile"))
-    touch = a.join(b, ["row", "tile"]).where((F.col("f") <= F.col("last") + reach) & (F.col("first") <= F.col("l") + reach))
-    roots = graph_components(touch.select("a", "b"))
-    named = r.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    return named.select("row", F.explode(F.sequence("first", "last")).alias("col"), "label")
+    reach, tall = int(eight), max(64, CELLS // max(width, 1))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        row, col = g["row"].to_numpy(np.int64), g["col"].to_numpy(np.int64)
+        # A line of keys is one longer than its cells, so that the last of a line is not beside the first of the next.
+        line = int(col.max() - col.min()) + 2
+        key, at = np.unique((row - row.min()) * line + col - col.min(), return_inverse=True)
+        ends = [(np.flatnonzero(key[k % len(key)] == key + step), k) for step in ((1, line - 1, line, line + 1) if eight else (1, line)) for k in [np.searchsorted(key, key + step)]]
+        a, b = np.concatenate([i for i, _ in ends]), np.concatenate([k[i] for i, k in ends])
+        first = np.full(len(key), np.iinfo(np.int64).max)
+        np.minimum.at(first, at.ravel(), row * width + col)
+        return g[["row", "col"]].assign(label=first[_least(len(key), a, b)][at.ravel()])
+
+    kinds = dict(cells.dtypes)
+    flagged = cells.where(flag).where("row IS NOT NULL AND col IS NOT NULL").select("row", "col", F.floor(F.col("row") / tall).alias("_b"))
+    own = materialize(flagged.groupBy("_b").applyInPandas(run, f"row {kinds['row']}, col {kinds['col']}, label long"), "regions")
+    beside = F.explode(F.sequence(F.col("col") - reach, F.col("col") + reach))
+    last = own.where(F.pmod(F.col("row") + 1, F.lit(tall)) == 0).select((F.col("row") + 1).alias("row"), beside.alias("col"), F.col("label").alias("a"))
+    first = own.where(F.pmod(F.col("row"), F.lit(tall)) == 0).select("row", "col", F.col("label").alias("b"))
+    roots = united(last.join(first, ["row", "col"])).withColumnRenamed("node", "label")
+    return own.join(roots, "label", "left").select("row", "col", F.coalesce("root", "label").alias("label"))
 
 
 def large_enough(labels: DataFrame, least: int) -> DataFrame:
@@ -121,7 +170,7 @@ def bridges(labels: DataFrame, reach: int) -> DataFrame:
     while True:
         near = materialize(closest_pairs(labels, reach, roots), "pairs")
         found = near if found is None else found.unionByName(near)
-        merged = graph_components(found).select(F.col("node").alias("label"), F.col("root").alias("to"))
+        merged = united(found).select(F.col("node").alias("label"), F.col("root").alias("to"))
         roots = materialize(names.select("label").join(merged, "label", "left").select("label", F.coalesce("to", "label").alias("root")), "roots")
         if reach > span or roots.select("root").distinct().limit(2).count() < 2:
             return spanning_bridges(found)
@@ -129,8 +178,30 @@ def bridges(labels: DataFrame, reach: int) -> DataFrame:
 
 
 def spanning_bridges(pairs: DataFrame) -> DataFrame:
-    """A minimum spanning forest of ``a, b, d2`` links, by Boruvka rounds: each component takes its shortest way out."""
+    """A minimum spanning forest of ``a, b, d2`` links, by Boruvka rounds: each component takes its shortest way out. Up to ``LINKS`` links are gone through in one task, by length."""
     pairs = materialize(pairs, "pairs")
+    if pairs.count() <= LINKS:
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = list(parts)
+            if parts:
+                p = pd.concat(parts).sort_values(["d2", "a", "b"], ignore_index=True)
+                ends, kept = np.unique(p[["a", "b"]].to_numpy(), return_inverse=True)[1].reshape(-1, 2).tolist(), []
+                up = list(range(2 * len(p)))
+
+                def top(k: int) -> int:
+                    while up[k] != k:
+                        up[k] = up[up[k]]
+                        k = up[k]
+                    return k
+
+                for a, b in ends:
+                    ra, rb = top(a), top(b)
+                    kept.append(ra != rb)
+                    up[ra] = rb
+                yield p[kept]
+
+        return pairs.coalesce(1).mapInPandas(run, pairs.schema)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     chosen = None
     while True:
@@ -144,46 +215,79 @@ def spanning_bridges(pairs: DataFrame) -> DataFrame:
         best = ways.groupBy("root").agg(F.min(F.struct("d2", "a", "b")).alias("t")).select("t.a", "t.b").distinct()
         picked = open_.join(best, ["a", "b"], "left_semi")
         chosen = picked.drop("ra", "rb") if chosen is None else chosen.unionByName(picked.drop("ra", "rb"))
-        merged = graph_components(picked.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        merged = united(picked.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         nodes = materialize(nodes.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "nodes")
 
 
-def bridge_turns(bridges: DataFrame, phase: DataFrame) -> DataFrame:
-    """``bridges`` with ``turns``: whole turns by which the phase at b's end misses that at a's end (halves away from 0)."""
-    at = lambda r, k, out: phase.select(F.col("row").alias(r), F.col("col").alias(k), F.col("phase").alias(out))
-    d = bridges.join(at("ar", "ac", "pa"), ["ar", "ac"]).join(at("br", "bc", "pb"), ["br", "bc"])
-    return d.withColumn("turns", F.round((F.col("pa") - F.col("pb")) / TAU)).drop("pa", "pb")
+def bridge_turns(bridges: DataFrame, phase: DataFrame, values: dict[str, str] | None = None) -> DataFrame:
+    """``bridges`` with ``turns``: whole turns by which the phase at b's end misses that at a's end (halves away from 0). ``values``: from each phase to the name of its turns."""
+    values = {"phase": "turns"} if values is None else values
+    at = lambda r, k, end: phase.select(F.col("row").alias(r), F.col("col").alias(k), *(F.col(v).alias(f"_{end}{v}") for v in values))
+    d = bridges.join(at("ar", "ac", "a"), ["ar", "ac"]).join(at("br", "bc", "b"), ["br", "bc"])
+    d = d.withColumns({t: F.round((F.col(f"_a{v}") - F.col(f"_b{v}")) / TAU) for v, t in values.items()})
+    return d.drop(*(f"_{end}{v}" for end in "ab" for v in values))
 
 
-def tree_turns(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """``label, root, turns``: whole turns to add to each component so that all of a tree agree with its least label, ``root``.
+def tree_turns(edges: DataFrame, labels: DataFrame, turns: Sequence[str] = ("turns",)) -> DataFrame:
+    """``label, root`` and ``turns``: whole turns to add to each component so that all of a tree agree with its least label, ``root``.
 
-    ``edges`` (``a, b, turns``): what b needs to agree with a. Each round every group draws heads or
+    ``edges`` (``a, b`` and ``turns``): what b needs to agree with a. Up to ``LINKS`` edges are gone along in one task. Of more,
+    each round every group draws heads or
     tails by a hash; a group with tails that has an edge to one with heads goes to it, and its turns
     move by what that edge wants. So rounds grow with the logarithm of the components, however long the tree's
     branches are, and each is a join and an aggregate, written to the shared folder.
     """
-    edges = materialize(edges.select("a", "b", "turns"), "edges")
-    nodes = labels.select("label").distinct().select("label", F.col("label").alias("root"), F.lit(0.0).alias("turns"))
-    nodes, draw = materialize(nodes, "turns"), 0
+    edges = materialize(edges.select("a", "b", F.array(*(F.coalesce(t, F.lit(0.0)).cast("double") for t in turns)).alias("turns")), "edges")
+    named = lambda v: [F.get(v, F.lit(k)).alias(t) for k, t in enumerate(turns)]
+    plus = lambda v, w: F.zip_with(v, w, lambda x, y: x + y)
+    less = lambda v, w: F.zip_with(v, w, lambda x, y: x - y)
+    nodes = labels.select("label").distinct()
+    if edges.count() <= LINKS:
+        there = [nodes.select(F.col("label").alias(k)) for k in "ab"]
+        found = edges.join(there[0], "a").join(there[1], "b").select("a", "b", "turns").coalesce(1).mapInPandas(_along, "label long, root long, turns array<double>")
+        d = nodes.join(found, "label", "left")
+        return d.select("label", F.coalesce("root", "label").alias("root"), *named(F.coalesce("turns", F.array(*[F.lit(0.0)] * len(turns)))))
+    nodes, draw = materialize(nodes.select("label", F.col("label").alias("root"), F.array(*[F.lit(0.0)] * len(turns)).alias("turns")), "turns"), 0
     own = lambda k: nodes.select(F.col("label").alias(k), F.col("root").alias(f"r{k}"), F.col("turns").alias(f"t{k}"))
     while True:
-        open_ = edges.join(own("a"), "a").join(own("b"), "b").where("ra <> rb").select("ra", "rb", (F.col("turns") + F.col("ta") - F.col("tb")).alias("by"))
+        open_ = edges.join(own("a"), "a").join(own("b"), "b").where("ra <> rb").select("ra", "rb", less(plus("turns", "ta"), "tb").alias("by"))
         open_ = materialize(open_, "open")
         if open_.isEmpty():
             break
-        ways = open_.unionByName(open_.select(F.col("rb").alias("ra"), F.col("ra").alias("rb"), (-F.col("by")).alias("by")))
+        ways = open_.unionByName(open_.select(F.col("rb").alias("ra"), F.col("ra").alias("rb"), F.transform("by", lambda x: -x).alias("by")))
         heads = lambda k: F.pmod(F.xxhash64(k, F.lit(draw)), F.lit(2)) == 0  # noqa: B023, E731
         hooks = ways.where(~heads("rb") & heads("ra")).groupBy(F.col("rb").alias("root")).agg(F.min(F.struct("ra", "by")).alias("to"))
-        moved = nodes.join(hooks, "root", "left").select("label", F.coalesce("to.ra", "root").alias("root"), (F.col("turns") + F.coalesce("to.by", F.lit(0.0))).alias("turns"))
+        moved = nodes.join(hooks, "root", "left").select("label", F.coalesce("to.ra", "root").alias("root"), F.coalesce(plus("turns", "to.by"), "turns").alias("turns"))
         nodes, draw = materialize(moved, "turns"), draw + 1
     least = nodes.groupBy("root").agg(F.min(F.struct("label", "turns")).alias("first"))
-    return nodes.join(least, "root").select("label", F.col("first.label").alias("root"), (F.col("turns") - F.col("first.turns")).alias("turns"))
+    return nodes.join(least, "root").select("label", F.col("first.label").alias("root"), *named(less("turns", "first.turns")))
+
+
+def _along(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From all edges ``a, b, turns`` to ``label, root, turns``: trees are gone along from their least label."""
+    ways: dict[int, list] = {}
+    for p in parts:
+        for a, b, t in zip(p["a"].tolist(), p["b"].tolist(), p["turns"], strict=True):
+            ways.setdefault(a, []).append((b, t))
+            ways.setdefault(b, []).append((a, -t))
+    done: dict[int, tuple[int, np.ndarray]] = {}
+    for k in sorted(ways):
+        if k not in done:
+            done[k], todo = (k, 0 * ways[k][0][1]), [k]
+            while todo:
+                at = todo.pop()
+                for to, t in ways[at]:
+                    if to not in done:
+                        done[to] = k, done[at][1] + t
+                        todo.append(to)
+    if done:
+        yield pd.DataFrame({"label": np.array(list(done), np.int64), "root": np.array([r for r, _ in done.values()], np.int64), "turns": [t for _, t in done.values()]})
 
 
-def bridged(labels: DataFrame, phase: DataFrame, reach: int, tree: DataFrame | None = None) -> DataFrame:
-    """``row, col, label, phase``: the phase of each component with the whole turns off by which it misses the others across their bridges."""
+def bridged(labels: DataFrame, phase: DataFrame, reach: int, tree: DataFrame | None = None, values: Sequence[str] = ("phase",)) -> DataFrame:
+    """``row, col, label`` and the phases ``values``, each component's with the whole turns off by which it misses the others across their bridges."""
     tree = bridges(labels, reach) if tree is None else tree
-    turns = tree_turns(bridge_turns(tree, phase), labels)
-    d = labels.join(turns.select("label", "turns"), "label").join(phase, ["row", "col"])
-    return d.select("row", "col", "label", (F.col("phase") + TAU * F.col("turns")).alias("phase"))
+    names = {v: f"{v}_turns" for v in values}
+    turns = tree_turns(bridge_turns(tree, phase, names), labels, list(names.values()))
+    d = labels.join(turns.drop("root"), "label").join(phase, ["row", "col"])
+    return d.select("row", "col", "label", *((F.col(v) + TAU * F.col(t)).alias(v) for v, t in names.items()))
